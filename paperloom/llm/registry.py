@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import quality
+from . import packing, quality, topk
 
-MODULES = (quality,)
+MODULES = (packing, quality, topk)
 
 
 def queries() -> dict:
