@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import packing, quality, topk
+from . import packing, pii, quality, topk
 
-MODULES = (packing, quality, topk)
+MODULES = (packing, pii, quality, topk)
 
 
 def queries() -> dict:
