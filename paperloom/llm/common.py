@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -70,6 +72,19 @@ def encoded(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def encoded_column(column) -> list[bytes]:
+    """UTF-8 of each text of an Arrow column; of a null, nothing."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def worker_value(key, make):
+    """make(), once for each Python worker: a worker's later tasks find it again."""
+    held = sys.modules.setdefault("_worker_values", types.ModuleType("_worker_values")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def chunks(lengths, most: int = 4 << 20):
     """Slices of consecutive texts of about `most` bytes; a longer text is one alone."""
     first, total = 0, 0

@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded, stored, table
+from .common import encoded_column, stored, table, worker_value
 
 #: Pieces of a shard on average.
 SHARD = 1 << 16
@@ -74,14 +74,14 @@ class WordIds:
     def __call__(self, raw: list[bytes]) -> list[np.ndarray]:
         """For each text, its ids."""
         split = [x.split() for x in raw]
-        words = set().union(*split)
-        fresh = words.difference(self.code)
-        if fresh:
-            if len(self.code) > CACHE:
-                self.clear()
-                fresh = words
-            self.learn(list(fresh))
-        at = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        if len(self.code) > CACHE:
+            self.clear()
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self.learn(list({words[i] for i in missing}))
+            at[missing] = [self.code[words[i]] for i in missing]
         n = self.length[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -94,9 +94,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """doc_id, piece, start, length, ids_crc32 of each text's ids and end_id, cut only where longer than capacity."""
 
     def run(batches):
-        ids_of = WordIds(tokenizer)
+        ids_of = worker_value(("words", tokenizer), lambda: WordIds(tokenizer))
         for b in batches:
-            keys, raw = b.column(0).to_pylist(), encoded(b.column(1).to_pylist())
+            keys, raw = b.column(0).to_pylist(), encoded_column(b.column(1))
             out = {x: [] for x in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for i in range(0, len(raw), 256):
                 for key, ids in zip(keys[i : i + 256], ids_of(raw[i : i + 256])):
