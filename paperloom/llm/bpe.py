@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from .common import table
 
@@ -28,10 +29,7 @@ from .common import table
 BUNDLE = 24 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
 LONG = 64
-#: The sizes of the two halves of the table of pairs (primes), and the factors of a pair's place in each.
-P1, P2 = 196613, 174763
-A1, B1, A2, B2 = 40503, 10007, 20011, 50021
-BUNDLE_TYPE = "pieces array<binary>, payload binary"
+BUNDLE_TYPE = "pieces array<array<int>>, payload binary"
 
 
 def default_ranks() -> str:
@@ -57,36 +55,47 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 @cache
-def _literals(path: str) -> tuple[str, str]:
-    """JSON of the table of pairs and of the symbols of single bytes."""
+def _literals(path: str) -> tuple[str, str, str]:
+    """JSON of the rank map of pairs and of the symbols of single bytes.
+
+    The map is a sparse table, a row for each left symbol, whose rows are laid over one another so that
+    no two entries meet: the entry of (a, b) is slots[base[a] + b], as a << 16 | rank. Rows go in from the
+    fullest, each to the first place where it fits.
+    """
     ranks = read_ranks(path)
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("ranks above 65535 do not fit the table of pairs")
-    places = lambda key: (((key >> 16) * A1 + (key & 65535) * B1) % P1, P1 + ((key >> 16) * A2 + (key & 65535) * B2) % P2)
-    slots = [-1] * (P1 + P2)
+    width = max(ranks.values()) + 1
+    if width > 1 << 16:
+        raise ValueError("ranks above 65535 do not fit the map of pairs")
+    rows = defaultdict(list)
     for key, rank in pair_ranks(ranks).items():
-        entry, at = key << 16 | rank, places(key)[0]
-        for _ in range(500):
-            slots[at], entry = entry, slots[at]
-            if entry < 0:
+        rows[key >> 16].append((key & 65535, rank))
+    slots = np.full(4 * width + 2 * sum(map(len, rows.values())), -1, np.int64)
+    used, base, free, span = slots >= 0, np.zeros(width, np.int64), width, 4096
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        at, rank = (np.array(x, np.int64) for x in zip(*sorted(row)))
+        free += int(np.argmin(used[free:]))
+        for place in range(free, len(slots) - width - span, span):
+            taken = used[place : place + span].copy()
+            for x in at[1:] - at[0]:
+                taken |= used[place + x : place + x + span]
+            if not taken.all():
                 break
-            first, second = places(entry >> 16)
-            at = second if at == first else first
         else:
-            raise ValueError("the table of pairs is too full")
-    return json.dumps(slots, separators=(",", ":")), json.dumps([ranks[bytes([i])] for i in range(256)])
+            raise ValueError("the map of pairs is too full")
+        base[a] = place + int(np.argmin(taken)) - at[0]
+        slots[base[a] + at], used[base[a] + at] = a << 16 | rank, True
+    top = int(np.flatnonzero(slots >= 0).max()) + 1
+    text = lambda x: json.dumps(x, separators=(",", ":"))
+    return text(slots[:top].tolist()), text(base.tolist()), text([ranks[bytes([i])] for i in range(256)])
 
 
-def _merged(piece: Column, pairs: Column, single: Column) -> Column:
-    """Ids of one piece (binary): the lowest-ranked, leftmost pair is merged until none has a rank."""
-    none = F.lit(1 << 16)
+def _merged(piece: Column, slots: Column, base: Column, single: Column) -> Column:
+    """Ids of one piece (an array of bytes): the lowest-ranked, leftmost pair is merged until none has a rank."""
+    none = F.lit(1 << 16).cast("bigint")
 
     def rank(a, b):
-        a, b = a.cast("long"), b.cast("long")
-        key = a * 65536 + b
-        first, second = F.get(pairs, ((a * A1 + b * B1) % P1).cast("int")), F.get(pairs, (P1 + (a * A2 + b * B2) % P2).cast("int"))
-        low = lambda e: (e % 65536).cast("int")
-        return F.when(F.shiftright(first, 16) == key, low(first)).when(F.shiftright(second, 16) == key, low(second)).otherwise(none)
+        entry = F.get(slots, F.get(base, a) + b)
+        return F.when(F.shiftright(entry, 16) == a, entry % 65536).otherwise(none)
 
     def step(p, _):
         n = F.size(p)
@@ -94,16 +103,15 @@ def _merged(piece: Column, pairs: Column, single: Column) -> Column:
         def merge(r):
             m = F.array_min(r)
             k = F.array_position(r, m).cast("int")
-            return F.when(m == none, F.concat(p, F.array(F.lit(-1)))).otherwise(F.concat(F.slice(p, 1, k - 1), F.array(m), F.slice(p, k + 2, n)))
+            # a last symbol of -1 says that no pair is left
+            return F.when(m == none, F.concat(p, F.array(F.lit(-1)))).otherwise(F.concat(F.slice(p, 1, k - 1), F.array(m.cast("int")), F.slice(p, k + 2, n)))
 
-        # a last symbol of -1 says that no pair is left
-        fold = F.transform(F.array(F.zip_with(F.slice(p, 1, n - 1), F.slice(p, 2, n - 1), rank)), merge)[0]
+        fold = F.transform(F.array(F.transform(p, lambda a, i: rank(a, F.get(p, i + 1)))), merge)[0]
         return F.when((n < 2) | (F.get(p, n - 1) < 0), p).otherwise(fold)
 
-    digits = F.hex(piece)
-    start = F.transform(F.sequence(F.lit(0), F.length(piece) - 1), lambda i: F.get(single, F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step)
-    return F.filter(folded, lambda x: x >= 0)
+    start = F.transform(piece, lambda x: F.get(single, x))
+    folded = F.aggregate(piece, start, step)
+    return F.array_remove(folded, -1)
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -147,7 +155,9 @@ def _bundles(pattern: str):
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             head = json.dumps(body).encode()
             payload = zstandard.ZstdCompressor(3).compress(len(head).to_bytes(8, "little") + head + flat.tobytes())
-            return pa.RecordBatch.from_pydict({"pieces": pa.array([pieces], pa.list_(pa.binary())), "payload": pa.array([payload], pa.binary())})
+            flat, ends = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32), np.cumsum([0] + [len(p) for p in pieces])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), lists), pa.array([payload], pa.binary())], names=["pieces", "payload"])
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -187,7 +197,7 @@ def _gather(path: str):
                 pool = np.asarray(lists.flatten(), np.int64) if len(lists) else np.zeros(0, np.int64)
                 if len(long := row["long_pieces"].as_py()):
                     ranks = ranks or read_ranks(path)
-                    start, more = np.cumsum(n) - n, [np.array(heap_merge(x["piece"], ranks), np.int64) for x in long]
+                    start, more = np.cumsum(n) - n, [np.array(heap_merge(bytes(x["piece"]), ranks), np.int64) for x in long]
                     at = np.array([x["place"] for x in long])
                     start[at] = len(pool) + np.cumsum([0] + [len(x) for x in more[:-1]])
                     n[at] = [len(x) for x in more]
@@ -214,10 +224,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     A null or empty text has no ids; repeated rows are repeated; null doc_ids stay null; other columns
     are ignored. ranks: a rank file; pattern: what cuts a text into pieces.
     """
-    pairs, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(ranks), ("array<bigint>", "array<int>")))
-    short = lambda x: F.length(x) <= LONG
+    slots, base, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(ranks), ("array<bigint>", "array<int>", "array<int>")))
+    short = lambda x: F.size(x) <= LONG
     bundles = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern), BUNDLE_TYPE)
-    ids = F.transform("pieces", lambda x: F.when(short(x), _merged(x, pairs, single)).otherwise(F.array().cast("array<int>")))
+    ids = F.transform("pieces", lambda x: F.when(short(x), _merged(x, slots, base, single)).otherwise(F.array().cast("array<int>")))
     long_pieces = F.filter(F.transform("pieces", lambda x, i: F.when(~short(x), F.struct(x.alias("piece"), i.alias("place")))), lambda x: x.isNotNull())
     return bundles.select("payload", ids.alias("ids"), long_pieces.alias("long_pieces")).mapInArrow(_gather(ranks), "doc_id long, ids array<int>")
 
@@ -229,23 +239,27 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
         by_id = {r: t for t, r in read_ranks(ranks).items()}
         for b in batches:
             lists = b.column(b.schema.names.index("ids"))
-            whole = pa.array([None if x is None else b"".join(map(by_id.__getitem__, x)) for x in lists.to_pylist()], pa.binary())
+            whole = pa.array([None if x is None else b"".join(map(by_id.__getitem__, x)) for x in _lists(lists)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, whole], names=[*b.schema.names, "bytes"])
 
-    from pyspark.sql.types import BinaryType, StructType
-
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("bytes", BinaryType()))
 
 
+def _lists(column):
+    """Python lists of a column of lists of integers, by way of one list of all of them."""
+    flat, ends, none = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(np.asarray(column.value_lengths().fill_null(0))).tolist(), column.is_null().to_pylist()
+    for first, last, null in zip([0, *ends], ends, none):
+        yield None if null else flat[first:last]
+
+
 def _digests(batches):
     for b in batches:
         c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        lists = c["ids"].to_pylist()
         yield pa.RecordBatch.from_pydict({
             "doc_id": c["doc_id"],
-            "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists]),
-            "decoded_sha256": pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in c["bytes"]]),
+            "n_tokens": c["ids"].value_lengths().cast(pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in _lists(c["ids"])]),
+            "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in c["bytes"].to_pylist()]),
         })
 
 

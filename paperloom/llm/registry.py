@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import packing, pii, quality, topk
+from . import bpe, packing, pii, quality, topk
 
-MODULES = (packing, pii, quality, topk)
+MODULES = (bpe, packing, pii, quality, topk)
 
 
 def queries() -> dict:
