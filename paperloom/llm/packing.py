@@ -25,7 +25,7 @@ from .common import encoded_column, stored, table, worker_value
 SHARD = 1 << 16
 GROUPS, LARGE_SHARE = 32, 8
 #: Distinct words whose ids a task keeps.
-CACHE = 600_000
+CACHE = 1_500_000
 
 
 def default_tokenizer() -> str:
