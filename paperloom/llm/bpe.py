@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import table
+from .common import table, worker_value
 
 #: Bytes of text in a bundle; longer texts are alone in theirs.
-BUNDLE = 24 << 20
+BUNDLE = 16 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
 LONG = 64
 BUNDLE_TYPE = "pieces array<array<int>>, payload binary"
@@ -183,8 +183,8 @@ def _opened(row):
     return head["key"], np.array(head["size"], np.int64), np.frombuffer(body, np.int32, offset=8 + n)
 
 
-def _gather(path: str):
-    """Bundles with ids of each distinct piece into rows (doc_id, ids)."""
+def _gather(path: str, finish=None):
+    """Bundles with ids of each distinct piece into batches (doc_id, ids), or finish(batch) of each."""
 
     def run(batches):
         ranks = None
@@ -213,36 +213,44 @@ def _gather(path: str):
                     ends = np.cumsum(m)
                     ids = pool[np.repeat(start[code] - ends + m, m) + np.arange(int(m.sum()))]
                     offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(some)))]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[first : first + 500], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
+                    out = pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[first : first + 500], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
+                    yield finish(out) if finish else out
 
     return run
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, finish=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """doc_id and ids (array<int>) of each row of docs (doc_id, text), as tiktoken encodes ordinary text.
 
     A null or empty text has no ids; repeated rows are repeated; null doc_ids stay null; other columns
-    are ignored. ranks: a rank file; pattern: what cuts a text into pieces.
+    are ignored. ranks: a rank file; pattern: what cuts a text into pieces. finish: turns each Arrow batch of
+    the result into one of `schema` in the same pass.
     """
     slots, base, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(ranks), ("array<bigint>", "array<int>", "array<int>")))
     short = lambda x: F.size(x) <= LONG
     bundles = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern), BUNDLE_TYPE)
     ids = F.transform("pieces", lambda x: F.when(short(x), _merged(x, slots, base, single)).otherwise(F.array().cast("array<int>")))
     long_pieces = F.filter(F.transform("pieces", lambda x, i: F.when(~short(x), F.struct(x.alias("piece"), i.alias("place")))), lambda x: x.isNotNull())
-    return bundles.select("payload", ids.alias("ids"), long_pieces.alias("long_pieces")).mapInArrow(_gather(ranks), "doc_id long, ids array<int>")
+    return bundles.select("payload", ids.alias("ids"), long_pieces.alias("long_pieces")).mapInArrow(_gather(ranks, finish), schema)
 
 
-def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """encoded with a column `bytes`: the binary pieces of its ids, joined."""
+def decoder(ranks: str):
+    """A function that adds to an Arrow batch with a column `ids` the column `bytes`: the binary pieces of the
+    ids, joined; null for null."""
 
-    def run(batches):
-        by_id = {r: t for t, r in read_ranks(ranks).items()}
-        for b in batches:
-            lists = b.column(b.schema.names.index("ids"))
-            whole = pa.array([None if x is None else b"".join(map(by_id.__getitem__, x)) for x in _lists(lists)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, whole], names=[*b.schema.names, "bytes"])
+    def run(batch):
+        by_id = worker_value(("symbols", ranks), lambda: {r: t for t, r in read_ranks(ranks).items()})
+        lists = batch.column(batch.schema.names.index("ids"))
+        whole = pa.array([None if x is None else b"".join(map(by_id.__getitem__, x)) for x in _lists(lists)], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, "bytes"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("bytes", BinaryType()))
+    return run
+
+
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
+    """encoded (ids and any other columns) with a column `bytes`."""
+    run = decoder(ranks)
+    return encoded.mapInArrow(lambda batches: map(run, batches), StructType([*encoded.schema.fields]).add("bytes", BinaryType()))
 
 
 def _lists(column):
@@ -252,21 +260,20 @@ def _lists(column):
         yield None if null else flat[first:last]
 
 
-def _digests(batches):
-    for b in batches:
-        c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": c["doc_id"],
-            "n_tokens": c["ids"].value_lengths().cast(pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in _lists(c["ids"])]),
-            "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in c["bytes"].to_pylist()]),
-        })
+def _digests(batch):
+    c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    return pa.RecordBatch.from_pydict({
+        "doc_id": c["doc_id"],
+        "n_tokens": c["ids"].value_lengths().cast(pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in _lists(c["ids"])]),
+        "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in c["bytes"].to_pylist()]),
+    })
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_ranks()
-    done = decode(encode(table(spark, sf_dir, "documents"), path, default_pattern()), path)
-    return done.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    decoded = decoder(path)
+    return encode(table(spark, sf_dir, "documents"), path, default_pattern(), lambda batch: _digests(decoded(batch)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 QUERIES = {"op10_byte_bpe": op10_byte_bpe}
