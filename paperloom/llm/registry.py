@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, packing, pii, quality, topk
+from . import bpe, packing, pii, quality, substrings, topk
 
-MODULES = (bpe, packing, pii, quality, topk)
+MODULES = (bpe, packing, pii, quality, substrings, topk)
 
 
 def queries() -> dict:
