@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, packing, pii, quality, substrings, suffixes, topk
+from . import bpe, jaccard, packing, pii, quality, substrings, suffixes, topk
 
-MODULES = (bpe, packing, pii, quality, substrings, suffixes, topk)
+MODULES = (bpe, jaccard, packing, pii, quality, substrings, suffixes, topk)
 
 
 def queries() -> dict:
