@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, html, jaccard, packing, pii, quality, substrings, suffixes, topk
+from . import bpe, html, jaccard, language_model, packing, pii, quality, substrings, suffixes, topk
 
-MODULES = (bpe, html, jaccard, packing, pii, quality, substrings, suffixes, topk)
+MODULES = (bpe, html, jaccard, language_model, packing, pii, quality, substrings, suffixes, topk)
 
 
 def queries() -> dict:
