@@ -1,23 +1,65 @@
-"""A corpus pipeline: documents in, packed training sequences out."""
+"""A corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes the documents that its predecessor kept and, but for the last, returns the columns of
+documents: doc_id, text, lang, source, n_chars.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from paperloom.llm.common import stored
+from paperloom.llm.jaccard import jaccard_join
+from paperloom.llm.packing import best_fit_packing, default_tokenizer
+from paperloom.llm.pii import pseudonymise
 from paperloom.llm.quality import quality_rules
+from paperloom.llm.suffixes import without_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Rows without a doc_id have no verdict to go by and go."""
     kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 80 % of their five-word shingles, the one with the least doc_id."""
+    kept = jaccard_join(docs, 5, 80).where("doc_id = component_id").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy("text")
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings of 400 bytes that occur more than once."""
+    return _documents(without_repeats(docs))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal data."""
+    return _documents(pseudonymise(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 4096."""
+    return best_fit_packing(docs, default_tokenizer())
+
 
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats), ("pii", private), ("best-fit packing", packing)]
 
-STAGES = [("quality", quality)]
+#: Shared strings and packing are beyond SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import bloom_has, bounded_bloom, encoded_column, mix, parts
 
@@ -90,35 +91,40 @@ def ids_of(rows: DataFrame) -> DataFrame:
 
 
 def chosen(docs: DataFrame, bloom: bytes, n: int) -> DataFrame:
-    """part, doc_id, text of the documents that a Bloom filter of ids lets through."""
+    """part, doc_id, text and any other columns of the documents that a Bloom filter of ids lets through. docs starts
+    with doc_id and text."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             keep = bloom_has(bloom, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
             part = pa.array(part_of(ids[keep], n), pa.int32())
-            yield pa.RecordBatch.from_arrays([part, b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["part", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([part, *(x.filter(pa.array(keep)) for x in b.columns)], names=["part", *b.schema.names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, doc_id long, text string")
+    return docs.mapInArrow(run, StructType([StructField("part", IntegerType()), *docs.schema.fields]))
 
 
-def without_spans(docs: DataFrame, found: DataFrame, finish, schema: str) -> DataFrame:
+def without_spans(docs: DataFrame, found: DataFrame, finish, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """finish(doc_id, text bytes, starts, ends) for each row of docs, as rows of schema (which starts with
-    doc_id). found: packed rows of spans. Only texts that have spans are shuffled to them."""
+    doc_id), and the columns of docs to carry along. found: packed rows of spans. Only texts that have spans
+    are shuffled to them."""
     n = parts(docs.sparkSession)
     found = found.where(F.col("kind") == SPANS)
     bloom = bounded_bloom(ids_of(found), "doc_id")
     names, none = [x.split()[0] for x in schema.split(", ")], np.zeros(0, np.int64)
     types = {"long": pa.int64(), "string": pa.string()}
     kinds = [types[x.split()[1]] for x in schema.split(", ")]
-    table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(carry)])
+    more = [f"carried{i}" for i in range(len(carry))]
+    table = lambda rows, carried: pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))), *carried], names=names + more)
+    kind = StructType([*StructType.fromDDL(schema).fields, *docs.schema.fields[2:]])
 
     def clean(batches):
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             rest = ~(bloom_has(bloom, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
             keys, raw = b.column(0).filter(pa.array(rest)).to_pylist(), encoded_column(b.column(1).filter(pa.array(rest)))
-            yield table([finish(k, x, none, none) for k, x in zip(keys, raw)])
+            yield table([finish(k, x, none, none) for k, x in zip(keys, raw)], [x.filter(pa.array(rest)) for x in b.columns[2:]])
 
     def cut(texts, rows):
         a = unpacked(rows["body"].to_pylist())
@@ -132,11 +138,11 @@ def without_spans(docs: DataFrame, found: DataFrame, finish, schema: str) -> Dat
         for k, x in zip(texts["doc_id"].to_pylist(), encoded_column(texts["text"].combine_chunks())):
             i, j = where.get(k, (0, 0))
             out.append(finish(k, x, a["start"][i:j].astype(np.int64) if a else none, a["end"][i:j].astype(np.int64) if a else none))
-        return pa.Table.from_batches([table(out)])
+        return pa.Table.from_batches([table(out, [texts[c].combine_chunks() for c in more])])
 
-    untouched = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(clean, schema)
-    touched = chosen(docs, bloom, n).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(cut, schema)
-    return untouched.unionByName(touched)
+    untouched = docs.mapInArrow(clean, kind)
+    touched = chosen(docs, bloom, n).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(cut, kind)
+    return untouched.unionByName(touched).select(*names, *[F.col(x).alias(c) for x, c in zip(more, carry)])
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -305,6 +305,19 @@ def suffix_array_dedup(docs: DataFrame, window: int = 400) -> DataFrame:
     return without_spans(docs, repeated_bytes(docs, window), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
+    """docs with what suffix_array_dedup keeps of each text; other columns stay. A character of which only some bytes
+    are kept goes; a null text becomes an empty one."""
+
+    def finish(key, text, starts, ends):
+        if len(starts):
+            text = np.frombuffer(text, np.uint8)[~covered(len(text), starts, ends)].tobytes()
+        return key, text.decode("utf-8", "ignore")
+
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return without_spans(docs, repeated_bytes(docs, window), finish, "doc_id long, text string", others).select(*docs.columns)
+
+
 def _runs(gone: np.ndarray) -> int:
     return int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
 
