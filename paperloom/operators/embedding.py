@@ -1,0 +1,44 @@
+"""Hashed feature vectors, sparse (rows) and dense (arrays), and cosines between them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import bigrams, bind, feature_hash, tokenize
+
+
+def features(text: Column) -> Column:
+    """Stemmed words and pairs of neighbours."""
+    return bind(tokenize(text), lambda t: F.concat(t, bigrams(t)))
+
+
+def sparse_vectors(texts: DataFrame, keys: list[str], dim: int = 384) -> DataFrame:
+    """keys, bucket, value: unit vectors of texts (keys, text), without zeros. A feature that occurs n times counts
+    1 + ln n, with a sign from its hash."""
+    counted = texts.select(*keys, F.explode(features(F.col("text"))).alias("f")).groupBy(*keys, "f").agg(F.count("*").alias("n"))
+    bucket, sign = feature_hash(F.col("f"), dim)
+    summed = counted.groupBy(*keys, bucket.alias("bucket")).agg(F.sum(sign * (1 + F.ln("n"))).alias("v"))
+    norm = summed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).where("norm > 0")
+    return summed.join(norm, keys).select(*keys, "bucket", (F.col("v") / F.col("norm")).alias("value"))
+
+
+def dense_vectors(texts: DataFrame, keys: list[str], dim: int = 384) -> DataFrame:
+    """keys, embedding (array<float>): the same vectors; of a text without features, zeros."""
+    each = sparse_vectors(texts, keys, dim).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
+    return texts.select(*keys).join(each, keys, "left").select(*keys, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0).cast("float"), dim)).otherwise(cells).alias("embedding"))
+
+
+def neighbour_cosine(texts: DataFrame, dim: int = 384) -> DataFrame:
+    """doc_id, sent_no, similarity: the cosine between each text (doc_id, sent_no, text) and the next one of its document."""
+    v = sparse_vectors(texts, ["doc_id", "sent_no"], dim)
+    next_ = v.select("doc_id", (F.col("sent_no") - 1).alias("sent_no"), "bucket", F.col("value").alias("other"))
+    dots = v.join(next_, ["doc_id", "sent_no", "bucket"]).groupBy("doc_id", "sent_no").agg(F.sum(F.col("value") * F.col("other")).alias("dot"))
+    keys = texts.select("doc_id", "sent_no")
+    pairs = keys.join(keys.select("doc_id", (F.col("sent_no") - 1).alias("sent_no")), ["doc_id", "sent_no"], "left_semi")
+    return pairs.join(dots, ["doc_id", "sent_no"], "left").select("doc_id", "sent_no", F.round(F.coalesce("dot", F.lit(0.0)), 9).alias("similarity"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

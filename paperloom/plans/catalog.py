@@ -1,15 +1,623 @@
-"""All registered queries and their SQL twins."""
+"""All registered queries and their SQL twins, which DuckDB runs on the same tables.
+
+A query takes (session, folder) and returns a DataFrame over whole tables. SQL is given wherever it can say the same.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import patterns, text as T
+from ..operators import chunking, embedding, graph, index, layout, pages as P, search, tables
+from ..sources.store import list_documents
+from ..streaming import progress
+from . import evaluate
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live BM25, the five best documents of each benchmark passage."""
+    return bm25_live_topk(spark, sf_dir)
+
+
+# --- inputs ---------------------------------------------------------------------------------
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d, *more):
+    return _t(spark, d, "documents").select("doc_id", "text", *more)
+
+
+def _asked(spark, d):
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _pages(spark, d):
+    return P.pages_of_lines(_docs(spark, d))
+
+
+def _chunks(spark, d):
+    return chunking.fixed_windows(_docs(spark, d)).select("doc_id", F.col("window_no").alias("chunk_no"), "text")
+
+
+def _tables(spark, d):
+    """Price lists of the parts by brand, as tables on pages: a document a brand, a page a size, the header first."""
+    part = _t(spark, d, "part")
+    body = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))), lambda r: F.array(r["p_partkey"].cast("string"), r["p_name"], F.when(r["p_partkey"] % 7 != 0, r["p_type"])))
+    each = part.groupBy(F.col("p_brand").alias("doc_id"), F.col("p_size").alias("page_no")).agg(body.alias("b"))
+    return each.select("doc_id", "page_no", F.lit(1).alias("table_no"), F.concat(F.array(F.array(F.lit("Part  key"), F.lit("Name"), F.lit("Type"))), "b").alias("rows"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+STEM = """CASE WHEN length(t) > 4 AND t LIKE '%ies' THEN t[:-4] || 'y' WHEN length(t) > 5 AND t LIKE '%ing' THEN t[:-4]
+ WHEN length(t) > 4 AND t LIKE '%ed' THEN t[:-3] WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END"""
+
+
+def _tok(text: str) -> str:
+    return f"list_transform(list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda t: NOT list_contains({_sql_list(patterns.STOPWORDS)}, t)), lambda t: {STEM})"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(lower({text}), '[\pL\pN_]+')"
+
+
+def _spaces(text: str) -> str:
+    return rf"regexp_extract_all(lower({text}), '\S+')"
+
+
+PAGES_SQL = """lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+pages AS (SELECT doc_id, p::INTEGER AS page_no, array_to_string(l[(p - 1) * 20 + 1 : p * 20], chr(10)) AS text FROM (SELECT doc_id, l, unnest(range(1, (len(l) + 19) // 20 + 1)) AS p FROM lines))"""
+
+CHUNKS_SQL = r"""words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents),
+chunks AS (SELECT doc_id, k::INTEGER AS chunk_no, array_to_string(w[k * 140 + 1 : k * 140 + 160], ' ') AS text, (k * 140)::INTEGER AS word_start, least(k * 140 + 160, len(w))::INTEGER AS word_end
+  FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest((len(w) - 160 + 139) // 140, 0) + 1 END)) AS k FROM words))"""
+
+
+# --- text -----------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, array_to_string({_tok('text')}, ' ') AS tokens FROM documents")
+def tokenize_stem(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL")
+def term_freq(spark, d):
+    return index.build(_docs(spark, d), "doc_id", "stemmed").postings
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL")
+def doc_freq(spark, d):
+    return index.document_frequency(index.build(_docs(spark, d), "doc_id", "stemmed"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(len({_words('text')})), 4) AS avg_dl, sum(len({_words('text')})) AS total FROM documents")
+def corpus_stats(spark, d):
+    i = index.build(_docs(spark, d), "doc_id", "live")
+    return i.lengths.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 4).alias("avg_dl"), F.sum("dl").alias("total"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::INTEGER AS n_tokens, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normal FROM documents")
+def normalize_ws(spark, d):
+    return _docs(spark, d).select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"), F.md5(T.normalize_space(F.col("text"))).alias("normal"))
+
+
+_SPEECH_SQL = "text"
+for _p, _by in ((r"https?://\S+|www\.\S+", ""), (r"\S+@\S+", ""), (r"\n", " "), (r"[_/\\|*~<>\[\]{}]", " "), (r",([^\s])", r", \1"), (r"\.([^\s])", r". \1"), (r"\s+", " ")):
+    _SPEECH_SQL = f"regexp_replace({_SPEECH_SQL}, '{_p}', '{_by}', 'g')"
+
+
+@query(f"WITH {PAGES_SQL}, clean AS (SELECT doc_id, page_no AS p, trim({_SPEECH_SQL}) AS text FROM pages) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p)::INTEGER AS page_no, text FROM clean WHERE text <> ''")
+def clean_for_speech(spark, d):
+    return P.speech_pages(_pages(spark, d))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) = 0 THEN 1 ELSE len(l) END::INTEGER AS n, CASE WHEN len(l) = 0 THEN NULL ELSE md5(array_to_string(l, '|')) END AS said FROM s""")
+def speech_sentences(spark, d):
+    said = _docs(spark, d).select("doc_id", T.speech_sentences(F.col("text")).alias("l"))
+    return said.select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", "|")).alias("said"))
+
+
+@query("""SELECT item_id, nullif(array_to_string(list_transform(list_filter(l, lambda x, i: length(x) > 1 AND list_position(l, x) = i), lambda x: x), ' | '), '') AS ts
+FROM (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS l FROM benchmark)""")
+def or_tsquery(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", T.or_query(F.col("text")).alias("ts"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)(the|and)', '<mark>\\1</mark>', 'g') AS marked FROM documents")
+def highlight_terms(spark, d):
+    return _docs(spark, d).select("doc_id", T.highlight(F.col("text"), F.lit("the and x")).alias("marked"))
+
+
+# --- pages, sentences, chunks ---------------------------------------------------------------
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_id, page_no, length(text)::INTEGER AS length, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start FROM pages")
+def page_starts(spark, d):
+    return P.page_starts(_pages(spark, d)).select("doc_id", "page_no", "length", "start")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS body FROM documents")
+def pages_joined(spark, d):
+    return P.joined(_pages(spark, d)).select("doc_id", F.md5("text").alias("body"))
+
+
+@query(f"WITH {PAGES_SQL}, p AS (SELECT *, page_no AS source_page FROM pages WHERE page_no BETWEEN 1 AND 2 OR page_no = 4) SELECT doc_id, source_page, row_number() OVER (PARTITION BY doc_id ORDER BY source_page)::INTEGER AS page_no, md5(text) AS body FROM p")
+def select_pages(spark, d):
+    return P.select_pages(_pages(spark, d), "1-2, 4, 2").select("doc_id", "source_page", "page_no", F.md5("text").alias("body"))
+
+
+@query(f"""WITH {PAGES_SQL}, f AS (SELECT source AS merged_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, doc_id FROM documents)
+SELECT merged_id, row_number() OVER (PARTITION BY merged_id ORDER BY position, p.page_no)::INTEGER AS page_no, doc_id, p.page_no AS source_page FROM f JOIN pages p USING (doc_id) WHERE merged_id IN (SELECT merged_id FROM f GROUP BY 1 HAVING count(*) >= 2)""")
+def merge_docs(spark, d):
+    from pyspark.sql import Window
+
+    files = _t(spark, d, "documents").select(F.col("source").alias("merged_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("position"), "doc_id")
+    return P.merge_documents(_pages(spark, d), files).select("merged_id", "page_no", "doc_id", "source_page")
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_id, sum(length(trim(text)))::BIGINT AS chars FROM pages GROUP BY doc_id HAVING sum(length(trim(text))) < 80")
+def scanned_documents(spark, d):
+    return P.scanned_documents(_pages(spark, d))
+
+
+@query(rf"WITH {PAGES_SQL} SELECT doc_id, array_to_string(list_transform(list_sort(list(page_no)), lambda n: 'page ' || n || ': no extractable text'), '; ') AS warnings FROM pages WHERE NOT regexp_matches(text, '\S') GROUP BY doc_id")
+def empty_page_warnings(spark, d):
+    return P.empty_pages(_pages(spark, d)).select("doc_id", F.array_join("warnings", "; ").alias("warnings"))
+
+
+SENTENCES_SQL = rf"""cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])(\s+)(["''(\[]?[A-Z0-9])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS l FROM documents),
+raw AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM cut),
+piece AS (SELECT doc_id, i, CASE WHEN contains(x, chr(2)) THEN split_part(x, chr(2), 1) ELSE '' END AS gap, CASE WHEN contains(x, chr(2)) THEN split_part(x, chr(2), 2) ELSE x END AS piece FROM raw),
+placed AS (SELECT *, sum(length(gap) + length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS pos, regexp_extract(right(piece, 16), '(\S+)\s*$', 1) AS last FROM piece),
+marked AS (SELECT *, list_contains({_sql_list(patterns.ABBREVIATIONS)}, lower(last)) OR regexp_matches(last, '^[A-Z]\.$') AS no_cut FROM placed),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN no_cut THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marked),
+whole AS (SELECT doc_id, g, min(pos) AS pos, max(pos + length(piece)) AS stop FROM numbered GROUP BY ALL),
+texts AS (SELECT doc_id, pos, substr(text, pos::INTEGER + 1, (stop - pos)::INTEGER) AS raw FROM whole JOIN documents USING (doc_id)),
+sents AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS sent_no, (pos + length(raw) - length(ltrim(raw, ' ' || chr(9) || chr(10) || chr(13))))::INTEGER AS start, trim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS sentence FROM texts WHERE regexp_matches(raw, '\S'))"""
+
+
+@query(rf"""WITH {SENTENCES_SQL} SELECT doc_id, sent_no, start, (start + length(sentence))::INTEGER AS "end", len(regexp_extract_all(sentence, '\S+'))::INTEGER AS tokens FROM sents""")
+def sentences(spark, d):
+    return chunking.sentences(_docs(spark, d)).select("doc_id", "sent_no", "start", "end", "tokens")
+
+
+@query(rf"""WITH {SENTENCES_SQL}, w AS (SELECT doc_id, start, len(regexp_extract_all(sentence, '\S+')) AS n FROM sents) SELECT doc_id, sum((n + 19) // 20)::BIGINT AS pieces, sum(n)::BIGINT AS tokens FROM w GROUP BY doc_id""")
+def hard_split(spark, d):
+    cut = chunking.hard_split(chunking.sentences(_docs(spark, d)), 20)
+    return cut.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_no, md5(text) AS body, word_start, word_end FROM chunks")
+def fixed_windows(spark, d):
+    return chunking.fixed_windows(_docs(spark, d)).select("doc_id", F.col("window_no").alias("chunk_no"), F.md5("text").alias("body"), "word_start", "word_end")
+
+
+def _passages(spark, d):
+    """Chunks of five sentences: what the span and citation queries take."""
+    s = chunking.sentences(_docs(spark, d))
+    k = F.floor(F.col("sent_no") / 5).cast("int")
+    rows = s.groupBy("doc_id", k.alias("chunk_no")).agg(F.min("start").alias("char_start"), F.max("end").alias("char_end"))
+    return rows.withColumn("chunk_id", F.format_string("%d:%04d", "doc_id", "chunk_no"))
+
+
+PASSAGES_SQL = rf"""{SENTENCES_SQL}, passages AS (SELECT doc_id, sent_no // 5 AS k, doc_id || ':' || lpad((sent_no // 5)::VARCHAR, 4, '0') AS chunk_id, min(start) AS a, max(start + length(sentence)) AS b FROM sents GROUP BY ALL),
+{PAGES_SQL}, starts AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS s FROM pages),
+spans AS (SELECT chunk_id, p.doc_id, page_no, (greatest(a, s) - s)::INTEGER AS span_start, (least(b, s + length(text)) - s)::INTEGER AS span_end, text FROM passages p JOIN starts USING (doc_id) WHERE s < b AND s + length(text) > a)"""
+
+
+@query(f"WITH {PASSAGES_SQL} SELECT chunk_id, doc_id, page_no, span_start, span_end FROM spans WHERE span_end > span_start")
+def chunk_spans(spark, d):
+    return chunking.chunk_spans(_passages(spark, d), _pages(spark, d))
+
+
+def _cited(spark, d):
+    pages = _pages(spark, d)
+    return search.citations(chunking.chunk_spans(_passages(spark, d), pages), pages)
+
+
+@query(f"WITH {PASSAGES_SQL} SELECT chunk_id, doc_id, page_no, span_start, span_end, md5(substr(text, span_start + 1, span_end - span_start)) AS body FROM spans WHERE span_end > span_start")
+def citations(spark, d):
+    return _cited(spark, d).select("chunk_id", "doc_id", "page_no", "span_start", "span_end", F.md5("text").alias("body"))
+
+
+@query(f"WITH {PASSAGES_SQL} SELECT chunk_id, arg_max(page_no, [span_end - span_start, -page_no]) AS page_no FROM spans WHERE span_end > span_start GROUP BY chunk_id")
+def best_page_by_length(spark, d):
+    return search.best_page_by_length(_cited(spark, d))
+
+
+@query(f"""WITH {PASSAGES_SQL}, c AS (SELECT chunk_id, page_no, CASE WHEN contains(lower(substr(text, span_start + 1, span_end - span_start)), 'ing') OR contains(lower(substr(text, span_start + 1, span_end - span_start)), 'zz') THEN 0 ELSE 1 END AS miss FROM spans WHERE span_end > span_start)
+SELECT 1::BIGINT AS query_id, chunk_id, arg_min(page_no, [miss, page_no]) AS page_no FROM c GROUP BY chunk_id""")
+def best_page_by_terms(spark, d):
+    asked = spark.range(1).select(F.lit(1).cast("long").alias("query_id"), F.lit("ing zz a").alias("query"))
+    return search.best_page_by_terms(_cited(spark, d).withColumn("query_id", F.lit(1).cast("long")), asked)
+
+
+@query(f"WITH {PASSAGES_SQL} SELECT chunk_id, CASE WHEN min(page_no) = max(page_no) THEN 'Page ' || min(page_no) ELSE 'Pages ' || min(page_no) || '-' || max(page_no) END AS label FROM spans WHERE span_end > span_start GROUP BY chunk_id")
+def page_label(spark, d):
+    return search.page_label(_cited(spark, d))
+
+
+@query()
+def semantic_breaks(spark, d):
+    """Tested against a fold in Python."""
+    return chunking.semantic_breaks(chunking.hard_split(chunking.sentences(_docs(spark, d)), 256))
+
+
+@query()
+def pack_chunks(spark, d):
+    """Tested against a fold in Python."""
+    return chunking.chunks(_pages(spark, d))
+
+
+@query("SELECT doc_id, 0 AS sent_no, 0 AS start FROM documents WHERE false")
+def uncovered_sentences(spark, d):
+    sents = chunking.hard_split(chunking.sentences(_docs(spark, d)), 256)
+    return chunking.uncovered(sents, chunking.chunks(_pages(spark, d), semantic=False))
+
+
+# --- vectors --------------------------------------------------------------------------------
+
+_CRC = """crc(n, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+lut AS (SELECT list(c ORDER BY n) AS l FROM crc WHERE k = 8)"""
+_HASHED = f"""toks AS (SELECT item_id, {_tok("text")} AS t FROM benchmark),
+feats AS (SELECT item_id, unnest(list_concat(t, CASE WHEN len(t) < 2 THEN [] ELSE list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]) END)) AS f FROM toks),
+tf AS (SELECT item_id, f, count(*) AS n FROM feats GROUP BY ALL),
+hashes AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(f, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(l[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM (SELECT DISTINCT f FROM tf), lut),
+cells AS (SELECT item_id, (h % 384)::INTEGER AS bucket, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END * (1 + ln(n))) AS v FROM tf JOIN hashes USING (f) GROUP BY ALL),
+unit AS (SELECT item_id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS value FROM cells)"""
+
+
+@query(f"WITH RECURSIVE {_CRC}, {_HASHED} SELECT item_id, bucket, round(value, 6) AS value FROM unit WHERE abs(value) > 1e-9")
+def hash_features(spark, d):
+    v = embedding.sparse_vectors(_t(spark, d, "benchmark").select("item_id", "text"), ["item_id"])
+    return v.where(F.abs("value") > 1e-9).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT item_id, 1.0::DOUBLE AS norm, 384 AS dim FROM benchmark")
+def hash_vectors_unit(spark, d):
+    v = embedding.dense_vectors(_t(spark, d, "benchmark").select("item_id", "text"), ["item_id"])
+    return v.select("item_id", F.round(F.sqrt(embedding.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.size("embedding").alias("dim"))
+
+
+def _vectors(spark, d):
+    e = _t(spark, d, "embeddings")
+    return e.select("vec_id", "embedding", "label"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
+def _dense_sql(more: str) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings e ON {more} WHERE q.vec_id % 50 = 0)
+SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, score FROM s) WHERE rank <= 10"""
+
+
+@query(_dense_sql("true"))
+def dense_topk(spark, d):
+    v, q = _vectors(spark, d)
+    return search.dense(v.drop("label"), q.drop("label"), top=10)
+
+
+@query(_dense_sql("q.label = e.label"))
+def dense_topk_scoped(spark, d):
+    v, q = _vectors(spark, d)
+    return search.dense(v, q, top=10, scope="label")
+
+
+@query()
+def hash_cosine_topk(spark, d):
+    """Tested against numpy."""
+    return search.hashed(_docs(spark, d), "doc_id", _asked(spark, d), top=5)
+
+
+# --- rankings -------------------------------------------------------------------------------
+
+
+def _bm25_sql(tokens, mean: str, top: int, name: str = "bm25", scope: bool = False) -> str:
+    s, part = ("source, ", "PARTITION BY source") if scope else ("", "")
+    on = "USING (term, source)" if scope else "USING (term)"
+    asked = "SELECT item_id, source, text FROM benchmark, (SELECT DISTINCT source FROM documents)" if scope else "SELECT item_id, text FROM benchmark"
+    return f"""{name}_t AS (SELECT doc_id, {s}{tokens("coalesce(text, '')")} AS t FROM documents),
+{name}_l AS (SELECT doc_id, {s}len(t) AS dl, count(*) OVER ({part}) AS n, avg(len(t)) OVER ({part}) AS a FROM {name}_t),
+{name}_p AS (SELECT doc_id, {s}term, count(*) AS tf FROM (SELECT doc_id, {s}unnest(t) AS term FROM {name}_t) GROUP BY ALL),
+{name}_d AS (SELECT term, {s}count(*) AS df FROM {name}_p GROUP BY ALL),
+{name}_q AS (SELECT DISTINCT item_id, {s}unnest({tokens("text")}) AS term FROM ({asked})),
+{name}_s AS (SELECT item_id AS query_id, p.doc_id, {s}round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / ({mean})))), 4) AS score
+  FROM {name}_q JOIN {name}_d {on} JOIN {name}_p p {on} JOIN (SELECT doc_id, dl, n, a FROM {name}_l) USING (doc_id) GROUP BY ALL),
+{name} AS (SELECT * FROM (SELECT query_id, {s}doc_id, row_number() OVER (PARTITION BY {s}query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM {name}_s WHERE score > 0) WHERE rank <= {top})"""
+
+
+_LIVE, _STEMMED = "a + 1e-5", "CASE WHEN a > 0 THEN a ELSE 1 END"
+
+
+@query(f"WITH {_bm25_sql(_tok, _STEMMED, 5)} SELECT * FROM bm25")
+def bm25_stemmed_topk(spark, d):
+    return search.bm25(index.build(_docs(spark, d), "doc_id", "stemmed"), _asked(spark, d), 5)
+
+
+@query(f"WITH {_bm25_sql(_words, _LIVE, 5)} SELECT * FROM bm25")
+def bm25_live_topk(spark, d):
+    return search.bm25(index.build(_docs(spark, d), "doc_id", "live"), _asked(spark, d), 5)
+
+
+@query(f"WITH {_bm25_sql(_spaces, _LIVE, 5)} SELECT * FROM bm25")
+def bm25_ws_topk(spark, d):
+    return search.bm25(index.build(_docs(spark, d), "doc_id", "space"), _asked(spark, d), 5)
+
+
+@query(f"""WITH {_bm25_sql(_words, _LIVE, 3, scope=True)} SELECT source, query_id, doc_id, rank, score FROM bm25""")
+def bm25_scoped_topk(spark, d):
+    """Statistics of each scope apart: a query for each passage and source."""
+    docs = _docs(spark, d, "source")
+    sources = docs.select("source").distinct()
+    asked = _asked(spark, d).withColumnRenamed("query_id", "item").join(sources.withColumn("k", F.lit(1)), F.lit(True)).drop("k")
+    q = asked.select(F.concat_ws("/", F.col("item").cast("string"), "source").alias("query_id"), "query", "source", "item")
+    found = search.bm25(index.build(docs, "doc_id", "live", "source"), q.select("query_id", "query", "source"), 3)
+    return found.withColumns({"source": F.substring_index("query_id", "/", -1), "item": F.substring_index("query_id", "/", 1).cast("long")}).select("source", F.col("item").alias("query_id"), "doc_id", "rank", "score")
+
+
+def _rankings(spark, d, top=30):
+    docs, asked = _docs(spark, d), _asked(spark, d)
+    return search.bm25(index.build(docs, "doc_id", "stemmed"), asked, top), search.bm25(index.build(docs, "doc_id", "live"), asked, top)
+
+
+_BOTH_SQL = f"{_bm25_sql(_tok, _STEMMED, 30, 'ra')}, {_bm25_sql(_words, _LIVE, 30, 'rb')}"
+
+
+@query(f"""WITH {_BOTH_SQL}, u AS (SELECT query_id, doc_id, 2.0 / (60 + rank) AS s FROM ra UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM rb)
+SELECT query_id, doc_id, round(sum(s), 9) AS rrf FROM u GROUP BY ALL""")
+def rrf_fuse(spark, d):
+    a, b = _rankings(spark, d)
+    return search.reciprocal_rank_fusion([a, b], "doc_id", weights=[2.0, 1.0]).withColumn("rrf", F.round("rrf", 9))
+
+
+_FUSED_SQL = f"""{_BOTH_SQL}, f AS (SELECT coalesce(ra.query_id, rb.query_id) AS query_id, coalesce(ra.doc_id, rb.doc_id) AS doc_id, ra.rank AS dense_rank, ra.score AS dense_score, rb.rank AS sparse_rank, rb.score AS sparse_score,
+  round(coalesce(1.0::DOUBLE / (60 + ra.rank), 0) + coalesce(1.0::DOUBLE / (60 + rb.rank), 0), 9) AS rrf FROM ra FULL JOIN rb ON ra.query_id = rb.query_id AND ra.doc_id = rb.doc_id),
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST, doc_id)::INTEGER AS fused_rank FROM f) WHERE fused_rank <= 30)"""
+
+
+@query(f"WITH {_FUSED_SQL} SELECT * FROM fused")
+def hybrid_full_outer(spark, d):
+    a, b = _rankings(spark, d)
+    return search.fused(a, b, "doc_id")
+
+
+def _share(q: str, t: str) -> str:
+    return f"CASE WHEN len({q}) = 0 THEN 0.0 ELSE len(list_intersect({q}, {t}))::DOUBLE / len({q}) END"
+
+
+def _pairs(t: str) -> str:
+    return f"list_distinct(CASE WHEN len({t}) < 2 THEN [] ELSE list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]) END)"
+
+
+@query(f"""WITH {_FUSED_SQL}, x AS (SELECT f.query_id, f.doc_id, fused_rank, {_tok("b.text")} AS q, {_tok("d.text")} AS t FROM fused f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id),
+y AS (SELECT query_id, doc_id, fused_rank, round({_share("list_distinct(q)", "list_distinct(t)")} + 0.5 * ({_share(_pairs("q"), _pairs("t"))}), 4) AS score FROM x)
+SELECT query_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank)::INTEGER AS rank FROM y) WHERE rank <= 5""")
+def lexical_rerank(spark, d):
+    a, b = _rankings(spark, d)
+    return search.reranked(search.fused(a, b, "doc_id"), _docs(spark, d), _asked(spark, d), "doc_id", 5).select("query_id", "doc_id", "rank", "score")
+
+
+@query()
+def hybrid_search(spark, d):
+    docs = _docs(spark, d)
+    return search.hybrid(docs, "doc_id", index.build(docs, "doc_id", "live"), _asked(spark, d)).select("query_id", "doc_id", "rank", "score", "rrf", "dense_rank", "sparse_rank")
+
+
+@query(f"""WITH {_bm25_sql(_words, _LIVE, 30)}, k AS (SELECT * FROM bm25 WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))
+SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS rank FROM k) WHERE rank <= 5""")
+def post_filter_docs(spark, d):
+    found = search.bm25(index.build(_docs(spark, d), "doc_id", "live"), _asked(spark, d), 30)
+    return search.in_documents(found, _t(spark, d, "documents").where("lang = 'en'").select("doc_id"), 5)
+
+
+@query()
+def overlap_topk(spark, d):
+    return search.overlap_search(_docs(spark, d), "doc_id", _asked(spark, d), 5)
+
+
+@query(f"""WITH {_bm25_sql(_words, _LIVE, 5)}, g AS (SELECT query_id, min(rank) AS r FROM bm25 JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE contains(d.text, b.text) GROUP BY 1)
+SELECT count(*) AS n, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_1, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_k, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM benchmark LEFT JOIN g ON g.query_id = item_id""")
+def eval_hit_mrr(spark, d):
+    docs, asked = _docs(spark, d), _asked(spark, d)
+    found = search.bm25(index.build(docs, "doc_id", "live"), asked, 5)
+    gold = found.join(docs, "doc_id").join(asked, "query_id").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    return evaluate.hits(found, gold, asked)
+
+
+@query("""WITH r AS (SELECT event_type, value AS t, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(n) AS n, max(t) FILTER (p = n // 2) AS p50, max(t) FILTER (p = greatest(n * 95 // 100 - 1, 0)) AS p95 FROM r GROUP BY 1""")
+def latency_percentiles(spark, d):
+    return evaluate.latencies(_t(spark, d, "events"), "event_type", "value")
+
+
+# --- graph ----------------------------------------------------------------------------------
+
+_CAMEL, _CAPITALS = (patterns.ENTITY_PATTERNS[i].replace(r"\b", "") for i in (1, 2))
+# RE2 knows word boundaries of ASCII only: other letters become underscores first
+MENTIONS_SQL = f"""{CHUNKS_SQL}, plain AS (SELECT doc_id, chunk_no, regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g') AS text FROM chunks),
+hits AS ({" UNION ALL ".join(f"SELECT doc_id, chunk_no, {p} AS p, unnest(regexp_extract_all(text, '{pattern}', 1)) AS raw, generate_subscripts(regexp_extract_all(text, '{pattern}', 1), 1) AS i FROM plain" for p, pattern in enumerate(patterns.ENTITY_PATTERNS))}),
+mentions AS (SELECT doc_id, chunk_no, p, i, trim(raw) AS raw, trim(regexp_replace(lower(raw), '\\s+', ' ', 'g')) AS key FROM hits WHERE length(trim(raw)) >= 3 AND NOT list_contains({_sql_list(sorted(set(patterns.ENTITY_STOPWORDS)))}, lower(trim(raw)))),
+agg AS (SELECT doc_id, key, arg_min(raw, [-length(regexp_replace(raw, '[^A-Z]', '', 'g')), chunk_no, p, i]) AS text, arg_min(raw, [chunk_no, p, i]) AS first, count(*) AS freq, count(DISTINCT chunk_no) AS df FROM mentions GROUP BY ALL),
+entities AS (SELECT doc_id, key, text, CASE WHEN regexp_matches(first, '(?i){patterns.PERSON_START}') THEN 'PERSON' WHEN regexp_matches(first, '{patterns.ORG_ENDING}') THEN 'ORG'
+  WHEN regexp_matches(first, '(?i){patterns.TECH_ENDING}') OR regexp_full_match(first, '{_CAPITALS}') OR regexp_full_match(first, '{_CAMEL}') THEN 'TECH'
+  WHEN len(string_split_regex(first, '\\s+')) > 1 AND len(list_filter(string_split_regex(first, '\\s+'), lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 THEN 'CONCEPT' ELSE 'TERM' END AS etype, freq, df,
+  round(freq / n * (ln((n + 1) / (df + 1)) + 1), 9) AS score FROM agg JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, key DESC)::INTEGER AS rank FROM entities) WHERE rank <= 80)"""
+PAIRS_SQL = f"""{MENTIONS_SQL}, seen AS (SELECT DISTINCT doc_id, chunk_no, key FROM mentions JOIN top USING (doc_id, key)),
+pairs AS (SELECT a.doc_id, a.key AS x, b.key AS y, count(*) AS n, min(a.chunk_no) AS f FROM seen a JOIN seen b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.key < b.key GROUP BY ALL),
+edges AS (SELECT doc_id, substr(md5(x), 1, 12) AS source, substr(md5(y), 1, 12) AS target, w AS weight FROM (SELECT *, round(n / max(n) OVER (PARTITION BY doc_id), 3) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f, x, y) AS p FROM pairs) WHERE p <= 150 AND w >= 0.04)"""
+
+
+@query(f"WITH {MENTIONS_SQL} SELECT doc_id, key, text, etype, freq, df, score FROM entities")
+def entities(spark, d):
+    return graph.entities(_chunks(spark, d))
+
+
+@query(f"WITH {MENTIONS_SQL} SELECT doc_id, key, rank, score FROM top")
+def entity_topn(spark, d):
+    return graph.top_entities(graph.entities(_chunks(spark, d))).select("doc_id", "key", "rank", "score")
+
+
+def _nodes(spark, d):
+    return graph.nodes(graph.top_entities(graph.entities(_chunks(spark, d))))
+
+
+def _edges(spark, d):
+    c = _chunks(spark, d)
+    return graph.edges(graph.cooccurrences(c, graph.top_entities(graph.entities(c))))
+
+
+@query(f"WITH {MENTIONS_SQL} SELECT doc_id, substr(md5(key), 1, 12) AS node_id, key, text, etype, freq, rank FROM top")
+def graph_nodes(spark, d):
+    return _nodes(spark, d)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT * FROM edges")
+def graph_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT doc_id, source AS node_id, target AS neighbour FROM edges UNION ALL SELECT doc_id, target, source FROM edges")
+def neighbors(spark, d):
+    return graph.neighbours(_edges(spark, d))
+
+
+@query(f"WITH {MENTIONS_SQL} SELECT etype, count(*) AS n FROM top GROUP BY 1")
+def type_counts(spark, d):
+    return graph.type_counts(_nodes(spark, d))
+
+
+@query(f"WITH {MENTIONS_SQL} SELECT doc_id, substr(md5(key), 1, 12) AS node_id, round(6 + CASE WHEN max(freq) OVER (PARTITION BY doc_id) <= 1 THEN 0.5 ELSE freq / max(freq) OVER (PARTITION BY doc_id) END * 14, 6) AS size FROM top")
+def relative_sizes(spark, d):
+    return graph.relative_size(_nodes(spark, d)).select("doc_id", "node_id", "size")
+
+
+@query(f"""WITH {PAIRS_SQL}, n AS (SELECT doc_id, substr(md5(key), 1, 12) AS node_id FROM top WHERE etype IN ('TECH', 'CONCEPT', 'TERM') AND contains(lower(text), 'th'))
+SELECT * FROM edges WHERE (doc_id, source) IN (SELECT (doc_id, node_id) FROM n) AND (doc_id, target) IN (SELECT (doc_id, node_id) FROM n)""")
+def visible_edges(spark, d):
+    return graph.visible_edges(_edges(spark, d), graph.filter_nodes(_nodes(spark, d), ["TECH", "CONCEPT", "TERM"], "TH"))
+
+
+_KEYWORDS = _sql_list(patterns.GRAPH_KEYWORDS)
+_KEYED = {False: f"SELECT doc_id, chunk_no, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g'), '\\b[A-Za-z0-9.\\-]+\\b'), lambda w: list_contains({_KEYWORDS}, w))) AS key FROM chunks", True: f"SELECT doc_id, chunk_no, unnest(list_filter(list_transform(regexp_extract_all(text, '\\S+'), lambda w: regexp_replace(w, '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g')), lambda w: list_contains({_KEYWORDS}, w))) AS key FROM chunks"}
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT key, count(*) AS freq FROM ({_KEYED[False]}) GROUP BY 1")
+def keyword_nodes(spark, d):
+    return graph.keyword_nodes(_chunks(spark, d))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT key, count(*) AS freq FROM ({_KEYED[True]}) GROUP BY 1")
+def keyword_nodes_ws(spark, d):
+    return graph.keyword_nodes(_chunks(spark, d), True)
+
+
+@query(f"WITH {CHUNKS_SQL}, s AS (SELECT DISTINCT * FROM ({_KEYED[False]})) SELECT a.key AS source, b.key AS target, count(*) AS weight FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.key < b.key GROUP BY ALL")
+def keyword_edges(spark, d):
+    return graph.keyword_edges(_chunks(spark, d))
+
+
+# --- document tools -------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT doc_id, kind, value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g'), '{p}')) AS value FROM documents" for k, p in patterns.SENSITIVE.items() if k != "emails") + f" UNION ALL SELECT doc_id, 'emails', unnest(regexp_extract_all(text, '{patterns.SENSITIVE['emails']}')) FROM documents)")
+def sensitive_scan(spark, d):
+    return _docs(spark, d).select("doc_id", F.explode(T.sensitive(F.col("text"))).alias("x")).select("doc_id", "x.kind", "x.value")
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)the', '███', 'g'), '(?i)e\\.', '██', 'g') AS text FROM documents")
+def redact_terms(spark, d):
+    return _docs(spark, d).select("doc_id", T.redact(F.col("text"), ["the", "e."]).alias("text"))
+
+
+_TABLES_SQL = """tabs AS (SELECT p_brand AS doc_id, p_size AS page_no, list([p_partkey::VARCHAR, p_name, CASE WHEN p_partkey % 7 <> 0 THEN p_type END] ORDER BY p_partkey) AS b FROM part GROUP BY ALL)"""
+
+
+@query("""SELECT doc_id, name AS "column", place::INTEGER AS place FROM (SELECT DISTINCT p_brand AS doc_id FROM part), (VALUES ('Part key', 1), ('Name', 2), ('Type', 3)) v(name, place)""")
+def table_columns(spark, d):
+    return tables.columns(_tables(spark, d))
+
+
+@query(r"""SELECT p_brand AS doc_id, p_size AS page_no, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey)::INTEGER AS row_no, coalesce(CASE WHEN p_partkey % 7 <> 0 THEN trim(regexp_replace(p_type, '\s+', ' ', 'g')) END, '') AS "Type", '' AS "None", p_partkey::VARCHAR AS "Part key" FROM part""")
+def table_project(spark, d):
+    return tables.project(_tables(spark, d), ["Type", "None", "Part key"]).select("doc_id", "page_no", "row_no", "Type", "None", "Part key")
+
+
+@query(f"""WITH {_TABLES_SQL}, r AS (SELECT doc_id, page_no, unnest(list_concat([['Part  key', 'Name', 'Type']], b, [[]])) AS c, generate_subscripts(list_concat([['Part  key', 'Name', 'Type']], b, [[]]), 1) AS i FROM tabs)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, i)::INTEGER AS line_no, array_to_string(list_transform(c, lambda x: coalesce(x, '')), '|') AS cells FROM r""")
+def table_sheet(spark, d):
+    return tables.sheet(_tables(spark, d)).select("doc_id", "line_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query(f"""WITH {_TABLES_SQL} SELECT doc_id, page_no, len(b)::INTEGER AS n, md5(array_to_string(list_transform(b, lambda r: r[1]), '|')) AS body FROM tabs""")
+def table_mask(spark, d):
+    rows = F.slice("rows", 2, F.size("rows"))
+    hidden = tables.mask(_tables(spark, d), ["NAME", "type"])
+    return hidden.select("doc_id", "page_no", (F.size("rows") - 1).alias("n"), F.md5(F.array_join(F.flatten(rows), "|")).alias("body"))
+
+
+def _events(spark, d):
+    stages = {"view": "parsing", "click": "embedding", "signup": "graphing", "purchase": "done", "error": "error"}
+    stage = F.create_map(*[F.lit(x) for kv in stages.items() for x in kv])[F.col("event_type")]
+    return _t(spark, d, "events").select((F.col("user_id") % 20).alias("batch_id"), F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), stage.alias("stage"), (F.col("event_id") % 7).alias("processed"), F.lit(7).alias("total"), F.when(F.col("event_type") == "error", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error"))
+
+
+_LATEST_SQL = """l AS (SELECT user_id % 20 AS batch_id, user_id AS doc_id, arg_max(event_type, event_id) AS s, max(event_id) AS e FROM events GROUP BY ALL),
+p AS (SELECT *, CASE s WHEN 'view' THEN 8.0 WHEN 'click' THEN 35 + 50.0 * (e % 7) / 7 WHEN 'signup' THEN 90.0 WHEN 'purchase' THEN 100.0 ELSE 0.0 END::DOUBLE AS pct FROM l)"""
+
+
+@query(f"WITH {_LATEST_SQL} SELECT batch_id, count(*) AS docs, bool_and(s IN ('purchase', 'error')) AS done, round(avg(pct), 1) AS pct FROM p GROUP BY 1")
+def progress_snapshot(spark, d):
+    return progress.snapshot(_events(spark, d))
+
+
+@query(f"WITH {_LATEST_SQL} SELECT batch_id, count(*) FILTER (s = 'purchase') AS done_docs, CASE WHEN count(*) FILTER (s = 'purchase') = 0 THEN 'event ' || arg_min(e, doc_id) FILTER (s = 'error') END AS error FROM p GROUP BY 1")
+def progress_outcome(spark, d):
+    return progress.outcome(_events(spark, d))
+
+
+@query(f"WITH {PAGES_SQL}, {CHUNKS_SQL} SELECT d.doc_id, coalesce(p.n, 0) AS n_pages, coalesce(c.n, 0) AS n_chunks FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM pages GROUP BY 1) p USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) c USING (doc_id)")
+def document_list(spark, d):
+    return list_documents(_docs(spark, d), _pages(spark, d), _chunks(spark, d))
 
 
-def oracles() -> dict:
-    return {}
+@query()
+def word_rects(spark, d):
+    """Words of each page on a grid, merged into lines; tested on a small page."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    box = F.transform(words, lambda w, i: F.struct(w.alias("text"), (i % 12 * 40.0).alias("x0"), (F.floor(i / 12) * 12.0 + i % 2).alias("y0"), (i % 12 * 40.0 + F.length(w)).alias("x1"), (F.floor(i / 12) * 12.0 + 10).alias("y1"), (i * 5).alias("start"), (i * 5 + 4).alias("end")))
+    rects = layout.line_rects(layout.overlapping(box, F.lit(0), F.lit(300)))
+    return _pages(spark, d).select("doc_id", "page_no", F.explode(layout.scaled(rects, F.lit(480.0), F.lit(960.0))).alias("r")).select("doc_id", "page_no", "r.*")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("SELECT event_id, (abs(value / 100) > 0.05 AND abs(value / 200) > 0.05) OR event_type = 'error' OR value / 100 < 0.6 AS mark FROM events WHERE value IS NOT NULL")
+def watermark_predicate(spark, d):
+    text = F.when(F.col("event_type") == "error", "Confidential draft").otherwise(F.col("event_type"))
+    return _t(spark, d, "events").where("value is not null").select("event_id", T.is_watermark(text, F.col("value") / 100, F.col("value") / 200, F.col("value") / 100).alias("mark"))
