@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import ABBREVIATIONS, BOUNDARY
 from ..functions.text import bind, count_tokens, normalize_space
+from .embedding import neighbour_cosine
 from .pages import joined, page_starts
 
 _JAVA_BOUNDARY = "(?U)" + BOUNDARY
@@ -71,14 +72,12 @@ def hard_split(sents: DataFrame, most: int) -> DataFrame:
 def semantic_breaks(sents: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """doc_id, sent_no, similarity, is_break: a break follows a sentence whose surroundings are less like the next one's
     than the given percentile of the document's neighbours; documents of under 4 sentences have none."""
-    from .embedding import neighbour_cosine
-
     order = Window.partitionBy("doc_id").orderBy("sent_no")
     frame = order.rowsBetween(-sizes.window, sizes.window)
     around = sents.select("doc_id", "sent_no", F.count("*").over(Window.partitionBy("doc_id")).alias("n"), F.array_join(F.collect_list("sentence").over(frame), " ").alias("text")).where("n >= 4")
     near = neighbour_cosine(around)
-    limit = near.groupBy("doc_id").agg(F.percentile("similarity", F.lit(sizes.percentile / 100)).alias("limit"))
-    return near.join(limit, "doc_id").select("doc_id", "sent_no", "similarity", (F.col("similarity") < F.col("limit")).alias("is_break"))
+    limit = F.percentile("similarity", F.lit(sizes.percentile / 100)).over(Window.partitionBy("doc_id"))
+    return near.withColumn("limit", limit).select("doc_id", "sent_no", "similarity", (F.col("similarity") < F.col("limit")).alias("is_break"))
 
 
 def _packed(rows: Column, sizes: ChunkSizes) -> Column:
@@ -120,8 +119,8 @@ def _packed(rows: Column, sizes: ChunkSizes) -> Column:
 
 
 def pack_groups(sents: DataFrame, breaks: DataFrame | None = None, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
-    """doc_id, chunk_no (from 0), first, last: runs of sentences that make the chunks of a document."""
-    marked = sents.select("doc_id", "sent_no", "tokens")
+    """doc_id, chunk_no (from 0), first, last, char_start, char_end: runs of sentences that make the chunks of a document."""
+    marked = sents.select("doc_id", "sent_no", "tokens", "start", "end")
     if breaks is None:
         marked = marked.withColumn("brk", F.lit(False))
     else:
@@ -132,9 +131,9 @@ def pack_groups(sents: DataFrame, breaks: DataFrame | None = None, sizes: ChunkS
     # running totals before the sentences that an overlap starts with, if it is cut after this one or before it
     back = lambda k: F.coalesce(F.lag("upto", k).over(order), F.lit(0))
     marked = marked.withColumns({"kept_upto": back(sizes.overlap), "kept_before": back(sizes.overlap + 1), "last": F.lead("sent_no").over(order).isNull()})
-    row = F.struct(F.col("sent_no").alias("i"), F.col("tokens").alias("tok"), "upto", "kept_upto", "kept_before", "brk", "last")
-    folded = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("doc_id", F.posexplode(_packed(F.col("rows"), sizes)).alias("chunk_no", "g"))
-    return folded.select("doc_id", "chunk_no", "g.first", "g.last")
+    row = F.struct(F.col("sent_no").alias("i"), F.col("tokens").alias("tok"), "upto", "kept_upto", "kept_before", "brk", "last", "start", "end")
+    folded = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("doc_id", "rows", F.posexplode(_packed(F.col("rows"), sizes)).alias("chunk_no", "g"))
+    return folded.select("doc_id", "chunk_no", "g.first", "g.last", F.get("rows", F.col("g.first"))["start"].alias("char_start"), F.get("rows", F.col("g.last"))["end"].alias("char_end"))
 
 
 def chunks(pages: DataFrame, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True) -> DataFrame:
@@ -142,12 +141,8 @@ def chunks(pages: DataFrame, sizes: ChunkSizes = ChunkSizes(), semantic: bool =
     docs = joined(pages)
     sents = hard_split(sentences(docs), sizes.most)
     groups = pack_groups(sents, semantic_breaks(sents, sizes) if semantic else None, sizes)
-    ends = sents.select("doc_id", "sent_no", "start", "end")
-    first = ends.select("doc_id", F.col("sent_no").alias("first"), F.col("start").alias("char_start"))
-    last = ends.select("doc_id", F.col("sent_no").alias("last"), F.col("end").alias("char_end"))
-    placed = groups.join(first, ["doc_id", "first"]).join(last, ["doc_id", "last"])
     text = normalize_space(F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
-    return placed.join(docs, "doc_id").select(F.format_string("%s:%04d", F.col("doc_id").cast("string"), F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", text.alias("text"), "char_start", "char_end")
+    return groups.join(docs, "doc_id").select(F.format_string("%s:%04d", F.col("doc_id").cast("string"), F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", text.alias("text"), "char_start", "char_end")
 
 
 def chunk_spans(chunked: DataFrame, pages: DataFrame) -> DataFrame:

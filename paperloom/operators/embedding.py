@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, bind, feature_hash, tokenize
@@ -19,8 +19,8 @@ def sparse_vectors(texts: DataFrame, keys: list[str], dim: int = 384) -> DataFra
     counted = texts.select(*keys, F.explode(features(F.col("text"))).alias("f")).groupBy(*keys, "f").agg(F.count("*").alias("n"))
     bucket, sign = feature_hash(F.col("f"), dim)
     summed = counted.groupBy(*keys, bucket.alias("bucket")).agg(F.sum(sign * (1 + F.ln("n"))).alias("v"))
-    norm = summed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).where("norm > 0")
-    return summed.join(norm, keys).select(*keys, "bucket", (F.col("v") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
+    return summed.withColumn("norm", norm).where("norm > 0").select(*keys, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
 def dense_vectors(texts: DataFrame, keys: list[str], dim: int = 384) -> DataFrame:
@@ -31,13 +31,21 @@ def dense_vectors(texts: DataFrame, keys: list[str], dim: int = 384) -> DataFram
 
 
 def neighbour_cosine(texts: DataFrame, dim: int = 384) -> DataFrame:
-    """doc_id, sent_no, similarity: the cosine between each text (doc_id, sent_no, text) and the next one of its document."""
-    v = sparse_vectors(texts, ["doc_id", "sent_no"], dim)
-    next_ = v.select("doc_id", (F.col("sent_no") - 1).alias("sent_no"), "bucket", F.col("value").alias("other"))
-    dots = v.join(next_, ["doc_id", "sent_no", "bucket"]).groupBy("doc_id", "sent_no").agg(F.sum(F.col("value") * F.col("other")).alias("dot"))
-    keys = texts.select("doc_id", "sent_no")
-    pairs = keys.join(keys.select("doc_id", (F.col("sent_no") - 1).alias("sent_no")), ["doc_id", "sent_no"], "left_semi")
-    return pairs.join(dots, ["doc_id", "sent_no"], "left").select("doc_id", "sent_no", F.round(F.coalesce("dot", F.lit(0.0)), 9).alias("similarity"))
+    """doc_id, sent_no, similarity: the cosine between each text (doc_id, sent_no, text) and the next one of its document.
+
+    All steps group by doc_id and more, so texts that come partitioned by it are shuffled no more. A cell of its own
+    (-1) that every text has keeps pairs without a common one.
+    """
+    keys = ["doc_id", "sent_no"]
+    counted = texts.select(*keys, F.explode(F.concat(features(F.col("text")), F.array(F.lit("")))).alias("f")).groupBy(*keys, "f").agg(F.count("*").alias("n"))
+    bucket, sign = feature_hash(F.col("f"), dim)
+    none = F.col("f") == ""
+    summed = counted.groupBy(*keys, F.when(none, -1).otherwise(bucket).alias("bucket")).agg(F.sum(F.when(none, 0.0).otherwise(sign * (1 + F.ln("n")))).alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
+    cells = summed.withColumn("value", F.coalesce(F.col("v") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+    along = Window.partitionBy("doc_id", "bucket").orderBy("sent_no")
+    pairs = cells.withColumns({"next_no": F.lead("sent_no").over(along), "next": F.lead("value").over(along)}).where("next_no = sent_no + 1")
+    return pairs.groupBy(*keys).agg(F.round(F.sum(F.col("value") * F.col("next")), 9).alias("similarity"))
 
 
 def dot(a: Column, b: Column) -> Column:

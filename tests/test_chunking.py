@@ -75,7 +75,7 @@ def test_packing_equals_the_fold(spark, overlap):
     s = C.ChunkSizes(target=30, most=50, least=10, overlap=overlap)
     lists = [[(rng.randint(1, 50 if d % 2 else 12), rng.random() < 0.2) for _ in range(rng.choice([1, 2, 3, 40, 200]))] for d in range(12)]
     rows = [(d, i, t, b) for d, x in enumerate(lists) for i, (t, b) in enumerate(x)]
-    df = spark.createDataFrame(rows, "doc_id long, sent_no int, tokens int, is_break boolean")
+    df = spark.createDataFrame(rows, "doc_id long, sent_no int, tokens int, is_break boolean").selectExpr("*", "sent_no as start", "sent_no + 1 as end")
     got = C.pack_groups(df.drop("is_break"), df, s).orderBy("doc_id", "chunk_no").collect()
     for d, x in enumerate(lists):
         assert [(r["first"], r["last"]) for r in got if r["doc_id"] == d] == fold([t for t, _ in x], [b for _, b in x], s)
