@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import sys
 import tempfile
+import threading
+import time
 import types
 import uuid
 
@@ -91,12 +94,24 @@ def encoded_column(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def worker_value(key, make):
-    """make(), once for each Python worker: a worker's later tasks find it again."""
+def worker_value(key, make, idle_s: float = 2.0):
+    """make(), once for each Python worker: tasks that follow at once find it again. A worker that waits longer lets it
+    go, so that it takes no memory from later stages."""
     held = sys.modules.setdefault("_worker_values", types.ModuleType("_worker_values")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+
+    def drop():
+        idle, tick = 0.0, idle_s / 8
+        while idle < idle_s:
+            time.sleep(tick)
+            idle = 0.0 if sys.getrefcount(held[key]) > 2 else idle + tick  # more than the table's and the call's own
+        del held[key]
+        gc.collect()
+
+    if key in held:
+        return held[key]
+    value = held[key] = make()
+    threading.Thread(target=drop, daemon=True).start()
+    return value
 
 
 def chunks(lengths, most: int = 4 << 20):
