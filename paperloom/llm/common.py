@@ -50,7 +50,7 @@ def batches_of(spark: SparkSession, rows: int):
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: a cut of the lineage that survives
     the loss of any executor. The tables go when the driver's interpreter ends."""
-    spark = df.sparkSession
+    spark = settled(df.sparkSession)
     path = f"{shared_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
     with batches_of(spark, 2000):
         df.write.option("compression", "zstd").parquet(path)
@@ -69,8 +69,15 @@ def _clean() -> None:
             return
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """The session with one setting off: a union that passes its inputs' partitioning on can fail where adaptive execution
+    gives them unequal numbers of partitions ("Can't zip RDDs with unequal numbers of partitions")."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settled(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parts(spark: SparkSession) -> int:

@@ -121,7 +121,7 @@ def _segments(seed: int, window: int, n_parts: int):
             valid = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)[valid]
             raw = encoded_column(b.column(1).filter(pa.array(valid)))
-            for part in chunks([len(x) for x in raw]):
+            for part in chunks([len(x) for x in raw], 1 << 20):  # a byte takes some 80 while its segments are made
                 some = raw[part]
                 first = np.cumsum([0] + [len(x) for x in some])
                 s, _ = segments(SYMBOLS[np.frombuffer(b"".join(some), np.uint8)], first, seed, window)
