@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text as T
 from ..operators import chunking, embedding, graph, index, layout, pages as P, search, tables
-from ..sources.store import list_documents
+from ..sources.store import list_documents, settled
 from ..streaming import progress
 from . import evaluate
 
@@ -45,7 +45,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return settled(spark).read.parquet(f"{d}/{name}.parquet")
 
 
 def _docs(spark, d, *more):
@@ -139,7 +139,7 @@ def clean_for_speech(spark, d):
     return P.speech_pages(_pages(spark, d))
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, CASE WHEN len(l) = 0 THEN 1 ELSE len(l) END::INTEGER AS n, CASE WHEN len(l) = 0 THEN NULL ELSE md5(array_to_string(l, '|')) END AS said FROM s""")
 def speech_sentences(spark, d):
     said = _docs(spark, d).select("doc_id", T.speech_sentences(F.col("text")).alias("l"))
