@@ -29,6 +29,8 @@ from .common import table, worker_value
 BUNDLE = 16 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
 LONG = 64
+#: What free slots of the rank map hold.
+FREE = 1 << 40
 BUNDLE_TYPE = "pieces array<array<int>>, payload binary"
 
 
@@ -59,8 +61,8 @@ def _literals(path: str) -> tuple[str, str, str]:
     """JSON of the rank map of pairs and of the symbols of single bytes.
 
     The map is a sparse table, a row for each left symbol, whose rows are laid over one another so that
-    no two entries meet: the entry of (a, b) is slots[base[a] + b], as a << 16 | rank. Rows go in from the
-    fullest, each to the first place where it fits.
+    no two entries meet: the entry of (a, b) is slots[base[a] + b], as a << 16 | rank, and a large number where
+    there is none. Rows go in from the fullest, each to the first place where it fits.
     """
     ranks = read_ranks(path)
     width = max(ranks.values()) + 1
@@ -86,28 +88,26 @@ def _literals(path: str) -> tuple[str, str, str]:
         slots[base[a] + at], used[base[a] + at] = a << 16 | rank, True
     top = int(np.flatnonzero(slots >= 0).max()) + 1
     text = lambda x: json.dumps(x, separators=(",", ":"))
-    return text(slots[:top].tolist()), text(base.tolist()), text([ranks[bytes([i])] for i in range(256)])
+    return text(np.where(used, slots, FREE)[:top].tolist()), text(base.tolist()), text([ranks[bytes([i])] for i in range(256)])
 
 
 def _merged(piece: Column, slots: Column, base: Column, single: Column) -> Column:
     """Ids of one piece (an array of bytes): the lowest-ranked, leftmost pair is merged until none has a rank."""
-    none = F.lit(1 << 16).cast("bigint")
-
-    def rank(a, b):
-        entry = F.get(slots, F.get(base, a) + b)
-        return F.when(F.shiftright(entry, 16) == a, entry % 65536).otherwise(none)
 
     def step(p, _):
-        n = F.size(p)
+        # of a pair in the map the entry differs from a << 16 by the rank alone; else by more
+        pair = lambda a, i: F.get(slots, F.get(base, a) + F.get(p, i + 1)).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
 
         def merge(r):
-            m = F.array_min(r)
-            k = F.array_position(r, m).cast("int")
-            # a last symbol of -1 says that no pair is left
-            return F.when(m == none, F.concat(p, F.array(F.lit(-1)))).otherwise(F.concat(F.slice(p, 1, k - 1), F.array(m.cast("int")), F.slice(p, k + 2, n)))
+            def put(m):
+                k = F.array_position(r, m)
+                joined = F.array_remove(F.transform(p, lambda x, i: F.when(i == k - 1, m.cast("int")).when(i == k, -2).otherwise(x)), -2)
+                # a last symbol of -1 says that no pair is left
+                return F.when(m < 1 << 16, joined).otherwise(F.concat(p, F.array(F.lit(-1))))
+
+            return F.transform(F.array(F.array_min(r)), put)[0]
 
-        fold = F.transform(F.array(F.transform(p, lambda a, i: rank(a, F.get(p, i + 1)))), merge)[0]
-        return F.when((n < 2) | (F.get(p, n - 1) < 0), p).otherwise(fold)
+        return F.when(F.get(p, F.size(p) - 1) < 0, p).otherwise(F.transform(F.array(F.transform(p, pair)), merge)[0])
 
     start = F.transform(piece, lambda x: F.get(single, x))
     folded = F.aggregate(piece, start, step)
