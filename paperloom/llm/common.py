@@ -193,12 +193,12 @@ def bounded_bloom(ids: DataFrame, column: str, bits_each: int = 12, most_bits: i
     bits = min(most_bits, 1 << max(16, (n * bits_each - 1).bit_length()))
 
     def build(batches):
-        out = np.zeros(bits, bool)
+        packed, step = np.zeros(bits // 8, np.uint8), 1 << 16
         for b in batches:
             h = mix(b.column(0).to_numpy().view(np.uint64))
             for k in range(3):
-                out[mix(h + np.uint64(k)) & np.uint64(bits - 1)] = True
-        packed, step = np.packbits(out), 1 << 16
+                at = mix(h + np.uint64(k)) & np.uint64(bits - 1)
+                np.bitwise_or.at(packed, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         for i in range(0, len(packed), step):
             if packed[i : i + step].any():
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int64()), "bits": pa.array([packed[i : i + step].tobytes()], pa.binary())})
@@ -209,7 +209,7 @@ def bounded_bloom(ids: DataFrame, column: str, bits_each: int = 12, most_bits: i
             out |= np.frombuffer(x, np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    got = ids.select(F.col(column).cast("long")).coalesce(8).mapInArrow(build, "slice long, bits binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").collect()
+    got = ids.select(F.col(column).cast("long")).coalesce(16).mapInArrow(build, "slice long, bits binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").collect()
     whole = bytearray(bits // 8)
     for r in got:
         whole[r["slice"] : r["slice"] + len(r["bits"])] = r["bits"]
