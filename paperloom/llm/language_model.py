@@ -46,7 +46,7 @@ class Training:
     hidden: int = 24
     window: int = 24
     windows: int = 2  # of a document's stretch
-    rounds: int = 2
+    rounds: int = 3
     lanes: int = 64
     rate: float = 0.02
 

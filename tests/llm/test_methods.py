@@ -300,6 +300,10 @@ def test_language_model_beats_the_base(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
 
 
+def test_language_model_trains_three_rounds():
+    assert language_model.Training().rounds == 3
+
+
 def test_language_model_gradient():
     lex = language_model.Lexicon(1000, 100, 20, 10, np.arange(600, dtype=np.uint64)[:512], np.full(512, 5), np.ones(language_model.ENDINGS))
     net = language_model.Network.fresh(6, lex)
