@@ -6,8 +6,8 @@
    the end of their spelling; words too rare to tell from unknown ones share a last class. The probability
    of a word is that of its class, given the state, times that of the word in its class: a second
    softmax for frequent words, and discounted counts for the others.
-4. The network is trained by truncated backpropagation: every training document gives a stretch of
-   tokens each round, in windows whose gradient stops at the window while the state is carried on.
+4. The network is trained by truncated backpropagation: each round goes over every training document from its
+   first token to its end, in windows whose gradient stops at the window while the state is carried on.
    Partitions train apart and their weights are averaged, slice by slice, after each round.
 5. A document is scored from its first token to its end, the state carried all the way.
 
@@ -17,6 +17,7 @@ how often unseen and once-seen words occur, from how often words seen once or tw
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -45,7 +46,6 @@ END_HASH = np.uint64(0x5851F42D4C957F2D)
 class Training:
     hidden: int = 24
     window: int = 24
-    windows: int = 2  # of a document's stretch
     rounds: int = 3
     lanes: int = 64
     rate: float = 0.02
@@ -267,99 +267,195 @@ class Network:
 
     def log_prob(self, h, y):
         """Natural logarithm of the probability of symbols y as far as the network knows: class, and word of a frequent one."""
-        logits = h @ self.p["o"] + self.p["ob"]
-        top = logits.max(1)
+        logits = np.ascontiguousarray(self.p["o"].T) @ h.T
+        logits += self.p["ob"][:, None]
+        logits -= logits.max(0)
         cls = class_of(y)
-        out = logits[np.arange(len(y)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = logits[cls, np.arange(len(y))]
+        np.exp(logits, out=logits)
+        out -= np.log(logits.sum(0))
         at = np.flatnonzero(y < HEAD)
         if len(at):
-            c, w = cls[at], y[at] % WIDTH
-            inner = np.matmul(h[at, None, :], self.p["w"][c])[:, 0] + self.p["wb"][c]
-            t = inner.max(1)
-            out[at] += inner[np.arange(len(at)), w] - t - np.log(np.exp(inner - t[:, None]).sum(1))
+            at = at[np.argsort(cls[at].astype(np.uint8), kind="stable")]
+            c, hs = cls[at], h[at].T
+            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1], [True]))).tolist()
+            inner = np.empty((WIDTH, len(at)), h.dtype)
+            for a, b in zip(first, first[1:]):
+                inner[:, a:b] = self.p["w"][c[a]].T @ hs[:, a:b]
+            inner += self.p["wb"].T[:, c]
+            inner -= inner.max(0)
+            out[at] += inner[y[at] % WIDTH, np.arange(len(at))] - np.log(np.exp(inner).sum(0))
         return out
 
     def window(self, x, y, live, h):
-        """Gradient of the mean negative log-probability over one window of tokens (lanes by time), and the last state."""
+        """Gradient of the mean negative log-probability over one window of tokens (lanes by time), and the last state.
+
+        A lane starts anew, from a state of zeros, wherever its symbol is START; no gradient passes there."""
         p, k, g = self.p, self.hidden, np.zeros(self.size, np.float32)
-        d, saved, states = self.views(g), [], []
-        for t in range(x.shape[1]):
-            new, s = self.step(x[:, t], h)
-            h = np.where(live[:, t, None], new, h)
-            saved.append(s)
-            states.append(h)
-        dh, total = np.zeros_like(h), max(1, int(live.sum()))
-        for t in range(x.shape[1] - 1, -1, -1):
-            on = live[:, t]
-            hs, ys = states[t], y[:, t]
-            logits = hs @ p["o"] + p["ob"]
-            e = np.exp(logits - logits.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(ys)), class_of(ys)] -= 1
-            e *= (on / total)[:, None].astype(np.float32)
-            d["o"] += hs.T @ e
-            d["ob"] += e.sum(0)
-            dh = dh + e @ p["o"].T
-            at = np.flatnonzero(on & (ys < HEAD))
-            if len(at):
-                c = ys[at] // WIDTH
-                inner = np.matmul(hs[at, None, :], p["w"][c])[:, 0] + p["wb"][c]
-                f = np.exp(inner - inner.max(1, keepdims=True))
-                f /= f.sum(1, keepdims=True)
-                f[np.arange(len(at)), ys[at] % WIDTH] -= 1
-                f /= total
-                np.add.at(d["w"], c, hs[at, :, None] * f[:, None, :])
-                np.add.at(d["wb"], c, f)
-                dh[at] += np.matmul(p["w"][c], f[:, :, None])[:, :, 0]
-            before, z, r, n, bn = saved[t]
-            mine = dh * on[:, None]
-            dz = mine * (before - n) * z * (1 - z)
-            dn = mine * (1 - z) * (1 - n * n)
-            dr = dn * bn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], 1)
-            db = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(d["x"], x[:, t], da)
-            d["u"] += before.T @ db
-            dh = dh * ~on[:, None] + mine * z + db @ p["u"].T
-        return g, h
+        d, (lanes, steps) = self.views(g), x.shape
+        x, y, live = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T).ravel(), np.ascontiguousarray(live.T)
+        full, total, going = live.all(1), max(1, int(live.sum())), (x != START).astype(np.float32)
+        flat = lambda v: v.transpose(1, 0, 2).reshape(v.shape[1], -1)  # noqa: E731  time by unit by lane: to unit by place
+        # a sigmoid of v is (1 + tanh(v / 2)) / 2
+        half = np.concatenate([np.full(2 * k, 0.5, np.float32), np.ones(k, np.float32)])
+        a, ut = np.ascontiguousarray((p["x"] * half)[x].transpose(0, 2, 1)), np.ascontiguousarray((p["u"] * half).T)
+        b, gates = np.empty((2, steps, 3 * k, lanes), np.float32)
+        before, after = np.empty((2, steps, k, lanes), np.float32)
+        h = np.ascontiguousarray(h.T)
+        for t in range(steps):
+            np.multiply(h, going[t], out=before[t])
+            old, new, zr, n, bt, at_ = before[t], after[t], gates[t, : 2 * k], gates[t, 2 * k :], b[t], a[t]
+            np.matmul(ut, old, out=bt)
+            np.add(at_[: 2 * k], bt[: 2 * k], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[k:], bt[2 * k :], out=n)
+            n += at_[2 * k :]
+            np.tanh(n, out=n)
+            np.subtract(old, n, out=new)
+            new *= zr[:k]
+            new += n
+            if not full[t]:
+                new[:, ~live[t]] = h[:, ~live[t]]
+            h = new
+        # the softmaxes of all places at once
+        state, on = flat(after), live.ravel()
+        e = np.ascontiguousarray(p["o"].T) @ state
+        e += p["ob"][:, None]
+        e -= e.max(0)
+        np.exp(e, out=e)
+        e *= on / (total * e.sum(0))
+        e[class_of(y), np.arange(len(y))] -= on.astype(np.float32) / total
+        np.matmul(state, e.T, out=d["o"])
+        d["ob"][...] = e.sum(1)
+        dh_out = p["o"] @ e
+        at = np.flatnonzero(on & (y < HEAD))
+        if len(at):
+            at = at[np.argsort((y[at] // WIDTH).astype(np.uint8), kind="stable")]
+            cls, hs, w = y[at] // WIDTH, state[:, at], p["w"]
+            first = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1)).tolist()
+            held = [(c, slice(first[c], first[c + 1])) for c in range(HEAD_CLASSES) if first[c] < first[c + 1]]
+            f, back = np.empty((WIDTH, len(at)), np.float32), np.empty((k, len(at)), np.float32)
+            for c, s in held:
+                f[:, s] = w[c].T @ hs[:, s]
+            f += p["wb"].T[:, cls]
+            f -= f.max(0)
+            np.exp(f, out=f)
+            f /= f.sum(0) * total
+            f[y[at] % WIDTH, np.arange(len(at))] -= np.float32(1 / total)
+            for c, s in held:
+                part = f[:, s]
+                d["w"][c] = hs[:, s] @ part.T
+                back[:, s] = w[c] @ part
+            d["wb"][[c for c, _ in held]] = np.add.reduceat(f, [s.start for _, s in held], axis=1).T
+            dh_out[:, at] += back
+        dh_out = np.ascontiguousarray(dh_out.reshape(k, steps, lanes).transpose(1, 0, 2))
+        # by the chain rule, of the gradient of a state: what passes by, and those of the candidate and the update gate;
+        # and of the candidate's: those of the reset gate and of what it resets
+        z, r, n = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :]
+        of_state, of_candidate = np.empty((steps, 3, k, lanes), np.float32), np.empty((steps, 2, k, lanes), np.float32)
+        one_z = 1 - z
+        of_state[:, 0] = z
+        np.multiply(one_z, 1 - n * n, out=of_state[:, 1])
+        np.multiply((before - n) * z, one_z, out=of_state[:, 2])
+        np.multiply(b[:, 2 * k :] * r, 1 - r, out=of_candidate[:, 0])
+        of_candidate[:, 1] = r
+        got, dh = np.empty((steps, 5, k, lanes), np.float32), np.zeros((k, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
+            dh += dh_out[t]
+            mine = dh if full[t] else dh * live[t]
+            gt = got[t]
+            np.multiply(mine, of_state[t], out=gt[:3])
+            np.multiply(gt[1], of_candidate[t], out=gt[3:])
+            new = p["u"] @ gt[2:].reshape(3 * k, lanes)
+            new += gt[0]
+            if not full[t]:
+                new += dh * ~live[t]
+            new *= going[t]
+            dh = new
+        np.matmul(flat(before), flat(got[:, 2:].reshape(steps, 3 * k, lanes)).T, out=d["u"])
+        da = got[:, [2, 3, 1]].reshape(steps, 3 * k, lanes).transpose(0, 2, 1).reshape(-1, 3 * k)
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        symbols = x.ravel()[order]
+        heads = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+        d["x"][symbols[heads]] = np.add.reduceat(da[order], heads)
+        return g, after[-1].T
 
 
 def class_of(y: np.ndarray) -> np.ndarray:
     return np.where(y < HEAD, y // WIDTH, y - HEAD + HEAD_CLASSES)
 
 
+def lanes_of(key: np.ndarray, size: np.ndarray, lanes: int, turn: int) -> list[np.ndarray]:
+    """Deals documents to lanes of about equal numbers of tokens, each in an order of the turn; fewer documents than lanes are one each."""
+    order = np.argsort(-size, kind="stable")
+    held, dealt = [(0, i) for i in range(min(lanes, len(size)))], [[] for _ in range(min(lanes, len(size)))]
+    for i in order.tolist():
+        n, lane = held[0]
+        dealt[lane].append(i)
+        heapq.heapreplace(held, (n + int(size[i]), lane))
+    rank = mix(key.view(np.uint64) + np.uint64(turn))
+    dealt = [np.array(x, np.int64) for x in dealt]
+    return [x[np.argsort(rank[x], kind="stable")] for x in dealt]
+
+
+def training_windows(a: dict, lanes: int, window: int, turn: int):
+    """Every token of a bundle's training documents once, as windows (symbols before, symbols, live, lanes that go on):
+    a lane is whole documents one after the other, each from its first token, where the symbol before is START."""
+    first = np.cumsum(a["size"]) - a["size"]
+    docs = np.flatnonzero(a["aside"] == 0)
+    dealt = [docs[x] for x in lanes_of(a["key"][docs], a["size"][docs], lanes, turn)]
+    dealt.sort(key=lambda x: -int(a["size"][x].sum()))
+    length = np.array([int(a["size"][x].sum()) for x in dealt], np.int64)
+    if not len(length):
+        return
+    # one lane after the other, each with room for a last whole window
+    room = -(-length // window) * window
+    begins = np.cumsum(room) - room
+    x, y = np.full(int(room.sum()), START - 1, np.uint16), np.zeros(int(room.sum()), np.uint16)
+    for lane, begin, n in zip(dealt, begins.tolist(), length.tolist()):
+        size = a["size"][lane]
+        starts = np.cumsum(size) - size
+        y[begin : begin + n] = a["training"][np.repeat(first[lane] - starts, size) + np.arange(n)]
+        x[begin + 1 : begin + n] = y[begin : begin + n - 1]
+        x[begin + starts] = START
+    for at in range(0, int(length[0]), window):
+        on = int(np.searchsorted(-length, -at))  # the longest lanes are first
+        place = begins[:on, None] + np.arange(at, at + window)
+        yield x[place].astype(np.int64), y[place].astype(np.int64), np.arange(at, at + window) < length[:on, None], on
+
+
 def _trained(flat: np.ndarray, how: Training, turn: int, slices: int):
-    """Trains on the stretches of a partition's documents; gives the weights' sums by slice."""
+    """Trains on a partition's documents, each from its first token to its end; gives the weights' sums by slice."""
 
     def run(batches):
         net = Network(how.hidden, flat)
-        square, seen, length = np.full(net.size, 1e-6, np.float32), 0, how.window * how.windows
+        square, seen, tokens = np.full(net.size, 1e-6, np.float32), 0, 0
+        rate, work = np.float32(how.rate / (1 + 0.5 * turn) * 0.3), np.empty(net.size, np.float32)
         for b in batches:
             for body in b.column(0).to_pylist():
-                a = _opened(body)
-                first = np.concatenate(([0], np.cumsum(a["size"])))
-                docs = np.flatnonzero(a["aside"] == 0)
-                docs = docs[np.argsort(mix(a["key"][docs].view(np.uint64) + np.uint64(turn)))]
-                for i in range(0, len(docs), how.lanes):
-                    some = docs[i : i + how.lanes]
-                    size = a["size"][some]
-                    room = np.maximum(size - length, 0) + 1
-                    start = (mix(a["key"][some].view(np.uint64) * np.uint64(3) + np.uint64(turn)) % room.astype(np.uint64)).astype(np.int64)
-                    at = start[:, None] + np.arange(length)
-                    live = at < size[:, None]
-                    place = first[some][:, None] + np.minimum(at, size[:, None] - 1)
-                    y = a["training"][place].astype(np.int64)
-                    x = np.where(at == 0, START, a["training"][np.maximum(place - 1, 0)]).astype(np.int64)
-                    h = np.zeros((len(some), how.hidden), np.float32)
-                    for w in range(how.windows):
-                        cut = slice(w * how.window, (w + 1) * how.window)
-                        g, h = net.window(x[:, cut], y[:, cut], live[:, cut], h)
-                        np.clip(g, -1, 1, out=g)
-                        square = 0.98 * square + 0.02 * g * g
-                        seen += 1
-                        net.flat -= how.rate / (1 + 0.5 * turn) * g / (np.sqrt(square / (1 - 0.98**min(seen, 1000))) + 1e-4) * 0.3
+                h, most = np.zeros((how.lanes, how.hidden), np.float32), None
+                for x, y, live, on in training_windows(_opened(body), how.lanes, how.window, turn):
+                    g, h = net.window(x, y, live, h[:on])
+                    n = int(live.sum())
+                    most = most or n
+                    if n < most:  # lanes have ended: each token weighs as before
+                        g *= np.float32(n / most)
+                    np.clip(g, -1, 1, out=g)
+                    np.multiply(g, g, out=work)
+                    work *= np.float32(0.02)
+                    square *= np.float32(0.98)
+                    square += work
+                    seen, tokens = seen + 1, tokens + n
+                    np.multiply(square, np.float32(1 / (1 - 0.98 ** min(seen, 1000))), out=work)
+                    np.sqrt(work, out=work)
+                    work += np.float32(1e-4)
+                    g /= work
+                    g *= rate
+                    net.flat -= g
         if seen:
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "n": pa.array([seen] * slices, pa.int64()), "w": pa.array([x.tobytes() for x in np.array_split(net.flat.astype(np.float64) * seen, slices)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "n": pa.array([tokens] * slices, pa.int64()), "w": pa.array([x.tobytes() for x in np.array_split(net.flat.astype(np.float64) * tokens, slices)], pa.binary())})
 
     return run
 

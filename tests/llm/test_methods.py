@@ -304,6 +304,42 @@ def test_language_model_trains_three_rounds():
     assert language_model.Training().rounds == 3
 
 
+def test_language_model_trains_on_every_token():
+    rng = np.random.default_rng(6)
+    size = np.concatenate([rng.integers(1, 120, 300), [5000]])
+    training = rng.integers(0, language_model.START, size.sum()).astype(np.uint16)
+    a = {"key": np.arange(301), "aside": (np.arange(301) % 10 == 3).astype(np.int8), "size": size, "training": training}
+    want = sorted(t.tolist() for t, aside in zip(np.split(training, np.cumsum(size)[:-1]), a["aside"]) if not aside)
+    for turn in (0, 1):
+        lanes = defaultdict(list)
+        for x, y, live, on in language_model.training_windows(a, 16, 24, turn):
+            assert x.shape == y.shape == live.shape == (on, 24)
+            for lane in range(on):
+                lanes[lane] += zip(x[lane][live[lane]].tolist(), y[lane][live[lane]].tolist())
+        docs = []
+        for tokens in lanes.values():
+            for before, token in tokens:
+                if before == language_model.START:
+                    docs.append([])
+                else:
+                    assert docs[-1][-1] == before
+                docs[-1].append(token)
+        assert len(lanes) == 16 and sorted(docs) == want
+
+
+def test_language_model_state_starts_with_a_document():
+    lex = language_model.Lexicon(1000, 100, 20, 10, np.arange(512, dtype=np.uint64), np.full(512, 5), np.ones(language_model.ENDINGS))
+    net, rng = language_model.Network.fresh(6, lex), np.random.default_rng(8)
+    x, y = rng.integers(0, language_model.START, (2, 3, 8))
+    x[1, 5] = language_model.START
+    live, h = np.ones((3, 8), bool), rng.normal(size=(3, 6)).astype(np.float32)
+    g, last = net.window(x, y, live, h)
+    alone, end = net.window(x[1:2, 5:], y[1:2, 5:], live[1:2, 5:], np.zeros((1, 6), np.float32))
+    others, _ = net.window(x[[0, 2]], y[[0, 2]], live[[0, 2]], h[[0, 2]])
+    before, _ = net.window(x[1:2, :5], y[1:2, :5], live[1:2, :5], h[1:2])
+    assert np.allclose(last[1], end[0], atol=1e-6) and np.allclose(24 * g, 3 * alone + 16 * others + 5 * before, atol=1e-4)
+
+
 def test_language_model_gradient():
     lex = language_model.Lexicon(1000, 100, 20, 10, np.arange(600, dtype=np.uint64)[:512], np.full(512, 5), np.ones(language_model.ENDINGS))
     net = language_model.Network.fresh(6, lex)
