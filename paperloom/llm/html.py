@@ -1,15 +1,16 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are filled-in copies of a few templates. Each page is parsed into a tree of its block
-elements, in which repeated siblings are one node. The host's most frequent tree is its reference, and
-every page of the host is aligned with it by simple tree matching (the largest order-preserving mapping
-between nodes of equal label that keeps parents). At each aligned node the texts of all the host's pages
-are counted: a text that most pages have there is template; what varies is content. Elements that are no
-article by their nature (scripts, menus, forms, comments, ...) are left out wherever they are, and where
-a page marks its article, only that is taken.
+elements, in which repeated siblings are one node. Pages of a host with the same tree and texts are copies
+and count once. The host's most frequent tree is its reference, and every page of the host is aligned with it by
+simple tree matching (the largest order-preserving mapping between nodes of equal label that keeps parents). Texts
+are counted at three kinds of places: at aligned nodes of the reference; at paths of labels, which other
+templates of the host have too; and at the nodes of each tree. A text that most pages with a place have there
+is template; what varies is content. Elements that are no article by their nature (scripts, menus, forms,
+comments, ...) are left out wherever they are, and where a page marks its article, that is taken, whole.
 
 All counts are grouped aggregates over all pages, so a host may be of any size; what is kept of a host is
-its reference and the few texts that more than half of its pages share at a node.
+its reference and the few texts that more than half of the pages with a place share there.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Pages a host must have before its constant texts count as template.
+#: Different pages that must have a place before its constant texts count as template.
 LEAST_PAGES = 4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -225,51 +226,100 @@ def _order(page: Page) -> list[int]:
     return out
 
 
-def slots(page: Page, shape: str, reference: str) -> list[int]:
-    """For each block the node of the reference that it is aligned with, or -1."""
-    order, to = _order(page), aligned(shape, reference)
-    return [to[order[b[0]]] for b in page.blocks]
-
-
 def text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(page: Page, nodes: list[int], template: set) -> str:
-    """The article's blocks joined by newlines. template: pairs of node and text key that are no content."""
-    kept = [(b, n) for b, n in zip(page.blocks, nodes) if not b[2]]
-    if any(b[3] for b, _ in kept):
-        kept = [x for x in kept if x[0][3]]
-    content = [b[1] for b, n in kept if n < 0 or (n, text_key(b[1])) not in template]
-    return "\n".join(content)
+def _paths(page: Page) -> list[int]:
+    """For each node of a page a hash of the labels from the root to it."""
+    out, todo = [0] * len(page.labels), [0]
+    while todo:
+        node = todo.pop()
+        for x in page.children[node]:
+            out[x] = text_key(f"{out[node]}/{page.labels[x]}")
+        todo += page.children[node]
+    return out
+
+
+def _places(page: Page):
+    """Blocks that are no clutter: numbers of their nodes in depth-first order, paths, and texts."""
+    order, paths = _order(page), _paths(page)
+    blocks = [b for b in page.blocks if not b[2]]
+    return [order[b[0]] for b in blocks], [paths[b[0]] for b in blocks], [b[1] for b in blocks]
+
+
+CONTENT = "host string, shape string, content long, nodes array<int>, paths array<long>, texts array<long>"
 
 
-def _shapes(batches):
+def _contents(batches):
+    """Each content once: a host's pages with one tree and the same texts outside clutter are copies."""
     for b in batches:
-        counts: dict[tuple, int] = {}
+        held: dict[tuple, tuple] = {}
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            key = host, Page(source or "").shape()
-            counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["host", "shape", "n"])
+            page = Page(source or "")
+            nodes, paths, texts = _places(page)
+            key = host, page.shape(), text_key(json.dumps(texts))
+            if key not in held:
+                held[key] = nodes, paths, [text_key(x) for x in texts]
+        x, y = [list(c) for c in zip(*held)] or [[], [], []], [list(c) for c in zip(*held.values())] or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.string()), pa.array(x[1], pa.string()), pa.array(x[2], pa.int64()), pa.array(y[0], pa.list_(pa.int32())), pa.array(y[1], pa.list_(pa.int64())), pa.array(y[2], pa.list_(pa.int64()))], names=["host", "shape", "content", "nodes", "paths", "texts"])
 
 
 def _texts(batches):
+    """How many contents have a text at a place, and, as the text null, how many have the place.
+
+    A place is a node of the host's reference or a path (scope 0), or a node of one tree (scope: the tree's key)."""
     for b in batches:
         counts: dict[tuple, int] = {}
-        for host, source, reference in zip(*(b.column(i).to_pylist() for i in range(3))):
-            page = Page(source or "")
-            for key in {(host, n, text_key(x[1])) for x, n in zip(page.blocks, slots(page, page.shape(), reference)) if n >= 0}:
+        for host, shape, nodes, paths, texts, reference in zip(*(b.column(i).to_pylist() for i in range(6))):
+            to, scope, seen = aligned(shape, reference), text_key(shape), set()
+            for node, path, text in zip(nodes, paths, texts):
+                for place in ((0, to[node]), (0, path), (scope, node)):
+                    if place != (0, -1):
+                        seen |= {(host, *place, text), (host, *place, None)}
+            for key in seen:
                 counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "node", "text", "n"])
+        x = [list(c) for c in zip(*counts)] or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.string()), *(pa.array(c, pa.int64()) for c in x[1:]), pa.array(list(counts.values()), pa.int64())], names=["host", "scope", "place", "text", "n"])
+
+
+PARSED = "page_id long, url string, host string, shape string, scope long, marked boolean, nodes array<int>, paths array<long>, texts array<string>"
+
+
+def _parsed(batches):
+    """Blocks of each page that may be content. marked: they are of an article or main element, and whole."""
+    for b in batches:
+        c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        shape, marked, nodes, paths, texts = [], [], [], [], []
+        for source in c["html"].to_pylist():
+            page = Page(source or "")
+            article = [x[1] for x in page.blocks if x[3] and not x[2]]
+            n, p, t = ([], [], article) if article else _places(page)
+            shape.append(page.shape())
+            marked.append(bool(article))
+            nodes.append(n)
+            paths.append(p)
+            texts.append(t)
+        yield pa.RecordBatch.from_arrays([c["page_id"], c["url"], c["host"], pa.array(shape, pa.string()), pa.array([text_key(x) for x in shape], pa.int64()), pa.array(marked, pa.bool_()), pa.array(nodes, pa.list_(pa.int32())), pa.array(paths, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "shape", "scope", "marked", "nodes", "paths", "texts"])
+
+
+def main_text(nodes, paths, texts, to, template: set, own: set) -> str:
+    """The blocks that are no template, joined by newlines. to: for each node that of the reference, or -1. template: pairs of
+    a reference's node or a path, and text key; own: pairs of a node of the page's own tree, and text key."""
+    keys = map(text_key, texts)
+    return "\n".join(x for node, path, x, k in zip(nodes, paths, texts, keys) if (to[node], k) not in template and (path, k) not in template and (node, k) not in own)
 
 
 def _extract(batches):
     for b in batches:
         c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
         out = []
-        for source, reference, template in zip(c["html"].to_pylist(), c["reference"].to_pylist(), c["template"].to_pylist()):
-            page = Page(source or "")
-            out.append(main_text(page, slots(page, page.shape(), reference), {(t["node"], t["text"]) for t in template or ()}))
+        for shape, marked, nodes, paths, texts, reference, template, own in zip(*(c[n].to_pylist() for n in ("shape", "marked", "nodes", "paths", "texts", "reference", "template", "own"))):
+            if marked:
+                out.append("\n".join(texts))
+            else:
+                pairs = ({(t["place"], t["text"]) for t in x or ()} for x in (template, own))
+                out.append(main_text(nodes, paths, texts, aligned(shape, reference), *pairs))
         yield pa.RecordBatch.from_arrays([c["page_id"], c["url"], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -277,19 +327,26 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of pages (page_id, url, html).
 
     A null or empty page has an empty text. Pages with a null url or one without a host are of one host without a
-    name. Repeated rows count as often as they occur and get equal texts; other columns are ignored;
+    name. Repeated rows count once when templates are found, and each gets its text; other columns are ignored;
     an empty table gives no rows.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    shapes = rows.select("host", "html").mapInArrow(_shapes, "host string, shape string, n long").groupBy("host", "shape").agg(F.sum("n").alias("n"))
-    hosts = shapes.groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("reference"), F.sum("n").alias("pages"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
+    each = rows.select("host", "html").mapInArrow(_contents, CONTENT).groupBy("host", "shape", "content").agg(F.first(F.struct("nodes", "paths", "texts")).alias("x"))
+    contents = stored(each.select("host", "shape", "x.*"), "contents")
+    hosts = contents.groupBy("host", "shape").count().groupBy("host").agg(F.max_by("shape", F.struct("count", "shape")).alias("reference"))
     hosts = stored(hosts, "hosts")
-    texts = rows.select("host", "html").join(hosts.select("host", "reference"), "host").select("host", "html", "reference").mapInArrow(_texts, "host string, node int, text long, n long")
-    common = texts.groupBy("host", "node", "text").agg(F.sum("n").alias("n")).join(hosts.select("host", "pages"), "host").where((F.col("pages") >= LEAST_PAGES) & (2 * F.col("n") > F.col("pages")))
-    template = common.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("template"))
+    place = ["host", "scope", "place"]
+    texts = contents.join(hosts, "host").select("host", "shape", "nodes", "paths", "texts", "reference").mapInArrow(_texts, "host string, scope long, place long, text long, n long")
+    counts = texts.groupBy(*place, "text").agg(F.sum("n").alias("n")).where(2 * F.col("n") > LEAST_PAGES)
+    counts = stored(counts, "counts")
+    have = counts.where(F.col("text").isNull() & (F.col("n") >= LEAST_PAGES)).select(*place, F.col("n").alias("pages"))
+    common = counts.where("text is not null").join(have, place).where(2 * F.col("n") > F.col("pages"))
+    pairs = F.collect_list(F.struct("place", "text"))
+    template, own = common.where("scope = 0").groupBy("host").agg(pairs.alias("template")), common.where("scope != 0").groupBy("host", "scope").agg(pairs.alias("own"))
     wrappers = stored(hosts.join(template, "host", "left").select("host", "reference", "template"), "wrappers")
-    return rows.join(wrappers, "host").select("page_id", "url", "html", "reference", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    parsed = rows.mapInArrow(_parsed, PARSED).join(wrappers, "host").join(stored(own, "own"), ["host", "scope"], "left")
+    return parsed.select("page_id", "url", "shape", "marked", "nodes", "paths", "texts", "reference", "template", "own").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

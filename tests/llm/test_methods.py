@@ -392,6 +392,24 @@ def test_wrapper_keeps_article_only(spark):
     assert got["text"] == "T\none\ntwo <b>" and got["n_chars"] == 13
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_wrapper_keeps_copies_of_one_page(spark):
+    copies = [page(i, "<p>One story.</p><p>Its end.</p>") for i in range(12)]
+    rows = copies + [page(i, f"<p>Story {i}.</p>") for i in range(12, 16)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: "One story.\nIts end." for i in range(12)} | {i: f"Story {i}." for i in range(12, 16)}
+    only = html.extract_main_text(spark.createDataFrame(copies, PAGES)).collect()
+    assert len(only) == 12 and all("One story.\nIts end." in r["text"] for r in only)
+
+
+def test_wrapper_keeps_marked_articles_of_near_copies(spark):
+    rows = [page(i, f"<article><p>The same story.</p><p>Edit {i}.</p></article>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"The same story.\nEdit {i}." for i in range(8)}
+
+
 def test_tree_matching_is_order_preserving():
     a = '["#",["div","p","ul",["div","p"]]]'
     b = '["#",["div","h1","p",["div","p"],"ul"]]'
