@@ -417,6 +417,20 @@ def test_tree_matching_is_order_preserving():
     assert to[:3] == (0, 1, 3) and len(to) == 6 and (to[3] == -1) != (to[4] == -1)
 
 
+@pytest.mark.parametrize("share", [4, 8])
+def test_wrapper_of_several_templates(spark, share):
+    rows = [page(i, f"<p>Body {i}.</p>") for i in range(8)]
+    # a template of its own; one that only texts tell from the first; and one whose trees vary
+    rows += [(i, "http://h.org/b", f"<body><section><p>About us</p><div>Reach us</div></section><main-x><h2>Item {i}</h2></main-x></body>") for i in range(10, 10 + share)]
+    rows += [(i, "http://h.org/c", f"<body><table><tr><td>Catalogue</table>{'<h3>New</h3>' * (i % 2)}<pre>Offer {i}</pre>{'<dl><dt>Term ' + str(i) + '</dl>' * (i % 3)}</body>") for i in range(30, 30 + share)]
+    rows += [(i, "http://k.org/a", f"<body><div>Notice A</div><p>A {i}</p></body>") for i in range(50, 50 + share)] + [(i, "http://k.org/b", f"<body><div>Notice B</div><p>B {i}</p><ul><li>x {i}</ul></body>") for i in range(70, 70 + share)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, text in got.items():
+        assert not any(x in text for x in ("About us", "Reach us", "Follow", "Catalogue", "Notice")), (i, text)
+        want = f"Body {i}." if i < 10 else f"Item {i}" if i < 30 else f"Offer {i}" if i < 50 else f"A {i}" if i < 70 else f"B {i}\nx {i}"
+        assert want in text
+
+
 def test_pipeline_stages_follow_each_other(spark, texts, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, SF).cache()
