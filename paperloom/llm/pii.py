@@ -22,7 +22,7 @@ FIRST_DAY, DAYS, DAYS_A, DAYS_B = "1900-01-01", 73049, 17, 4297
 _EDGE, _NEXT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})"
 IBAN = _EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _NEXT
-SECRET = _EDGE + r"[0-9a-f]{32,128}" + _NEXT
+SECRET = _EDGE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _NEXT
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d|\p{L})"
 DATE = r"(?<![\p{L}\p{N}./-])(?:(?:19|20)\d\d([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d)(?![\p{L}\p{N}]|[-/]\d)"
 SSN = _EDGE + r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}-])"
@@ -117,6 +117,11 @@ def _iban(plain: Column, key: str) -> Column:
     return F.when(_mod97(plain) == 1, _bind(feistel_text(F.substr(plain, F.lit(5), F.length(plain)), key, "iban"), close)).otherwise(plain)
 
 
+def _secret(value: Column, key: str) -> Column:
+    """A secret in the case of its letters; one secret in either case has one pseudonym."""
+    return _bind(feistel_text(F.lower(value), key, "secret", True), lambda new: F.when(value.rlike("[A-F]"), F.upper(new)).otherwise(new))
+
+
 def _date(value: Column, key: str) -> Column:
     """A date of the same written form. What is no date of the calendar stays."""
     cut = F.regexp_extract(value, "[-/.]", 0)
@@ -151,8 +156,8 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     same = lambda kind, hexa=False: lambda s: feistel_text(s, key, kind, hexa)
     return (
         F.when(at > 0, F.concat(_in_place(F.substr(value, F.lit(1), at - 1), same("email")), F.substr(value, at, F.length(value))))
-        .when(is_("iban"), _in_place(value, lambda s: _iban(s, key)))
-        .when(is_("secret"), feistel_text(value, key, "secret", True))
+        .when(is_("iban") & ~(is_("secret") & (_mod97(value) != 1)), _in_place(value, lambda s: _iban(s, key)))
+        .when(is_("secret"), _secret(value, key))
         .when(is_("ip"), _ip(value, key))
         .when(is_("date"), _date(value, key))
         .when(is_("ssn"), _in_place(value, same("ssn")))

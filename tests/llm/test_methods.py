@@ -224,6 +224,15 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert again != got[0][0]
 
 
+def test_secrets_in_upper_case(spark):
+    # the second looks like an IBAN
+    values = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "AB12CD34EF56AB12CD34EF56AB12CD34", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "0123456789ABCDEF" * 8]
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"key={v};") for i, v in enumerate(values)], "doc_id long, text string")).orderBy("doc_id").collect()
+    new = [r["text"][4:-1] for r in got]
+    assert [r["n_values"] for r in got] == [1] * 4 and all(len(a) == len(b) and a != b for a, b in zip(new, values))
+    assert all(set(new[i]) <= set("0123456789ABCDEF") for i in (0, 1, 3)) and new[2] == new[0].lower()
+
+
 def test_pseudonyms_of_real_text_change_values_only(spark, texts):
     import re
 
