@@ -25,16 +25,23 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows without a doc_id have no verdict to go by and go."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows that the quality rules keep, each by its own text, lang and source, whatever its doc_id."""
+    # what a verdict depends on, as 128 bits: rows that agree in it have one verdict
+    row = F.struct(*[F.xxhash64(F.lit(i), F.struct(F.coalesce("text", F.lit("")), "lang", "source"), F.col("lang").isNull()).alias(f"h{i}") for i in (1, 2)])
+    kept = quality_rules(docs.withColumn("doc_id", row)).where("kept").select(F.col("doc_id.h1").alias("_h1"), F.col("doc_id.h2").alias("_h2")).distinct()
+    return docs.withColumns({"_h1": row["h1"], "_h2": row["h2"]}).join(kept, ["_h1", "_h2"], "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 80 % of their five-word shingles, the one with the least doc_id."""
-    kept = jaccard_join(docs, 5, 80).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*COLUMNS)
+    """Of each group of rows linked by 80 % of their five-word shingles, the one with the least doc_id; a null comes last.
+
+    Rows are told apart by doc_id and text, so different texts may share an id; rows equal in both are one."""
+    keyed = docs.withColumn("_row", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    group = jaccard_join(keyed.select(F.col("_row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
+    kept = keyed.select("doc_id", "_row").join(group, "_row").groupBy("component_id").agg(least["_row"].alias("_row")).select("_row")
+    one = Window.partitionBy("_row").orderBy("lang", "source")
+    return keyed.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

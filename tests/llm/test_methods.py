@@ -459,3 +459,16 @@ def test_pipeline_stages_follow_each_other(spark, texts, tmp_path):
         assert cleaned[i] == np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in out} == set(raw)
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    good = [words(100 + i % 7) for i in range(20)]
+    near = good[0].rsplit(" ", 1)[0] + " other"
+    rows = [(i, t) for i, t in enumerate(good[:14])] + [(5, good[14]), (5, good[15]), (None, good[16]), (None, good[17]), (3, near), (None, good[1] + " more"), (7, "too short"), (None, "too short"), (8, good[8])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality(spark, docs, SF).cache()
+    both = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert both(kept) == sorted((r for r in rows if r[1] != "too short"), key=str)
+    assert both(corpus_pipeline.near_duplicates(spark, kept, SF)) == sorted(rows[:18], key=str)
