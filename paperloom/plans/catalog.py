@@ -266,6 +266,23 @@ def page_label(spark, d):
     return search.page_label(_cited(spark, d))
 
 
+def packed_sql(s: chunking.ChunkSizes = chunking.ChunkSizes()) -> str:
+    """packed (doc_id, chunk_no, first, last) of marked (doc_id, i, tok, brk), for WITH RECURSIVE: one chunk a step. A chunk
+    begins at `first`, or at `fresh`, its first new sentence, if the kept ones leave that no room; it ends at the first place
+    where a break, the target, a sentence that no longer fits, or the end of the document closes it."""
+    kept = f"CASE WHEN NOT cut AND {s.overlap} > 0 AND last - first >= {s.overlap} THEN last + 1 - {s.overlap} ELSE last + 1 END"
+    return f"""sums AS (SELECT doc_id, i, brk, sum(tok) OVER w AS upto, sum(tok) OVER w - tok AS before, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+jumps AS (SELECT doc_id, -1 AS chunk_no, 0 AS first, -1 AS last, 0 AS begin, 0 AS fresh FROM marked WHERE i = 0
+  UNION ALL SELECT doc_id, chunk_no, first, last, {kept} AS begin, last + 1 AS fresh FROM (
+    SELECT doc_id, chunk_no, first, min(i) AS last, arg_min(brk AND size >= {s.least}, i) AS cut FROM (
+      SELECT j.doc_id, j.chunk_no + 1 AS chunk_no, b.i AS first, e.i, e.brk, e.next, e.upto - b.before AS size
+      FROM jumps j JOIN sums k ON k.doc_id = j.doc_id AND k.i = j.begin JOIN sums f ON f.doc_id = j.doc_id AND f.i = j.fresh
+      JOIN sums b ON b.doc_id = j.doc_id AND b.i = CASE WHEN f.upto - k.before > {s.most} THEN j.fresh ELSE j.begin END
+      JOIN sums e ON e.doc_id = j.doc_id AND e.i BETWEEN j.fresh AND j.fresh + {s.most})
+    WHERE next IS NULL OR (brk AND size >= {s.least}) OR size >= {s.target} OR size + next > {s.most} GROUP BY ALL)),
+packed AS (SELECT doc_id, chunk_no, first, last FROM jumps WHERE chunk_no >= 0)"""
+
+
 @query()
 def semantic_breaks(spark, d):
     """Tested against a fold in Python."""

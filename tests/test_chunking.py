@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import chunking as C
 from paperloom.operators import pages as P
+from paperloom.plans import catalog
 
 
 def docs(spark, *texts):
@@ -40,45 +42,28 @@ def test_hard_split(spark):
     assert [r["tokens"] for r in rows] == [80] * 6 + [21] and all(text[r["start"] : r["end"]] == r["sentence"] for r in rows)
 
 
-def fold(tokens, breaks, s):
-    """The packing rules, said plainly."""
-    out, run, fresh = [], [], 0
-    size = lambda: sum(tokens[j] for j in run)
-
-    def close(overlap):
-        nonlocal run, fresh
-        if fresh:
-            out.append((run[0], run[-1]))
-        run = run[-s.overlap :] if overlap and s.overlap and fresh and len(run) > s.overlap else []
-        fresh = 0
-
-    for i, t in enumerate(tokens):
-        while run and size() + t > s.most:
-            if fresh:
-                close(True)
-            else:
-                run = []
-        run.append(i)
-        fresh += 1
-        if i < len(tokens) - 1:
-            if breaks[i] and size() >= s.least:
-                close(False)
-            elif size() >= s.target:
-                close(True)
-    close(False)
-    return out
-
-
 @pytest.mark.parametrize("overlap", [0, 1, 3])
-def test_packing_equals_the_fold(spark, overlap):
-    rng = random.Random(overlap)
-    s = C.ChunkSizes(target=30, most=50, least=10, overlap=overlap)
-    lists = [[(rng.randint(1, 50 if d % 2 else 12), rng.random() < 0.2) for _ in range(rng.choice([1, 2, 3, 40, 200]))] for d in range(12)]
-    rows = [(d, i, t, b) for d, x in enumerate(lists) for i, (t, b) in enumerate(x)]
+def test_packing_equals_the_sql(spark, overlap):
+    """Random lists of sentence lengths against the recursive SQL, which knows prefix sums and jumps from chunk to chunk."""
+    rng, s = random.Random(overlap), C.ChunkSizes(target=30, most=50, least=10, overlap=overlap)
+    rows = [(d, i, rng.randint(1, 50 if d % 2 else 12), rng.random() < 0.2) for d in range(12) for i in range((1, 2, 3, 40, 200, 57)[d % 6])]
     df = spark.createDataFrame(rows, "doc_id long, sent_no int, tokens int, is_break boolean").selectExpr("*", "sent_no as start", "sent_no + 1 as end")
-    got = C.pack_groups(df.drop("is_break"), df, s).orderBy("doc_id", "chunk_no").collect()
-    for d, x in enumerate(lists):
-        assert [(r["first"], r["last"]) for r in got if r["doc_id"] == d] == fold([t for t, _ in x], [b for _, b in x], s)
+    got = {(r["doc_id"], r["chunk_no"], r["first"], r["last"]) for r in C.pack_groups(df.drop("is_break"), df, s).collect()}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE marked (doc_id BIGINT, i INTEGER, tok INTEGER, brk BOOLEAN)")
+    duck.executemany("INSERT INTO marked VALUES (?, ?, ?, ?)", rows)
+    assert got == set(duck.execute(f"WITH RECURSIVE {catalog.packed_sql(s)} SELECT doc_id, chunk_no, first, last FROM packed").fetchall())
+
+
+def test_packing_by_hand(spark):
+    """Target 6, most 10, least 2, one sentence of overlap: closed at the target, at a break, and before a sentence too long."""
+    tokens, breaks = [3, 3, 2, 9, 1, 2, 4, 4], [False, False, False, False, False, True, False, False]
+    rows = [(1, i, t, b, i, i + 1) for i, (t, b) in enumerate(zip(tokens, breaks))]
+    df = spark.createDataFrame(rows, "doc_id long, sent_no int, tokens int, is_break boolean, start int, end int")
+    got = C.pack_groups(df.drop("is_break"), df, C.ChunkSizes(6, 10, 2, 1)).orderBy("chunk_no").collect()
+    # 0-1 reach the target; 1 is kept, 2 fits, 3 does not: 1-2; 2 is kept but leaves no room for 3; 3 alone reaches the target
+    # and, being all there is, is not kept; 4-5 end at the break; 6-7 are the rest
+    assert [(r["first"], r["last"]) for r in got] == [(0, 1), (1, 2), (3, 3), (4, 5), (6, 7)]
 
 
 def test_chunk_sizes_are_checked():
