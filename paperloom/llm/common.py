@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
@@ -20,15 +21,20 @@ from pyspark.sql import functions as F
 #: The separators of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 SPACE = r"[ \t-\r]"
 
+#: Most bytes of an Arrow batch, and text bytes of a part of what is dealt by hash.
+BATCH, PART = 4 << 20, 16 << 20
+
 _made: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or, where no cluster names
-    one (local tests), a temporary folder that is then set as the checkpoint folder."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or, where driver and executors are one
+    process (a local master, as in tests), a temporary folder that is then set as the checkpoint folder."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         given = tempfile.mkdtemp(prefix="paperloom-")
         sc.setCheckpointDir(given)
         _made.append((spark, given))
@@ -70,9 +76,11 @@ def _clean() -> None:
 
 
 def settled(spark: SparkSession) -> SparkSession:
-    """The session with one setting off: a union that passes its inputs' partitioning on can fail where adaptive execution
-    gives them unequal numbers of partitions ("Can't zip RDDs with unequal numbers of partitions")."""
+    """The session with two settings. A union that passes its inputs' partitioning on can fail where adaptive execution
+    gives them unequal numbers of partitions ("Can't zip RDDs with unequal numbers of partitions"), so it does not. Arrow
+    batches are bounded by bytes, so that long texts come few at a time."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     return spark
 
 
@@ -80,8 +88,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return settled(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of the column text, by a scan of it alone."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def parts(spark: SparkSession, nbytes: int = 0) -> int:
+    """Parts that nbytes are dealt over: about PART each, and one for each partition of a shuffle at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // PART))
+
+
+def grouped(df: DataFrame, n: int, *keys: str):
+    """df.groupBy(keys), in n partitions where the session's are fewer."""
+    if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(n, *keys)
+    return df.groupBy(*keys)
+
+
+def released(value=None):
+    """value, after what a Python worker has freed went back to the system: numpy's small arrays and Arrow's pool keep it
+    otherwise, while the worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+    return value
+
+
+def releasing(run):
+    """run, a function of Arrow batches, that gives memory back at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return whole
 
 
 # --- words ---------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Packed rows that carry arrays between stages, and spans of documents brought back to their texts.
 
 A stage hands on rows (kind, part, body): arrays of one kind for one destination, packed, in place of a
-row for each element. `part` is a hash of what must meet, dealt over as many parts as the session has
-shuffle partitions.
+row for each element. `part` is a hash of what must meet; how many parts there are follows from the bytes of
+text (common.parts), so that a part stays small whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import bloom_has, bounded_bloom, encoded_column, mix, parts
+from .common import bloom_has, bounded_bloom, encoded_column, grouped, mix, released, releasing
 
 PACKED = "kind int, part int, body binary"
 SPANS = 1  # the kind of spans to remove; other kinds are a stage's own
@@ -101,30 +101,28 @@ def chosen(docs: DataFrame, bloom: bytes, n: int) -> DataFrame:
             part = pa.array(part_of(ids[keep], n), pa.int32())
             yield pa.RecordBatch.from_arrays([part, *(x.filter(pa.array(keep)) for x in b.columns)], names=["part", *b.schema.names])
 
-    return docs.mapInArrow(run, StructType([StructField("part", IntegerType()), *docs.schema.fields]))
+    return docs.mapInArrow(releasing(run), StructType([StructField("part", IntegerType()), *docs.schema.fields]))
 
 
-def without_spans(docs: DataFrame, found: DataFrame, finish, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """finish(doc_id, text bytes, starts, ends) for each row of docs, as rows of schema (which starts with
-    doc_id), and the columns of docs to carry along. found: packed rows of spans. Only texts that have spans
-    are shuffled to them."""
-    n = parts(docs.sparkSession)
+def without_spans(docs: DataFrame, found: DataFrame, n: int, finish, schema: str) -> DataFrame:
+    """For each row of docs (key, text, more columns): the other columns, and finish(text bytes, starts, ends) as
+    columns of schema. found: packed rows of spans, by key, in n parts. Only texts that have spans are shuffled to
+    them; a row with a null key has none."""
     found = found.where(F.col("kind") == SPANS)
     bloom = bounded_bloom(ids_of(found), "doc_id")
-    names, none = [x.split()[0] for x in schema.split(", ")], np.zeros(0, np.int64)
-    types = {"long": pa.int64(), "string": pa.string()}
-    kinds = [types[x.split()[1]] for x in schema.split(", ")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(carry)])
-    more = [f"carried{i}" for i in range(len(carry))]
-    table = lambda rows, carried: pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))), *carried], names=names + more)
-    kind = StructType([*StructType.fromDDL(schema).fields, *docs.schema.fields[2:]])
+    key, _, *more = docs.columns
+    fields, none = StructType.fromDDL(schema).fields, np.zeros(0, np.int64)
+    types = {"bigint": pa.int64(), "string": pa.string()}
+    kinds = [types[f.dataType.simpleString()] for f in fields]
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(more)])
+    kind = StructType([*docs.schema.fields[2:], *fields])
+    table = lambda rows, carried: pa.RecordBatch.from_arrays([*carried, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=kind.names)
 
     def clean(batches):
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            rest = ~(bloom_has(bloom, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
-            keys, raw = b.column(0).filter(pa.array(rest)).to_pylist(), encoded_column(b.column(1).filter(pa.array(rest)))
-            yield table([finish(k, x, none, none) for k, x in zip(keys, raw)], [x.filter(pa.array(rest)) for x in b.columns[2:]])
+            rest = pa.array(~(bloom_has(bloom, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            yield table([finish(x, none, none) for x in encoded_column(b.column(1).filter(rest))], [x.filter(rest) for x in b.columns[2:]])
 
     def cut(texts, rows):
         a = unpacked(rows["body"].to_pylist())
@@ -137,12 +135,12 @@ def without_spans(docs: DataFrame, found: DataFrame, finish, schema: str, carry:
         out = []
         for k, x in zip(texts["doc_id"].to_pylist(), encoded_column(texts["text"].combine_chunks())):
             i, j = where.get(k, (0, 0))
-            out.append(finish(k, x, a["start"][i:j].astype(np.int64) if a else none, a["end"][i:j].astype(np.int64) if a else none))
-        return pa.Table.from_batches([table(out, [texts[c].combine_chunks() for c in more])])
+            out.append(finish(x, a["start"][i:j].astype(np.int64) if a else none, a["end"][i:j].astype(np.int64) if a else none))
+        return released(pa.Table.from_batches([table(out, [texts[f"carried{i}"].combine_chunks() for i in range(len(more))])]))
 
-    untouched = docs.mapInArrow(clean, kind)
-    touched = chosen(docs, bloom, n).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(cut, kind)
-    return untouched.unionByName(touched).select(*names, *[F.col(x).alias(c) for x, c in zip(more, carry)])
+    untouched = docs.mapInArrow(releasing(clean), kind)
+    touched = grouped(chosen(docs, bloom, n), n, "part").cogroup(grouped(found, n, "part")).applyInArrow(cut, kind)
+    return untouched.unionByName(touched).select(*[F.col(f"carried{i}").alias(c) for i, c in enumerate(more)], *[f.name for f in fields])
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

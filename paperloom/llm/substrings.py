@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import segments
-from .common import Words, bounded_bloom, chunks, encoded_column, parts, stored, table, windows
+from .common import Words, bounded_bloom, chunks, encoded_column, grouped, parts, released, releasing, stored, table, text_bytes, windows
 from .spans import PACKED, SPANS, batch, chosen, covered, dealt, ids_of, part_of, spans, unpacked, without_spans
 
 #: Kinds of packed rows: chosen windows, and places of wanted windows.
@@ -91,7 +91,7 @@ def _survivors(window: int, n_parts: int):
         gone = real & later
         rows = list(spans(doc[gone], lo[gone].astype(np.int64), (lo[gone] + n[gone] - 1 + window).astype(np.int64), n_parts))
         rows += dealt(PLACES, part_of(doc[ask], n_parts), {"doc": doc[ask], "lo": lo[ask], "n": n[ask]})
-        return pa.Table.from_batches([batch(rows)])
+        return released(pa.Table.from_batches([batch(rows)]))
 
     return run
 
@@ -119,7 +119,7 @@ def _extended(window: int, n_parts: int):
                     place.append(at)
                 h, doc, place = (np.concatenate(x) for x in (hashes, doc, place))
                 rows += _judged(h, doc, place, window, n_parts, True)
-        return pa.Table.from_batches([batch(rows)])
+        return released(pa.Table.from_batches([batch(rows)]))
 
     return run
 
@@ -146,17 +146,16 @@ def _last_level(window: int, n_parts: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """Packed rows of spans of words of docs (doc_id, text) that lie in a window of `window` words that also
+def repeated_windows(docs: DataFrame, n: int, window: int = 13) -> DataFrame:
+    """Packed rows of spans, in n parts, of words of docs (doc_id, text) that lie in a window of `window` words that also
     starts in a document with a smaller doc_id."""
-    n = parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    one = rows.mapInArrow(_level_one((window + 1) // 2, window, n), PACKED).groupBy("kind", "part").applyInArrow(_survivors(window, n), PACKED)
+    one = grouped(rows.mapInArrow(releasing(_level_one((window + 1) // 2, window, n)), PACKED), n, "kind", "part").applyInArrow(_survivors(window, n), PACKED)
     one = stored(one, "level-one")
     places = one.where(F.col("kind") == PLACES)
     texts = chosen(rows, bounded_bloom(ids_of(places), "doc_id"), n)
-    two = texts.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_extended(window, n), PACKED)
-    two = stored(two.groupBy("kind", "part").applyInArrow(_last_level(window, n), PACKED), "level-two")
+    two = grouped(texts, n, "part").cogroup(grouped(places, n, "part")).applyInArrow(_extended(window, n), PACKED)
+    two = stored(grouped(two, n, "kind", "part").applyInArrow(_last_level(window, n), PACKED), "level-two")
     return one.where(F.col("kind") == SPANS).unionByName(two.where(F.col("kind") == SPANS))
 
 
@@ -168,16 +167,18 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     words found in one is removed from each. Other columns are ignored; an empty table gives no rows.
     """
 
-    def finish(key, text, starts, ends):
+    def finish(text, starts, ends):
         words = text.split()
         if len(starts):
             gone = covered(len(words), starts, ends)
             kept = [w for w, g in zip(words, gone) if not g]
         else:
             kept = words
-        return key, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+        return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return without_spans(docs, repeated_windows(docs, window), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    n = parts(docs.sparkSession, text_bytes(docs))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_key"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    return without_spans(rows, repeated_windows(docs, n, window), n, finish, "n_words long, n_removed long, kept_sha256 string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,16 @@
 1. Windows of the wanted length are gathered into segments by their anchors (see anchors.py). Equal windows
    lie in segments of one anchor hash. Segments that are equal as a whole are one string: where it occurs
    twice, all its windows are repeats, and one of them stands for all.
-2. Different strings of one anchor hash go to one shard. The shard lays them end to end, sorts their
-   suffixes by Larsson and Sadakane's refinement (the order by 8, 16, 32, ... bytes; only groups still
-   unsorted are sorted again) and finds the common prefixes of neighbours by Kasai's scan, in lock step
-   over the segments. A window is a repeat if its suffix shares the wanted length with a neighbour.
-3. Anchors with very many different strings are dealt over several shards. Each of these hands on its
-   windows in sorted runs of keys, cut into ranges; a merge of a range looks each run's keys up in the
+2. Different strings of one anchor hash go to one shard, and lie in one slice of it: equal windows have one
+   anchor, so slices of some anchors each are independent, and only one is in memory. A slice lays its strings
+   end to end, sorts their suffixes by Larsson and Sadakane's refinement (the order by 8, 16, 32, ... bytes; only
+   groups still unsorted are sorted again) and finds the common prefixes of neighbours by Kasai's scan, in lock
+   step over the segments. A window is a repeat if its suffix shares the wanted length with a neighbour.
+3. Anchors with very many different strings are dealt over several shards and slices. Each of these hands on
+   its windows in sorted runs of keys, cut into ranges; a merge of a range looks each run's keys up in the
    others by binary search.
+
+Rows are told apart by a 64-bit hash of doc_id and text, so that texts may share an id.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Rolling, segments
-from .common import bounded_bloom, chunks, encoded_column, mix, parts, stored, table
+from .common import bounded_bloom, chunks, encoded_column, grouped, mix, parts, released, releasing, stored, table, text_bytes
 from .spans import PACKED, SPANS, batch, chosen, covered, dealt, ids_of, pack, part_of, spans, unpacked, without_spans
 
 #: Kinds of packed rows: segments, segments whose bytes are asked for, strings of a shard, keys to merge.
 SEGMENTS, ASKED, STRINGS, KEYS = 0, 2, 3, 4
 #: Different strings of an anchor from which it is dealt over several shards: in one chunk, and in all.
-HOT, HOT_ALL = 64, 4096
+HOT, HOT_ALL = 64, 2048
+#: Bytes of strings that a shard sorts at a time, or one anchor's if they are more: sorting takes some 80 times as many.
+SLICE = 1 << 20
 #: A symbol for each byte; any odd multiples do.
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 _BREAK = 0xFF  # occurs in no UTF-8 text
@@ -170,7 +175,7 @@ def _strings(window: int, n_parts: int):
         many = (different > HOT_ALL) | spread
         ask = new & ((different > 1) | spread)[group]
         rows += dealt(ASKED, part_of(doc[ask], n_parts), {"anchor": anchor[ask], "body": body[ask], "doc": doc[ask], "lo": lo[ask], "n": n[ask], "known": repeated[ask].astype(np.int8), "hot": many[group][ask].astype(np.int8)})
-        return pa.Table.from_batches([batch(rows)])
+        return released(pa.Table.from_batches([batch(rows)]))
 
     return run
 
@@ -201,50 +206,69 @@ def _bytes_of(window: int, n_parts: int):
                 m = size[mine]
                 ends = np.cumsum(m)
                 text = data[np.repeat(base[mine] - ends + m, m) + np.arange(int(m.sum()))]
-                packed = {k: a[k][mine] for k in ("doc", "lo", "n", "known", "hot")}
+                packed = {k: a[k][mine] for k in ("anchor", "doc", "lo", "n", "known", "hot")}
                 packed["text"] = text
                 rows.append((STRINGS, int(s), pack(packed)))
-        return pa.Table.from_batches([batch(rows)])
+        return released(pa.Table.from_batches([batch(rows)]))
 
     return run
 
 
+def _slices(anchor: np.ndarray, size: np.ndarray, hot: np.ndarray):
+    """Strings of a shard in slices of about SLICE bytes: all of an anchor's in one, unless it is hot."""
+    order = np.lexsort((anchor, hot))
+    unit = np.flatnonzero(_starts(anchor[order]) | hot[order])
+    yield from (order[unit[s.start] : unit[s.stop] if s.stop < len(unit) else len(order)] for s in chunks(np.add.reduceat(size[order], unit).tolist() if len(unit) else [], SLICE))
+
+
+def _repeated(text: np.ndarray, n: np.ndarray, known: np.ndarray, window: int):
+    """For strings laid end to end, with n windows each: the text with breaks, each window's place there, whether it is a
+    repeat, and whether an equal one was sorted before it."""
+    size = n - 1 + window
+    start = np.cumsum(size + 1) - size - 1
+    data = np.full(int((size + 1).sum()), _BREAK, np.uint8)
+    data[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = text
+    sorted_ = suffix_array(data, window)
+    order = sorted_[0]
+    full = np.flatnonzero(common_prefixes(data, sorted_, start, n, window) >= window)
+    repeated, again = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    repeated[order[full]] = repeated[order[full - 1]] = again[order[full]] = True
+    place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    return data, place, repeated[place], again[place]
+
+
 def _shard(window: int, n_parts: int):
-    """Suffix array and common prefixes of one shard's strings."""
+    """Suffix arrays and common prefixes of one shard's strings, slice by slice."""
 
     def run(key, t):
         if key[0].as_py() == SPANS:
             return t
         a = unpacked(t["body"].to_pylist())
-        n, size = a["n"].astype(np.int64), a["n"].astype(np.int64) - 1 + window
-        start = np.cumsum(size + 1) - size - 1
-        data = np.full(int((size + 1).sum()), _BREAK, np.uint8)
-        data[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = a["text"]
-        sorted_ = suffix_array(data, window)
-        order = sorted_[0]
-        shared = common_prefixes(data, sorted_, start, n, window)
-        full = shared >= window
-        repeated = np.zeros(len(data), bool)
-        repeated[order[full]] = True
-        repeated[order[np.flatnonzero(full) - 1]] = True
-        segment = np.repeat(np.arange(len(n)), n)
-        offset = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-        place = start[segment] + offset
-        known = (a["known"] > 0)[segment]
-        hit = repeated[place] & ~known
-        doc, lo = a["doc"][segment], a["lo"][segment].astype(np.int64) + offset
-        rows = list(spans(doc[hit], lo[hit], lo[hit] + window, n_parts))
-        hot = (a["hot"] > 0)[segment]
-        if hot.any():
-            # one key of each window: repeated ones are told of by the first of their group
-            first = np.ones(len(data), bool)
-            first[order[full]] = False
-            send = hot & first[place]
-            keys = Rolling(SYMBOLS[data])(place[send], place[send] + window)
-            told = (repeated[place] | known)[send]
-            cut = (keys >> np.uint64(40)) * np.uint64(n_parts) >> np.uint64(24)  # equal ranges of keys
-            rows += dealt(KEYS, cut.astype(np.int32), {"key": keys, "doc": doc[send], "lo": lo[send].astype(np.int32), "told": told.astype(np.int8), "run": np.full(len(keys), key[1].as_py(), np.int32)})
-        return pa.Table.from_batches([batch(rows)])
+        count, hot, known = a["n"].astype(np.int64), a["hot"] > 0, a["known"] > 0
+        size = count - 1 + window
+        at = np.cumsum(size) - size
+        rows, found = [], []
+        for k, mine in enumerate(_slices(a["anchor"], size, hot)):
+            n, m = count[mine], size[mine]
+            text = a["text"][np.repeat(at[mine] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))]
+            data, place, repeated, again = _repeated(text, n, known[mine], window)
+            segment = np.repeat(np.arange(len(n)), n)
+            lo = a["lo"][mine].astype(np.int64)[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+            hit = repeated & ~known[mine][segment]
+            # runs of windows of one string
+            edge = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1] & (segment[1:] == segment[:-1]))))
+            last = np.flatnonzero(hit & ~np.concatenate((hit[1:] & (segment[1:] == segment[:-1]), [False])))
+            found.append((a["doc"][mine][segment[edge]], lo[edge], lo[last] + window))
+            # one key of each window of hot anchors: repeated ones are told of by the first of their group
+            send = np.flatnonzero(hot[mine][segment] & ~again)
+            if len(send):
+                keys = Rolling(SYMBOLS[data])(place[send], place[send] + window)
+                told = repeated[send] | known[mine][segment[send]]
+                cut = (keys >> np.uint64(40)) * np.uint64(n_parts) >> np.uint64(24)  # equal ranges of keys
+                rows += dealt(KEYS, cut.astype(np.int32), {"key": keys, "doc": a["doc"][mine][segment[send]], "lo": lo[send].astype(np.int32), "told": told.astype(np.int8), "run": np.full(len(keys), key[1].as_py() << 32 | k, np.int64)})
+        if found:
+            rows += spans(*(np.concatenate(x) for x in zip(*found)), n_parts)
+        return released(pa.Table.from_batches([batch(rows)]))
 
     return run
 
@@ -264,23 +288,27 @@ def _merged(window: int, n_parts: int):
         found = np.concatenate([np.searchsorted(merged, r, side="right") - np.searchsorted(merged, r) > 1 for r in runs])
         found &= a["told"] == 0
         lo = a["lo"][found].astype(np.int64)
-        return pa.Table.from_batches([batch(list(spans(a["doc"][found], lo, lo + window, n_parts)))])
+        return released(pa.Table.from_batches([batch(list(spans(a["doc"][found], lo, lo + window, n_parts)))]))
 
     return run
 
 
-def repeated_bytes(docs: DataFrame, window: int = 400) -> DataFrame:
-    """Packed rows of spans of UTF-8 bytes of docs (doc_id, text) that lie in a string of `window` bytes which also
-    starts anywhere else."""
-    n = parts(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    found = rows.mapInArrow(_segments(max(1, window // 2), window, n), PACKED).groupBy("kind", "part").applyInArrow(_strings(window, n), PACKED)
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """_row (a hash of doc_id and text), text and more columns."""
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_row"), "text", *[F.col(f"`{c}`") for c in more])
+
+
+def repeated_bytes(rows: DataFrame, n: int, window: int = 400) -> DataFrame:
+    """Packed rows of spans, in n parts, of UTF-8 bytes of rows (key, text) that lie in a string of `window` bytes which
+    also starts anywhere else."""
+    rows = rows.select(F.col(rows.columns[0]).alias("doc_id"), "text")
+    found = grouped(rows.mapInArrow(releasing(_segments(max(1, window // 2), window, n)), PACKED), n, "kind", "part").applyInArrow(_strings(window, n), PACKED)
     found = stored(found, "strings")
     asked = found.where(F.col("kind") == ASKED)
     texts = chosen(rows, bounded_bloom(ids_of(asked), "doc_id"), n)
-    strings = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_bytes_of(window, n), PACKED)
-    shards = strings.groupBy("kind", "part").applyInArrow(_shard(window, n), PACKED)
-    merged = stored(shards.groupBy("kind", "part").applyInArrow(_merged(window, n), PACKED), "merged")
+    strings = grouped(texts, n, "part").cogroup(grouped(asked, n, "part")).applyInArrow(_bytes_of(window, n), PACKED)
+    shards = grouped(strings, n, "kind", "part").applyInArrow(_shard(window, n), PACKED)
+    merged = stored(grouped(shards, n, "kind", "part").applyInArrow(_merged(window, n), PACKED), "merged")
     return found.where(F.col("kind") == SPANS).unionByName(merged.where(F.col("kind") == SPANS))
 
 
@@ -288,34 +316,36 @@ def suffix_array_dedup(docs: DataFrame, window: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text): what stays of the UTF-8 bytes
     without each byte covered by a string of `window` bytes that also starts anywhere else.
 
-    Matches do not cross documents and are judged on the input; occurrences may overlap. A null text is empty.
-    A row with a null doc_id takes no part and stays whole. Repeated rows repeat each other's strings. Rows
-    that share a doc_id but not a text are each freed of the spans of both. Other columns are ignored; an
-    empty table gives no rows.
+    Matches do not cross rows and are judged on the input; occurrences may overlap. A null text is empty. Each row is
+    a document of its own, whatever its doc_id: rows may share one, with or without a common text, or have none, and
+    repeated rows repeat each other's strings. Other columns are ignored; an empty table gives no rows.
     """
 
-    def finish(key, text, starts, ends):
+    def finish(text, starts, ends):
         if not len(starts):
-            return key, len(text), 0, 0, hashlib.sha256(text).hexdigest()
+            return len(text), 0, 0, hashlib.sha256(text).hexdigest()
         gone = covered(len(text), starts, ends)
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
         runs = int(_runs(gone))
-        return key, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()
+        return len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()
 
-    return without_spans(docs, repeated_bytes(docs, window), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    n, rows = parts(docs.sparkSession, text_bytes(docs)), _keyed(docs, "doc_id")
+    return without_spans(rows, repeated_bytes(rows, n, window), n, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     """docs with what suffix_array_dedup keeps of each text; other columns stay. A character of which only some bytes
-    are kept goes; a null text becomes an empty one."""
+    are kept goes; a null text becomes an empty one. Null, shared and repeated doc_ids are as there: each row is
+    judged by itself. An empty table gives no rows."""
 
-    def finish(key, text, starts, ends):
+    def finish(text, starts, ends):
         if len(starts):
             text = np.frombuffer(text, np.uint8)[~covered(len(text), starts, ends)].tobytes()
-        return key, text.decode("utf-8", "ignore")
+        return (text.decode("utf-8", "ignore"),)
 
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return without_spans(docs, repeated_bytes(docs, window), finish, "doc_id long, text string", others).select(*docs.columns)
+    n, others = parts(docs.sparkSession, text_bytes(docs)), [c for c in docs.columns if c != "text"]
+    found = repeated_bytes(_keyed(docs), n, window)
+    return without_spans(_keyed(docs, *others), found, n, finish, "text string").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _runs(gone: np.ndarray) -> int:
