@@ -1,9 +1,10 @@
 """Byte-level BPE, encoded by Spark's higher-order functions and decoded by concatenation.
 
-Texts are cut into pieces and gathered into bundles of some megabytes, one row each, that hold their
-distinct pieces once and every text as places in that list. For each distinct piece an `aggregate`
-folds the ranked merges over an array of symbols; the rank of a pair comes from a literal table (a
-cuckoo hash, so that a lookup is two array reads). Nothing is shuffled or collected.
+Texts are cut into pieces and gathered into bundles. A bundle's distinct pieces are rows, one each, followed by a
+row with its texts as places in that list. For each piece an `aggregate` folds the ranked merges over an array of
+symbols: beside the symbols it carries the rank of each pair of neighbours, so that a merge looks up two
+ranks only. The rank of a pair comes from a literal table (rows of a sparse table laid over one another,
+so that a lookup is two array reads). Nothing is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import base64
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections import defaultdict
 from functools import cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import table, worker_value
+from .common import chunks, releasing, table, worker_value
 
 #: Bytes of text in a bundle; longer texts are alone in theirs.
-BUNDLE = 16 << 20
+BUNDLE = 32 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
-LONG = 64
+LONG = 512
 #: What free slots of the rank map hold.
 FREE = 1 << 40
-BUNDLE_TYPE = "pieces array<array<int>>, payload binary"
+BUNDLE_TYPE = "piece array<int>, payload binary"
 
 
 def default_ranks() -> str:
@@ -57,8 +60,8 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 @cache
-def _literals(path: str) -> tuple[str, str, str]:
-    """JSON of the rank map of pairs and of the symbols of single bytes.
+def _literals(path: str) -> tuple[str, str, str, int]:
+    """JSON of the rank map of pairs and of the symbols of single bytes; and a symbol that is in no pair.
 
     The map is a sparse table, a row for each left symbol, whose rows are laid over one another so that
     no two entries meet: the entry of (a, b) is slots[base[a] + b], as a << 16 | rank, and a large number where
@@ -88,30 +91,39 @@ def _literals(path: str) -> tuple[str, str, str]:
         slots[base[a] + at], used[base[a] + at] = a << 16 | rank, True
     top = int(np.flatnonzero(slots >= 0).max()) + 1
     text = lambda x: json.dumps(x, separators=(",", ":"))
-    return text(np.where(used, slots, FREE)[:top].tolist()), text(base.tolist()), text([ranks[bytes([i])] for i in range(256)])
+    # the extra symbol has an empty row at the start, where no entry is its own
+    return text(np.where(used, slots, FREE)[:top].tolist()), text([*base.tolist(), 0]), text([ranks[bytes([i])] for i in range(256)]), width
 
 
-def _merged(piece: Column, slots: Column, base: Column, single: Column) -> Column:
-    """Ids of one piece (an array of bytes): the lowest-ranked, leftmost pair is merged until none has a rank."""
+def _merged(piece: Column, slots: Column, base: Column, single: Column, edge: int) -> Column:
+    """Ids of one piece (an array of bytes): the lowest-ranked, leftmost pair is merged until none has a rank.
 
-    def step(p, _):
-        # of a pair in the map the entry differs from a << 16 by the rank alone; else by more
-        pair = lambda a, i: F.get(slots, F.get(base, a) + F.get(p, i + 1)).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
+    The state is p, the symbols between two edges, and r, the rank of each pair of neighbours: the edges (a symbol in no
+    pair) spare a merge the question whether it has neighbours. A pair is in the map if its entry differs from a << 16
+    by the rank alone, else it differs by more.
+    """
+    rank = lambda a, b: F.get(slots, F.get(base, a) + b).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
+    one = lambda x, use: F.transform(F.array(x), use)[0]  # noqa: E731  use(x), with x computed once
+    state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
+    ends, all_ = F.array(F.lit(edge)), F.lit(1 << 30)
 
-        def merge(r):
-            def put(m):
-                k = F.array_position(r, m)
-                joined = F.array_remove(F.transform(p, lambda x, i: F.when(i == k - 1, m.cast("int")).when(i == k, -2).otherwise(x)), -2)
-                # a last symbol of -1 says that no pair is left
-                return F.when(m < 1 << 16, joined).otherwise(F.concat(p, F.array(F.lit(-1))))
+    def step(s, _):
+        def merge(x):
+            # pair k is that of the symbols k and k + 1, counted from 1 with the edge
+            k, m = x["k"], x["m"].cast("int")
+            left, right = F.get(s["p"], k - 2), F.get(s["p"], k + 1)
+            p = F.concat(F.slice(s["p"], F.lit(1), k - 1), F.array(m), F.slice(s["p"], k + 2, all_))
+            return state(p, F.concat(F.slice(s["r"], F.lit(1), k - 2), F.array(rank(left, m), rank(m, right)), F.slice(s["r"], k + 2, all_)))
 
-            return F.transform(F.array(F.array_min(r)), put)[0]
+        found = lambda m: F.when(m < 1 << 16, one(F.struct(F.array_position(s["r"], m).cast("int").alias("k"), m.alias("m")), merge)).otherwise(s)
+        return one(F.array_min(s["r"]), found)
 
-        return F.when(F.get(p, F.size(p) - 1) < 0, p).otherwise(F.transform(F.array(F.transform(p, pair)), merge)[0])
+    def fold(p):
+        pairs = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda a, i: rank(a, F.get(p, i + 1)))
+        # the edges' pairs are in no map; a rank of null would be past the end of it
+        return F.aggregate(piece, state(p, F.transform(pairs, lambda x: F.coalesce(x, F.lit(FREE)))), step, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
 
-    start = F.transform(piece, lambda x: F.get(single, x))
-    folded = F.aggregate(piece, start, step)
-    return F.array_remove(folded, -1)
+    return one(F.concat(ends, F.transform(piece, lambda x: F.get(single, x)), ends), fold)
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -139,99 +151,133 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _bundles(pattern: str):
-    """Rows (doc_id, text) into bundles: distinct pieces, and the texts as places among them."""
+def _bundles(pattern: str, spaced: bool):
+    """Rows (doc_id, text) into bundles: a row for each distinct piece, and one with the texts as places among them.
+
+    spaced: after a character that is no white space, a space always begins a match. Then a text falls at such spaces into
+    units that are matched apart, and each distinct unit of a bundle is matched once."""
 
     def run(batches):
         import regex
 
-        find = regex.compile(pattern).findall
+        find, blank, cut = regex.compile(pattern).findall, re.compile(r"\s ").search, re.compile(r"(?<!\s) ").split
         keys, sizes, codes, held = [], [], [], 0
-        place = defaultdict(count().__next__)
+        unit, place, n, flat = defaultdict(count().__next__), defaultdict(count().__next__), array("i"), array("i")
+
+        def split(text):
+            if not spaced:
+                return [text]
+            first, *rest = text.split(" ") if not blank(text) else cut(text)
+            return [first, *(" " + x for x in rest)]
 
         def out():
             pieces = [p.encode("utf-8", "surrogatepass") for p in place]
-            body = {"key": [None if k is None else int(k) for k in keys], "size": sizes}
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            head = json.dumps(body).encode()
-            payload = zstandard.ZstdCompressor(3).compress(len(head).to_bytes(8, "little") + head + flat.tobytes())
-            flat, ends = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32), np.cumsum([0] + [len(p) for p in pieces])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), lists), pa.array([payload], pa.binary())], names=["pieces", "payload"])
+            head = json.dumps({"key": [None if k is None else int(k) for k in keys], "size": sizes, "units": len(n)}).encode()
+            payload = zstandard.ZstdCompressor(1).compress(b"".join([len(head).to_bytes(8, "little"), head, n.tobytes(), np.array([len(flat)], np.int64).tobytes(), flat.tobytes(), *(c.tobytes() for c in codes)]))
+            raw, ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0] + [len(p) for p in pieces])
+            for i in range(0, len(pieces), 4000):
+                some = ends[i : i + 4001]
+                lists = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(raw[some[0] : some[-1]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([lists, pa.nulls(len(lists), pa.binary())], names=["piece", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(pa.int32())), pa.array([payload], pa.binary())], names=["piece", "payload"])
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py() or ""
-                mine = find(text)
+                mine = split(text) if text else []
+                code = np.fromiter(map(unit.__getitem__, mine), np.int32, len(mine))
+                for x in islice(unit, len(n), None) if len(unit) > len(n) else ():
+                    found = find(x)
+                    n.append(len(found))
+                    flat.extend(map(place.__getitem__, found))
                 keys.append(key)
                 sizes.append(len(mine))
-                codes.append(np.fromiter(map(place.__getitem__, mine), np.int32, len(mine)))
+                codes.append(code)
                 held += len(text)
                 if held >= BUNDLE:
-                    yield out()
-                    keys, sizes, codes, held, place = [], [], [], 0, defaultdict(count().__next__)
+                    yield from out()
+                    keys, sizes, codes, held = [], [], [], 0
+                    unit, place, n, flat = defaultdict(count().__next__), defaultdict(count().__next__), array("i"), array("i")
         if keys:
-            yield out()
+            yield from out()
+
+    return releasing(run)
 
-    return run
 
+def _opened(payload: bytes):
+    """Keys, units of each text, and of all texts; and for each unit its pieces: how many, and which."""
+    body = zstandard.ZstdDecompressor().decompress(payload)
+    at = 8 + int.from_bytes(body[:8], "little")
+    head = json.loads(body[8:at])
+    n = np.frombuffer(body, np.int32, head["units"], at)
+    total = int.from_bytes(body[at + n.nbytes : at + n.nbytes + 8], "little")
+    flat = np.frombuffer(body, np.int32, total, at + n.nbytes + 8)
+    return head["key"], np.array(head["size"], np.int64), np.frombuffer(body, np.int32, offset=at + n.nbytes + 8 + flat.nbytes), n.astype(np.int64), flat
 
-def _opened(row):
-    body = zstandard.ZstdDecompressor().decompress(row["payload"].as_py())
-    n = int.from_bytes(body[:8], "little")
-    head = json.loads(body[8 : 8 + n])
-    return head["key"], np.array(head["size"], np.int64), np.frombuffer(body, np.int32, offset=8 + n)
+
+def _chosen(pool: np.ndarray, start: np.ndarray, n: np.ndarray, which: np.ndarray):
+    """The stretches pool[start[i] : start[i] + n[i]] for i of which, end to end, and how long each is."""
+    m = n[which]
+    ends = np.cumsum(m)
+    return pool[np.repeat(start[which] - ends + m, m) + np.arange(int(ends[-1]) if len(ends) else 0)], m
 
 
 def _gather(path: str, finish=None):
-    """Bundles with ids of each distinct piece into batches (doc_id, ids), or finish(batch) of each."""
+    """Ids of distinct pieces, and the texts after them, into batches (doc_id, ids), or finish(batch) of each."""
+
+    def bundle(payload, ids, n):
+        keys, sizes, codes, unit_n, flat = _opened(payload)
+        pool, m = _chosen(ids, np.cumsum(n) - n, n, flat)  # of units, in place of pieces
+        size = np.add.reduceat(np.append(m, 0), np.cumsum(unit_n) - unit_n) * (unit_n > 0) if len(unit_n) else np.zeros(0, np.int64)
+        start, done = np.cumsum(size) - size, np.concatenate(([0], np.cumsum(sizes)))
+        total = np.concatenate(([0], np.cumsum(size[codes])))[done]  # ids before each text
+        for first, last in ((s.start, s.stop) for s in chunks(np.diff(total).tolist(), 1 << 20)):
+            out, _ = _chosen(pool, start, size, codes[done[first] : done[last]])
+            lists = pa.ListArray.from_arrays(pa.array(total[first : last + 1] - total[first], pa.int32()), pa.array(out, pa.int32()))
+            some = pa.RecordBatch.from_arrays([pa.array(keys[first:last], pa.int64()), lists], names=["doc_id", "ids"])
+            yield finish(some) if finish else some
 
     def run(batches):
-        ranks = None
+        ranks, held, sizes = None, [], []
         for b in batches:
-            for i in range(b.num_rows):
-                row = {name: b.column(name)[i] for name in b.schema.names}
-                keys, sizes, codes = _opened(row)
-                lists = row["ids"].values
-                n = np.asarray(lists.value_lengths(), np.int64) if len(lists) else np.zeros(0, np.int64)
-                pool = np.asarray(lists.flatten(), np.int64) if len(lists) else np.zeros(0, np.int64)
-                if len(long := row["long_pieces"].as_py()):
-                    ranks = ranks or read_ranks(path)
-                    start, more = np.cumsum(n) - n, [np.array(heap_merge(bytes(x["piece"]), ranks), np.int64) for x in long]
-                    at = np.array([x["place"] for x in long])
-                    start[at] = len(pool) + np.cumsum([0] + [len(x) for x in more[:-1]])
-                    n[at] = [len(x) for x in more]
-                    pool = np.concatenate([pool, *more])
+            lists, long, payload = b.column(0), b.column(1), b.column(2)
+            edge = [*np.flatnonzero(payload.is_valid().to_numpy(zero_copy_only=False)).tolist(), b.num_rows]
+            first = 0
+            for at in edge:
+                some, more = lists.slice(first, at - first), long.slice(first, at - first)
+                if more.null_count == len(more):
+                    held.append(np.asarray(some.flatten(), np.int32))
+                    sizes.append(np.asarray(some.value_lengths(), np.int64))
                 else:
-                    start = np.cumsum(n) - n
-                done = 0
-                for first in range(0, len(keys), 500):
-                    some = sizes[first : first + 500]
-                    code = codes[done : done + some.sum()]
-                    done += len(code)
-                    m = n[code]
-                    ends = np.cumsum(m)
-                    ids = pool[np.repeat(start[code] - ends + m, m) + np.arange(int(m.sum()))]
-                    offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(some)))]
-                    out = pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[first : first + 500], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
-                    yield finish(out) if finish else out
+                    ranks = ranks or read_ranks(path)
+                    each = [np.array(heap_merge(bytes(x), ranks) if x is not None else i, np.int32) for i, x in zip(some.to_pylist(), more.to_pylist())]
+                    held.append(np.concatenate(each))
+                    sizes.append(np.array([len(x) for x in each], np.int64))
+                if at < b.num_rows:
+                    none = np.zeros(0, np.int32)
+                    yield from bundle(payload[at].as_py(), np.concatenate([none, *held]), np.concatenate([none.astype(np.int64), *sizes]))
+                    held, sizes = [], []
+                first = at + 1
 
-    return run
+    return releasing(run)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, finish=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, finish=None, schema: str = "doc_id long, ids array<int>", spaced: bool | None = None) -> DataFrame:
     """doc_id and ids (array<int>) of each row of docs (doc_id, text), as tiktoken encodes ordinary text.
 
     A null or empty text has no ids; repeated rows are repeated; null doc_ids stay null; other columns
     are ignored. ranks: a rank file; pattern: what cuts a text into pieces. finish: turns each Arrow batch of
-    the result into one of `schema` in the same pass.
+    the result into one of `schema` in the same pass. spaced: whether a space after other than white space always begins
+    a piece, as it does in the default pattern; false if not said of another one.
     """
-    slots, base, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(ranks), ("array<bigint>", "array<int>", "array<int>")))
-    short = lambda x: F.size(x) <= LONG
-    bundles = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern), BUNDLE_TYPE)
-    ids = F.transform("pieces", lambda x: F.when(short(x), _merged(x, slots, base, single)).otherwise(F.array().cast("array<int>")))
-    long_pieces = F.filter(F.transform("pieces", lambda x, i: F.when(~short(x), F.struct(x.alias("piece"), i.alias("place")))), lambda x: x.isNotNull())
-    return bundles.select("payload", ids.alias("ids"), long_pieces.alias("long_pieces")).mapInArrow(_gather(ranks, finish), schema)
+    if spaced is None:
+        spaced = pattern == default_pattern()
+    *tables, edge = _literals(ranks)
+    slots, base, single = (F.from_json(F.lit(x), kind) for x, kind in zip(tables, ("array<bigint>", "array<int>", "array<int>")))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, spaced), BUNDLE_TYPE)
+    short = F.size("piece") <= LONG
+    ids = F.when(short, _merged(F.col("piece"), slots, base, single, edge))
+    return rows.select(ids.alias("ids"), F.when(~short, F.col("piece")).alias("long_piece"), "payload").mapInArrow(_gather(ranks, finish), schema)
 
 
 def decoder(ranks: str):

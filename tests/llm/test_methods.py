@@ -276,17 +276,33 @@ def test_packing_of_large_pieces_beats_first_fit():
     assert bins.max() + 1 <= len(room) * 1.02 and np.bincount(bins, n).max() <= 4096 and (offset >= 0).all()
 
 
+BLANKS = [" ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", "\u3000 ", " \u2028", "\x1c ", "\r\n", " 's", "'ll ", ""]
+ODD = ["don't    stop\n\n 123abc '' 🙂🙂 日本語", "a" * 300 + " " + "xyz" * 100, "ab" * 900, "  ", None, "", "".join(x + y for x in BLANKS for y in ("a", "7", "?!", "é", " b", "a1"))]
+
+
 def test_bpe_equals_tiktoken_and_comes_back(spark, texts):
     import tiktoken
 
     ranks = bpe.read_ranks(bpe.default_ranks())
     e = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
-    some = dict(list(texts.items())[:60]) | {-1: "don't    stop\n\n 123abc '' 🙂🙂 日本語", -2: "a" * 300 + " " + "xyz" * 100, -3: "  "}
-    done = bpe.decode(bpe.encode(spark.createDataFrame(list(some.items()), "doc_id long, text string"), bpe.default_ranks(), bpe.default_pattern()), bpe.default_ranks())
-    rows = done.collect()
-    assert len(rows) == len(some)
-    for r in rows:
-        assert r["ids"] == e.encode_ordinary(some[r["doc_id"]]) and bytes(r["bytes"]) == some[r["doc_id"]].encode()
+    rng = random.Random(4)
+    odd = [*ODD, *("".join(rng.choice([*BLANKS, "x", "ing", "12", ",", "ü"]) for _ in range(200)) for _ in range(20))]
+    some = dict(list(texts.items())[:60]) | {-1 - i: x for i, x in enumerate(odd)}
+    rows = spark.createDataFrame(list(some.items()), "doc_id long, text string").withColumn("bytes", F.lit(1)).repartition(2)
+    done = bpe.decode(bpe.encode(rows, bpe.default_ranks(), bpe.default_pattern()), bpe.default_ranks()).collect()
+    assert len(done) == len(some)
+    for r in done:
+        text = some[r["doc_id"]] or ""
+        assert r["ids"] == e.encode_ordinary(text) and bytes(r["bytes"]) == text.encode()
+
+
+@pytest.mark.parametrize("bundle", [1, 5000])
+def test_bpe_of_small_bundles(spark, texts, bundle, monkeypatch):
+    """Cut into bundles of a text, or of a few, with a pattern that is matched over whole texts."""
+    monkeypatch.setattr(bpe, "BUNDLE", bundle)
+    rows = spark.createDataFrame([*list(texts.items())[:20], (None, "of no id"), (1, None)], "doc_id long, text string")
+    got = [{(r["doc_id"], tuple(r["ids"])) for r in bpe.encode(rows, bpe.default_ranks(), bpe.default_pattern(), spaced=x).collect()} for x in (True, False)]
+    assert got[0] == got[1] and (1, ()) in got[0] and len(got[0]) == 22
 
 
 def test_top_k_equals_numpy(spark):
