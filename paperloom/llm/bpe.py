@@ -2,9 +2,8 @@
 
 Texts are cut into pieces and gathered into bundles. A bundle's distinct pieces are rows, one each, followed by a
 row with its texts as places in that list. For each piece an `aggregate` folds the ranked merges over an array of
-symbols: beside the symbols it carries the rank of each pair of neighbours, so that a merge looks up two
-ranks only. The rank of a pair comes from a literal table (rows of a sparse table laid over one another,
-so that a lookup is two array reads). Nothing is shuffled or collected.
+symbols; the rank of a pair comes from a literal table (rows of a sparse table laid over one another, so that a
+lookup is two array reads). Nothing is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ import re
 from array import array
 from collections import defaultdict
 from functools import cache
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +29,8 @@ from .common import chunks, releasing, table, worker_value
 #: Bytes of text in a bundle; longer texts are alone in theirs.
 BUNDLE = 32 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
-LONG = 512
-#: What free slots of the rank map hold.
+LONG = 64
+#: The entry of a pair that is not in the rank map.
 FREE = 1 << 40
 BUNDLE_TYPE = "piece array<int>, payload binary"
 
@@ -60,12 +58,12 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 @cache
-def _literals(path: str) -> tuple[str, str, str, int]:
-    """JSON of the rank map of pairs and of the symbols of single bytes; and a symbol that is in no pair.
+def _literals(path: str) -> tuple[str, str, str]:
+    """JSON of the rank map of pairs and of the symbols of single bytes.
 
     The map is a sparse table, a row for each left symbol, whose rows are laid over one another so that
-    no two entries meet: the entry of (a, b) is slots[base[a] + b], as a << 16 | rank, and a large number where
-    there is none. Rows go in from the fullest, each to the first place where it fits.
+    no two entries meet: the entry of (a, b) is slots[base[a] + b], as a << 16 | rank, and null where there is
+    none (a null costs no further access to memory). Rows go in from the fullest, each to the first place where it fits.
     """
     ranks = read_ranks(path)
     width = max(ranks.values()) + 1
@@ -91,39 +89,29 @@ def _literals(path: str) -> tuple[str, str, str, int]:
         slots[base[a] + at], used[base[a] + at] = a << 16 | rank, True
     top = int(np.flatnonzero(slots >= 0).max()) + 1
     text = lambda x: json.dumps(x, separators=(",", ":"))
-    # the extra symbol has an empty row at the start, where no entry is its own
-    return text(np.where(used, slots, FREE)[:top].tolist()), text([*base.tolist(), 0]), text([ranks[bytes([i])] for i in range(256)]), width
+    return text([x if x >= 0 else None for x in slots[:top].tolist()]), text(base.tolist()), text([ranks[bytes([i])] for i in range(256)])
 
 
-def _merged(piece: Column, slots: Column, base: Column, single: Column, edge: int) -> Column:
-    """Ids of one piece (an array of bytes): the lowest-ranked, leftmost pair is merged until none has a rank.
-
-    The state is p, the symbols between two edges, and r, the rank of each pair of neighbours: the edges (a symbol in no
-    pair) spare a merge the question whether it has neighbours. A pair is in the map if its entry differs from a << 16
-    by the rank alone, else it differs by more.
-    """
-    rank = lambda a, b: F.get(slots, F.get(base, a) + b).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
+def _merged(piece: Column, slots: Column, base: Column, single: Column) -> Column:
+    """Ids of one piece (an array of bytes): the lowest-ranked, leftmost pair is merged until none has a rank."""
     one = lambda x, use: F.transform(F.array(x), use)[0]  # noqa: E731  use(x), with x computed once
-    state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
-    ends, all_ = F.array(F.lit(edge)), F.lit(1 << 30)
 
-    def step(s, _):
-        def merge(x):
-            # pair k is that of the symbols k and k + 1, counted from 1 with the edge
-            k, m = x["k"], x["m"].cast("int")
-            left, right = F.get(s["p"], k - 2), F.get(s["p"], k + 1)
-            p = F.concat(F.slice(s["p"], F.lit(1), k - 1), F.array(m), F.slice(s["p"], k + 2, all_))
-            return state(p, F.concat(F.slice(s["r"], F.lit(1), k - 2), F.array(rank(left, m), rank(m, right)), F.slice(s["r"], k + 2, all_)))
+    def step(p, _):
+        # of a pair in the map the entry differs from a << 16 by the rank alone; else by more
+        pair = lambda a, i: F.coalesce(F.get(slots, F.get(base, a) + F.get(p, i + 1)), F.lit(FREE)).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
+
+        def merge(ranks):
+            def put(k):
+                m = F.get(ranks, k - 1)
+                joined = F.array_remove(F.transform(p, lambda x, i: F.when(i == k - 1, m.cast("int")).when(i == k, -2).otherwise(x)), -2)
+                # a last symbol of -1 says that no pair is left
+                return F.when(m < 1 << 16, joined).otherwise(F.concat(p, F.array(F.lit(-1))))
 
-        found = lambda m: F.when(m < 1 << 16, one(F.struct(F.array_position(s["r"], m).cast("int").alias("k"), m.alias("m")), merge)).otherwise(s)
-        return one(F.array_min(s["r"]), found)
+            return one(F.array_position(ranks, F.array_min(ranks)).cast("int"), put)
 
-    def fold(p):
-        pairs = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda a, i: rank(a, F.get(p, i + 1)))
-        # the edges' pairs are in no map; a rank of null would be past the end of it
-        return F.aggregate(piece, state(p, F.transform(pairs, lambda x: F.coalesce(x, F.lit(FREE)))), step, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
+        return F.when(F.get(p, F.size(p) - 1) < 0, p).otherwise(one(F.transform(p, pair), merge))
 
-    return one(F.concat(ends, F.transform(piece, lambda x: F.get(single, x)), ends), fold)
+    return F.array_remove(F.aggregate(piece, F.transform(piece, lambda x: F.get(single, x)), step), -1)
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -151,6 +139,19 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Places(dict):
+    """Distinct keys by the order of their first use; learn(key) is called at it."""
+
+    def __init__(self, learn=None):
+        self.learn = learn
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        if self.learn:
+            self.learn(key)
+        return n
+
+
 def _bundles(pattern: str, spaced: bool):
     """Rows (doc_id, text) into bundles: a row for each distinct piece, and one with the texts as places among them.
 
@@ -162,7 +163,14 @@ def _bundles(pattern: str, spaced: bool):
 
         find, blank, cut = regex.compile(pattern).findall, re.compile(r"\s ").search, re.compile(r"(?<!\s) ").split
         keys, sizes, codes, held = [], [], [], 0
-        unit, place, n, flat = defaultdict(count().__next__), defaultdict(count().__next__), array("i"), array("i")
+        n, flat, place = array("i"), array("i"), _Places()
+
+        def learn(x):
+            found = find(x)
+            n.append(len(found))
+            flat.extend(map(place.__getitem__, found))
+
+        unit = _Places(learn)
 
         def split(text):
             if not spaced:
@@ -185,19 +193,14 @@ def _bundles(pattern: str, spaced: bool):
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py() or ""
                 mine = split(text) if text else []
-                code = np.fromiter(map(unit.__getitem__, mine), np.int32, len(mine))
-                for x in islice(unit, len(n), None) if len(unit) > len(n) else ():
-                    found = find(x)
-                    n.append(len(found))
-                    flat.extend(map(place.__getitem__, found))
                 keys.append(key)
                 sizes.append(len(mine))
-                codes.append(code)
+                codes.append(np.fromiter(map(unit.__getitem__, mine), np.int32, len(mine)))
                 held += len(text)
                 if held >= BUNDLE:
                     yield from out()
                     keys, sizes, codes, held = [], [], [], 0
-                    unit, place, n, flat = defaultdict(count().__next__), defaultdict(count().__next__), array("i"), array("i")
+                    n, flat, place, unit = array("i"), array("i"), _Places(), _Places(learn)
         if keys:
             yield from out()
 
@@ -272,11 +275,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish=None, schema: str =
     """
     if spaced is None:
         spaced = pattern == default_pattern()
-    *tables, edge = _literals(ranks)
-    slots, base, single = (F.from_json(F.lit(x), kind) for x, kind in zip(tables, ("array<bigint>", "array<int>", "array<int>")))
+    slots, base, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(ranks), ("array<bigint>", "array<int>", "array<int>")))
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, spaced), BUNDLE_TYPE)
     short = F.size("piece") <= LONG
-    ids = F.when(short, _merged(F.col("piece"), slots, base, single, edge))
+    ids = F.when(short, _merged(F.col("piece"), slots, base, single))
     return rows.select(ids.alias("ids"), F.when(~short, F.col("piece")).alias("long_piece"), "payload").mapInArrow(_gather(ranks, finish), schema)
 
 
