@@ -30,8 +30,6 @@ from .common import chunks, releasing, table, worker_value
 BUNDLE = 32 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
 LONG = 64
-#: The entry of a pair that is not in the rank map.
-FREE = 1 << 40
 BUNDLE_TYPE = "piece array<int>, payload binary"
 
 
@@ -97,8 +95,8 @@ def _merged(piece: Column, slots: Column, base: Column, single: Column) -> Colum
     one = lambda x, use: F.transform(F.array(x), use)[0]  # noqa: E731  use(x), with x computed once
 
     def step(p, _):
-        # of a pair in the map the entry differs from a << 16 by the rank alone; else by more
-        pair = lambda a, i: F.coalesce(F.get(slots, F.get(base, a) + F.get(p, i + 1)), F.lit(FREE)).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
+        # of a pair in the map the entry differs from a << 16 by the rank alone; else it is null or differs by more
+        pair = lambda a, i: F.get(slots, F.get(base, a) + F.get(p, i + 1)).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
 
         def merge(ranks):
             def put(k):
@@ -155,8 +153,9 @@ class _Places(dict):
 def _bundles(pattern: str, spaced: bool):
     """Rows (doc_id, text) into bundles: a row for each distinct piece, and one with the texts as places among them.
 
-    spaced: after a character that is no white space, a space always begins a match. Then a text falls at such spaces into
-    units that are matched apart, and each distinct unit of a bundle is matched once."""
+    spaced: after a character that is no white space, a space always begins a match, and letters after it end one only with
+    the last of them. Then a text falls at such spaces into units that are matched apart, and each distinct unit of a
+    bundle is matched once."""
 
     def run(batches):
         import regex
@@ -166,9 +165,13 @@ def _bundles(pattern: str, spaced: bool):
         n, flat, place = array("i"), array("i"), _Places()
 
         def learn(x):
-            found = find(x)
-            n.append(len(found))
-            flat.extend(map(place.__getitem__, found))
+            if spaced and x[:1] == " " and x[1:].isalpha():  # one match, as letters after a space are
+                n.append(1)
+                flat.append(place[x])
+            else:
+                found = find(x)
+                n.append(len(found))
+                flat.extend(map(place.__getitem__, found))
 
         unit = _Places(learn)
 
@@ -176,7 +179,7 @@ def _bundles(pattern: str, spaced: bool):
             if not spaced:
                 return [text]
             first, *rest = text.split(" ") if not blank(text) else cut(text)
-            return [first, *(" " + x for x in rest)]
+            return [first, *map(" ".__add__, rest)]
 
         def out():
             pieces = [p.encode("utf-8", "surrogatepass") for p in place]
@@ -271,7 +274,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish=None, schema: str =
     A null or empty text has no ids; repeated rows are repeated; null doc_ids stay null; other columns
     are ignored. ranks: a rank file; pattern: what cuts a text into pieces. finish: turns each Arrow batch of
     the result into one of `schema` in the same pass. spaced: whether a space after other than white space always begins
-    a piece, as it does in the default pattern; false if not said of another one.
+    a piece, with all letters that follow it, as in the default pattern; false if not said of another one.
     """
     if spaced is None:
         spaced = pattern == default_pattern()
@@ -282,40 +285,49 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish=None, schema: str =
     return rows.select(ids.alias("ids"), F.when(~short, F.col("piece")).alias("long_piece"), "payload").mapInArrow(_gather(ranks, finish), schema)
 
 
+class _Strings:
+    """A byte string for each id, and their concatenation for lists of ids."""
+
+    def __init__(self, of_id: dict[int, bytes]):
+        each = [of_id.get(i, b"") for i in range(max(of_id) + 1)]
+        self.n = np.array([len(x) for x in each], np.int64)
+        self.start, self.pool = np.cumsum(self.n) - self.n, np.frombuffer(b"".join(each), np.uint8)
+
+    def joined(self, lists) -> pa.Array:
+        """The strings of each list of ids, joined; null for null."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        out, m = _chosen(self.pool, self.start, self.n, ids)
+        ends = np.concatenate(([0], np.cumsum(m)))[np.concatenate(([0], np.cumsum(sizes)))]
+        valid = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [valid, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)])
+
+
 def decoder(ranks: str):
     """A function that adds to an Arrow batch with a column `ids` the column `bytes`: the binary pieces of the
     ids, joined; null for null."""
 
     def run(batch):
-        by_id = worker_value(("symbols", ranks), lambda: {r: t for t, r in read_ranks(ranks).items()})
-        lists = batch.column(batch.schema.names.index("ids"))
-        whole = pa.array([None if x is None else b"".join(map(by_id.__getitem__, x)) for x in _lists(lists)], pa.binary())
+        pieces = worker_value(("symbols", ranks), lambda: _Strings({r: t for t, r in read_ranks(ranks).items()}))
+        whole = pieces.joined(batch.column(batch.schema.names.index("ids"))).cast(pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, "bytes"])
 
     return run
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """encoded (ids and any other columns) with a column `bytes`."""
-    run = decoder(ranks)
-    return encoded.mapInArrow(lambda batches: map(run, batches), StructType([*encoded.schema.fields]).add("bytes", BinaryType()))
-
-
-def _lists(column):
-    """Python lists of a column of lists of integers, by way of one list of all of them."""
-    flat, ends, none = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(np.asarray(column.value_lengths().fill_null(0))).tolist(), column.is_null().to_pylist()
-    for first, last, null in zip([0, *ends], ends, none):
-        yield None if null else flat[first:last]
+    """encoded (ids and any other columns but `bytes`, which is replaced) with a column `bytes`: the pieces of the ids joined;
+    empty for no ids, null for null. Rows keep their number and order; an empty table gives no rows. Spark's own functions
+    can join pieces only as hexadecimal text, at twice the memory, so numpy does it."""
+    run, encoded = decoder(ranks), encoded.drop("bytes")
+    return encoded.mapInArrow(releasing(lambda batches: map(run, batches)), StructType([*encoded.schema.fields]).add("bytes", BinaryType()))
 
 
 def _digests(batch):
     c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-    return pa.RecordBatch.from_pydict({
-        "doc_id": c["doc_id"],
-        "n_tokens": c["ids"].value_lengths().cast(pa.int64()),
-        "ids_sha256": pa.array([hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in _lists(c["ids"])]),
-        "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in c["bytes"].to_pylist()]),
-    })
+    decimal = worker_value("decimals", lambda: _Strings({i: b"%d," % i for i in range(1 << 16)}))
+    sha = lambda column, drop: pa.array([hashlib.sha256(x.as_buffer()[: x.as_buffer().size - drop]).hexdigest() if x.as_buffer().size else hashlib.sha256().hexdigest() for x in column])
+    return pa.RecordBatch.from_pydict({"doc_id": c["doc_id"], "n_tokens": c["ids"].value_lengths().cast(pa.int64()), "ids_sha256": sha(decimal.joined(c["ids"]), 1), "decoded_sha256": sha(c["bytes"], 0)})
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded_column, stored, table, worker_value
+from .common import encoded_column, releasing, stored, table, worker_value
 
 #: Pieces of a shard on average.
 SHARD = 1 << 16
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                             out[name].append(x)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- packing -------------------------------------------------------------------------------
@@ -231,7 +231,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
         b, at = pack(t["length"].to_numpy(), capacity)
         return t.drop_columns(["shard"]).append_column("sequence_id", pa.array(b + (key[0].as_py() << 32))).append_column("offset", pa.array(at))
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # with the row's place in the stored table, so that equal rows are dealt over all shards
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
