@@ -436,12 +436,85 @@ def test_wrapper_keeps_marked_articles_of_near_copies(spark):
 
 
 def test_tree_matching_is_order_preserving():
-    a = '["#",["div","p","ul",["div","p"]]]'
-    b = '["#",["div","h1","p",["div","p"],"ul"]]'
+    a = html.shape_of([("#", -1), ("div", 0), ("p", 1), ("ul", 1), ("div", 1), ("p", 4)])
+    b = html.shape_of([("#", -1), ("div", 0), ("h1", 1), ("p", 1), ("div", 1), ("p", 4), ("ul", 1)])
     to = html.aligned(a, b)
     assert to[:3] == (0, 1, 3) and len(to) == 6 and (to[3] == -1) != (to[4] == -1)
 
 
+def test_tree_matching_maps_as_much_as_possible():
+    """Against all order-preserving mappings, by plain recursion, on small random trees."""
+    rng = random.Random(2)
+
+    def tree(n):
+        flat = [("#", -1)]
+        for i in range(1, n):
+            flat.append((rng.choice("ab"), rng.randrange(max(0, i - 3), i)))
+        # numbered depth first
+        children = [[j for j in range(n) if flat[j][1] == i] for i in range(n)]
+        order, todo = [], [0]
+        while todo:
+            i = todo.pop()
+            order.append(i)
+            todo += reversed(children[i])
+        return [(flat[i][0], order.index(flat[i][1]) if i else -1) for i in order]
+
+    def most(x, y, i, j):
+        if x[i][0] != y[j][0]:
+            return 0
+        p, q = ([k for k in range(len(t)) if t[k][1] == at] for t, at in ((x, i), (y, j)))
+
+        def rows(a, b):
+            return 0 if a == len(p) or b == len(q) else max(rows(a + 1, b), rows(a, b + 1), most(x, y, p[a], q[b]) + rows(a + 1, b + 1))
+
+        return 1 + rows(0, 0)
+
+    for _ in range(60):
+        x, y = tree(rng.randint(1, 8)), tree(rng.randint(1, 8))
+        to = html.aligned(html.shape_of(x), html.shape_of(y))
+        pairs = [(i, j) for i, j in enumerate(to) if j >= 0]
+        assert len(pairs) == most(x, y, 0, 0)
+        assert all(x[i][0] == y[j][0] and (i == 0 or to[x[i][1]] == y[j][1]) for i, j in pairs) and [j for _, j in pairs] == sorted({j for _, j in pairs})
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ('<body class="single has-sidebar"><div><p>A story.</p></div></body>', "A story."),
+        ('<article class="post social-science"><p>A story.</p></article>', "A story."),
+        ('<div class="elementor-widget-container"><p>A story.</p></div>', "A story."),
+        ('<div class="widget-container"><p>A story that is most of the page.</p></div><div class="widget">Like us</div>', "A story that is most of the page."),
+        ('<p title="a hidden gem">Seen.</p><p hidden>Not seen.</p><p style="color:red; display: none">Nor this.</p>', "Seen."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "So x=2 holds."),
+        ("<article><p>Read on</p></article><div><p>The long story that stands outside of it.</p><p>With its end.</p></div>", "Read on\nThe long story that stands outside of it.\nWith its end."),
+        ("<article><p>Short.</p></article><div class='comment-list'><p>A reader's comment that is longer than all of it.</p></div>", "Short."),
+        ("<p>One.</p><div id=sidebar-left><p>Links</p></div><section class='site-footer'>Imprint</section>", "One."),
+    ],
+)
+def test_what_names_and_marks_decide(spark, source, want):
+    assert html.extract_main_text(spark.createDataFrame([(1, "http://a/", source)], PAGES)).first()["text"] == want
+
+
+def test_pages_of_any_depth(spark):
+    deep = "<div>" * 5000 + "<p>The bottom.</p>" + "</div>" * 5000
+    rows = [(i, "http://d.org/", deep.replace("bottom", f"bottom {i}") + "<p>Top</p>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"The bottom {i}." for i in range(5)}
+
+
+def test_functions_of_executors_pickle_by_value():
+    """What runs on executors can be read where the package is not."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    some = [html._parsed, html._texts, html._extract, suffixes._shard(400, 8), substrings._survivors(13, 8), bpe._bundles("x", True), bpe._gather("x"), language_model._bundles]
+    code = "import pickle, sys; print(len(pickle.loads(sys.stdin.buffer.read())))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(some), capture_output=True, cwd="/", env={"PATH": "/usr/bin:/bin"})
+    assert done.returncode == 0 and done.stdout.strip() == b"8", done.stderr.decode()[-500:]
+
+
 @pytest.mark.parametrize("share", [4, 8])
 def test_wrapper_of_several_templates(spark, share):
     rows = [page(i, f"<p>Body {i}.</p>") for i in range(8)]
