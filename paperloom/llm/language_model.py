@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, encoded_column, mix, parts, stored, table
+from .common import Words, chunks, encoded_column, grouped, mix, parts, releasing, stored, table, text_bytes
 from .spans import pack, part_of, unpack
 
 #: Text of a bundle, in bytes.
@@ -469,7 +469,7 @@ def train(prepared: DataFrame, lexicon: Lexicon, how: Training) -> np.ndarray:
     net, slices = Network.fresh(how.hidden, lexicon), 8
     for turn in range(how.rounds):
         kind = "slice int, n long, w binary"
-        each = prepared.mapInArrow(_trained(net.flat, how, turn, slices), kind).withColumn("g", F.pmod(F.xxhash64("w"), F.lit(32)).cast("int"))
+        each = prepared.mapInArrow(releasing(_trained(net.flat, how, turn, slices)), kind).withColumn("g", F.pmod(F.xxhash64("w"), F.lit(32)).cast("int"))
         got = each.groupBy("slice", "g").applyInArrow(_added, kind).groupBy("slice").applyInArrow(_added, kind).collect()
         if got:
             net = Network(how.hidden, np.concatenate([np.frombuffer(r["w"], np.float64) / r["n"] for r in sorted(got, key=lambda r: r["slice"])]))
@@ -508,14 +508,15 @@ def score_documents(docs: DataFrame, how: Training = Training()) -> DataFrame:
     held out of all that is learned; a null doc_id counts as the text "None". A null or empty text is its end
     alone. Repeated rows count as often as they occur; other columns are ignored; an empty table gives no rows.
     """
-    n = parts(docs.sparkSession)
-    bundles = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles, "bundle long, body binary"), "bundles")
-    counted = stored(bundles.mapInArrow(_asked(n), "part int, bundle long, body binary").groupBy("part").applyInArrow(_counted, COUNTED), "counts")
+    n = parts(docs.sparkSession, text_bytes(docs))
+    bundles = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(_bundles), "bundle long, body binary"), "bundles")
+    asked = bundles.mapInArrow(releasing(_asked(n)), "part int, bundle long, body binary")
+    counted = stored(grouped(asked, n, "part").applyInArrow(_counted, COUNTED), "counts")
     lexicon = _lexicon(counted)
     replies = counted.where("bundle >= 0")
     prepared = stored(bundles.groupBy("bundle").cogroup(replies.groupBy("bundle")).applyInArrow(_prepared(lexicon, n), PREPARED), "prepared")
     flat = train(prepared, lexicon, how)
-    return prepared.mapInArrow(_scored(flat, how.hidden, lexicon.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return prepared.mapInArrow(releasing(_scored(flat, how.hidden, lexicon.tokens)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,6 +325,36 @@ def test_language_model_beats_the_base(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
 
 
+def test_language_model_base_scores(spark, texts):
+    """Counts and the base score of every document, by plain counting."""
+    some = dict(list(texts.items())[:80]) | {900: None, 901: "", 902: "ÀB  Cd\tcd", 903: "cd " * 500}
+    rows = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_model.score_documents(rows, language_model.Training(rounds=1)).collect()}
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: [*(t or "").encode().translate(lower).split(), None] for i, t in some.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in some}
+    count = Counter(w for i, x in tokens.items() if not held[i] for w in x)
+    n, v = sum(count.values()), len(count)
+    for i, x in tokens.items():
+        base = sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(x), sum(count[w] > 0 for w in x), n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+
+
+def test_suffixes_of_rows_that_share_an_id(spark):
+    """Different texts of one id, rows without one and repeated rows are documents of their own."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, other = text(947), text(600)
+    rows = [(1, text(700)), (1, text(90) + shared), (2, shared + text(50)), (None, other + text(30)), (None, text(20) + other), (3, "twice " * 100), (3, "twice " * 100), (4, None)]
+    got = suffixes.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = sorted([(1, 700, 0), (1, 1037, 947), (2, 997, 947), (-1, 630, 600), (-1, 620, 600), (3, 600, 600), (3, 600, 600), (4, 0, 0)])
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == want
+    kept = suffixes.without_repeats(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, part int")).collect()
+    assert {r["part"]: len(r["text"]) for r in kept} == {0: 700, 1: 90, 2: 50, 3: 30, 4: 20, 5: 0, 6: 0, 7: 0}
+
+
 def test_language_model_trains_three_rounds():
     assert language_model.Training().rounds == 3
 
