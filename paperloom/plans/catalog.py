@@ -266,13 +266,13 @@ def page_label(spark, d):
     return search.page_label(_cited(spark, d))
 
 
-def packed_sql(s: chunking.ChunkSizes = chunking.ChunkSizes()) -> str:
-    """packed (doc_id, chunk_no, first, last) of marked (doc_id, i, tok, brk), for WITH RECURSIVE: one chunk a step. A chunk
+def packed_sql(s: chunking.ChunkSizes = chunking.ChunkSizes(), rows: str = "marked") -> str:
+    """packed (doc_id, chunk_no, first, last) of rows (doc_id, i, tok, brk), for WITH RECURSIVE: one chunk a step. A chunk
     begins at `first`, or at `fresh`, its first new sentence, if the kept ones leave that no room; it ends at the first place
     where a break, the target, a sentence that no longer fits, or the end of the document closes it."""
     kept = f"CASE WHEN NOT cut AND {s.overlap} > 0 AND last - first >= {s.overlap} THEN last + 1 - {s.overlap} ELSE last + 1 END"
-    return f"""sums AS (SELECT doc_id, i, brk, sum(tok) OVER w AS upto, sum(tok) OVER w - tok AS before, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-jumps AS (SELECT doc_id, -1 AS chunk_no, 0 AS first, -1 AS last, 0 AS begin, 0 AS fresh FROM marked WHERE i = 0
+    return f"""sums AS (SELECT doc_id, i, brk, sum(tok) OVER w AS upto, sum(tok) OVER w - tok AS before, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM {rows} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+jumps AS (SELECT doc_id, -1 AS chunk_no, 0 AS first, -1 AS last, 0 AS begin, 0 AS fresh FROM {rows} WHERE i = 0
   UNION ALL SELECT doc_id, chunk_no, first, last, {kept} AS begin, last + 1 AS fresh FROM (
     SELECT doc_id, chunk_no, first, min(i) AS last, arg_min(brk AND size >= {s.least}, i) AS cut FROM (
       SELECT j.doc_id, j.chunk_no + 1 AS chunk_no, b.i AS first, e.i, e.brk, e.next, e.upto - b.before AS size
@@ -283,18 +283,6 @@ jumps AS (SELECT doc_id, -1 AS chunk_no, 0 AS first, -1 AS last, 0 AS begin, 0 A
 packed AS (SELECT doc_id, chunk_no, first, last FROM jumps WHERE chunk_no >= 0)"""
 
 
-@query()
-def semantic_breaks(spark, d):
-    """Tested against a fold in Python."""
-    return chunking.semantic_breaks(chunking.hard_split(chunking.sentences(_docs(spark, d)), 256))
-
-
-@query()
-def pack_chunks(spark, d):
-    """Tested against a fold in Python."""
-    return chunking.chunks(_pages(spark, d))
-
-
 @query("SELECT doc_id, 0 AS sent_no, 0 AS start FROM documents WHERE false")
 def uncovered_sentences(spark, d):
     sents = chunking.hard_split(chunking.sentences(_docs(spark, d)), 256)
@@ -305,12 +293,19 @@ def uncovered_sentences(spark, d):
 
 _CRC = """crc(n, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
 lut AS (SELECT list(c ORDER BY n) AS l FROM crc WHERE k = 8)"""
-_HASHED = f"""toks AS (SELECT item_id, {_tok("text")} AS t FROM benchmark),
-feats AS (SELECT item_id, unnest(list_concat(t, CASE WHEN len(t) < 2 THEN [] ELSE list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]) END)) AS f FROM toks),
-tf AS (SELECT item_id, f, count(*) AS n FROM feats GROUP BY ALL),
-hashes AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(f, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(l[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM (SELECT DISTINCT f FROM tf), lut),
-cells AS (SELECT item_id, (h % 384)::INTEGER AS bucket, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END * (1 + ln(n))) AS v FROM tf JOIN hashes USING (f) GROUP BY ALL),
-unit AS (SELECT item_id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS value FROM cells)"""
+
+
+def _hashed_sql(rows: str, keys: str, p: str = "") -> str:
+    """<p>unit (keys, bucket, value): unit vectors of the hashed features of rows (keys, text)."""
+    return f"""{p}toks AS (SELECT {keys}, {_tok("text")} AS t FROM ({rows})),
+{p}feats AS (SELECT {keys}, unnest(list_concat(t, CASE WHEN len(t) < 2 THEN [] ELSE list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]) END)) AS f FROM {p}toks),
+{p}tf AS (SELECT {keys}, f, count(*) AS n FROM {p}feats GROUP BY ALL),
+{p}hashes AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(f, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(l[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM (SELECT DISTINCT f FROM {p}tf), lut),
+{p}cells AS (SELECT {keys}, (h % 384)::INTEGER AS bucket, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END * (1 + ln(n))) AS v FROM {p}tf JOIN {p}hashes USING (f) GROUP BY ALL),
+{p}unit AS (SELECT {keys}, bucket, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY {keys})), 0), 0) AS value FROM {p}cells)"""
+
+
+_HASHED = _hashed_sql("SELECT item_id, text FROM benchmark", "item_id")
 
 
 @query(f"WITH RECURSIVE {_CRC}, {_HASHED} SELECT item_id, bucket, round(value, 6) AS value FROM unit WHERE abs(value) > 1e-9")
@@ -319,6 +314,33 @@ def hash_features(spark, d):
     return v.where(F.abs("value") > 1e-9).withColumn("value", F.round("value", 6))
 
 
+# sentences cut into pieces of at most 256 words, the cosine of each one's surroundings with the next one's, and breaks
+BREAKS_SQL = rf"""{SENTENCES_SQL}, runs AS (SELECT doc_id, start, sentence, regexp_extract_all(sentence, '\S+\s*') AS r FROM sents),
+words_at AS (SELECT doc_id, start, sentence, unnest(r) AS w, generate_subscripts(r, 1) AS k FROM runs),
+ends_at AS (SELECT *, sum(length(w)) OVER (PARTITION BY doc_id, start ORDER BY k) AS upto FROM words_at),
+cut_at AS (SELECT doc_id, start, sentence, (k - 1) // 256 AS g, min(upto - length(w)) AS a, max(upto - length(w) + length(rtrim(w, ' ' || chr(9) || chr(10) || chr(13)))) AS b, count(*) AS tok FROM ends_at GROUP BY ALL),
+split AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start, g) - 1)::INTEGER AS i, (start + a)::INTEGER AS start, (start + b)::INTEGER AS stop, tok::BIGINT AS tok, substr(sentence, a::INTEGER + 1, (b - a)::INTEGER) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM cut_at),
+around AS (SELECT doc_id, i, string_agg(s, ' ' ORDER BY i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS text FROM split WHERE n >= 4),
+{_hashed_sql("SELECT doc_id, i, text FROM around", "doc_id, i", "s_")},
+near AS (SELECT a.doc_id, a.i, round(coalesce(x, 0), 9) AS similarity FROM around a JOIN around z ON z.doc_id = a.doc_id AND z.i = a.i + 1
+  LEFT JOIN (SELECT p.doc_id, p.i, sum(p.value * q.value) AS x FROM s_unit p JOIN s_unit q ON q.doc_id = p.doc_id AND q.i = p.i + 1 AND q.bucket = p.bucket GROUP BY ALL) d ON d.doc_id = a.doc_id AND d.i = a.i),
+breaks AS (SELECT *, similarity < quantile_cont(similarity, 0.2) OVER (PARTITION BY doc_id) AS is_break FROM near)"""
+
+
+@query(f"WITH RECURSIVE {_CRC}, {BREAKS_SQL} SELECT doc_id, i AS sent_no, round(similarity, 6) AS similarity, is_break FROM breaks")
+def semantic_breaks(spark, d):
+    found = chunking.semantic_breaks(chunking.hard_split(chunking.sentences(_docs(spark, d)), 256))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH RECURSIVE {_CRC}, {BREAKS_SQL}, flagged AS (SELECT s.doc_id, s.i, tok, coalesce(is_break, false) AS brk FROM split s LEFT JOIN breaks b ON b.doc_id = s.doc_id AND b.i = s.i), {packed_sql(rows="flagged")}
+SELECT p.doc_id || ':' || lpad(chunk_no::VARCHAR, 4, '0') AS chunk_id, p.doc_id, chunk_no, a.start AS char_start, b.stop AS char_end,
+  trim(regexp_replace(substr(d.text, a.start + 1, b.stop - a.start), '\\s+', ' ', 'g')) AS text
+FROM packed p JOIN split a ON a.doc_id = p.doc_id AND a.i = p.first JOIN split b ON b.doc_id = p.doc_id AND b.i = p.last JOIN documents d ON d.doc_id = p.doc_id""")
+def pack_chunks(spark, d):
+    return chunking.chunks(_pages(spark, d))
+
+
 @query("SELECT item_id, 1.0::DOUBLE AS norm, 384 AS dim FROM benchmark")
 def hash_vectors_unit(spark, d):
     v = embedding.dense_vectors(_t(spark, d, "benchmark").select("item_id", "text"), ["item_id"])
@@ -347,9 +369,16 @@ def dense_topk_scoped(spark, d):
     return search.dense(v, q, top=10, scope="label")
 
 
-@query()
+def _cosine_sql(top: int, name: str) -> str:
+    """name (query_id, doc_id, rank, score): the best documents of each passage by the cosine of hashed features."""
+    return f"""{_hashed_sql("SELECT item_id, text FROM benchmark", "item_id", "q_")}, {_hashed_sql("SELECT doc_id, text FROM documents", "doc_id", "d_")},
+dots AS (SELECT item_id, doc_id, sum(q.value * d.value) AS x FROM q_unit q JOIN d_unit d USING (bucket) GROUP BY ALL),
+{name} AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score
+  FROM (SELECT b.item_id AS query_id, d.doc_id, round(coalesce(x, 0), 4) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN dots USING (item_id, doc_id))) WHERE rank <= {top})"""
+
+
+@query(f"WITH RECURSIVE {_CRC}, {_cosine_sql(5, 'best')} SELECT * FROM best")
 def hash_cosine_topk(spark, d):
-    """Tested against numpy."""
     return search.hashed(_docs(spark, d), "doc_id", _asked(spark, d), top=5)
 
 
@@ -357,6 +386,7 @@ def hash_cosine_topk(spark, d):
 
 
 def _bm25_sql(tokens, mean: str, top: int, name: str = "bm25", scope: bool = False) -> str:
+    decimals = 5 if tokens is _words else 9
     s, part = ("source, ", "PARTITION BY source") if scope else ("", "")
     on = "USING (term, source)" if scope else "USING (term)"
     asked = "SELECT item_id, source, text FROM benchmark, (SELECT DISTINCT source FROM documents)" if scope else "SELECT item_id, text FROM benchmark"
@@ -365,7 +395,7 @@ def _bm25_sql(tokens, mean: str, top: int, name: str = "bm25", scope: bool = Fal
 {name}_p AS (SELECT doc_id, {s}term, count(*) AS tf FROM (SELECT doc_id, {s}unnest(t) AS term FROM {name}_t) GROUP BY ALL),
 {name}_d AS (SELECT term, {s}count(*) AS df FROM {name}_p GROUP BY ALL),
 {name}_q AS (SELECT DISTINCT item_id, {s}unnest({tokens("text")}) AS term FROM ({asked})),
-{name}_s AS (SELECT item_id AS query_id, p.doc_id, {s}round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / ({mean})))), 4) AS score
+{name}_s AS (SELECT item_id AS query_id, p.doc_id, {s}round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / ({mean})))), {decimals}) AS score
   FROM {name}_q JOIN {name}_d {on} JOIN {name}_p p {on} JOIN (SELECT doc_id, dl, n, a FROM {name}_l) USING (doc_id) GROUP BY ALL),
 {name} AS (SELECT * FROM (SELECT query_id, {s}doc_id, row_number() OVER (PARTITION BY {s}query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM {name}_s WHERE score > 0) WHERE rank <= {top})"""
 
@@ -414,9 +444,10 @@ def rrf_fuse(spark, d):
     return search.reciprocal_rank_fusion([a, b], "doc_id", weights=[2.0, 1.0]).withColumn("rrf", F.round("rrf", 9))
 
 
-_FUSED_SQL = f"""{_BOTH_SQL}, f AS (SELECT coalesce(ra.query_id, rb.query_id) AS query_id, coalesce(ra.doc_id, rb.doc_id) AS doc_id, ra.rank AS dense_rank, ra.score AS dense_score, rb.rank AS sparse_rank, rb.score AS sparse_score,
+_MERGED_SQL = """f AS (SELECT coalesce(ra.query_id, rb.query_id) AS query_id, coalesce(ra.doc_id, rb.doc_id) AS doc_id, ra.rank AS dense_rank, ra.score AS dense_score, rb.rank AS sparse_rank, rb.score AS sparse_score,
   round(coalesce(1.0::DOUBLE / (60 + ra.rank), 0) + coalesce(1.0::DOUBLE / (60 + rb.rank), 0), 9) AS rrf FROM ra FULL JOIN rb ON ra.query_id = rb.query_id AND ra.doc_id = rb.doc_id),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST, doc_id)::INTEGER AS fused_rank FROM f) WHERE fused_rank <= 30)"""
+_FUSED_SQL = f"{_BOTH_SQL}, {_MERGED_SQL}"
 
 
 @query(f"WITH {_FUSED_SQL} SELECT * FROM fused")
@@ -433,15 +464,18 @@ def _pairs(t: str) -> str:
     return f"list_distinct(CASE WHEN len({t}) < 2 THEN [] ELSE list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]) END)"
 
 
-@query(f"""WITH {_FUSED_SQL}, x AS (SELECT f.query_id, f.doc_id, fused_rank, {_tok("b.text")} AS q, {_tok("d.text")} AS t FROM fused f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id),
-y AS (SELECT query_id, doc_id, fused_rank, round({_share("list_distinct(q)", "list_distinct(t)")} + 0.5 * ({_share(_pairs("q"), _pairs("t"))}), 4) AS score FROM x)
-SELECT query_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank)::INTEGER AS rank FROM y) WHERE rank <= 5""")
+_RERANKED_SQL = f"""x AS (SELECT f.*, {_tok("b.text")} AS q, {_tok("d.text")} AS t FROM fused f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id),
+y AS (SELECT * EXCLUDE (q, t), round({_share("list_distinct(q)", "list_distinct(t)")} + 0.5 * ({_share(_pairs("q"), _pairs("t"))}), 4) AS score FROM x),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank)::INTEGER AS rank FROM y) WHERE rank <= 5)"""
+
+
+@query(f"WITH {_FUSED_SQL}, {_RERANKED_SQL} SELECT query_id, doc_id, rank, score FROM best")
 def lexical_rerank(spark, d):
     a, b = _rankings(spark, d)
     return search.reranked(search.fused(a, b, "doc_id"), _docs(spark, d), _asked(spark, d), "doc_id", 5).select("query_id", "doc_id", "rank", "score")
 
 
-@query()
+@query(f"WITH RECURSIVE {_CRC}, {_cosine_sql(30, 'ra')}, {_bm25_sql(_words, _LIVE, 30, 'rb')}, {_MERGED_SQL}, {_RERANKED_SQL} SELECT query_id, doc_id, rank, score, rrf, dense_rank, sparse_rank FROM best")
 def hybrid_search(spark, d):
     docs = _docs(spark, d)
     return search.hybrid(docs, "doc_id", index.build(docs, "doc_id", "live"), _asked(spark, d)).select("query_id", "doc_id", "rank", "score", "rrf", "dense_rank", "sparse_rank")
@@ -454,7 +488,9 @@ def post_filter_docs(spark, d):
     return search.in_documents(found, _t(spark, d, "documents").where("lang = 'en'").select("doc_id"), 5)
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, {_tok("text")} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL),
+s AS (SELECT item_id AS query_id, doc_id, round(sum(tf) / (1 + ln(len(t))), 4) AS score FROM (SELECT DISTINCT item_id, unnest({_tok("text")}) AS term FROM benchmark) JOIN p USING (term) JOIN t USING (doc_id) GROUP BY item_id, doc_id, t)
+SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM s) WHERE rank <= 5""")
 def overlap_topk(spark, d):
     return search.overlap_search(_docs(spark, d), "doc_id", _asked(spark, d), 5)
 
