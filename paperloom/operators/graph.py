@@ -52,8 +52,11 @@ def top_entities(found: DataFrame, top: int = 80) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def nodes(top: DataFrame) -> DataFrame:
-    return top.select("doc_id", stable_id(F.col("key")).alias("node_id"), "key", "text", "etype", "freq", "rank")
+def nodes(top: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Nodes of the top entities; with what entity_pages gave, their pages."""
+    if pages is not None:
+        top = top.join(pages, ["doc_id", "key"], "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<int>")))
+    return top.select("doc_id", stable_id(F.col("key")).alias("node_id"), "key", "text", "etype", "freq", "rank", *(["pages"] if pages is not None else []))
 
 
 def entity_pages(chunks: DataFrame, spans: DataFrame) -> DataFrame:

@@ -37,6 +37,11 @@ def build(texts: DataFrame, key: str, kind: str = "live", scope: str | None = No
     return Index(kind, key, postings, lengths, stats, scope)
 
 
+def of_tables(postings: DataFrame, lengths: DataFrame, key: str, kind: str = "live") -> Index:
+    """The index of stored postings (term, key, tf) and lengths (key, dl), with the statistics of the rows that are in them."""
+    return Index(kind, key, postings, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")))
+
+
 def document_frequency(index: Index) -> DataFrame:
     scopes = [index.scope] if index.scope else []
     return index.postings.groupBy("term", *scopes).agg(F.count("*").alias("df"))

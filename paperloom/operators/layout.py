@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words of a page with their places on it and in its text.
+WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double,start:int,end:int>>"
+
+
 def overlapping(words: Column, start: Column, end: Column) -> Column:
     return F.filter(words, lambda w: (w["end"] > start) & (w["start"] < end))
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, embedding, graph, index, layout, pages as page_ops, search, tables
-from ..sources.store import Store, list_documents
+from ..sources.store import TABLES, Store, list_documents
 from ..streaming import ingest, progress
+from ..streaming.ingest import PAGES
 
 LIMITS = {"query": (1, 2000), "top_k": (1, 20)}
 
@@ -26,39 +27,52 @@ class Settings:
     candidates: int = 30
 
     def __post_init__(self):
-        if self.embedder != "hashing" or self.reranker not in ("lexical", "none"):
-            raise ValueError("embedder must be 'hashing', reranker 'lexical' or 'none'; others are passed as functions")
+        if self.reranker not in ("lexical", "none"):
+            raise ValueError("reranker must be 'lexical' or 'none'; another one is passed to the engine as a function")
 
 
 class Engine:
     """Tables in a folder and what can be asked of them. scorer: a reranker (query, text) -> Column in place of the lexical
-    one, such as a pandas UDF around a cross-encoder."""
+    one, such as a pandas UDF around a cross-encoder. embed: a function (text) -> Column of array<float> in place of hashed
+    features, such as a pandas UDF around a model, whose batches are Arrow's; embed_query: another one for queries."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, scorer=search.lexical_score):
-        self.spark, self.settings, self.scorer = spark, settings, scorer
+    def __init__(self, spark: SparkSession, settings: Settings, scorer=search.lexical_score, embed=None, embed_query=None):
+        self.spark, self.settings, self.scorer, self.embed, self.embed_query = spark, settings, scorer, embed, embed_query or embed
         self.store = Store(spark, settings.path, settings.buckets)
 
     def info(self) -> dict:
         s = self.settings
-        return {"embedder": s.embedder, "reranker": s.reranker, "tables": [t for t in ("pages", "chunks", "postings", "nodes", "edges", "progress") if self.store.exists(t)]}
+        return {"embedder": s.embedder if self.embed is None else "a function", "reranker": s.reranker, "tables": [t for t in TABLES if self.store.exists(t)]}
+
+    def _embedder(self, texts: DataFrame) -> DataFrame:
+        return ingest.hashing(texts) if self.embed is None else texts.withColumn("embedding", self.embed(F.col("text"))).drop("text")
 
     def ingest(self, pages: DataFrame, batch: int = 0) -> None:
-        """Pages (doc_id, page_no, text) into chunks, postings and a graph; documents already there are replaced."""
-        ingest.ingest_batch(pages, self.store, batch, self.settings.sizes, self.settings.semantic)
-        chunks = self.store.read("chunks").join(pages.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_no", "text")
-        top = graph.top_entities(graph.entities(chunks))
-        self.store.replace("nodes", graph.nodes(top))
-        self.store.replace("edges", graph.edges(graph.cooccurrences(chunks, top)))
+        """Pages (doc_id, page_no, text; also width, height and words, for rectangles) into chunks, an index and a graph;
+        documents already there are replaced."""
+        ingest.ingest_batch(pages, self.store, batch, self.settings.sizes, self.settings.semantic, self._embedder)
+
+    def ingest_stream(self, folder: str, checkpoint: str, once: bool = True, schema: str = PAGES):
+        return ingest.start(ingest.watch(self.spark, folder, schema=schema), self.store, checkpoint, self.settings.sizes, self.settings.semantic, once, self._embedder)
+
+    def register(self, files: DataFrame) -> None:
+        """Files (doc_id, name, content) as they came; content may be null."""
+        self.store.replace("files", files.select("doc_id", "name", "content"))
+
+    def file(self, doc_id) -> DataFrame:
+        """name and content of a document's file; no row where none is registered."""
+        return self.store.document("files", doc_id).select("name", "content")
 
-    def ingest_stream(self, folder: str, checkpoint: str, once: bool = True):
-        return ingest.start(ingest.watch(self.spark, folder), self.store, checkpoint, self.settings.sizes, self.settings.semantic, once)
+    def chunks(self, chunk_ids: DataFrame) -> DataFrame:
+        """The chunks with these chunk_ids; ids that are not there are left out."""
+        return self.store.read("chunks").join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
     def progress(self) -> DataFrame:
         return progress.snapshot(self.store.read("progress"))
 
     def documents(self) -> DataFrame:
-        pages = self.store.read("pages")
-        return list_documents(pages.select("doc_id").distinct(), pages, self.store.read("chunks", "doc_id long"))
+        pages, files = self.store.read("pages"), self.store.read("files", "doc_id long, name string, content binary")
+        return list_documents(pages.select("doc_id").distinct().join(files.select("doc_id", "name"), "doc_id", "left"), pages, self.store.read("chunks", "doc_id long"))
 
     def graph(self, doc_id) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges of a document, made from its chunks where they are not stored."""
@@ -81,14 +95,19 @@ class Engine:
         low, high = LIMITS["query"]
         n = F.length(F.coalesce("query", F.lit("")))
         asked = queries.select("query_id", F.when(n.between(low, high), F.col("query")).otherwise(F.raise_error(F.lit(f"a query must have {low} to {high} characters"))).alias("query"))
-        chunks, scope = self.store.read("chunks"), doc_ids or []
-        if len(scope) == 1 or scope and pushdown:
-            if len(scope) == 1 and self.store.document("pages", scope[0]).isEmpty():
+        read, scope = self.store.read, doc_ids or []
+        if len(scope) == 1:
+            if self.store.document("pages", scope[0]).isEmpty():
                 raise KeyError(scope[0])
-            chunks = chunks.where(F.col("doc_id").isin(scope))
+            read = lambda name: self.store.document(name, scope[0])
+        elif scope and pushdown:
+            read = lambda name: self.store.read(name).where(F.col("doc_id").isin(scope))
         later = len(scope) > 1 and not pushdown
-        built = index.build(chunks, "chunk_id", "live")
-        found = search.hybrid(chunks.select("chunk_id", "text"), "chunk_id", built, asked, top_k * 3 if later else top_k, self.settings.candidates, mode, self.settings.reranker != "none")
+        # what ingestion has stored: only postings of the queries' terms are counted, and no text is read before the candidates are known
+        chunks, built = read("chunks"), index.of_tables(read("postings").drop("doc_id"), read("lengths").drop("doc_id"), "chunk_id")
+        wanted = asked.select("query_id", F.col("query").alias("text"))
+        vectors = embedding.dense_vectors(wanted, ["query_id"]) if self.embed_query is None else wanted.select("query_id", self.embed_query(F.col("text")).alias("embedding"))
+        found = search.hybrid(chunks.select("chunk_id", "text"), "chunk_id", built, asked, top_k * 3 if later else top_k, self.settings.candidates, mode, self.settings.reranker != "none", self.scorer, read("vectors").select("chunk_id", "embedding"), vectors)
         found = found.join(chunks.select("chunk_id", "doc_id", "text", "spans"), "chunk_id")
         if later:
             found = search.in_documents(found, self.spark.createDataFrame([(d,) for d in scope], "doc_id long"), top_k)
@@ -96,14 +115,16 @@ class Engine:
 
     def _cited(self, found: DataFrame) -> DataFrame:
         spans = found.select("query_id", "chunk_id", "doc_id", F.explode_outer("spans").alias("s")).select("query_id", "chunk_id", "doc_id", F.col("s.page").alias("page_no"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
-        cited = search.citations(spans.drop("query_id").distinct(), self.store.read("pages"))
-        each = cited.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "span_start", "span_end", "text"))).alias("citations"))
+        pages, spans = self.store.read("pages"), spans.drop("query_id").distinct()
+        rects = {"width", "height", "words"} <= set(pages.columns)
+        cited = search.citation_rects(spans, pages) if rects else search.citations(spans, pages)
+        each = cited.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct(*cited.drop("chunk_id", "doc_id").columns))).alias("citations"))
         return found.drop("spans").join(each, "chunk_id", "left")
 
-    def highlights(self, chunk_id: str) -> DataFrame:
-        """The pages and places of a chunk."""
+    def highlights(self, chunk_id: str, page_no: int | None = None) -> DataFrame:
+        """The pages and places of a chunk, with rectangles where pages have words; on one page, if it is said."""
         chunk = self.store.read("chunks").where(F.col("chunk_id") == chunk_id)
-        return self._cited(chunk.select(F.lit(0).alias("query_id"), "chunk_id", "doc_id", "text", "spans")).select(F.explode("citations").alias("c")).select("c.*")
+        return self._cited(chunk.select(F.lit(0).alias("query_id"), "chunk_id", "doc_id", "text", "spans")).select(F.explode("citations").alias("c")).select("c.*").where(F.lit(True) if page_no is None else F.col("page_no") == page_no)
 
     # the document tools, by the names they have there
     tools = {

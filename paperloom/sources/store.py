@@ -16,6 +16,10 @@ def settled(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: What an ingested corpus consists of.
+TABLES = ("files", "pages", "chunks", "postings", "lengths", "vectors", "nodes", "edges", "progress", "failed")
+
+
 class Store:
     """Tables under a path. Documents are dealt over buckets by a hash of doc_id, each a partition folder; replacing
     documents rewrites the buckets that hold them and no others."""
@@ -28,8 +32,9 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def exists(self, name: str) -> bool:
+        """Whether a table has rows: written without any, it has a folder with marks only."""
         fs, p = self._fs(f"{self.path}/{name}")
-        return fs.exists(p)
+        return fs.exists(p) and any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(p))
 
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(self.buckets)).cast("int"))
@@ -47,23 +52,47 @@ class Store:
         bucket = F.pmod(F.xxhash64(F.lit(str(doc_id))), F.lit(self.buckets)).cast("int")
         return self.spark.read.parquet(f"{self.path}/{name}").where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id)).drop("bucket")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Rows of these documents in place of all they had. The new buckets are written aside first, so that a failed
-        write leaves the table as it was."""
-        new = self._bucketed(rows)
+    def aside(self, rows: DataFrame) -> str:
+        """Writes rows under a name of their own, to be read again and removed."""
+        path = f"{self.path}/.aside-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return path
+
+    def remove(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def replace(self, name: str, rows: DataFrame, documents: DataFrame | None = None) -> None:
+        """Rows of these documents (a table of doc_id; those of the rows, if not given) in place of all they had: one that now
+        has none loses them. The new buckets are written aside first, so that a failed write leaves the table as it was."""
+        new, ids = self._bucketed(rows), (rows if documents is None else documents).select("doc_id").distinct()
         if self.exists(name):
             old = self.spark.read.parquet(f"{self.path}/{name}")
-            touched = new.select("bucket").distinct()
-            kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
+            touched = self._bucketed(ids).select("bucket").distinct()
+            kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(ids, "doc_id", "left_anti")
             new = kept.unionByName(new, allowMissingColumns=True)
-        aside = f"{self.path}/.{name}-{uuid.uuid4().hex}"
-        new.write.parquet(aside)
+            if documents is not None:
+                # a bucket whose last rows go has nothing to be written over with
+                self._clear(name, [r["bucket"] for r in touched.collect()], new)
+                return
+        aside = self.aside(new)
         self.spark.read.parquet(aside).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
-        fs, p = self._fs(aside)
-        fs.delete(p, True)
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.path}/{name}")
+        self.remove(aside)
+
+    def _clear(self, name: str, touched: list[int], new: DataFrame) -> None:
+        """Writes the touched buckets anew, and removes those that are now empty. There are at most as many as buckets."""
+        aside = self.aside(new)
+        again = self.spark.read.schema(new.schema).parquet(aside)
+        left = {r["bucket"] for r in again.select("bucket").distinct().collect()}
+        again.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        for bucket in touched:
+            if bucket not in left:
+                self.remove(f"{self.path}/{name}/bucket={bucket}")
+        self.remove(aside)
+
+    def put(self, name: str, rows: DataFrame, part: str) -> None:
+        """Rows in place of those with the same values of the column `part`: written again, they are there once."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{self.path}/{name}")
 
     def ids(self, name: str = "pages") -> DataFrame:
         return self.read(name).select("doc_id").distinct().orderBy("doc_id")
@@ -71,7 +100,7 @@ class Store:
     def bootstrap(self, database: str = "paperloom") -> None:
         """A database with the tables that are there, for SQL."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-        for name in ("pages", "chunks", "postings", "nodes", "edges", "progress"):
+        for name in TABLES:
             if self.exists(name):
                 self.spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} USING parquet LOCATION '{self.path}/{name}'")
 
@@ -81,6 +110,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
+def write_jdbc(rows: DataFrame, url: str, name: str, properties: dict | None = None) -> None:
+    """Rows appended to a table of a database, batch by batch, from all tasks at once. Upserts are a matter of that table: let it
+    have a staging table, or a rule for rows whose key is there."""
+    rows.write.mode("append").jdbc(url, name, properties=properties or {})
+
+
 def read_pdf_pages(spark: SparkSession, paths: str, extract) -> DataFrame:
     """path, page_no, text, width, height of PDF files. extract(bytes) gives (text, width, height) of each page; no PDF
     library is part of this package."""
@@ -100,7 +135,7 @@ def read_pdf_pages(spark: SparkSession, paths: str, extract) -> DataFrame:
 
 
 def list_documents(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, n_pages, n_chunks; 0 where a document has none."""
+    """doc_id, n_pages, n_chunks; 0 where a document has none; and the name, if documents have one."""
     count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    both = documents.select("doc_id").join(count(pages, "n_pages"), "doc_id", "left").join(count(chunks, "n_chunks"), "doc_id", "left")
-    return both.select("doc_id", F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"), F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))
+    both = documents.select("doc_id", *(["name"] if "name" in documents.columns else [])).join(count(pages, "n_pages"), "doc_id", "left").join(count(chunks, "n_chunks"), "doc_id", "left")
+    return both.select("doc_id", *(["name"] if "name" in documents.columns else []), F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"), F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))

@@ -1,37 +1,76 @@
-"""Streaming ingestion: landed pages to chunk, posting and progress tables, batch by batch."""
+"""Streaming ingestion: landed pages to chunk, index, graph and progress tables, batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators.chunking import ChunkSizes, chunk_spans, chunks, with_spans
-from ..operators.index import build
+from ..operators.embedding import dense_vectors
+from ..operators.index import build, with_embeddings
 from ..sources.store import Store
 
 PAGES = "doc_id long, page_no int, text string"
 
 
-def watch(spark: SparkSession, folder: str, files_each: int | None = None) -> DataFrame:
-    """A stream of page files (Parquet) that land in a folder."""
-    reader = spark.readStream.schema(PAGES)
+def watch(spark: SparkSession, folder: str, files_each: int | None = None, schema: str = PAGES) -> DataFrame:
+    """A stream of page files (Parquet) that land in a folder. schema: PAGES, or with width, height and words too."""
+    reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_each) if files_each else reader).parquet(folder)
 
 
-def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True) -> None:
-    """Chunks pages and replaces their documents in the store. A document with a page without text number or id goes to
-    `failed`, the others do not wait for it. Running a batch again gives the same tables."""
+def hashing(texts: DataFrame) -> DataFrame:
+    """The embedder of hashed features: (chunk_id, doc_id, text) to (chunk_id, doc_id, embedding)."""
+    return dense_vectors(texts, ["chunk_id", "doc_id"])
+
+
+def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, embedder=hashing) -> None:
+    """Pages into chunks, postings, vectors and a graph, which replace what their documents had in the store.
+
+    A document with a page without a number goes to `failed` with all its pages, as do pages without a document; the others
+    do not wait for it. embedder: texts (chunk_id, doc_id, text) to (chunk_id, doc_id, embedding); a chunk that it leaves without one
+    stops the batch. Each stage is told of in `progress` when it is done. Chunks are made once and read back for
+    what follows. Running a batch again gives the same tables."""
+    spark = pages.sparkSession
     bad = pages.where("doc_id is null or page_no is null")
-    good = pages.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null")
-    chunked = with_spans(chunks(good, sizes, semantic), chunk_spans(chunks(good, sizes, semantic), good))
+    wrong = bad.select("doc_id").distinct()
+    good = pages.where("doc_id is not null").join(wrong, "doc_id", "left_anti")
+    ids = good.select("doc_id").distinct()
+    number = F.lit(batch).cast("long").alias("batch_id")
+    said: list[DataFrame] = []
+
+    def tell(documents: DataFrame, stage: str, error: str | None = None) -> None:
+        said.append(documents.select(number, "doc_id", F.lit(len(said)).cast("long").alias("seq"), F.lit(stage).alias("stage"), F.lit(1).alias("processed"), F.lit(1).alias("total"), F.lit(error).cast("string").alias("error")))
+        rows = said[0]
+        for x in said[1:]:
+            rows = rows.unionByName(x)
+        store.put("progress", rows, "batch_id")
+
+    lost = pages.join(wrong, pages["doc_id"].eqNullSafe(wrong["doc_id"]), "left_semi")
+    store.put("failed", lost.withColumns({"batch_id": F.lit(batch).cast("long"), "error": F.lit("a page without a number or a document")}), "batch_id")
+    tell(wrong, "error", "a page without a number or a document")
+    tell(ids, "chunking")
     store.replace("pages", good)
-    store.replace("chunks", chunked)
-    store.replace("postings", build(chunked, "chunk_id", scope="doc_id").postings)
-    stage = lambda df, name, error: df.select("doc_id").distinct().select(F.lit(batch).cast("long").alias("batch_id"), "doc_id", F.lit(batch).cast("long").alias("seq"), F.lit(name).alias("stage"), F.lit(1).alias("processed"), F.lit(1).alias("total"), F.lit(error).cast("string").alias("error"))
-    store.append("progress", stage(good, "done", None).unionByName(stage(bad, "error", "a page without a number or a document")))
+    made = chunks(good, sizes, semantic)
+    aside = store.aside(made)
+    made = spark.read.schema(made.schema).parquet(aside)
+    store.replace("chunks", with_spans(made, chunk_spans(made, good)), ids)
+    tell(ids, "embedding")
+    store.replace("vectors", with_embeddings(made.select("chunk_id", "doc_id").join(embedder(made.select("chunk_id", "doc_id", "text")), ["chunk_id", "doc_id"], "left")), ids)
+    built = build(made, "chunk_id", scope="doc_id")
+    store.replace("postings", built.postings, ids)
+    store.replace("lengths", built.lengths, ids)
+    tell(ids, "graphing")
+    top = graph.top_entities(graph.entities(made))
+    spans = chunk_spans(made, good).join(made.select("chunk_id", "chunk_no"), "chunk_id")
+    store.replace("nodes", graph.nodes(top, graph.entity_pages(made, spans)), ids)
+    store.replace("edges", graph.edges(graph.cooccurrences(made, top)), ids)
+    tell(ids, "done")
+    store.remove(aside)
 
 
-def start(stream: DataFrame, store: Store, checkpoint: str, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, once: bool = True):
+def start(stream: DataFrame, store: Store, checkpoint: str, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, once: bool = True, embedder=hashing):
     """A streaming query that ingests every batch; once: what is there now, then it ends."""
-    writer = stream.writeStream.foreachBatch(lambda pages, batch: ingest_batch(pages, store, batch, sizes, semantic)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda pages, batch: ingest_batch(pages, store, batch, sizes, semantic, embedder)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from paperloom.plans import catalog
@@ -72,7 +73,36 @@ def test_engine(spark, tmp_path):
     assert nodes.count() >= 2 and edges.count() >= 1
     assert e.progress().first()["done"] and e.documents().count() == 2 and "chunks" in e.info()["tables"]
     assert [r["page_no"] for r in e.highlights("1:0000").collect()] == [1, 2]
+    assert [r["page_no"] for r in e.highlights("1:0000", 2).collect()] == [2]
+    assert e.chunks(spark.createDataFrame([("2:0000",), ("9:0000",)], "chunk_id string")).count() == 1
+    assert all(r["pages"] and set(r["pages"]) <= {1, 2} for r in nodes.collect())
+    e.register(spark.createDataFrame([(1, "a.pdf", b"%PDF")], "doc_id long, name string, content binary"))
+    assert {r["doc_id"]: r["name"] for r in e.documents().collect()} == {1: "a.pdf", 2: None} and e.file(1).first()["content"] == b"%PDF"
+    before = {t: e.store.read(t).count() for t in e.info()["tables"]}
+    e.ingest(pages)
+    assert {t: e.store.read(t).count() for t in e.info()["tables"]} == before
     with pytest.raises(KeyError):
         e.search(q, doc_ids=[77])
     with pytest.raises(ValueError):
         e.search(q, top_k=50)
+
+
+def test_engine_with_an_embedder_and_words(spark, tmp_path):
+    """A function in place of hashed features; rectangles of cited words; a chunk without a vector stops the batch."""
+    from paperloom.operators.layout import WORDS
+    from paperloom.plans.engine import Engine, Settings
+
+    embed = lambda t: F.array(*[F.contains(F.lower(t), F.lit(x)).cast("float") for x in ("cat", "ship")])
+    e = Engine(spark, Settings(str(tmp_path / "e"), 4, semantic=False, reranker="none"), embed=embed)
+    words = lambda t: [(w, 10.0 * i, 20.0, 10.0 * i + 8, 30.0, t.index(w), t.index(w) + len(w)) for i, w in enumerate(t.split())]
+    rows = [(d, 1, t, 600.0, 800.0, words(t)) for d, t in ((1, "Feline beasts, cats above all."), (2, "Vessels and a ship."))] + [(3, None, "lost", 1.0, 1.0, None), (3, 2, "too", 1.0, 1.0, None)]
+    e.ingest(spark.createDataFrame(rows, f"doc_id long, page_no int, text string, width double, height double, words {WORDS}"))
+    q = spark.createDataFrame([(0, "ship"), (1, "cat")], "query_id int, query string")
+    best = {r["query_id"]: r for r in e.search(q, "dense", 1).collect()}
+    assert (best[0]["doc_id"], best[1]["doc_id"]) == (2, 1)
+    cited = best[0]["citations"][0]
+    assert (cited["page_width"], cited["page_height"]) == (600.0, 800.0) and [tuple(r) for r in cited["rects"]] == [(0.0, 20.0, 38.0, 30.0)]
+    assert sorted(r["text"] for r in e.store.read("failed").collect()) == ["lost", "too"] and {r["stage"] for r in e.store.read("progress").where("doc_id = 3").collect()} == {"error"}
+    assert [r["stage"] for r in e.store.read("progress").where("doc_id = 1").orderBy("seq").collect()] == ["chunking", "embedding", "graphing", "done"]
+    with pytest.raises(Exception, match="no embedding"):
+        Engine(spark, Settings(str(tmp_path / "f"), 4, semantic=False), embed=lambda t: F.lit(None).cast("array<float>")).ingest(spark.createDataFrame([(1, 1, "A text.")], "doc_id long, page_no int, text string"))
