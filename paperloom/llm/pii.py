@@ -9,13 +9,16 @@ whoever holds the key can undo it. Texts without a digit or an @ are passed thro
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 ROUNDS = 8
-KEY = "change-me"
+#: The session setting that holds the key, and the key where it is unset: no secret, so that anyone can undo it.
+KEY_SETTING, KEY = "spark.paperloom.pii.key", "change-me"
 #: Days from 1900-01-01 through 2099-12-31, and two factors of that number.
 FIRST_DAY, DAYS, DAYS_A, DAYS_B = "1900-01-01", 73049, 17, 4297
 
@@ -186,12 +189,22 @@ def _replaced(text: Column, key: str) -> Column:
     return _bind(found, put)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in KEY_SETTING; where it names none, or an empty one, KEY, with a warning."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key", stacklevel=3)
+    return key or KEY
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs (text and any other columns) with each value's pseudonym in place, and n_values, how many there were.
 
+    Without a key, that of the session is taken (session_key).
     A null text stays null with no values. Nothing else of a text changes; equal rows stay equal; an
     empty table gives an empty one. A column of docs named n_values is replaced.
     """
+    key = session_key(docs.sparkSession) if key is None else key
     text = F.col("text")
     new = F.when(text.rlike("[0-9@]"), _replaced(text, key)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
     keep = [c for c in docs.columns if c != "n_values"]

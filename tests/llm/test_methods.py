@@ -224,6 +224,18 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert again != got[0][0]
 
 
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "card 4111 1111 1111 1111"), (2, None)], "doc_id long, text string")
+    read = lambda *key: [r["text"] for r in pii.pseudonymise(docs, *key).orderBy("doc_id").collect()]
+    with pytest.warns(UserWarning, match=pii.KEY_SETTING):
+        assert read() == read(pii.KEY)
+    spark.conf.set(pii.KEY_SETTING, "of the session")
+    try:
+        assert read() == read("of the session") != read(pii.KEY)
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_secrets_in_upper_case(spark):
     # the second looks like an IBAN
     values = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "AB12CD34EF56AB12CD34EF56AB12CD34", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "0123456789ABCDEF" * 8]
