@@ -126,6 +126,18 @@ def releasing(run):
     return whole
 
 
+def releasing_cogroup(run):
+    """run, a function of a key and two Arrow tables, after which memory is given back."""
+
+    def whole(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            released()
+
+    return whole
+
+
 # --- words ---------------------------------------------------------------------------------
 
 _IS_SPACE = np.zeros(256, bool)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, html, jaccard, language_model, packing, pii, quality, substrings, suffixes, topk
+from . import alignment, bpe, convolution, html, jaccard, language_model, merkle, packing, pii, quality, substrings, suffixes, topk
 
-MODULES = (bpe, html, jaccard, language_model, packing, pii, quality, substrings, suffixes, topk)
+MODULES = (bpe, html, jaccard, language_model, packing, pii, quality, substrings, suffixes, topk, alignment, convolution, merkle)
 
 
 def queries() -> dict:

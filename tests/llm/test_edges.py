@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperloom.llm import bpe, html, jaccard, language_model, packing, pii, quality, substrings, suffixes, topk
+from paperloom.llm import alignment, bpe, convolution, html, jaccard, language_model, merkle, packing, pii, quality, substrings, suffixes, topk
 
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000))
 ROWS = [
@@ -24,7 +24,7 @@ TYPES = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    clash = ["part", "kind", "body", "size", "n", "a", "b", "component_id", "cluster", "n_values", "kept", "bundle", "row", "h", "word"]
+    clash = ["tree", "block", "at", "digest", "level", "place", "total", "side", "chunk", "deal", "ids", "score", "quality", "one", "part", "kind", "body", "size", "n", "a", "b", "component_id", "cluster", "n_values", "kept", "bundle", "row", "h", "word"]
     return spark.createDataFrame(ROWS, TYPES).select("*", *[F.lit(1).alias(c) for c in clash]).repartition(3).cache()
 
 
@@ -37,6 +37,9 @@ OPERATORS = {
     "without_repeats": suffixes.without_repeats,
     "substrings": substrings.substring_dedup,
     "packing": lambda d: packing.best_fit_packing(d, packing.default_tokenizer()),
+    "alignment": alignment.tokenizer_alignment,
+    "convolution": lambda d: convolution.quality_scores(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) quality"), convolution.Training(steps=4, epochs=1)),
+    "merkle": merkle.merkle_manifest,
     "bpe": lambda d: bpe.encode(d, bpe.default_ranks(), bpe.default_pattern()),
 }
 
@@ -56,7 +59,7 @@ def test_empty_table(spark, name):
     assert out.count() == 0
 
 
-@pytest.mark.parametrize("name", ["jaccard", "substrings", "suffixes", "quality", "packing", "bpe", "pii"])
+@pytest.mark.parametrize("name", ["jaccard", "substrings", "suffixes", "quality", "packing", "bpe", "pii", "alignment", "convolution", "merkle"])
 def test_all_null(spark, name):
     out = OPERATORS[name](spark.createDataFrame([(None, None, None, None, None)] * 2, TYPES))
     assert out.count() == 2

@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
