@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text as T
-from ..operators import chunking, embedding, graph, index, layout, pages as P, search, tables
+from ..operators import chunking, embedding, fulltext, graph, index, layout, pages as P, search, tables
 from ..sources.store import list_documents, settled
 from ..streaming import progress
 from . import evaluate
@@ -488,6 +488,43 @@ def post_filter_docs(spark, d):
     return search.in_documents(found, _t(spark, d, "documents").where("lang = 'en'").select("doc_id"), 5)
 
 
+_MATCHES_SQL = f"""words AS (SELECT doc_id, l[i] AS w, i AS pos FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM documents))),
+stems AS (SELECT doc_id, pos, {STEM.replace("(t)", "(w)").replace("t LIKE", "w LIKE").replace("t NOT", "w NOT").replace("t[", "w[").replace("ELSE t END", "ELSE w END")} AS term FROM words WHERE NOT list_contains({_sql_list(patterns.STOPWORDS)}, w)),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tok("text")}) AS term FROM benchmark),
+hits AS (SELECT query_id, doc_id, term, pos FROM asked JOIN stems USING (term)),
+many AS (SELECT query_id, doc_id, count(DISTINCT term) AS held, count(*) AS n FROM hits GROUP BY ALL)"""
+
+# the shortest stretch from each match on that has all terms; a cover where none that starts later ends as soon
+_COVERS_SQL = """after AS (SELECT a.query_id, a.doc_id, a.pos AS start, b.term, min(b.pos) AS reached FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.pos >= a.pos GROUP BY ALL),
+stretch AS (SELECT query_id, doc_id, start, max(reached) AS stop, count(*) AS terms FROM after GROUP BY ALL),
+whole AS (SELECT s.*, held, lead(stop) OVER (PARTITION BY query_id, doc_id ORDER BY start) AS later FROM stretch s JOIN many USING (query_id, doc_id) WHERE terms = held),
+cover AS (SELECT query_id, doc_id, held, start, stop FROM whole WHERE later IS NULL OR later > stop),
+valued AS (SELECT c.query_id, c.doc_id, held, 0.1::DOUBLE / (1 + stop - start + 1 - count(*)) AS v FROM cover c JOIN hits h ON h.query_id = c.query_id AND h.doc_id = c.doc_id AND h.pos BETWEEN start AND stop GROUP BY c.query_id, c.doc_id, held, start, stop)"""
+
+
+def _full_text_sql(scores: str) -> str:
+    return f"SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM ({scores})) WHERE rank <= 5"
+
+
+def _full_text(spark, d, match):
+    return fulltext.cover_density(fulltext.positions(_docs(spark, d), "doc_id"), _asked(spark, d), "doc_id", 5, match)
+
+
+@query(f"WITH {_MATCHES_SQL}, {_COVERS_SQL} {_full_text_sql('SELECT query_id, doc_id, round(held + sum(v) / (1 + sum(v)), 6) AS score FROM valued GROUP BY query_id, doc_id, held')}")
+def cover_density_topk(spark, d):
+    return _full_text(spark, d, "most")
+
+
+@query(f"WITH {_MATCHES_SQL}, {_COVERS_SQL} {_full_text_sql('SELECT query_id, doc_id, round(sum(v), 6) AS score FROM valued JOIN (SELECT query_id, count(*) AS held FROM asked GROUP BY ALL) USING (query_id, held) GROUP BY ALL')}")
+def cover_density_all_topk(spark, d):
+    return _full_text(spark, d, "all")
+
+
+@query(f"WITH {_MATCHES_SQL} {_full_text_sql('SELECT query_id, doc_id, round(0.1::DOUBLE * n, 6) AS score FROM many')}")
+def full_text_or_topk(spark, d):
+    return _full_text(spark, d, "any")
+
+
 @query(f"""WITH t AS (SELECT doc_id, {_tok("text")} AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL),
 s AS (SELECT item_id AS query_id, doc_id, round(sum(tf) / (1 + ln(len(t))), 4) AS score FROM (SELECT DISTINCT item_id, unnest({_tok("text")}) AS term FROM benchmark) JOIN p USING (term) JOIN t USING (doc_id) GROUP BY item_id, doc_id, t)
 SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, score FROM s) WHERE rank <= 5""")
