@@ -44,8 +44,12 @@ def best_products(vectors: DataFrame, queries: DataFrame, key: str, top: int, de
     inner product rounded to decimals, ties by key; the score is not rounded. Vectors of unlike lengths do not meet."""
     left, right = packed(vectors, key, "keys", "dim", "cells"), packed(queries, "query_id", "asked", "asked_dim", "asked_cells")
     size = queries.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0
-    pairs = left.crossJoin(F.broadcast(right) if size <= BROADCAST else right).where("dim = asked_dim")
-    kind = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField(key, vectors.schema[key].dataType), StructField("score", DoubleType())])
+    return best_of(left.crossJoin(F.broadcast(right) if size <= BROADCAST else right).where("dim = asked_dim"), key, top, decimals)
+
+
+def best_of(pairs: DataFrame, key: str, top: int, decimals: int) -> DataFrame:
+    """The same of pairs of blocks (keys, dim, cells, asked, asked_dim, asked_cells) of one length."""
+    kind = StructType([StructField("query_id", pairs.schema["asked"].dataType.elementType), StructField(key, pairs.schema["keys"].dataType.elementType), StructField("score", DoubleType())])
 
     def run(batches):
         for b in batches:

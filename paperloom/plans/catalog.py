@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text as T
-from ..operators import chunking, embedding, fulltext, graph, index, layout, pages as P, search, tables
+from ..operators import chunking, embedding, fulltext, graph, index, ivf, layout, pages as P, search, tables
 from ..sources.store import list_documents, settled
 from ..streaming import progress
 from . import evaluate
@@ -369,6 +369,30 @@ def dense_topk_scoped(spark, d):
     return search.dense(v, q, top=10, scope="label")
 
 
+def _ann(spark, d):
+    """The index of all vectors, every fiftieth as a query, and how many lists to probe for a recall of 0.95 at 10."""
+    v, q = (x.drop("label") for x in _vectors(spark, d))
+    made = ivf.build(v, "vec_id")
+    made = ivf.Ivf(made.key, made.centroids, made.lists.cache())
+    return made, v, q, ivf.probes_for(made, v, 0.95)
+
+
+@query()
+def ann_topk(spark, d):
+    """Ten neighbours of each query out of the lists it probes. What it finds depends on learnt centroids, so there is no SQL: ann_recall holds it
+    against exact search."""
+    made, _, q, probes = _ann(spark, d)
+    return ivf.search(made, q, 10, probes)
+
+
+@query()
+def ann_recall(spark, d):
+    """recall at 10 of ann_topk against dense_topk, lists, probes, and the share of the vectors that a query reads."""
+    made, v, q, probes = _ann(spark, d)
+    found = ivf.recall(ivf.search(made, q, 10, probes), search.dense(v, q, top=10), "vec_id").join(ivf.probed_share(made, q, probes), F.lit(True))
+    return found.select(F.round("recall", 4).alias("recall"), F.lit(len(made.centroids)).alias("lists"), F.lit(probes).alias("probes"), F.round("share", 4).alias("share"))
+
+
 def _cosine_sql(top: int, name: str) -> str:
     """name (query_id, doc_id, rank, score): the best documents of each passage by the cosine of hashed features."""
     return f"""{_hashed_sql("SELECT item_id, text FROM benchmark", "item_id", "q_")}, {_hashed_sql("SELECT doc_id, text FROM documents", "doc_id", "d_")},
