@@ -30,9 +30,12 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
 
     A document with a page without a number goes to `failed` with all its pages, as do pages without a document; the others
     do not wait for it. embedder: texts (chunk_id, doc_id, text) to (chunk_id, doc_id, embedding); a chunk that it leaves without one
-    stops the batch. Each stage is told of in `progress` when it is done. Chunks are made once and read back for
-    what follows. Running a batch again gives the same tables."""
+    stops the batch. Each stage is told of in `progress` when it is done. The batch's pages and chunks are written aside once and read back for
+    what follows. All tables change together, at the end: a batch that stops leaves them as they were. Running a batch again gives the
+    same tables."""
     spark = pages.sparkSession
+    here = store.aside(pages)
+    pages = spark.read.schema(pages.schema).parquet(here)
     bad = pages.where("doc_id is null or page_no is null")
     wrong = bad.select("doc_id").distinct()
     good = pages.where("doc_id is not null").join(wrong, "doc_id", "left_anti")
@@ -51,23 +54,27 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
     store.put("failed", lost.withColumns({"batch_id": F.lit(batch).cast("long"), "error": F.lit("a page without a number or a document")}), "batch_id")
     tell(wrong, "error", "a page without a number or a document")
     tell(ids, "chunking")
-    store.replace("pages", good)
     made = chunks(good, sizes, semantic)
     aside = store.aside(made)
     made = spark.read.schema(made.schema).parquet(aside)
-    store.replace("chunks", with_spans(made, chunk_spans(made, good)), ids)
     tell(ids, "embedding")
-    store.replace("vectors", with_embeddings(made.select("chunk_id", "doc_id").join(embedder(made.select("chunk_id", "doc_id", "text")), ["chunk_id", "doc_id"], "left")), ids)
-    built = build(made, "chunk_id", scope="doc_id")
-    store.replace("postings", built.postings, ids)
-    store.replace("lengths", built.lengths, ids)
+    vectors = with_embeddings(made.select("chunk_id", "doc_id").join(embedder(made.select("chunk_id", "doc_id", "text")), ["chunk_id", "doc_id"], "left"))
+    beside = store.aside(vectors)
     tell(ids, "graphing")
+    built = build(made, "chunk_id", scope="doc_id")
     top = graph.top_entities(graph.entities(made))
     spans = chunk_spans(made, good).join(made.select("chunk_id", "chunk_no"), "chunk_id")
-    store.replace("nodes", graph.nodes(top, graph.entity_pages(made, spans)), ids)
-    store.replace("edges", graph.edges(graph.cooccurrences(made, top)), ids)
+    with store.transaction():
+        store.replace("pages", good)
+        store.replace("chunks", with_spans(made, chunk_spans(made, good)), ids)
+        store.replace("vectors", spark.read.schema(vectors.schema).parquet(beside), ids)
+        store.replace("postings", built.postings, ids)
+        store.replace("lengths", built.lengths, ids)
+        store.replace("nodes", graph.nodes(top, graph.entity_pages(made, spans)), ids)
+        store.replace("edges", graph.edges(graph.cooccurrences(made, top)), ids)
     tell(ids, "done")
-    store.remove(aside)
+    for path in (aside, beside, here):
+        store.remove(path)
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, once: bool = True, embedder=hashing):

@@ -45,3 +45,84 @@ def test_lists_and_files(spark, tmp_path):
     (tmp_path / "p/b.pdf").write_bytes(b"no")
     pages = read_pdf_pages(spark, str(tmp_path / "p"), lambda b: [(t, 612.0, 792.0) for t in b[5:].decode().split("|")])
     assert [(r["page_no"], r["text"]) for r in pages.orderBy("page_no").collect()] == [(1, "one"), (2, "two")]
+
+
+def rows_of(spark, *x):
+    return spark.createDataFrame(list(x), "doc_id long, t string")
+
+
+def test_a_small_change_writes_little(spark, tmp_path):
+    """One document of a hundred: about one percent of the bytes, and nothing old is written again."""
+    s = Store(spark, str(tmp_path / "s"))
+    import random
+
+    rng = random.Random(1)
+    text = lambda: " ".join(str(rng.getrandbits(60)) for _ in range(400))
+    s.replace("x", rows_of(spark, *[(i, text()) for i in range(300)]))
+    s.replace("x", rows_of(spark, *[(i, text()) for i in (7, 999, 8)]))
+    first, second = s.version()[1]["x"]
+    assert second["bytes"] < 0.03 * first["bytes"]
+    assert s.read("x").count() == 301 and s.document("x", 7).count() == 1
+
+
+def test_versions_and_compaction(spark, tmp_path, monkeypatch):
+    from paperloom.sources import store
+
+    monkeypatch.setattr(store, "TIER", 99)
+    s, want = Store(spark, str(tmp_path / "s"), 4), {}
+    for step in range(5):
+        new = {i: f"{step}" for i in range(step, 12, step + 1)}
+        s.replace("x", rows_of(spark, *new.items()))
+        want |= new
+    s.replace("x", rows_of(spark, (3, "a"), (3, "b")), rows_of(spark, (3, ""), (4, ""), (55, "")))
+    want.pop(4)
+    want.pop(3)
+    rows = sorted([*want.items(), (3, "a"), (3, "b")])
+    got = lambda: sorted((r["doc_id"], r["t"]) for r in s.read("x").collect())
+    assert got() == rows and len(s.version()[1]["x"]) == 6
+    s.compact("x", 3)
+    assert got() == rows and len(s.version()[1]["x"]) == 4 and s.document("x", 4).count() == 0
+    s.compact("x")
+    assert got() == rows and len(s.version()[1]["x"]) == 1
+    s.vacuum()
+    assert got() == rows and len(list((tmp_path / "s/x").iterdir())) == 1
+    monkeypatch.setattr(store, "TIER", 3)
+    for i in range(6):
+        s.replace("y", rows_of(spark, (i, "y")))
+    assert s.read("y").count() == 6 and len(s.version()[1]["y"]) < 4
+
+
+def test_a_lost_writer_leaves_the_old_version(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), 4)
+    s.replace("x", rows_of(spark, (1, "a")))
+    s.replace("y", rows_of(spark, (1, "a")))
+    with pytest.raises(RuntimeError, match="lost"), s.transaction():
+        s.replace("x", rows_of(spark, (1, "b"), (2, "b")))
+        assert s.read("x").first()["t"] == "a"
+        raise RuntimeError("lost")
+    assert [r["t"] for r in s.read("x").collect()] == [r["t"] for r in s.read("y").collect()] == ["a"]
+    with s.transaction():
+        s.replace("x", rows_of(spark, (1, "b")))
+        s.replace("y", rows_of(spark, (1, "b")))
+    assert s.version()[0] == 3 and s.read("y").first()["t"] == "b"
+
+
+def test_the_slower_writer_is_told(spark, tmp_path):
+    from paperloom.sources.store import Conflict
+
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    with pytest.raises(Conflict), a.transaction():
+        a.replace("x", rows_of(spark, (1, "a")))
+        b.replace("x", rows_of(spark, (1, "b")))
+    assert [r["t"] for r in a.read("x").collect()] == ["b"]
+
+
+def test_views_of_segments(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), 4)
+    s.replace("pages", rows_of(spark, (1, "a"), (2, "b")))
+    s.replace("pages", rows_of(spark, (2, "c")).selectExpr("doc_id", "t", "1 as more"))
+    s.bootstrap("paperloom_test")
+    try:
+        assert [(r[0], r[1]) for r in spark.sql("SELECT doc_id, t FROM paperloom_test.pages ORDER BY 1").collect()] == [(1, "a"), (2, "c")]
+    finally:
+        spark.sql("DROP DATABASE paperloom_test CASCADE")
