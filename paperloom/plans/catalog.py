@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text as T
-from ..operators import chunking, embedding, fulltext, graph, index, ivf, layout, pages as P, search, tables
+from ..operators import blockmax, chunking, embedding, fulltext, graph, index, ivf, layout, pages as P, search, tables
 from ..sources.store import list_documents, settled
 from ..streaming import progress
 from . import evaluate
@@ -453,6 +453,12 @@ def bm25_scoped_topk(spark, d):
     return found.withColumns({"source": F.substring_index("query_id", "/", -1), "item": F.substring_index("query_id", "/", 1).cast("long")}).select("source", F.col("item").alias("query_id"), "doc_id", "rank", "score")
 
 
+@query(f"WITH {_bm25_sql(_words, _LIVE, 5)} SELECT * FROM bm25")
+def bm25_pruned_topk(spark, d):
+    """What bm25_live_topk finds, out of blocks of postings, few of which are scored."""
+    return blockmax.bm25(blockmax.build(index.build(_docs(spark, d), "doc_id", "live")), _asked(spark, d), 5)
+
+
 def _rankings(spark, d, top=30):
     docs, asked = _docs(spark, d), _asked(spark, d)
     return search.bm25(index.build(docs, "doc_id", "stemmed"), asked, top), search.bm25(index.build(docs, "doc_id", "live"), asked, top)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, embedding, graph, index, layout, pages as page_ops, search, tables
+from ..operators import blockmax, chunking, embedding, graph, index, ivf, layout, pages as page_ops, search, tables
 from ..sources.store import TABLES, Store, list_documents
 from ..streaming import ingest, progress
 from ..streaming.ingest import PAGES
@@ -82,8 +84,27 @@ class Engine:
         top = graph.top_entities(graph.entities(chunks))
         return graph.nodes(top), graph.edges(graph.cooccurrences(chunks, top))
 
-    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 5, doc_ids: list | None = None, pushdown: bool = False) -> DataFrame:
-        """Answers to queries (query_id, query) with their citations.
+    def _index_path(self) -> str:
+        """Where indexes over the postings and vectors that are there now lie. Another version of these has another place."""
+        tables = self.store.version()[1]
+        return f"{self.settings.path}/_indexes/{hashlib.md5(json.dumps([tables.get(t) for t in ('postings', 'lengths', 'vectors')]).encode()).hexdigest()}"
+
+    def build_indexes(self, recall: float = 0.95) -> dict:
+        """Blocks of postings that a search of everything prunes, and inverted lists of vectors for approximate search. They serve until documents
+        change; searches then do without until this is called again. The result tells how many lists a query probes for the recall."""
+        path = self._index_path()
+        blockmax.build(index.of_tables(self.store.read("postings").drop("doc_id"), self.store.read("lengths").drop("doc_id"), "chunk_id")).save(f"{path}/blocks")
+        vectors = self.store.read("vectors").select("chunk_id", "embedding")
+        made = ivf.build(vectors, "chunk_id")
+        made.save(f"{path}/lists")
+        made = ivf.Ivf.load(self.spark, f"{path}/lists")
+        probes = ivf.probes_for(made, vectors, recall)
+        # written last: an index without it is not used
+        self.spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/done")
+        return {"lists": len(made.centroids), "probes": probes}
+
+    def search(self, queries: DataFrame, mode: str = "hybrid", top_k: int = 5, doc_ids: list | None = None, pushdown: bool = False, approximate: bool = False) -> DataFrame:
+        """Answers to queries (query_id, query) with their citations. approximate: vectors come from the inverted lists that build_indexes made.
 
         One document in doc_ids is searched alone, with its own statistics. Several are a filter over the best answers
         of all, of which three times as many are fetched, or with pushdown the corpus itself; none or an
@@ -107,7 +128,18 @@ class Engine:
         chunks, built = read("chunks"), index.of_tables(read("postings").drop("doc_id"), read("lengths").drop("doc_id"), "chunk_id")
         wanted = asked.select("query_id", F.col("query").alias("text"))
         vectors = embedding.dense_vectors(wanted, ["query_id"]) if self.embed_query is None else wanted.select("query_id", self.embed_query(F.col("text")).alias("embedding"))
-        found = search.hybrid(chunks.select("chunk_id", "text"), "chunk_id", built, asked, top_k * 3 if later else top_k, self.settings.candidates, mode, self.settings.reranker != "none", self.scorer, read("vectors").select("chunk_id", "embedding"), vectors)
+        by_index, depth = {}, self.settings.candidates
+        if not scope or later:
+            path = self._index_path()
+            there = self.store.has(f"{path}/done")
+            if there and mode != "dense":
+                by_index["sparse_ranks"] = blockmax.bm25(blockmax.Blocks.load(self.spark, f"{path}/blocks"), asked, depth)
+            if approximate and mode != "sparse":
+                if not there:
+                    raise KeyError("no lists of these vectors: call build_indexes")
+                probes = self.spark.read.parquet(f"{path}/done").first()["probes"]
+                by_index["dense_ranks"] = ivf.search(ivf.Ivf.load(self.spark, f"{path}/lists"), vectors, depth, probes)
+        found = search.hybrid(chunks.select("chunk_id", "text"), "chunk_id", built, asked, top_k * 3 if later else top_k, depth, mode, self.settings.reranker != "none", self.scorer, read("vectors").select("chunk_id", "embedding"), vectors, **by_index)
         found = found.join(chunks.select("chunk_id", "doc_id", "text", "spans"), "chunk_id")
         if later:
             found = search.in_documents(found, self.spark.createDataFrame([(d,) for d in scope], "doc_id long"), top_k)

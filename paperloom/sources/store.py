@@ -54,6 +54,10 @@ class Store:
         fs, p = self._fs(where)
         return fs.getContentSummary(p).getLength()
 
+    def has(self, where: str) -> bool:
+        fs, p = self._fs(where)
+        return fs.exists(p)
+
     def aside(self, rows: DataFrame) -> str:
         """Writes rows under a name of their own, to be read again and removed."""
         path = f"{self.path}/.aside-{uuid.uuid4().hex}"
