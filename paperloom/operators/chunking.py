@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import ABBREVIATIONS, BOUNDARY
 from ..functions.text import bind, count_tokens, normalize_space
 from .embedding import neighbour_cosine
+from .intervals import covered_until, overlapping
 from .pages import joined, page_starts
 
 _JAVA_BOUNDARY = "(?U)" + BOUNDARY
@@ -146,10 +147,12 @@ def chunks(pages: DataFrame, sizes: ChunkSizes = ChunkSizes(), semantic: bool =
 
 
 def chunk_spans(chunked: DataFrame, pages: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, page_no, span_start, span_end: the part of each page that a chunk covers, page-local and half open."""
-    p = page_starts(pages).select("doc_id", "page_no", "start", "length")
+    """chunk_id, doc_id, page_no, span_start, span_end: the part of each page that a chunk covers, page-local and half open. The first and the last
+    page of a chunk are found as of its ends, so a document of many pages and chunks costs a sort of both."""
+    order = Window.partitionBy("doc_id").orderBy("page_no")
+    p = page_starts(pages).select("doc_id", "page_no", "start", "length").withColumn("tile", F.row_number().over(order))
+    over = overlapping(chunked.select("chunk_id", "doc_id", "char_start", "char_end"), p, "doc_id", F.col("char_start"), F.col("char_end") - 1, F.col("start"), "tile")
     end = F.col("start") + F.col("length")
-    over = chunked.select("chunk_id", "doc_id", "char_start", "char_end").join(p, "doc_id").where((F.col("start") < F.col("char_end")) & (end > F.col("char_start")))
     lo, hi = F.greatest("char_start", "start") - F.col("start"), F.least(F.col("char_end"), end) - F.col("start")
     return over.select("chunk_id", "doc_id", "page_no", lo.alias("span_start"), hi.alias("span_end")).where("span_end > span_start")
 
@@ -162,9 +165,8 @@ def with_spans(chunked: DataFrame, spans: DataFrame) -> DataFrame:
 
 def uncovered(sents: DataFrame, chunked: DataFrame) -> DataFrame:
     """Sentences whose start lies in no chunk; there should be none."""
-    c = chunked.select("doc_id", "char_start", "char_end")
-    s = sents.select("doc_id", "sent_no", "start")
-    return s.join(c, (s.doc_id == c.doc_id) & (s.start >= c.char_start) & (s.start < c.char_end), "left_anti")
+    found = covered_until(sents.select("doc_id", "sent_no", "start"), chunked, "doc_id", "start", "char_start", "char_end")
+    return found.where("until is null or until <= start").select("doc_id", "sent_no", "start")
 
 
 def fixed_windows(docs: DataFrame, size: int = 160, overlap: int = 20) -> DataFrame:
