@@ -190,14 +190,16 @@ def pair_totals(postings: DataFrame) -> DataFrame:
 
 
 def _contributions(stream):
-    """Sorted rows of totals and postings to (chunk, row, n_best, count_sum), summed here for as many documents as are held."""
+    """Sorted rows of totals and postings to rows (chunk, rows, n_best, count_sum) of what they add to documents, summed here for as many
+    documents as are held."""
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     side, ids, totals, size = None, None, None, 0
 
     def out():
         for chunk, (best, total) in held.items():
             live = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(live), chunk)), pa.array(live.astype(np.int32)), pa.array(best[live]), pa.array(total[live])], names=["chunk", "row", "n_best", "count_sum"])
+            lists = [_lists([x], kind) for x, kind in ((live, pa.int32()), (best[live], pa.int64()), (total[live], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists], names=["chunk", "rows", "n_best", "count_sum"])
         held.clear()
 
     for b in stream:
@@ -224,6 +226,17 @@ def _contributions(stream):
     yield from out()
 
 
+def _summed(key, t):
+    """What all parts add to the documents of one chunk: as many entries as it has postings at most."""
+    rows = np.concatenate([x.values.to_numpy() for x in t["rows"]])
+    size = int(rows.max()) + 1
+    sums = [np.zeros(size, np.int64) for _ in range(2)]
+    for total, name in zip(sums, ("n_best", "count_sum")):
+        np.add.at(total, rows, np.concatenate([x.values.to_numpy() for x in t[name]]))
+    live = np.unique(rows)
+    return pa.table({"chunk": pa.array(np.full(len(live), key[0].as_py())), "row": pa.array(live.astype(np.int32)), "n_best": pa.array(sums[0][live]), "count_sum": pa.array(sums[1][live])})
+
+
 def tokenizer_alignment(docs: DataFrame, tokenizers: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs (doc_id, text).
 
@@ -242,8 +255,8 @@ def tokenizer_alignment(docs: DataFrame, tokenizers: tuple[str, str] | None = No
     both = dealt.unionByName(heads, allowMissingColumns=True)
     # nulls come first, so a side id's totals are there before its postings
     stream = both.repartition("side", "deal").sortWithinPartitions("side", "deal", "chunk")
-    added = stream.mapInArrow(releasing(_contributions), "chunk long, row int, n_best long, count_sum long")
-    summed = added.groupBy("chunk", "row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    added = stream.mapInArrow(releasing(_contributions), "chunk long, rows array<int>, n_best array<long>, count_sum array<long>")
+    summed = added.groupBy("chunk").applyInArrow(_summed, "chunk long, row int, n_best long, count_sum long")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return documents.join(summed, ["chunk", "row"], "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 
