@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text as T
 from ..operators import blockmax, chunking, embedding, fulltext, graph, index, ivf, layout, pages as P, search, tables
-from ..sources.store import list_documents, settled
+from ..sources.store import list_documents, scratch, settled
 from ..streaming import progress
 from . import evaluate
 
@@ -704,9 +704,13 @@ def table_mask(spark, d):
 
 
 def _events(spark, d):
+    return _as_progress(_t(spark, d, "events"))
+
+
+def _as_progress(events):
     stages = {"view": "parsing", "click": "embedding", "signup": "graphing", "purchase": "done", "error": "error"}
     stage = F.create_map(*[F.lit(x) for kv in stages.items() for x in kv])[F.col("event_type")]
-    return _t(spark, d, "events").select((F.col("user_id") % 20).alias("batch_id"), F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), stage.alias("stage"), (F.col("event_id") % 7).alias("processed"), F.lit(7).alias("total"), F.when(F.col("event_type") == "error", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error"))
+    return events.select((F.col("user_id") % 20).alias("batch_id"), F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), stage.alias("stage"), (F.col("event_id") % 7).alias("processed"), F.lit(7).alias("total"), F.when(F.col("event_type") == "error", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error"))
 
 
 _LATEST_SQL = """l AS (SELECT user_id % 20 AS batch_id, user_id AS doc_id, arg_max(event_type, event_id) AS s, max(event_id) AS e FROM events GROUP BY ALL),
@@ -723,6 +727,20 @@ def progress_outcome(spark, d):
     return progress.outcome(_events(spark, d))
 
 
+@query(f"""WITH {_LATEST_SQL} SELECT batch_id, count(*) AS docs, bool_and(s IN ('purchase', 'error')) AS done, round(avg(pct), 1) AS pct, count(*) FILTER (s = 'purchase') AS done_docs,
+  CASE WHEN count(*) FILTER (s = 'purchase') = 0 THEN 'event ' || arg_min(e, doc_id) FILTER (s = 'error') END AS error, (SELECT count(*) FROM events x WHERE x.user_id % 20 = p.batch_id) AS seen FROM p GROUP BY 1""")
+def progress_stream(spark, d):
+    """The same of a stream: events are folded file by file, and the last snapshot of each batch is read back."""
+    kept = scratch(spark, "progress")
+    # a stream reads folders, so a table that is one file is named by a pattern
+    events = settled(spark).readStream.schema(_t(spark, d, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/events.parque[t]")
+    with progress.rocksdb(spark):
+        told = progress.snapshots(_as_progress(events)).writeStream.outputMode("update").foreachBatch(lambda rows, _: rows.write.mode("append").parquet(f"{kept}/rows"))
+        told.option("checkpointLocation", f"{kept}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{kept}/rows")
+    return rows.groupBy("batch_id").agg(F.max_by(F.struct("docs", "done", "pct", "done_docs", "error", "seen"), "seen").alias("s")).select("batch_id", "s.*")
+
+
 @query(f"WITH {PAGES_SQL}, {CHUNKS_SQL} SELECT d.doc_id, coalesce(p.n, 0) AS n_pages, coalesce(c.n, 0) AS n_chunks FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM pages GROUP BY 1) p USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) c USING (doc_id)")
 def document_list(spark, d):
     return list_documents(_docs(spark, d), _pages(spark, d), _chunks(spark, d))

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import blockmax, chunking, embedding, graph, index, ivf, layout, pages as page_ops, search, tables
+from ..operators import blockmax, chunking, embedder, embedding, graph, index, ivf, layout, pages as page_ops, search, tables
 from ..sources.store import TABLES, Store, list_documents
 from ..streaming import ingest, progress
 from ..streaming.ingest import PAGES
 
+EVENTS = "batch_id long, doc_id long, seq long, stage string, processed int, total int, error string"
+
 LIMITS = {"query": (1, 2000), "top_k": (1, 20)}
 
 
@@ -27,6 +29,8 @@ class Settings:
     sizes: chunking.ChunkSizes = field(default_factory=chunking.ChunkSizes)
     semantic: bool = True
     candidates: int = 30
+    embed_batch: int = 32
+    embed_steps: int = 1
 
     def __post_init__(self):
         if self.reranker not in ("lexical", "none"):
@@ -36,26 +40,35 @@ class Settings:
 class Engine:
     """Tables in a folder and what can be asked of them. scorer: a reranker (query, text) -> Column in place of the lexical
     one, such as a pandas UDF around a cross-encoder. embed: a function (text) -> Column of array<float> in place of hashed
-    features, such as a pandas UDF around a model, whose batches are Arrow's; embed_query: another one for queries."""
+    features, such as a pandas UDF around a model, whose batches are Arrow's; embed_query: another one for queries. model: in place of both, what loads a
+    model that takes a list of texts, settings.embed_batch of them, and gives their vectors; settings.embed_steps is how often its progress is told of."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, scorer=search.lexical_score, embed=None, embed_query=None):
+    def __init__(self, spark: SparkSession, settings: Settings, scorer=search.lexical_score, embed=None, embed_query=None, model=None):
+        if model is not None and embed is not None:
+            raise ValueError("either a model or a function embeds")
+        self.model = model
         self.spark, self.settings, self.scorer, self.embed, self.embed_query = spark, settings, scorer, embed, embed_query or embed
         self.store = Store(spark, settings.path, settings.buckets)
 
     def info(self) -> dict:
         s = self.settings
-        return {"embedder": s.embedder if self.embed is None else "a function", "reranker": s.reranker, "tables": [t for t in TABLES if self.store.exists(t)]}
+        return {"embedder": s.embedder if self.embed is None and self.model is None else "a function", "reranker": s.reranker, "tables": [t for t in TABLES if self.store.exists(t)]}
+
+    def _vectors(self, texts: DataFrame, keys: list[str]) -> DataFrame:
+        return embedder.embedded(texts, keys, self.model, f"{self.settings.path}#{id(self.model)}", self.settings.embed_batch)
 
     def _embedder(self, texts: DataFrame) -> DataFrame:
+        if self.model is not None:
+            return self._vectors(texts, ["chunk_id", "doc_id"])
         return ingest.hashing(texts) if self.embed is None else texts.withColumn("embedding", self.embed(F.col("text"))).drop("text")
 
     def ingest(self, pages: DataFrame, batch: int = 0) -> None:
         """Pages (doc_id, page_no, text; also width, height and words, for rectangles) into chunks, an index and a graph;
         documents already there are replaced."""
-        ingest.ingest_batch(pages, self.store, batch, self.settings.sizes, self.settings.semantic, self._embedder)
+        ingest.ingest_batch(pages, self.store, batch, self.settings.sizes, self.settings.semantic, self._embedder, self.settings.embed_steps)
 
     def ingest_stream(self, folder: str, checkpoint: str, once: bool = True, schema: str = PAGES):
-        return ingest.start(ingest.watch(self.spark, folder, schema=schema), self.store, checkpoint, self.settings.sizes, self.settings.semantic, once, self._embedder)
+        return ingest.start(ingest.watch(self.spark, folder, schema=schema), self.store, checkpoint, self.settings.sizes, self.settings.semantic, once, self._embedder, self.settings.embed_steps)
 
     def register(self, files: DataFrame) -> None:
         """Files (doc_id, name, content) as they came; content may be null."""
@@ -72,6 +85,10 @@ class Engine:
     def progress(self) -> DataFrame:
         return progress.snapshot(self.store.read("progress"))
 
+    def watch(self, batch: int = 0, every: float = 0.15, most: float = 3600.0):
+        """Snapshots of a batch that is being ingested, as they change, until it has ended."""
+        return progress.poll(lambda: self.store.read("progress", EVENTS), batch, every, most)
+
     def documents(self) -> DataFrame:
         pages, files = self.store.read("pages"), self.store.read("files", "doc_id long, name string, content binary")
         return list_documents(pages.select("doc_id").distinct().join(files.select("doc_id", "name"), "doc_id", "left"), pages, self.store.read("chunks", "doc_id long"))
@@ -127,7 +144,7 @@ class Engine:
         # what ingestion has stored: only postings of the queries' terms are counted, and no text is read before the candidates are known
         chunks, built = read("chunks"), index.of_tables(read("postings").drop("doc_id"), read("lengths").drop("doc_id"), "chunk_id")
         wanted = asked.select("query_id", F.col("query").alias("text"))
-        vectors = embedding.dense_vectors(wanted, ["query_id"]) if self.embed_query is None else wanted.select("query_id", self.embed_query(F.col("text")).alias("embedding"))
+        vectors = self._vectors(wanted, ["query_id"]) if self.model is not None else embedding.dense_vectors(wanted, ["query_id"]) if self.embed_query is None else wanted.select("query_id", self.embed_query(F.col("text")).alias("embedding"))
         by_index, depth = {}, self.settings.candidates
         if not scope or later:
             path = self._index_path()

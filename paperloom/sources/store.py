@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,14 @@ def settled(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the one that all machines share, `spark.checkpoint.dir`; on a local master, where there may be none, a temporary one."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(given or tempfile.mkdtemp(prefix='paperloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: What an ingested corpus consists of.
 TABLES = ("files", "pages", "chunks", "postings", "lengths", "vectors", "nodes", "edges", "progress", "failed")
 
@@ -247,8 +257,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_jdbc(rows: DataFrame, url: str, name: str, properties: dict | None = None) -> None:
-    """Rows appended to a table of a database, batch by batch, from all tasks at once. Upserts are a matter of that table: let it
-    have a staging table, or a rule for rows whose key is there."""
+    """Rows appended to a table of a database, batch by batch, from all tasks at once. For one row a key see upsert.py."""
     rows.write.mode("append").jdbc(url, name, properties=properties or {})
 
 

@@ -25,12 +25,12 @@ def hashing(texts: DataFrame) -> DataFrame:
     return dense_vectors(texts, ["chunk_id", "doc_id"])
 
 
-def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, embedder=hashing) -> None:
+def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, embedder=hashing, steps: int = 1) -> None:
     """Pages into chunks, postings, vectors and a graph, which replace what their documents had in the store.
 
     A document with a page without a number goes to `failed` with all its pages, as do pages without a document; the others
     do not wait for it. embedder: texts (chunk_id, doc_id, text) to (chunk_id, doc_id, embedding); a chunk that it leaves without one
-    stops the batch. Each stage is told of in `progress` when it is done. The batch's pages and chunks are written aside once and read back for
+    stops the batch. steps: parts of the chunks that are embedded one after the other, each told of when it is done. Each stage is told of in `progress` when it is done. The batch's pages and chunks are written aside once and read back for
     what follows. All tables change together, at the end: a batch that stops leaves them as they were. Running a batch again gives the
     same tables."""
     spark = pages.sparkSession
@@ -43,8 +43,8 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
     number = F.lit(batch).cast("long").alias("batch_id")
     said: list[DataFrame] = []
 
-    def tell(documents: DataFrame, stage: str, error: str | None = None) -> None:
-        said.append(documents.select(number, "doc_id", F.lit(len(said)).cast("long").alias("seq"), F.lit(stage).alias("stage"), F.lit(1).alias("processed"), F.lit(1).alias("total"), F.lit(error).cast("string").alias("error")))
+    def tell(documents: DataFrame, stage: str, error: str | None = None, processed: int = 1, total: int = 1) -> None:
+        said.append(documents.select(number, "doc_id", F.lit(len(said)).cast("long").alias("seq"), F.lit(stage).alias("stage"), F.lit(processed).alias("processed"), F.lit(total).alias("total"), F.lit(error).cast("string").alias("error")))
         rows = said[0]
         for x in said[1:]:
             rows = rows.unionByName(x)
@@ -57,9 +57,15 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
     made = chunks(good, sizes, semantic)
     aside = store.aside(made)
     made = spark.read.schema(made.schema).parquet(aside)
-    tell(ids, "embedding")
-    vectors = with_embeddings(made.select("chunk_id", "doc_id").join(embedder(made.select("chunk_id", "doc_id", "text")), ["chunk_id", "doc_id"], "left"))
-    beside = store.aside(vectors)
+    tell(ids, "embedding", processed=int(steps == 1), total=steps)
+    slices, kind = [], None
+    for k in range(steps):
+        some = made if steps == 1 else made.where(F.pmod(F.xxhash64("chunk_id"), F.lit(steps)) == k)
+        vectors = with_embeddings(some.select("chunk_id", "doc_id").join(embedder(some.select("chunk_id", "doc_id", "text")), ["chunk_id", "doc_id"], "left"))
+        kind = vectors.schema
+        slices.append(store.aside(vectors))
+        if steps > 1:
+            tell(ids, "embedding", processed=k + 1, total=steps)
     tell(ids, "graphing")
     built = build(made, "chunk_id", scope="doc_id")
     top = graph.top_entities(graph.entities(made))
@@ -67,17 +73,17 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
     with store.transaction():
         store.replace("pages", good)
         store.replace("chunks", with_spans(made, chunk_spans(made, good)), ids)
-        store.replace("vectors", spark.read.schema(vectors.schema).parquet(beside), ids)
+        store.replace("vectors", spark.read.schema(kind).parquet(*slices), ids)
         store.replace("postings", built.postings, ids)
         store.replace("lengths", built.lengths, ids)
         store.replace("nodes", graph.nodes(top, graph.entity_pages(made, spans)), ids)
         store.replace("edges", graph.edges(graph.cooccurrences(made, top)), ids)
     tell(ids, "done")
-    for path in (aside, beside, here):
+    for path in (aside, here, *slices):
         store.remove(path)
 
 
-def start(stream: DataFrame, store: Store, checkpoint: str, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, once: bool = True, embedder=hashing):
+def start(stream: DataFrame, store: Store, checkpoint: str, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True, once: bool = True, embedder=hashing, steps: int = 1):
     """A streaming query that ingests every batch; once: what is there now, then it ends."""
-    writer = stream.writeStream.foreachBatch(lambda pages, batch: ingest_batch(pages, store, batch, sizes, semantic, embedder)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda pages, batch: ingest_batch(pages, store, batch, sizes, semantic, embedder, steps)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
