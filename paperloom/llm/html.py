@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import xxhash
@@ -37,7 +38,9 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[-_]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg object select button canvas".split())
+_RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Of these, what runs to the end of the page where nothing closes it; elements whose text is none of the page's; and those that `/>` closes.
+_TO_THE_END, _UNREAD, _FOREIGN = frozenset("script style textarea title".split()), frozenset("svg select button".split()), frozenset("svg math".split())
 _BLOCKS = frozenset("html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that a start tag of the same list closes.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
@@ -89,6 +92,23 @@ class Page:
             flush()
             del stack[i:]
 
+        marks: dict[str, list[tuple[int, int, bool]]] = {}
+
+        def past(tag, at):
+            """The place after the end tag of an element that begins before `at`, or -1 where nothing closes it. Of these elements only drawings
+            stand in their own kind: another start tag comes first where one is left open. A page's tags are looked for once."""
+            if tag not in marks:
+                marks[tag] = [(x.start(), x.end(), x[0][1] == "/") for x in re.finditer(rf"<{tag}(?=[\s/>])[^<>]*(?<!/)>|</{tag}\s*>", source, re.I)]
+            mine, depth = marks[tag], 1
+            for i in range(bisect_left(mine, (at,)), len(mine)):
+                _, stop, close = mine[i]
+                if not close and tag not in _FOREIGN and tag not in _RAW:
+                    return -1
+                depth += -1 if close else tag in _FOREIGN
+                if depth == 0:
+                    return stop
+            return -1
+
         at, end = 0, len(source)
         for m in _TAG.finditer(source):
             if m.start() < at:
@@ -113,10 +133,15 @@ class Page:
                     if tag not in _BLOCKS and stack[i][0] in _BLOCKS:
                         break
                 continue
-            if tag in _RAW:
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+            if tag in _FOREIGN and m[0].endswith("/>"):
+                continue
+            if tag in _RAW or tag in _UNREAD:
                 text.append(" ")
+                stop = past(tag, at)
+                if stop >= 0:
+                    at = stop
+                elif tag in _TO_THE_END:
+                    at = end
                 continue
             if tag in ("br", "hr"):
                 flush()
