@@ -257,3 +257,29 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_merkle_manifest": op13_merkle_manifest}
+
+
+def _sql_field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+
+
+#: Trees level by level, then a walk from each leaf to its subroot and on to the root. DuckDB has no CRC-32, so it is folded bit by bit.
+_SQL = f"""WITH RECURSIVE crc AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda r, k: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))) % 2 = 1 AS even FROM (SELECT DISTINCT doc_id FROM documents)),
+f AS (SELECT doc_id, source, coalesce(even, false) AS even, {_sql_field('doc_id')} || {_sql_field('source')} || {_sql_field('lang')} || {_sql_field('n_chars')} AS head, text, replace(text, chr(10), '') AS cut FROM documents LEFT JOIN crc USING (doc_id)),
+leaves AS (SELECT doc_id, source, sha256(head || {_sql_field('text')}) AS leaf, CASE WHEN even THEN sha256(head || {_sql_field('cut')}) ELSE sha256(head || {_sql_field('text')}) END AS now FROM f),
+row AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+node AS (SELECT source, 0 AS level, i, n, leaf AS h FROM row
+  UNION ALL SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY source, level, i // 3, n),
+root AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+over AS (SELECT 0 AS level, i, n, h FROM root
+  UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM over WHERE n > 1 GROUP BY level, i // 3, n),
+walk AS (SELECT doc_id, leaf, source, i AS row, 0 AS level, i, n, now AS x, '' AS proof FROM row
+  UNION ALL SELECT w.doc_id, w.leaf, w.source, w.row, w.level + 1, w.i // 3, (w.n + 2) // 3, sha256(string_agg(CASE WHEN o.i = w.i THEN w.x ELSE o.h END, '' ORDER BY o.i)), w.proof || coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i <> w.i), '')
+  FROM walk w JOIN node o ON o.source IS NOT DISTINCT FROM w.source AND o.level = w.level AND o.i // 3 = w.i // 3 WHERE w.n > 1 GROUP BY w.doc_id, w.leaf, w.source, w.row, w.level, w.i, w.n, w.x, w.proof),
+up AS (SELECT w.doc_id, w.leaf, r.h AS subroot, w.row, 0 AS level, r.i, r.n, w.x, w.proof FROM walk w JOIN root r ON r.source IS NOT DISTINCT FROM w.source WHERE w.n = 1
+  UNION ALL SELECT w.doc_id, w.leaf, w.subroot, w.row, w.level + 1, w.i // 3, (w.n + 2) // 3, sha256(string_agg(CASE WHEN o.i = w.i THEN w.x ELSE o.h END, '' ORDER BY o.i)), w.proof || coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i <> w.i), '')
+  FROM up w JOIN over o ON o.level = w.level AND o.i // 3 = w.i // 3 WHERE w.n > 1 GROUP BY w.doc_id, w.leaf, w.subroot, w.row, w.level, w.i, w.n, w.x, w.proof)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = r.h AS verified FROM up, (SELECT h FROM over WHERE n = 1) r WHERE up.n = 1"""
+
+ORACLES = {"op13_merkle_manifest": _SQL}
