@@ -39,11 +39,13 @@ def packed(vectors: DataFrame, key: str, keys: str, dim: str, cells: str) -> Dat
     return good.select(key, F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, kind)
 
 
-def best_products(vectors: DataFrame, queries: DataFrame, key: str, top: int, decimals: int) -> DataFrame:
+def best_products(vectors: DataFrame, queries: DataFrame, key: str, top: int, decimals: int, size: int | None = None) -> DataFrame:
     """query_id, key, score: for each block of vectors (key, embedding) the best rows of each query (query_id, embedding) by the
-    inner product rounded to decimals, ties by key; the score is not rounded. Vectors of unlike lengths do not meet."""
+    inner product rounded to decimals, ties by key; the score is not rounded. Vectors of unlike lengths do not meet.
+    size: bytes of the queries' vectors, counted here where they are not known."""
     left, right = packed(vectors, key, "keys", "dim", "cells"), packed(queries, "query_id", "asked", "asked_dim", "asked_cells")
-    size = queries.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0
+    if size is None:
+        size = queries.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0
     return best_of(left.crossJoin(F.broadcast(right) if size <= BROADCAST else right).where("dim = asked_dim"), key, top, decimals)
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from ..functions.text import bigrams, bind, feature_hash, tokenize
 
@@ -23,29 +28,60 @@ def sparse_vectors(texts: DataFrame, keys: list[str], dim: int = 384) -> DataFra
     return summed.withColumn("norm", norm).where("norm > 0").select(*keys, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
+def _vectors(tokens: pa.ListArray, dim: int) -> np.ndarray:
+    """A row for each list of tokens: the unit vector of its features, or zeros. Distinct features of all lists are hashed once."""
+    n, sizes = len(tokens), np.asarray(tokens.value_lengths().fill_null(0))
+    flat = tokens.flatten().dictionary_encode()
+    words, code = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    near = np.flatnonzero(row[1:] == row[:-1])
+    pairs, pair = np.unique(code[near] * len(words) + code[near + 1], return_inverse=True)
+    h = [zlib.crc32(w.encode()) for w in words]
+    h += [zlib.crc32(f"{words[x]}_{words[y]}".encode()) for x, y in zip((pairs // max(1, len(words))).tolist(), (pairs % max(1, len(words))).tolist())]
+    h, many = np.array(h, np.int64), len(words) + len(pairs)
+    seen, count = np.unique(np.concatenate([row, row[near]]) * many + np.concatenate([code, len(words) + pair]), return_counts=True)
+    which = h[seen % many] if many else h
+    weight = np.where(which >> 31 == 1, 1.0, -1.0) * (1 + np.log(count))
+    cells = np.bincount(seen // max(1, many) * dim + which % dim, weight, n * dim).reshape(n, dim)
+    norm = np.sqrt((cells**2).sum(axis=1))
+    return cells / np.where(norm > 0, norm, 1)[:, None]
+
+
 def dense_vectors(texts: DataFrame, keys: list[str], dim: int = 384) -> DataFrame:
-    """keys, embedding (array<float>): the same vectors; of a text without features, zeros."""
-    each = sparse_vectors(texts, keys, dim).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return texts.select(*keys).join(each, keys, "left").select(*keys, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0).cast("float"), dim)).otherwise(cells).alias("embedding"))
+    """keys, embedding (array<float>): the same vectors; of a text without features, zeros. A row's vector depends on it alone, so nothing is
+    shuffled: words are cut by Spark, and batches of them hashed in numpy."""
+    kind = StructType([*[StructField(k, texts.schema[k].dataType) for k in keys], StructField("embedding", ArrayType(FloatType()))])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                v = _vectors(some.column(len(keys)), dim).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], lists], names=[*keys, "embedding"])
+
+    return texts.select(*keys, tokenize(F.col("text")).alias("tokens")).mapInArrow(run, kind)
 
 
 def neighbour_cosine(texts: DataFrame, dim: int = 384) -> DataFrame:
     """doc_id, sent_no, similarity: the cosine between each text (doc_id, sent_no, text) and the next one of its document.
 
-    All steps group by doc_id and more, so texts that come partitioned by it are shuffled no more. A cell of its own
-    (-1) that every text has keeps pairs without a common one.
-    """
-    keys = ["doc_id", "sent_no"]
-    counted = texts.select(*keys, F.explode(F.concat(features(F.col("text")), F.array(F.lit("")))).alias("f")).groupBy(*keys, "f").agg(F.count("*").alias("n"))
-    bucket, sign = feature_hash(F.col("f"), dim)
-    none = F.col("f") == ""
-    summed = counted.groupBy(*keys, F.when(none, -1).otherwise(bucket).alias("bucket")).agg(F.sum(F.when(none, 0.0).otherwise(sign * (1 + F.ln("n")))).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
-    cells = summed.withColumn("value", F.coalesce(F.col("v") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
-    along = Window.partitionBy("doc_id", "bucket").orderBy("sent_no")
-    pairs = cells.withColumns({"next_no": F.lead("sent_no").over(along), "next": F.lead("value").over(along)}).where("next_no = sent_no + 1")
-    return pairs.groupBy(*keys).agg(F.round(F.sum(F.col("value") * F.col("next")), 9).alias("similarity"))
+    A document's texts come together, which costs no shuffle where they are partitioned by it, as windows over documents leave them; its words are hashed
+    some texts at a time."""
+    kind = StructType([texts.schema["doc_id"], texts.schema["sent_no"], StructField("similarity", DoubleType())])
+
+    def run(t):
+        t = t.sort_by("sent_no").combine_chunks()
+        number, near = t["sent_no"].to_numpy(), []
+        for at in range(0, len(t) - 1, 1024):
+            v = _vectors(t["tokens"].slice(at, 1025).combine_chunks(), dim)
+            near.append(np.einsum("ij,ij->i", v[:-1], v[1:]))
+        good = np.flatnonzero(number[1:] == number[:-1] + 1)
+        values = np.concatenate([np.zeros(0), *near])[good]
+        return pa.table({"doc_id": t["doc_id"].take(pa.array(good)), "sent_no": t["sent_no"].take(pa.array(good)), "similarity": pa.array(values)})
+
+    found = texts.select("doc_id", "sent_no", tokenize(F.col("text")).alias("tokens")).groupBy("doc_id").applyInArrow(run, kind)
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
 def dot(a: Column, b: Column) -> Column:

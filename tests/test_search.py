@@ -90,6 +90,23 @@ def test_hash_vectors_are_unit_and_alike_for_like_texts(spark):
     assert got[0]["score"] == pytest.approx(float(max(np.array(q) @ v[i] for i in v)), abs=2e-4)
 
 
+def test_dense_vectors_are_the_sparse_ones(spark):
+    rng = random.Random(5)
+    words = ["pump", "valves", "the", "running", "é", "x1", "cities", "of", "pass"]
+    texts = frame(spark, [(i, f"k{i}", " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(60)] + [(60, None, None), (61, "t", "the of"), (62, "u", "")], "id int, k string, text string")
+    got = {r["id"]: r["embedding"] for r in embedding.dense_vectors(texts, ["id", "k"]).collect()}
+    want = {i: [0.0] * 384 for i in got}
+    for r in embedding.sparse_vectors(texts, ["id", "k"]).collect():
+        want[r["id"]][r["bucket"]] = r["value"]
+    assert len(got) == 63 and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in got)
+    # neighbours of a document, cut between slices of texts as elsewhere
+    rows = [(i % 2, i // 2, t) for i, t in enumerate(rng.choices(["pump valve", "valve pump x", "", "other words here"], k=3000))]
+    near = {(r["doc_id"], r["sent_no"]): r["similarity"] for r in embedding.neighbour_cosine(frame(spark, rows, "doc_id int, sent_no int, text string")).collect()}
+    unit = {(r["doc_id"], r["sent_no"]): np.array(r["embedding"]) for r in embedding.dense_vectors(frame(spark, rows, "doc_id int, sent_no int, text string"), ["doc_id", "sent_no"]).collect()}
+    assert near.keys() == {(d, i) for d, i in unit if (d, i + 1) in unit}
+    assert all(abs(near[d, i] - unit[d, i] @ unit[d, i + 1]) < 1e-6 for d, i in near)
+
+
 def test_dense_and_its_blocks_agree(spark, monkeypatch):
     rng = random.Random(1)
     v = frame(spark, [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)], "vec_id long, embedding array<double>")
