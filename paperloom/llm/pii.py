@@ -58,19 +58,23 @@ def feistel_number(value: Column, a: int, b: int, key: str, kind: str) -> Column
 
 
 def _shifted(half: Column, stream: Column, hexa: bool) -> Column:
-    """Each character moved within its alphabet by the next byte of the stream."""
+    """Each character moved within its alphabet by the next byte of the stream; one beyond ASCII within its sixteen neighbours, which are of
+    its script but for few."""
     stream = F.concat(*[stream] * 4)
 
     def move(c, i):
         alphabet = F.lit("0123456789abcdef") if hexa else F.when(c.between("0", "9"), "0123456789").when(c.between("a", "z"), "abcdefghijklmnopqrstuvwxyz").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         by = F.conv(F.substr(stream, (i % 256) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.substr(alphabet, F.pmod(F.instr(alphabet, c) - 1 + by, F.length(alphabet)) + 1, F.lit(1))
+        moved = F.substr(alphabet, F.pmod(F.instr(alphabet, c) - 1 + by, F.length(alphabet)) + 1, F.lit(1))
+        point = F.ascii(c)  # of any letter, not only of ASCII
+        near = point - point % 16 + (point % 16 + by) % 16
+        return moved if hexa else F.when(point > 127, F.decode(F.unhex(F.lpad(F.hex(near), 8, "0")), "UTF-32")).otherwise(moved)
 
     return F.when(half == "", F.lit("")).otherwise(F.array_join(F.transform(F.split(half, ""), move), ""))
 
 
 def feistel_text(value: Column, key: str, kind: str, hexa: bool = False) -> Column:
-    """A keyed permutation of strings of ASCII letters and digits that keeps each place's alphabet."""
+    """A keyed permutation of strings of letters and digits that keeps each place's alphabet."""
     n = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), n).alias("l"), F.substr(value, n + 1, F.length(value)).alias("r"))
 
@@ -84,10 +88,10 @@ def feistel_text(value: Column, key: str, kind: str, hexa: bool = False) -> Colu
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def _in_place(value: Column, fresh) -> Column:
-    """value with its ASCII letters and digits replaced, in order, by fresh(all of them as one string)."""
-    only = lambda x: F.regexp_replace(x, "[^A-Za-z0-9]", "")
-    put = lambda new: F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(new, F.length(only(F.substr(value, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+def _in_place(value: Column, fresh, letters: str = "A-Za-z0-9") -> Column:
+    """value with its letters and digits replaced, in order, by fresh(all of them as one string)."""
+    only = lambda x: F.regexp_replace(x, f"[^{letters}]", "")
+    put = lambda new: F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(f"[{letters}]"), F.substr(new, F.length(only(F.substr(value, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
     return _bind(fresh(only(value)), put)
 
 
@@ -158,7 +162,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     at = F.instr(value, "@")
     same = lambda kind, hexa=False: lambda s: feistel_text(s, key, kind, hexa)
     return (
-        F.when(at > 0, F.concat(_in_place(F.substr(value, F.lit(1), at - 1), same("email")), F.substr(value, at, F.length(value))))
+        F.when(at > 0, F.concat(_in_place(F.substr(value, F.lit(1), at - 1), same("email"), r"\p{L}\p{N}"), F.substr(value, at, F.length(value))))
         .when(is_("iban") & ~(is_("secret") & (_mod97(value) != 1)), _in_place(value, lambda s: _iban(s, key)))
         .when(is_("secret"), _secret(value, key))
         .when(is_("ip"), _ip(value, key))
