@@ -571,6 +571,25 @@ def eval_hit_mrr(spark, d):
     return evaluate.hits(found, gold, asked)
 
 
+@query(f"""WITH RECURSIVE {_CRC}, {_cosine_sql(30, "ra")}, {_bm25_sql(_words, _LIVE, 30, "rb")}, {_MERGED_SQL},
+r AS (SELECT 'dense' AS mode, query_id, doc_id, rank FROM ra UNION ALL SELECT 'sparse', query_id, doc_id, rank FROM rb UNION ALL SELECT 'hybrid', query_id, doc_id, fused_rank FROM fused),
+g AS (SELECT mode, query_id, min(rank) AS r FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 5 AND contains(d.text, b.text) GROUP BY ALL)
+SELECT mode, count(*) AS n, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_1, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_k, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr
+FROM (SELECT unnest(['dense', 'sparse', 'hybrid']) AS mode, item_id AS query_id FROM benchmark) LEFT JOIN g USING (mode, query_id) GROUP BY mode""")
+def eval_modes(spark, d):
+    """Hits of dense, sparse and fused search, before reranking: a document answers a passage that it holds."""
+    docs, asked = _docs(spark, d), _asked(spark, d)
+    dense, sparse = search.hashed(docs, "doc_id", asked, 30), search.bm25(index.build(docs, "doc_id", "live"), asked, 30)
+    both = search.fused(dense, sparse, "doc_id").select("query_id", "doc_id", F.col("fused_rank").alias("rank"))
+    out = None
+    for mode, found in (("dense", dense), ("sparse", sparse), ("hybrid", both)):
+        best = found.where("rank <= 5").select("query_id", "doc_id", "rank")
+        gold = best.join(docs, "doc_id").join(asked, "query_id").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+        one = evaluate.hits(best, gold, asked).select(F.lit(mode).alias("mode"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""WITH r AS (SELECT event_type, value AS t, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(n) AS n, max(t) FILTER (p = n // 2) AS p50, max(t) FILTER (p = greatest(n * 95 // 100 - 1, 0)) AS p95 FROM r GROUP BY 1""")
 def latency_percentiles(spark, d):

@@ -231,7 +231,7 @@ class Store:
         segments = self._segments(name)
         if not segments:
             raise KeyError(name)
-        bucket = int(self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(str(doc_id))), F.lit(self.buckets))).first()[0])
+        bucket = F.pmod(F.xxhash64(F.lit(str(doc_id))), F.lit(self.buckets)).cast("int")  # folded into a number, which the files' statistics are asked for
         return self._merged(name, segments, (F.col("bucket") == bucket) & (F.col("doc_id") == doc_id)).drop("bucket")
 
     def ids(self, name: str = "pages") -> DataFrame:
