@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
@@ -17,11 +17,16 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, St
 ROWS, BROADCAST = 2048, 64 << 20
 
 
+def whole(v: Column) -> Column:
+    """Whether a vector is there and holds no null."""
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+
+
 def packed(vectors: DataFrame, key: str, keys: str, dim: str, cells: str) -> DataFrame:
     """Rows of arrays: keys, dim, cells (doubles, row by row) of vectors (key, embedding) of one length. Null keys and vectors
     that are null or hold a null take no part."""
     kind = StructType([StructField(keys, ArrayType(vectors.schema[key].dataType)), StructField(dim, IntegerType()), StructField(cells, BinaryType())])
-    good = vectors.where(F.col(key).isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    good = vectors.where(F.col(key).isNotNull() & whole(F.col("embedding")))
 
     def run(batches):
         for b in batches:
@@ -39,6 +44,41 @@ def packed(vectors: DataFrame, key: str, keys: str, dim: str, cells: str) -> Dat
     return good.select(key, F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, kind)
 
 
+def packed_by(vectors: DataFrame, by: str, key: str, names: list[str]) -> DataFrame:
+    """Rows of arrays (by, *names) of at most ROWS vectors (by, key, embedding) with one value of `by`, names as in packed(); vectors have one length. Values of `by`
+    are dealt by ranges, so a frequent one spreads."""
+    rows, spark = ROWS, vectors.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = vectors.select(by, key, "embedding").withColumn("_h", F.xxhash64(key)).repartitionByRange(n, by, "_h").sortWithinPartitions(by, key).drop("_h")
+    kind = StructType([vectors.schema[by], StructField(names[0], ArrayType(vectors.schema[key].dataType)), StructField(names[1], IntegerType()), StructField(names[2], BinaryType())])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def out():
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            for i in range(0, len(t), rows):
+                some = t.slice(i, rows)
+                cells = some["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                keys = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some[key].combine_chunks())
+                yield pa.RecordBatch.from_arrays([some[by].combine_chunks()[:1], keys, pa.array([len(cells) // len(some)], pa.int32()), pa.array([cells.astype(np.float64).tobytes()], pa.binary())], names=[by, *names])
+
+        for b in batches:
+            of = b.column(0).to_pylist()
+            edges = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if held and (held[0].column(0)[0].as_py() != of[i] or sum(map(len, held)) >= rows):
+                    yield from out()
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from out()
+
+    return near.mapInArrow(run, kind)
+
+
 def best_products(vectors: DataFrame, queries: DataFrame, key: str, top: int, decimals: int, size: int | None = None) -> DataFrame:
     """query_id, key, score: for each block of vectors (key, embedding) the best rows of each query (query_id, embedding) by the
     inner product rounded to decimals, ties by key; the score is not rounded. Vectors of unlike lengths do not meet.

@@ -103,7 +103,7 @@ def build(vectors: DataFrame, key: str, fit: Fit = Fit()) -> Ivf:
     kind = StructType([StructField("list", IntegerType()), StructField("keys", ArrayType(vectors.schema[key].dataType)), StructField("dim", IntegerType()), StructField("cells", BinaryType())])
     if not len(centroids):
         return Ivf(key, centroids, vectors.sparkSession.createDataFrame([], kind))
-    return Ivf(key, centroids, _in_blocks(_dealt(vectors, key, centroids, 1), key, ["keys", "dim", "cells"]))
+    return Ivf(key, centroids, blocks.packed_by(_dealt(vectors, key, centroids, 1), "list", key, ["keys", "dim", "cells"]))
 
 
 def _dealt(vectors: DataFrame, key: str, centroids: np.ndarray, probes: int) -> DataFrame:
@@ -124,43 +124,9 @@ def _dealt(vectors: DataFrame, key: str, centroids: np.ndarray, probes: int) ->
     return good.mapInArrow(run, kind)
 
 
-def _in_blocks(dealt: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """Rows of arrays (list, *names) of at most blocks.ROWS vectors of one list. Lists are dealt by ranges, so a large one spreads."""
-    rows, spark = blocks.ROWS, dealt.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = dealt.withColumn("_h", F.xxhash64(key)).repartitionByRange(n, "list", "_h").sortWithinPartitions("list", key).drop("_h")
-    kind = StructType([StructField("list", IntegerType()), StructField(names[0], ArrayType(dealt.schema[key].dataType)), StructField(names[1], IntegerType()), StructField(names[2], BinaryType())])
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def out():
-            t = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            for i in range(0, len(t), rows):
-                some = t.slice(i, rows)
-                cells = some["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-                keys = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some[key].combine_chunks())
-                yield pa.RecordBatch.from_arrays([some["list"].combine_chunks()[:1], keys, pa.array([len(cells) // len(some)], pa.int32()), pa.array([cells.astype(np.float64).tobytes()], pa.binary())], names=["list", *names])
-
-        for b in batches:
-            of = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            for i, j in zip(edges, edges[1:]):
-                if i == j:
-                    continue
-                if held and (held[0].column(0)[0].as_py() != of[i] or sum(map(len, held)) >= rows):
-                    yield from out()
-                held.append(b.slice(i, j - i))
-        if held:
-            yield from out()
-
-    return near.mapInArrow(run, kind)
-
-
 def search(index: Ivf, queries: DataFrame, top: int = 30, probes: int = 8, decimals: int = DECIMALS) -> DataFrame:
     """query_id, key, rank, score: the best of what each query (query_id, embedding) probes, ties by key."""
-    asked = _in_blocks(_dealt(queries, "query_id", index.centroids, max(1, probes)), "query_id", ["asked", "asked_dim", "asked_cells"])
+    asked = blocks.packed_by(_dealt(queries, "query_id", index.centroids, max(1, probes)), "list", "query_id", ["asked", "asked_dim", "asked_cells"])
     scores = blocks.best_of(index.lists.join(asked, "list"), index.key, top, decimals)
     return ranked(scores.withColumn("score", F.round("score", decimals)), index.key, top)
 

@@ -64,12 +64,20 @@ def select_pages(pages: DataFrame, spec: str) -> DataFrame:
     return pages.where(wanted).withColumnRenamed("page_no", "source_page").withColumn("page_no", F.row_number().over(order))
 
 
-def merge_documents(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """Pages of merged documents. files: (merged_id, position, doc_id); each result needs two files at least."""
+def merge_documents(pages: DataFrame, files: DataFrame, stretch: int = 4096) -> DataFrame:
+    """Pages of merged documents. files: (merged_id, position, doc_id), position a number; each result needs two files at least.
+
+    A page's number is its place in its file, plus the pages of the files before it in its stretch of positions, plus those of the stretches before: a
+    result of very many files is numbered by many tasks."""
     enough = files.groupBy("merged_id").agg(F.count("*").alias("n")).where("n >= 2").select("merged_id")
-    order = Window.partitionBy("merged_id").orderBy("position", "source_page")
-    found = files.join(enough, "merged_id", "left_semi").join(pages.withColumnRenamed("page_no", "source_page"), "doc_id")
-    return found.withColumn("page_no", F.row_number().over(order)).select("merged_id", "page_no", "doc_id", "source_page", "text")
+    chosen = files.join(enough, "merged_id", "left_semi").withColumn("_stretch", F.floor(F.col("position") / stretch))
+    sizes = chosen.join(pages.groupBy("doc_id").agg(F.count("*").alias("_n")), "doc_id").groupBy("merged_id", "_stretch", "position").agg(F.sum("_n").alias("_n"))
+    before = lambda w, by: F.coalesce(F.sum("_n").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = sizes.groupBy("merged_id", "_stretch").agg(F.sum("_n").alias("_n")).withColumn("_far", before(Window.partitionBy("merged_id"), "_stretch")).drop("_n")
+    offsets = sizes.withColumn("_near", before(Window.partitionBy("merged_id", "_stretch"), "position")).drop("_n").join(stretches, ["merged_id", "_stretch"])
+    found = chosen.join(pages.withColumnRenamed("page_no", "source_page"), "doc_id").join(offsets, ["merged_id", "_stretch", "position"])
+    place = F.row_number().over(Window.partitionBy("merged_id", "position").orderBy("source_page"))
+    return found.withColumn("page_no", (F.col("_far") + F.col("_near") + place).cast("int")).select("merged_id", "page_no", "doc_id", "source_page", "text")
 
 
 def speech_pages(pages: DataFrame) -> DataFrame:

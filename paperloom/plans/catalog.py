@@ -178,9 +178,8 @@ def select_pages(spark, d):
 @query(f"""WITH {PAGES_SQL}, f AS (SELECT source AS merged_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, doc_id FROM documents)
 SELECT merged_id, row_number() OVER (PARTITION BY merged_id ORDER BY position, p.page_no)::INTEGER AS page_no, doc_id, p.page_no AS source_page FROM f JOIN pages p USING (doc_id) WHERE merged_id IN (SELECT merged_id FROM f GROUP BY 1 HAVING count(*) >= 2)""")
 def merge_docs(spark, d):
-    from pyspark.sql import Window
-
-    files = _t(spark, d, "documents").select(F.col("source").alias("merged_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("position"), "doc_id")
+    """The documents of each source as one, in the order of their ids, which do for positions."""
+    files = _t(spark, d, "documents").select(F.col("source").alias("merged_id"), F.col("doc_id").alias("position"), "doc_id")
     return P.merge_documents(_pages(spark, d), files).select("merged_id", "page_no", "doc_id", "source_page")
 
 
