@@ -190,7 +190,8 @@ def held_out(key: Column, of: int = 5) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, training: Training) -> DataFrame:
     """quality, text of the documents to learn from: whole texts, equal rows once. Both bounds hold however often an id occurs."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # other columns may have names that are used here
+    marked = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training.rows)
     sized = docs.where("text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
     keys = sized.groupBy("doc_id", "quality", "h").agg(F.first("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(training.rows).toPandas()
