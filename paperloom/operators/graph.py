@@ -5,6 +5,8 @@ Every step takes chunks (doc_id, chunk_no, text) of many documents at once; stat
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,21 +85,21 @@ def edges(pairs: DataFrame, most: int = 150, least: float = 0.04) -> DataFrame:
     return rows.select("doc_id", stable_id(F.col("source_key")).alias("source"), stable_id(F.col("target_key")).alias("target"), "weight")
 
 
-def keyword_mentions(chunks: DataFrame, trimmed: bool = False) -> DataFrame:
-    """Hits of the fixed keywords. trimmed: words between white space, without signs around them."""
+def keyword_mentions(chunks: DataFrame, trimmed: bool = False, keywords: Sequence[str] = GRAPH_KEYWORDS) -> DataFrame:
+    """Hits of keywords, the fixed ones by default. trimmed: words between white space, without signs around them."""
     if trimmed:
         words = F.transform(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     else:
         words = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Za-z0-9.\-]+\b"), F.lit(0))
-    return chunks.select("doc_id", "chunk_no", F.explode(F.filter(words, lambda w: w.isin(GRAPH_KEYWORDS))).alias("key"))
+    return chunks.select("doc_id", "chunk_no", F.explode(F.filter(words, lambda w: w.isin(list(keywords)))).alias("key"))
 
 
-def keyword_nodes(chunks: DataFrame, trimmed: bool = False) -> DataFrame:
-    return keyword_mentions(chunks, trimmed).groupBy("key").agg(F.count("*").alias("freq"))
+def keyword_nodes(chunks: DataFrame, trimmed: bool = False, keywords: Sequence[str] = GRAPH_KEYWORDS) -> DataFrame:
+    return keyword_mentions(chunks, trimmed, keywords).groupBy("key").agg(F.count("*").alias("freq"))
 
 
-def keyword_edges(chunks: DataFrame, trimmed: bool = False) -> DataFrame:
-    seen = keyword_mentions(chunks, trimmed).distinct()
+def keyword_edges(chunks: DataFrame, trimmed: bool = False, keywords: Sequence[str] = GRAPH_KEYWORDS) -> DataFrame:
+    seen = keyword_mentions(chunks, trimmed, keywords).distinct()
     pairs = seen.withColumnRenamed("key", "source").join(seen.withColumnRenamed("key", "target"), ["doc_id", "chunk_no"]).where("source < target")
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
 

@@ -188,9 +188,11 @@ def scanned_documents(spark, d):
     return P.scanned_documents(_pages(spark, d))
 
 
-@query(rf"WITH {PAGES_SQL} SELECT doc_id, array_to_string(list_transform(list_sort(list(page_no)), lambda n: 'page ' || n || ': no extractable text'), '; ') AS warnings FROM pages WHERE NOT regexp_matches(text, '\S') GROUP BY doc_id")
+@query(rf"WITH {PAGES_SQL} SELECT doc_id, array_to_string(list_transform(list_sort(list(page_no)), lambda n: 'page ' || n || ': no extractable text'), '; ') AS warnings FROM pages WHERE length(text) < 400 OR NOT regexp_matches(text, '\S') GROUP BY doc_id")
 def empty_page_warnings(spark, d):
-    return P.empty_pages(_pages(spark, d)).select("doc_id", F.array_join("warnings", "; ").alias("warnings"))
+    """Short pages stand for scanned ones: white space is all that was read of them."""
+    read = F.when(F.length("text") < 400, F.lit(" \n\t")).otherwise(F.col("text"))
+    return P.empty_pages(_pages(spark, d).withColumn("text", read)).select("doc_id", F.array_join("warnings", "; ").alias("warnings"))
 
 
 SENTENCES_SQL = rf"""cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])(\s+)(["''(\[]?[A-Z0-9])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS l FROM documents),
@@ -209,10 +211,15 @@ def sentences(spark, d):
     return chunking.sentences(_docs(spark, d)).select("doc_id", "sent_no", "start", "end", "tokens")
 
 
-@query(rf"""WITH {SENTENCES_SQL}, w AS (SELECT doc_id, start, len(regexp_extract_all(sentence, '\S+')) AS n FROM sents) SELECT doc_id, sum((n + 19) // 20)::BIGINT AS pieces, sum(n)::BIGINT AS tokens FROM w GROUP BY doc_id""")
+@query(rf"""WITH {SENTENCES_SQL}, w AS (SELECT *, regexp_extract_all(sentence, '\S+') AS w, string_split_regex(sentence, '\S+') AS g FROM sents),
+each AS (SELECT doc_id, start, sentence, unnest(w) AS word, unnest(g[:len(w)]) AS gap, generate_subscripts(w, 1) AS j FROM w WHERE len(w) > 20),
+placed_words AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id, start ORDER BY j) AS upto FROM each),
+long AS (SELECT doc_id, start, sentence, min(upto - length(word)) AS a, max(upto) AS b, count(*) AS tokens FROM placed_words GROUP BY doc_id, start, sentence, (j - 1) // 20),
+pieces AS (SELECT doc_id, start, start + length(sentence) AS "end", len(w) AS tokens, sentence FROM w WHERE len(w) <= 20 UNION ALL SELECT doc_id, start + a, start + b, tokens, substr(sentence, (a + 1)::INTEGER, (b - a)::INTEGER) FROM long)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS sent_no, start::INTEGER AS start, "end"::INTEGER AS "end", tokens::INTEGER AS tokens, md5(sentence) AS body FROM pieces""")
 def hard_split(spark, d):
     cut = chunking.hard_split(chunking.sentences(_docs(spark, d)), 20)
-    return cut.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    return cut.select("doc_id", "sent_no", "start", "end", "tokens", F.md5("sentence").alias("body"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_no, md5(text) AS body, word_start, word_end FROM chunks")
@@ -282,10 +289,12 @@ jumps AS (SELECT doc_id, -1 AS chunk_no, 0 AS first, -1 AS last, 0 AS begin, 0 A
 packed AS (SELECT doc_id, chunk_no, first, last FROM jumps WHERE chunk_no >= 0)"""
 
 
-@query("SELECT doc_id, 0 AS sent_no, 0 AS start FROM documents WHERE false")
+@query(f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, start FROM sents WHERE sent_no // 5 % 3 = 1")
 def uncovered_sentences(spark, d):
-    sents = chunking.hard_split(chunking.sentences(_docs(spark, d)), 256)
-    return chunking.uncovered(sents, chunking.chunks(_pages(spark, d), semantic=False))
+    """Where every third passage is missing, its sentences; chunks of whole documents leave none."""
+    sents = chunking.sentences(_docs(spark, d))
+    holes = chunking.uncovered(sents, _passages(spark, d).where("chunk_no % 3 <> 1"))
+    return holes.unionByName(chunking.uncovered(chunking.hard_split(sents, 256), chunking.chunks(_pages(spark, d), semantic=False)))
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -340,10 +349,11 @@ def pack_chunks(spark, d):
     return chunking.chunks(_pages(spark, d))
 
 
-@query("SELECT item_id, 1.0::DOUBLE AS norm, 384 AS dim FROM benchmark")
+@query(f"WITH RECURSIVE {_CRC}, {_HASHED} SELECT item_id, round(sqrt(sum(value * value)), 4) AS norm, 384 AS dim, count(*) FILTER (abs(value) > 1e-6) AS cells FROM unit GROUP BY 1")
 def hash_vectors_unit(spark, d):
     v = embedding.dense_vectors(_t(spark, d, "benchmark").select("item_id", "text"), ["item_id"])
-    return v.select("item_id", F.round(F.sqrt(embedding.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.size("embedding").alias("dim"))
+    norm = F.round(F.sqrt(embedding.dot(F.col("embedding"), F.col("embedding"))), 4)
+    return v.select("item_id", norm.alias("norm"), F.size("embedding").alias("dim"), F.size(F.filter("embedding", lambda x: F.abs(x) > 1e-6)).cast("long").alias("cells"))
 
 
 def _vectors(spark, d):
@@ -663,23 +673,25 @@ def visible_edges(spark, d):
     return graph.visible_edges(_edges(spark, d), graph.filter_nodes(_nodes(spark, d), ["TECH", "CONCEPT", "TERM"], "TH"))
 
 
-_KEYWORDS = _sql_list(patterns.GRAPH_KEYWORDS)
+# the fixed keywords, and words that the documents have
+WORDS_OF_GRAPH = [*patterns.GRAPH_KEYWORDS, "the", "The", "and", "token", "de", "que", "der", "die", "le"]
+_KEYWORDS = _sql_list(WORDS_OF_GRAPH)
 _KEYED = {False: f"SELECT doc_id, chunk_no, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g'), '\\b[A-Za-z0-9.\\-]+\\b'), lambda w: list_contains({_KEYWORDS}, w))) AS key FROM chunks", True: f"SELECT doc_id, chunk_no, unnest(list_filter(list_transform(regexp_extract_all(text, '\\S+'), lambda w: regexp_replace(w, '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g')), lambda w: list_contains({_KEYWORDS}, w))) AS key FROM chunks"}
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT key, count(*) AS freq FROM ({_KEYED[False]}) GROUP BY 1")
 def keyword_nodes(spark, d):
-    return graph.keyword_nodes(_chunks(spark, d))
+    return graph.keyword_nodes(_chunks(spark, d), keywords=WORDS_OF_GRAPH)
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT key, count(*) AS freq FROM ({_KEYED[True]}) GROUP BY 1")
 def keyword_nodes_ws(spark, d):
-    return graph.keyword_nodes(_chunks(spark, d), True)
+    return graph.keyword_nodes(_chunks(spark, d), True, WORDS_OF_GRAPH)
 
 
 @query(f"WITH {CHUNKS_SQL}, s AS (SELECT DISTINCT * FROM ({_KEYED[False]})) SELECT a.key AS source, b.key AS target, count(*) AS weight FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.key < b.key GROUP BY ALL")
 def keyword_edges(spark, d):
-    return graph.keyword_edges(_chunks(spark, d))
+    return graph.keyword_edges(_chunks(spark, d), keywords=WORDS_OF_GRAPH)
 
 
 # --- document tools -------------------------------------------------------------------------
@@ -698,9 +710,12 @@ def redact_terms(spark, d):
 _TABLES_SQL = """tabs AS (SELECT p_brand AS doc_id, p_size AS page_no, list([p_partkey::VARCHAR, p_name, CASE WHEN p_partkey % 7 <> 0 THEN p_type END] ORDER BY p_partkey) AS b FROM part GROUP BY ALL)"""
 
 
-@query("""SELECT doc_id, name AS "column", place::INTEGER AS place FROM (SELECT DISTINCT p_brand AS doc_id FROM part), (VALUES ('Part key', 1), ('Name', 2), ('Type', 3)) v(name, place)""")
+@query(f"""WITH {_TABLES_SQL}, h AS (SELECT doc_id, page_no, string_split(b[1][2], ' ') AS h FROM tabs), c AS (SELECT doc_id, page_no, unnest(h) AS name, generate_subscripts(h, 1) AS i FROM h)
+SELECT doc_id, name AS "column", row_number() OVER (PARTITION BY doc_id ORDER BY min([page_no, i]))::INTEGER AS place FROM c WHERE name <> '' GROUP BY 1, 2""")
 def table_columns(spark, d):
-    return tables.columns(_tables(spark, d))
+    """Headers that differ from table to table: the words of the first part's name."""
+    head = F.split(F.get(F.get("rows", F.lit(1)), F.lit(1)), " ")
+    return tables.columns(_tables(spark, d).withColumn("rows", F.concat(F.array(head), F.slice("rows", 2, F.size("rows")))))
 
 
 @query(r"""SELECT p_brand AS doc_id, p_size AS page_no, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey)::INTEGER AS row_no, coalesce(CASE WHEN p_partkey % 7 <> 0 THEN trim(regexp_replace(p_type, '\s+', ' ', 'g')) END, '') AS "Type", '' AS "None", p_partkey::VARCHAR AS "Part key" FROM part""")
@@ -764,12 +779,16 @@ def document_list(spark, d):
     return list_documents(_docs(spark, d), _pages(spark, d), _chunks(spark, d))
 
 
-@query()
+@query(rf"""WITH {PAGES_SQL}, w AS (SELECT doc_id, page_no, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM pages),
+box AS (SELECT doc_id, page_no, list_transform(range(1, len(w)), lambda i: [{{'x0': (i % 12 * 40)::DOUBLE, 'y0': (i // 12 * 6 + length(w[i + 1]) % 5)::DOUBLE, 'x1': (i % 12 * 40 + length(w[i + 1]))::DOUBLE, 'y1': (i // 12 * 6 + length(w[i + 1]) % 5 + 10)::DOUBLE}}]) AS b FROM w WHERE len(w) > 1),
+merged AS (SELECT doc_id, page_no, unnest(list_reduce(b, lambda a, x: CASE WHEN abs(x[1].y0 - a[-1].y0) <= 3 THEN list_concat(a[:-2], [{{'x0': least(a[-1].x0, x[1].x0), 'y0': least(a[-1].y0, x[1].y0), 'x1': greatest(a[-1].x1, x[1].x1), 'y1': greatest(a[-1].y1, x[1].y1)}}]) ELSE list_concat(a, x) END)) AS r FROM box)
+SELECT doc_id, page_no, r.x0 * 2 - 1 AS "left", r.y0 * 2 - 1 AS top, (r.x1 - r.x0) * 2 + 2 AS width, (r.y1 - r.y0) * 2 + 2 AS height FROM merged""")
 def word_rects(spark, d):
-    """Words of each page on a grid, merged into lines; tested on a small page."""
+    """Words of each whole page, twelve to a row of a grid, with tops that depend on their lengths and may fall into a line with those of the row before."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    box = F.transform(words, lambda w, i: F.struct(w.alias("text"), (i % 12 * 40.0).alias("x0"), (F.floor(i / 12) * 12.0 + i % 2).alias("y0"), (i % 12 * 40.0 + F.length(w)).alias("x1"), (F.floor(i / 12) * 12.0 + 10).alias("y1"), (i * 5).alias("start"), (i * 5 + 4).alias("end")))
-    rects = layout.line_rects(layout.overlapping(box, F.lit(0), F.lit(300)))
+    top = lambda w, i: F.floor(i / 12) * 6.0 + F.length(w) % 5
+    box = F.transform(words, lambda w, i: F.struct(w.alias("text"), (i % 12 * 40.0).alias("x0"), top(w, i).alias("y0"), (i % 12 * 40.0 + F.length(w)).alias("x1"), (top(w, i) + 10).alias("y1"), (i * 5).alias("start"), (i * 5 + 4).alias("end")))
+    rects = layout.line_rects(layout.overlapping(box, F.lit(5), F.lit(2**31 - 1)))
     return _pages(spark, d).select("doc_id", "page_no", F.explode(layout.scaled(rects, F.lit(480.0), F.lit(960.0))).alias("r")).select("doc_id", "page_no", "r.*")
 
 
