@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import sys
 import types
 from collections.abc import Callable
@@ -22,12 +23,29 @@ def _model(name: str, load: Callable):
     return held[name]
 
 
-def embedded(texts: DataFrame, keys: list[str], load: Callable[[], Callable[[list[str]], np.ndarray]], name: str, batch: int = BATCH) -> DataFrame:
+def embedded(texts: DataFrame, keys: list[str], load: Callable[[], Callable[[list[str]], np.ndarray]], name: str, batch: int = BATCH, isolate: bool = False) -> DataFrame:
     """keys, embedding (array<float>) of texts (keys, text). load: gives the model, a function of a list of texts to an array with a row for each;
     workers keep it under its name for later tasks. Each call but the last of a partition has `batch` texts, whatever batches Arrow makes. A null text has
-    a null vector, and the model does not see it."""
+    a null vector, and the model does not see it. isolate: where the model raises on a batch, it gets the batch's texts one by one, and those it raises
+    on have null vectors; else its error ends the job."""
     kind = StructType([*[StructField(k, texts.schema[k].dataType) for k in keys], StructField("embedding", ArrayType(FloatType()))])
 
+    def vectors_of(model, said: list[str]) -> np.ndarray:
+        got = np.asarray(model(said), np.float32)
+        if len(got) != len(said):
+            raise ValueError(f"the model gave {len(got)} vectors for {len(said)} texts")
+        return got
+
+    def one_by_one(model, said: list[str]) -> list:
+        found: list = []
+        for x in said:
+            try:
+                found.append(vectors_of(model, [x])[0])
+            except Exception:  # noqa: BLE001 - any text may be one that the model can't take
+                logging.getLogger("paperloom").warning("a text of %d characters has no vector", len(x), exc_info=True)
+                found.append(None)
+        return found
+
     def run(batches):
         model, held, waiting = _model(name, load), [], 0
 
@@ -40,9 +58,13 @@ def embedded(texts: DataFrame, keys: list[str], load: Callable[[], Callable[[lis
             there = [i for i, x in enumerate(said) if x is not None]
             vectors: list = [None] * len(said)
             if there:
-                got = np.asarray(model([said[i] for i in there]), np.float32)
-                if len(got) != len(there):
-                    raise ValueError(f"the model gave {len(got)} vectors for {len(there)} texts")
+                texts_there = [said[i] for i in there]
+                try:
+                    got = vectors_of(model, texts_there)
+                except Exception:
+                    if not isolate:
+                        raise
+                    got = one_by_one(model, texts_there)
                 for i, v in zip(there, got):
                     vectors[i] = v
             columns = [some[k].combine_chunks() for k in keys]

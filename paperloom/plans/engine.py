@@ -54,12 +54,12 @@ class Engine:
         s = self.settings
         return {"embedder": s.embedder if self.embed is None and self.model is None else "a function", "reranker": s.reranker, "tables": [t for t in TABLES if self.store.exists(t)]}
 
-    def _vectors(self, texts: DataFrame, keys: list[str]) -> DataFrame:
-        return embedder.embedded(texts, keys, self.model, f"{self.settings.path}#{id(self.model)}", self.settings.embed_batch)
+    def _vectors(self, texts: DataFrame, keys: list[str], isolate: bool = False) -> DataFrame:
+        return embedder.embedded(texts, keys, self.model, f"{self.settings.path}#{id(self.model)}", self.settings.embed_batch, isolate)
 
     def _embedder(self, texts: DataFrame) -> DataFrame:
         if self.model is not None:
-            return self._vectors(texts, ["chunk_id", "doc_id"])
+            return self._vectors(texts, ["chunk_id", "doc_id"], isolate=True)
         return ingest.hashing(texts) if self.embed is None else texts.withColumn("embedding", self.embed(F.col("text"))).drop("text")
 
     def ingest(self, pages: DataFrame, batch: int = 0) -> None:

@@ -251,9 +251,10 @@ class Store:
             self.spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS {' UNION ALL '.join(parts)}")
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+def write_csv(rows: DataFrame, path: str, files: int | None = 1) -> None:
+    """CSV files with a header each: one, which a single task writes, or `files`, or with None as many as rows has partitions."""
+    cut = rows if files is None else rows.coalesce(1) if files == 1 else rows.repartition(files)
+    cut.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_jdbc(rows: DataFrame, url: str, name: str, properties: dict | None = None) -> None:

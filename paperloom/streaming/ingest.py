@@ -29,8 +29,8 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
     """Pages into chunks, postings, vectors and a graph, which replace what their documents had in the store.
 
     A document with a page without a number goes to `failed` with all its pages, as do pages without a document; the others
-    do not wait for it. embedder: texts (chunk_id, doc_id, text) to (chunk_id, doc_id, embedding); a chunk that it leaves without one
-    stops the batch. steps: parts of the chunks that are embedded one after the other, each told of when it is done. Each stage is told of in `progress` when it is done. The batch's pages and chunks are written aside once and read back for
+    do not wait for it. embedder: texts (chunk_id, doc_id, text) to (chunk_id, doc_id, embedding); a document with a chunk that it leaves
+    without one goes to `failed`, too, and keeps what the store had of it. Where no document has all its vectors, the embedder is at fault and the batch stops. steps: parts of the chunks that are embedded one after the other, each told of when it is done. Each stage is told of in `progress` when it is done. The batch's pages and chunks are written aside once and read back for
     what follows. All tables change together, at the end: a batch that stops leaves them as they were. Running a batch again gives the
     same tables."""
     spark = pages.sparkSession
@@ -50,8 +50,12 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
             rows = rows.unionByName(x)
         store.put("progress", rows, "batch_id")
 
-    lost = pages.join(wrong, pages["doc_id"].eqNullSafe(wrong["doc_id"]), "left_semi")
-    store.put("failed", lost.withColumns({"batch_id": F.lit(batch).cast("long"), "error": F.lit("a page without a number or a document")}), "batch_id")
+    def failed(documents: DataFrame, error: str) -> DataFrame:
+        rows = pages.join(documents, pages["doc_id"].eqNullSafe(documents["doc_id"]), "left_semi")
+        return rows.withColumns({"batch_id": number, "error": F.lit(error)})
+
+    lost = failed(wrong, "a page without a number or a document")
+    store.put("failed", lost, "batch_id")
     tell(wrong, "error", "a page without a number or a document")
     tell(ids, "chunking")
     made = chunks(good, sizes, semantic)
@@ -61,11 +65,19 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
     slices, kind = [], None
     for k in range(steps):
         some = made if steps == 1 else made.where(F.pmod(F.xxhash64("chunk_id"), F.lit(steps)) == k)
-        vectors = with_embeddings(some.select("chunk_id", "doc_id").join(embedder(some.select("chunk_id", "doc_id", "text")), ["chunk_id", "doc_id"], "left"))
+        vectors = some.select("chunk_id", "doc_id").join(embedder(some.select("chunk_id", "doc_id", "text")), ["chunk_id", "doc_id"], "left")
         kind = vectors.schema
         slices.append(store.aside(vectors))
         if steps > 1:
             tell(ids, "embedding", processed=k + 1, total=steps)
+    vectors = spark.read.schema(kind).parquet(*slices)
+    bare = vectors.where("embedding is null").select("doc_id").distinct()
+    if not bare.isEmpty():
+        whole = ids.join(bare, "doc_id", "left_anti")
+        if not whole.isEmpty():
+            made, good, vectors, ids = (x.join(bare, "doc_id", "left_anti") for x in (made, good, vectors, ids))
+            store.put("failed", lost.unionByName(failed(bare, "a chunk without an embedding")), "batch_id")
+            tell(bare, "error", "a chunk without an embedding")
     tell(ids, "graphing")
     built = build(made, "chunk_id", scope="doc_id")
     top = graph.top_entities(graph.entities(made))
@@ -73,7 +85,7 @@ def ingest_batch(pages: DataFrame, store: Store, batch: int, sizes: ChunkSizes =
     with store.transaction():
         store.replace("pages", good)
         store.replace("chunks", with_spans(made, chunk_spans(made, good)), ids)
-        store.replace("vectors", spark.read.schema(kind).parquet(*slices), ids)
+        store.replace("vectors", with_embeddings(vectors), ids)
         store.replace("postings", built.postings, ids)
         store.replace("lengths", built.lengths, ids)
         store.replace("nodes", graph.nodes(top, graph.entity_pages(made, spans)), ids)

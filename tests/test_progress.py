@@ -92,3 +92,28 @@ def test_fractions_and_a_feed_while_a_batch_runs(spark, tmp_path):
     assert e.store.read("vectors").count() == 12
     best = e.search(spark.createDataFrame([(0, "Document 3 of cats. It has a few words.")], "query_id int, query string"), "dense", 1).first()
     assert best["score"] > 0
+
+
+def test_a_document_that_cannot_be_embedded_does_not_stop_the_others(spark, tmp_path):
+    """The model raises on some texts: their documents fail, as they were in the store before; a model that raises on all stops the batch."""
+
+    def load(bad):
+        def model(texts):
+            if any(bad in t for t in texts):
+                raise ValueError("this text is too much")
+            return np.array([[len(t), 1] for t in texts], np.float32)
+
+        return lambda: model
+
+    pages = lambda *rows: spark.createDataFrame(rows, "doc_id long, page_no int, text string")
+    e = Engine(spark, Settings(str(tmp_path / "e"), 4, semantic=False, reranker="none", embed_steps=2), model=load("poison"))
+    e.ingest(pages((1, 1, "An old text of one."), (2, 1, "An old text of two.")), 1)
+    e.ingest(pages((1, 1, "A new text with poison."), (2, 1, "A new text of two."), (3, 1, "Three."), (4, None, "no number")), 2)
+    assert {r["doc_id"]: r["text"] for r in e.store.read("chunks").collect()} == {1: "An old text of one.", 2: "A new text of two.", 3: "Three."}
+    assert {r["doc_id"] for r in e.store.read("vectors").collect()} == {1, 2, 3} == {r["doc_id"] for r in e.store.read("lengths").collect()}
+    failed = {r["doc_id"]: r["error"] for r in e.store.read("failed").where("batch_id = 2").collect()}
+    assert failed == {1: "a chunk without an embedding", 4: "a page without a number or a document"}
+    last = {r["doc_id"]: r["stage"] for r in progress.latest(e.store.read("progress").where("batch_id = 2")).collect()}
+    assert last == {1: "error", 2: "done", 3: "done", 4: "error"}
+    with pytest.raises(Exception, match="no embedding"):
+        Engine(spark, Settings(str(tmp_path / "f"), 4, semantic=False), model=load(" ")).ingest(pages((1, 1, "Any text."), (2, 1, "Any other.")), 1)

@@ -40,6 +40,9 @@ def test_lists_and_files(spark, tmp_path):
     assert got == {1: (2, 1), 2: (1, 0)}
     write_csv(d.select("doc_id"), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+    assert len(list((tmp_path / "c").glob("*.csv"))) == 1
+    write_csv(spark.range(40).repartition(3), str(tmp_path / "m"), None)
+    assert len(list((tmp_path / "m").glob("*.csv"))) == 3 and spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 40
     (tmp_path / "p").mkdir()
     (tmp_path / "p/a.PDF").write_bytes(b"%PDF one|two")
     (tmp_path / "p/b.pdf").write_bytes(b"no")
