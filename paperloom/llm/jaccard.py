@@ -11,8 +11,8 @@ follow from the sizes of two sets keep the product sparse:
 
 Pairs that survive are counted in full. Equal sets are one row. Before the product, each set is compared
 with the most typical set of each of a few min-hash buckets: sets found linked to the same one already
-share a component, and the product leaves out pairs within such a cluster, so that a large group of near
-copies costs no more than its members. What is lost is no component, only links within one.
+share a component, and the product leaves out pairs within such a cluster. Links within a cluster are counted by
+dense products of blocks of its sets, which give each set's number and no pairs, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ CELLS, SLICES, BUCKETS = 1 << 22, 64, 3
 #: Sets in a column from which it is crowded: there, sets of at most CARRIED first columns bring them all along, and a pair is
 #: made only if the first columns that it shares, and all that can follow, reach its bound.
 CROWDED, CARRIED = 32, 512
+#: Sets of a cluster that a block holds on average, and n-grams that a product of two blocks takes at a time.
+BLOCK, WIDE = 256, 4096
 
 
 def _sets(raw: list[bytes], n: int):
@@ -129,10 +131,9 @@ def _described(n: int, percent: int, counts: bytes):
     return releasing(run)
 
 
-def _overlapping(pairs: DataFrame, docs: DataFrame, n: int, percent: int, counts_name: str) -> DataFrame:
-    """Of pairs (a, b) of documents, those that link, by counting their overlap in full."""
-    pairs = stored(pairs, counts_name)
-    bloom = bounded_bloom(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "d")
+def _sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """d, s: the sets of documents in ids (d), and of some strangers."""
+    bloom = bounded_bloom(ids, "d")
 
     def wanted(batches):
         for b in batches:
@@ -143,20 +144,88 @@ def _overlapping(pairs: DataFrame, docs: DataFrame, n: int, percent: int, counts
                 ends = np.cumsum([0] + [len(s) for _, s in rows])
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for _, s in rows]).view(np.int64)))], names=["d", "s"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(releasing(wanted), "d long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(wanted), "d long, s array<long>")
+
+
+def _overlapping(pairs: DataFrame, docs: DataFrame, n: int, percent: int, counts_name: str) -> DataFrame:
+    """Of pairs (a, b) of documents, those that link, by counting their overlap in full."""
+    pairs = stored(pairs, counts_name)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), docs, n)
     both = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where((100 + percent) * shared >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def _block_links(percent: int):
+    """For each pair of blocks of a cluster, whose rows (cluster, lo, hi, at, doc_id, copies, s) come together: how many rows of the
+    other block each set links to, its copies included."""
+
+    def links(t: pa.Table):
+        doc, copies, at = (t[c].to_numpy() for c in ("doc_id", "copies", "at"))
+        lists = t["s"].combine_chunks()
+        size, values = np.asarray(lists.value_lengths()).astype(np.int64), lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(doc)), size)
+        _, gram, times = np.unique(values, return_inverse=True, return_counts=True)
+        several = times > 1
+        row, gram = row[several[gram]], (np.cumsum(several) - 1)[gram[several[gram]]]
+        by = np.argsort(gram, kind="stable")
+        row, gram = row[by], gram[by]
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        left, right = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for first in range(0, int(several.sum()), WIDE):
+            i, j = np.searchsorted(gram, (first, first + WIDE))
+            holds = np.zeros((len(doc), WIDE), np.float32)
+            holds[row[i:j], gram[i:j] - first] = 1
+            shared += holds[left] @ holds[right].T
+        linked = (100 + percent) * shared.astype(np.int64) >= percent * (size[left][:, None] + size[right])
+        linked &= doc[left][:, None] != doc[right]
+        found, many = doc[left], linked @ copies[right]
+        if lo != hi:
+            found, many = np.concatenate((found, doc[right])), np.concatenate((many, linked.T @ copies[left]))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(many, pa.int64())], names=["rep", "degree"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in range(3))))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if held and keys[i] != key:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                key = keys[i]
+                held.append(b.slice(i, j - i))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return releasing(run)
+
+
+def _within(clusters: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """rep, degree: how many rows each set of clusters (doc_id, cluster, copies) links to by links to other sets of its cluster.
+
+    A cluster's sets are dealt over blocks, and each pair of blocks is counted by itself, so a large cluster spreads over tasks that hold
+    two blocks each."""
+    many = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    members = stored(clusters.join(many, "cluster").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
+    sets = _sets_of(members.select(F.col("doc_id").alias("d")).distinct(), docs, n).withColumnRenamed("d", "doc_id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = members.join(sets, "doc_id").withColumn("other", other).select("cluster", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "doc_id", "copies", "s")
+    near = met.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    return near.mapInArrow(_block_links(percent), "rep long, degree long").groupBy("rep").agg(F.sum("degree").alias("degree"))
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of each row of docs (doc_id, text).
 
     A document's set: the distinct n-word shingles of its lower-cased (A-Z) words; with fewer words, all of them as
     one. Two link when 100 * intersection >= percent * union. component_id: the least doc_id reachable
-    by links, itself included. n_links: how many links of the document were counted: copies of its set, and others
-    as far as they were needed to join clusters. A null or empty text has an empty set and no link. A
-    null doc_id takes no part and has a null component. Rows that share a doc_id link to each other.
+    by links, itself included. n_links: how many other rows the document links to, copies and all others. A null or empty text
+    has an empty set and no link. A null doc_id takes no part and has a null component. Rows that share a doc_id link to each other.
     Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -213,11 +282,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"), rest.alias("rest_after"))
     summed = near.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("both").alias("both"), F.min("rest_after").alias("rest"))
     pairs = summed.where(F.col("c") + F.col("rest") >= F.ceil(percent * F.col("both") / F.lit(100 + percent))).select("a", "b")
-    linked = _overlapping(pairs, rows, n, percent, "pairs")
+    linked = stored(_overlapping(pairs, rows, n, percent, "pairs"), "linked")
     links = stored(starred.unionByName(linked).distinct(), "all-links")
 
     found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    # links of clusters with each other, and those within them; each counts the copies of the set at its other end
+    copies = equal.groupBy("rep").agg(F.sum("copies").alias("copies"))
+    between = linked.select(F.col("a").alias("d"), F.col("b").alias("rep")).unionByName(linked.select(F.col("b").alias("d"), F.col("a").alias("rep")))
+    between = between.join(copies, "rep").groupBy(F.col("d").alias("rep")).agg(F.sum("copies").alias("degree"))
+    within = _within(placed.select("doc_id", cluster.alias("cluster")).join(copies.withColumnRenamed("rep", "doc_id"), "doc_id"), rows, n, percent)
+    degree = between.unionByName(within).groupBy("rep").agg(F.sum("degree").alias("degree"))
     classes = equal.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     classes = classes.select("f1", "f2", "size", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("links"))
     # empty sets have no class: they stay out of the join, where all would be one key

@@ -73,6 +73,17 @@ def test_jaccard_of_near_copies(spark, near, crowded, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_jaccard(dict(near), 3, 90)
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_jaccard_counts_every_link(spark, near, block, monkeypatch):
+    """Links within a cluster of near copies, and copies at either end, too."""
+    monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+    rows = near + [(200 + i, near[i // 2][1]) for i in range(12)]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.lower().split()) for i, t in rows)}
+    want = {i: sum(i != j and 190 * len(a & b) >= 90 * (len(a) + len(b)) for j, b in sets.items()) for i, a in sets.items()}
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and max(want.values()) > 20
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(500, 500)]
