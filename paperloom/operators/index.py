@@ -44,7 +44,8 @@ def of_tables(postings: DataFrame, lengths: DataFrame, key: str, kind: str = "li
 
 def document_frequency(index: Index) -> DataFrame:
     scopes = [index.scope] if index.scope else []
-    return index.postings.groupBy("term", *scopes).agg(F.count("*").alias("df"))
+    # by their counts, so that the postings are read as a ranking reads them, and made once for both
+    return index.postings.groupBy("term", *scopes).agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

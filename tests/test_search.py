@@ -1,3 +1,4 @@
+import re
 import math
 import random
 from collections import Counter
@@ -228,3 +229,40 @@ def test_progress(spark):
     got = {r["batch_id"]: r for r in progress.snapshot(e).collect()}
     assert (got["b"]["done"], got["b"]["pct"], got["c"]["done"], got["c"]["pct"]) == (False, 80.0, True, 0.0)
     assert {r["batch_id"]: (r["done_docs"], r["error"]) for r in progress.outcome(e).collect()} == {"b": (1, None), "c": (0, "bad")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _sums_in_place(df):
+    """Whether what queries make of a text is summed where its postings lie, not shuffled by query and text."""
+    return not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", _plan(df))
+
+
+@pytest.mark.parametrize("scope", [None, "source"])
+def test_scores_of_queries_are_not_shuffled(spark, tmp_path, scope):
+    frame(spark, [(1, "pump valve", "a"), (2, "valve gasket", "b")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/t")
+    texts = spark.read.parquet(f"{tmp_path}/t")
+    asked = frame(spark, [(1, "valve pump", "a"), (2, "gasket", "b")], "query_id long, query string, source string")
+    assert _sums_in_place(search.bm25(index.build(texts, "doc_id", "live", scope), asked, 3))
+
+
+def test_overlaps_of_queries_are_not_shuffled(spark, tmp_path):
+    frame(spark, [(1, "pump valve"), (2, "valve gasket")], "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    found = search.overlap_search(spark.read.parquet(f"{tmp_path}/t"), "doc_id", frame(spark, [(1, "valve pump")], "query_id long, query string"), 3)
+    assert _sums_in_place(found) and [r["doc_id"] for r in found.orderBy("rank").collect()] == [1, 2]
+
+
+def test_neighbour_cosine_goes_on_over_batches(spark):
+    rows = [(d, s, f"alpha beta {'gamma' if s % 2 else 'delta'} w{d}") for d in (1, 2) for s in range(9)]
+    near = lambda: embedding.neighbour_cosine(frame(spark, rows, "doc_id int, sent_no int, text string"))
+    whole, key = sorted(map(tuple, near().collect())), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        assert sorted(map(tuple, near().collect())) == whole and len(whole) == 16
+    finally:
+        spark.conf.set(key, before)
+    # no call of Python for each document
+    assert "FlatMapGroupsInArrow" not in _plan(near())
