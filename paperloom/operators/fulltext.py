@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import STOPWORDS
 from ..functions.text import stem
-from .search import query_terms, ranked
+from .search import few, query_terms, ranked
 
 #: What a cover is worth whose words are all matches, and the decimals of scores.
 WEIGHT, DECIMALS = 0.1, 6
@@ -28,11 +28,28 @@ def positions(texts: DataFrame, key: str) -> DataFrame:
     return each.groupBy(stem(F.col("w")).alias("term"), key).agg(F.array_sort(F.collect_list(F.col("i") + 1)).alias("positions"))
 
 
+def postings(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Rows of an index with terms of queries, those of a text in one task."""
+    return index.join(query_terms(queries, "stemmed").select("term").distinct(), "term", "left_semi").repartition(key)
+
+
 def matches(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """query_id, key, term, positions of the texts that share a term with a query (query_id, query). Only postings of queries' terms are
-    read on; a term that many queries have is joined with each of them."""
+    read on; a term that many queries have is joined with each of them, where the text's postings lie."""
+    return _matched(postings(index, queries, key), queries, key)
+
+
+def _matched(near: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     terms = query_terms(queries, "stemmed")
-    return index.join(terms, "term").select("query_id", key, "term", "positions")
+    return near.join(F.broadcast(terms) if few(terms) else terms, "term").select("query_id", key, "term", "positions")
+
+
+def _leading(held: DataFrame, top: int) -> DataFrame:
+    """query_id, least: the number of terms that a query's best texts (query_id, key, held) hold at least, so that there are `top`; 0 where
+    there are fewer. From how many texts hold each number."""
+    tally = held.groupBy("query_id", "held").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("held")))
+    return tally.withColumn("upto", upto).groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("upto") >= top, F.col("held"))), F.lit(0)).alias("least"))
 
 
 def covers(found: DataFrame, key: str) -> DataFrame:
@@ -62,18 +79,23 @@ def cover_density(index: DataFrame, queries: DataFrame, key: str, top: int = 30,
     queries without terms find nothing."""
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
-    found = matches(index, queries, key)
+    near = postings(index, queries, key)
+    found = _matched(near, queries, key)
     if match == "any":
         scores = found.groupBy("query_id", key).agg((WEIGHT * F.sum(F.size("positions"))).alias("score"))
     else:
-        held = Window.partitionBy("query_id", key)
-        counted = found.withColumn("held", F.count("*").over(held))
+        # by positions, so that the postings are read as covers read them, and made once for both
+        held = found.groupBy("query_id", key).agg(F.count_if(F.size("positions") > 0).alias("held"))
         if match == "all":
             asked = query_terms(queries, "stemmed").groupBy("query_id").agg(F.count("*").alias("held"))
-            counted = counted.join(asked, ["query_id", "held"], "left_semi")
+            best = held.join(F.broadcast(asked), ["query_id", "held"])
+        else:
+            # covers add less than a term does: texts with fewer terms than `top` others are behind these, whatever their covers
+            best = held.join(F.broadcast(_leading(held, top)), "query_id").where("held >= least").drop("least")
+        some = near.join(best.select(key), key, "left_semi")
+        counted = _matched(some, queries, key).join(best, ["query_id", key])
         value = F.sum(worth(F.col("start"), F.col("stop"), F.col("n")))
         scores = covers(counted, key).groupBy("query_id", key).agg(value.alias("score"))
         if match == "most":
-            many = counted.groupBy("query_id", key).agg(F.count("*").alias("held"))
-            scores = scores.join(many, ["query_id", key]).withColumn("score", F.col("held") + F.col("score") / (1 + F.col("score")))
+            scores = scores.join(best, ["query_id", key]).withColumn("score", F.col("held") + F.col("score") / (1 + F.col("score")))
     return ranked(scores.select("query_id", key, F.round("score", DECIMALS).alias("score")), key, top)

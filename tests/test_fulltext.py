@@ -51,3 +51,18 @@ def test_closer_terms_rank_higher(spark):
     assert any_ == {0: 0.2, 1: 0.2, 2: 0.2, 3: 0.3, 5: 0.4}
     with pytest.raises(ValueError):
         fulltext.cover_density(index, asked(spark, "x"), "doc_id", match="none")
+
+
+@pytest.mark.parametrize("match", fulltext.MATCHES)
+def test_matches_are_not_shuffled_by_query(spark, match):
+    """Matches are counted where a text's postings lie, and covers are made of texts that can be among the best only."""
+    index = fulltext.positions(spark.createDataFrame([(i, "valve pump" if i < 3 else "valve") for i in range(20)], "doc_id long, text string"), "doc_id")
+    found = fulltext.cover_density(index, asked(spark, "valve pump"), "doc_id", 2, match)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 1]
+
+
+def test_leading_texts(spark):
+    held = spark.createDataFrame([(1, i, h) for i, h in enumerate([5, 4, 4, 3, 3, 1])] + [(2, 1, 7)], "query_id long, doc_id long, held long")
+    assert {r["query_id"]: r["least"] for r in fulltext._leading(held, 2).collect()} == {1: 4, 2: 0}
