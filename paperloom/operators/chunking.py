@@ -57,17 +57,16 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def hard_split(sents: DataFrame, most: int) -> DataFrame:
     """The same rows, with sentences of more than `most` words cut into windows of so many, numbered anew."""
-    short, long = sents.where(F.col("tokens") <= most), sents.where(F.col("tokens") > most)
-    words = F.regexp_extract_all("sentence", F.lit(r"(?U)\S+"), F.lit(0))
-    gaps = F.split("sentence", r"(?U)\S+", -1)
-    rows = long.select("doc_id", "start", "sentence", F.posexplode(F.arrays_zip(words.alias("w"), gaps.alias("g"))).alias("i", "x")).where(F.col("x.w").isNotNull())
+    window = rf"(?U)\S++(?:\s++\S++){{0,{most - 1}}}+"
+    whole = F.col("tokens") <= most
+    parts = F.when(whole, F.array("sentence")).otherwise(F.regexp_extract_all("sentence", F.lit(window), F.lit(0)))
+    gaps = F.when(whole, F.array(F.lit(""))).otherwise(F.split("sentence", window, -1))
+    rows = sents.select("doc_id", "start", "tokens", F.posexplode(F.arrays_zip(parts.alias("s"), gaps.alias("g"))).alias("i", "x")).where(F.col("x.s").isNotNull())
+    # where a window begins: what of its sentence is before it; a row holds its own words only
     upto = Window.partitionBy("doc_id", "start").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("x.g") + F.length("x.w")).over(upto)
-    placed = rows.select("doc_id", "start", "sentence", "i", end.alias("stop"), (end - F.length("x.w")).alias("from"))
-    part = placed.groupBy("doc_id", "start", F.floor(F.col("i") / most).alias("k")).agg(F.min("from").alias("from"), F.max("stop").alias("stop"), F.count("*").cast("int").alias("tokens"), F.first("sentence").alias("sentence"))
-    cut = part.select("doc_id", (F.col("start") + F.col("from")).cast("int").alias("start"), (F.col("start") + F.col("stop")).cast("int").alias("end"), "tokens", F.substr("sentence", (F.col("from") + 1).cast("int"), (F.col("stop") - F.col("from")).cast("int")).alias("sentence"))
-    both = short.select("doc_id", "start", "end", "tokens", "sentence").unionByName(cut)
-    return both.withColumn("sent_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).select("doc_id", "sent_no", "start", "end", "tokens", "sentence")
+    end = (F.col("start") + F.sum(F.length("x.g") + F.length("x.s")).over(upto)).cast("int")
+    cut = rows.select("doc_id", (end - F.length("x.s")).alias("start"), end.alias("end"), F.least(F.lit(most), F.col("tokens") - F.col("i") * most).alias("tokens"), F.col("x.s").alias("sentence"))
+    return cut.withColumn("sent_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).select("doc_id", "sent_no", "start", "end", "tokens", "sentence")
 
 
 def semantic_breaks(sents: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:

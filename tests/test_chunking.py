@@ -129,3 +129,13 @@ def test_recognised_text_fills_in(spark):
 def test_fixed_windows(spark):
     rows = C.fixed_windows(docs(spark, " ".join(map(str, range(300))), "a b", ""), 160, 20).orderBy("doc_id", "window_no").collect()
     assert [(r["doc_id"], r["word_start"], r["word_end"]) for r in rows] == [(0, 0, 160), (0, 140, 300), (1, 0, 2)]
+
+
+def test_hard_split_carries_each_word_once(spark):
+    """Rows are windows, not words with their whole sentence, and sentences are made once for short and long ones."""
+    text = "  ".join(f"w{i}" for i in range(1000)) + ".\n\nShort one."
+    cut = C.hard_split(C.sentences(docs(spark, text)), 20)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    rows = cut.orderBy("sent_no").collect()
+    assert len(rows) == 51 and all(text[r["start"] : r["end"]] == r["sentence"] for r in rows) and [r["tokens"] for r in rows] == [20] * 50 + [2]
