@@ -29,9 +29,14 @@ def stem(t: Column) -> Column:
     )
 
 
+def raw_words(text: Column) -> Column:
+    """Lower-case ASCII words, which tokenize goes on from."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def tokenize(text: Column, stopwords: bool = True, stems: bool = True) -> Column:
     """Lower-case ASCII words, without stop words, stemmed."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    words = raw_words(text)
     if stopwords:
         words = F.filter(words, lambda t: ~t.isin(STOPWORDS))
     return F.transform(words, stem) if stems else words

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import ABBREVIATIONS, BOUNDARY
 from ..functions.text import bind, count_tokens, normalize_space
-from .embedding import neighbour_cosine
+from .embedding import with_next_cosine
 from .intervals import covered_until, overlapping
 from .pages import joined, page_starts
 
@@ -69,15 +69,21 @@ def hard_split(sents: DataFrame, most: int) -> DataFrame:
     return cut.withColumn("sent_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).select("doc_id", "sent_no", "start", "end", "tokens", "sentence")
 
 
+def with_breaks(sents: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
+    """sents (doc_id, sent_no, sentence, more) with similarity and brk, both null where no break is looked for: after a document's last sentence, and
+    in documents of under 4 sentences. Rows pass through, so that sentences are cut once for breaks and for what follows."""
+    near = with_next_cosine(sents.withColumn("text", F.col("sentence")), sizes.window)
+    doc = Window.partitionBy("doc_id")
+    limit = F.percentile("similarity", F.lit(sizes.percentile / 100)).over(doc)
+    found = near.withColumns({"limit": limit, "n": F.count("*").over(doc)})
+    return found.withColumns({"similarity": F.when(F.col("n") >= 4, F.col("similarity")), "brk": F.when(F.col("n") >= 4, F.col("similarity") < F.col("limit"))}).drop("limit", "n")
+
+
 def semantic_breaks(sents: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """doc_id, sent_no, similarity, is_break: a break follows a sentence whose surroundings are less like the next one's
     than the given percentile of the document's neighbours; documents of under 4 sentences have none."""
-    order = Window.partitionBy("doc_id").orderBy("sent_no")
-    frame = order.rowsBetween(-sizes.window, sizes.window)
-    around = sents.select("doc_id", "sent_no", F.count("*").over(Window.partitionBy("doc_id")).alias("n"), F.array_join(F.collect_list("sentence").over(frame), " ").alias("text")).where("n >= 4")
-    near = neighbour_cosine(around)
-    limit = F.percentile("similarity", F.lit(sizes.percentile / 100)).over(Window.partitionBy("doc_id"))
-    return near.withColumn("limit", limit).select("doc_id", "sent_no", "similarity", (F.col("similarity") < F.col("limit")).alias("is_break"))
+    found = with_breaks(sents.select("doc_id", "sent_no", "sentence"), sizes).where(F.col("similarity").isNotNull())
+    return found.select("doc_id", "sent_no", "similarity", F.col("brk").alias("is_break"))
 
 
 def _packed(rows: Column, sizes: ChunkSizes) -> Column:
@@ -118,31 +124,43 @@ def _packed(rows: Column, sizes: ChunkSizes) -> Column:
     return F.aggregate(rows, start, step, finish)
 
 
-def pack_groups(sents: DataFrame, breaks: DataFrame | None = None, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
-    """doc_id, chunk_no (from 0), first, last, char_start, char_end: runs of sentences that make the chunks of a document."""
-    marked = sents.select("doc_id", "sent_no", "tokens", "start", "end")
-    if breaks is None:
-        marked = marked.withColumn("brk", F.lit(False))
-    else:
-        marked = marked.join(breaks.select("doc_id", "sent_no", F.col("is_break").alias("brk")), ["doc_id", "sent_no"], "left").withColumn("brk", F.coalesce("brk", F.lit(False)))
+def _folded(marked: DataFrame, sizes: ChunkSizes, text: bool = False) -> DataFrame:
+    """doc_id, chunk_no, first, last, char_start, char_end, and text (the sentences with one space between them) if asked for, of rows (doc_id, sent_no,
+    tokens, start, end, brk, sentence). A chunk is made from its own sentences within its document's row, so no chunk carries the others'."""
     order = Window.partitionBy("doc_id").orderBy("sent_no")
     upto = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("upto", upto)
     # running totals before the sentences that an overlap starts with, if it is cut after this one or before it
     back = lambda k: F.coalesce(F.lag("upto", k).over(order), F.lit(0))
     marked = marked.withColumns({"kept_upto": back(sizes.overlap), "kept_before": back(sizes.overlap + 1), "last": F.lead("sent_no").over(order).isNull()})
-    row = F.struct(F.col("sent_no").alias("i"), F.col("tokens").alias("tok"), "upto", "kept_upto", "kept_before", "brk", "last", "start", "end")
-    folded = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("doc_id", "rows", F.posexplode(_packed(F.col("rows"), sizes)).alias("chunk_no", "g"))
-    return folded.select("doc_id", "chunk_no", "g.first", "g.last", F.get("rows", F.col("g.first"))["start"].alias("char_start"), F.get("rows", F.col("g.last"))["end"].alias("char_end"))
+    said = [normalize_space(F.col("sentence")).alias("s")] if text else []
+    row = F.struct(F.col("sent_no").alias("i"), F.col("tokens").alias("tok"), "upto", "kept_upto", "kept_before", F.coalesce("brk", F.lit(False)).alias("brk"), "last", "start", "end", *said)
+    rows = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def chunk(g):
+        own = [F.array_join(F.transform(F.slice("rows", g["first"] + 1, g["last"] - g["first"] + 1), lambda r: r["s"]), " ").alias("text")] if text else []
+        return F.struct(g["first"].alias("first"), g["last"].alias("last"), F.get("rows", g["first"])["start"].alias("char_start"), F.get("rows", g["last"])["end"].alias("char_end"), *own)
+
+    made = rows.select("doc_id", F.posexplode(F.transform(_packed(F.col("rows"), sizes), chunk)).alias("chunk_no", "g"))
+    return made.select("doc_id", "chunk_no", "g.*")
+
+
+def pack_groups(sents: DataFrame, breaks: DataFrame | None = None, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
+    """doc_id, chunk_no (from 0), first, last, char_start, char_end: runs of sentences that make the chunks of a document."""
+    marked = sents.select("doc_id", "sent_no", "tokens", "start", "end")
+    if breaks is None:
+        marked = marked.withColumn("brk", F.lit(False))
+    else:
+        marked = marked.join(breaks.select("doc_id", "sent_no", F.col("is_break").alias("brk")), ["doc_id", "sent_no"], "left")
+    return _folded(marked, sizes)
 
 
 def chunks(pages: DataFrame, sizes: ChunkSizes = ChunkSizes(), semantic: bool = True) -> DataFrame:
     """chunk_id, doc_id, chunk_no, text (white space normalised), char_start, char_end of pages (doc_id, page_no, text)."""
-    docs = joined(pages)
-    sents = hard_split(sentences(docs), sizes.most)
-    groups = pack_groups(sents, semantic_breaks(sents, sizes) if semantic else None, sizes)
-    text = normalize_space(F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
-    return groups.join(docs, "doc_id").select(F.format_string("%s:%04d", F.col("doc_id").cast("string"), F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", text.alias("text"), "char_start", "char_end")
+    sents = hard_split(sentences(joined(pages)), sizes.most)
+    # between sentences lies white space only, so theirs is the text of a chunk
+    made = _folded(with_breaks(sents, sizes) if semantic else sents.withColumn("brk", F.lit(False)), sizes, text=True)
+    return made.select(F.format_string("%s:%04d", F.col("doc_id").cast("string"), F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", "text", "char_start", "char_end")
 
 
 def chunk_spans(chunked: DataFrame, pages: DataFrame) -> DataFrame:

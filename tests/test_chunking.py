@@ -139,3 +139,14 @@ def test_hard_split_carries_each_word_once(spark):
     assert "Union" not in plan
     rows = cut.orderBy("sent_no").collect()
     assert len(rows) == 51 and all(text[r["start"] : r["end"]] == r["sentence"] for r in rows) and [r["tokens"] for r in rows] == [20] * 50 + [2]
+
+
+def test_sentences_of_chunks_are_cut_once(spark):
+    text = "  ".join(f"Part {i} has {'a valve' if i % 3 else 'one  pump'} and  more." for i in range(60))
+    pages = docs(spark, text, "", "Short.\n\nTwo.").withColumn("page_no", F.lit(1))
+    made = C.chunks(pages)
+    # neither breaks nor texts are joined back
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    whole = {r["doc_id"]: r["text"] for r in pages.collect()}
+    rows = made.collect()
+    assert len(rows) > 2 and all(r["text"] == " ".join(whole[r["doc_id"]][r["char_start"] : r["char_end"]].split()) for r in rows)
