@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import json
 import re
@@ -28,6 +29,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(given or tempfile.mkdtemp(prefix='paperloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table to scratch and read back: what is used several times is made once, and its size is known to joins. The table goes when
+    the driver's interpreter ends."""
+    spark = settled(df.sparkSession)
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in reversed(_made):
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is already gone
+            return
+
+
 #: What an ingested corpus consists of.
 TABLES = ("files", "pages", "chunks", "postings", "lengths", "vectors", "nodes", "edges", "progress", "failed")
 

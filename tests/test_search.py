@@ -2,6 +2,7 @@ import re
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -266,3 +267,25 @@ def test_neighbour_cosine_goes_on_over_batches(spark):
         spark.conf.set(key, before)
     # no call of Python for each document
     assert "FlatMapGroupsInArrow" not in _plan(near())
+
+
+@pytest.mark.parametrize("kind", ["live", "stemmed", "space"])
+def test_texts_are_read_once_for_few_queries(spark, monkeypatch, kind):
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(3000)] + ["the", "valves", "running", "parties", "Ünits"]
+    texts = frame(spark, [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(300)] + [(300 + i, "w1 w2 valves") for i in range(20)] + [(400, None), (None, "w1 w2")], "doc_id long, text string").cache()
+    asked = frame(spark, [(1, "w1 w2 valves"), (None, "w3 the"), (3, ""), (4, None), (5, "absent Ünits"), (6, "w1 w1")], "query_id long, query string")
+    built = index.build(texts, "doc_id", kind)
+    for size in (7, 4096):
+        monkeypatch.setattr(search, "TEXTS", size)
+        monkeypatch.setattr(search, "CELLS", size)
+        monkeypatch.setattr(search, "QUERIES", 2)
+        found = search.bm25(built, asked, 5)
+        assert "MapInArrow" in _plan(found) and "Join" not in _plan(found)
+        plain = search.bm25(replace(built, texts=None), asked, 5)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_hashed_vectors_are_packed_at_once(spark):
+    found = search.hashed(frame(spark, [(1, "pump valve"), (2, "valve"), (None, "valve"), (3, None)], "doc_id long, text string"), "doc_id", frame(spark, [(1, "valve")], "query_id long, query string"), 3)
+    assert "exists" not in _plan(found).split("BroadcastExchange")[0] and [r["doc_id"] for r in found.orderBy("rank").collect()] == [2, 1, 3]
