@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text as T
 from ..operators import blockmax, chunking, embedding, fulltext, graph, index, ivf, layout, pages as P, search, tables
-from ..sources.store import list_documents, scratch, settled
+from ..sources.store import kept, list_documents, scratch, settled
 from ..streaming import progress
 from . import evaluate
 
@@ -588,13 +588,18 @@ FROM (SELECT unnest(['dense', 'sparse', 'hybrid']) AS mode, item_id AS query_id
 def eval_modes(spark, d):
     """Hits of dense, sparse and fused search, before reranking: a document answers a passage that it holds."""
     docs, asked = _docs(spark, d), _asked(spark, d)
-    dense, sparse = search.hashed(docs, "doc_id", asked, 30), search.bm25(index.build(docs, "doc_id", "live"), asked, 30)
+    # each ranking is used for its own hits and for the fused ones; as tables of some rows they meet texts without a shuffle of these
+    dense, sparse = kept(search.hashed(docs, "doc_id", asked, 30), "dense"), kept(search.bm25(index.build(docs, "doc_id", "live"), asked, 30), "sparse")
     both = search.fused(dense, sparse, "doc_id").select("query_id", "doc_id", F.col("fused_rank").alias("rank"))
-    out = None
+    ranks = None
     for mode, found in (("dense", dense), ("sparse", sparse), ("hybrid", both)):
-        best = found.where("rank <= 5").select("query_id", "doc_id", "rank")
-        gold = best.join(docs, "doc_id").join(asked, "query_id").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
-        one = evaluate.hits(best, gold, asked).select(F.lit(mode).alias("mode"), "*")
+        one = found.where("rank <= 5").select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank")
+        ranks = one if ranks is None else ranks.unionByName(one)
+    ranks = kept(ranks, "ranks")
+    gold = kept(ranks.select("query_id", "doc_id").distinct().join(docs, "doc_id").join(asked, "query_id").where(F.contains("text", F.col("query"))).select("query_id", "doc_id"), "gold")
+    out = None
+    for mode in ("dense", "sparse", "hybrid"):
+        one = evaluate.hits(ranks.where(F.col("mode") == mode).drop("mode"), gold, asked).select(F.lit(mode).alias("mode"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
