@@ -20,6 +20,10 @@ from . import blocks
 from .search import DECIMALS, dense, ranked
 
 
+#: Numbers of an array of rows by centroids, or of repeated rows, at most.
+CELLS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Fit:
     """sample: vectors that centroids are learnt from, at most, by a hash of their keys. lists: how many, or the square root of the number of
@@ -58,19 +62,30 @@ def _nearness(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return x @ centroids.T - (centroids**2).sum(1) / 2
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray, probes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroids of each row, and the nearness of the first, some rows at a time, so that memory does not grow with rows times centroids."""
+    probes, step = min(probes, len(centroids)), max(1, CELLS // max(1, len(centroids)))
+    which, best = np.empty((len(x), probes), np.int64), np.empty(len(x))
+    for i in range(0, len(x), step):
+        near = _nearness(x[i : i + step], centroids)
+        which[i : i + step] = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        best[i : i + step] = near.max(axis=1)
+    return which, best
+
+
 def kmeans(x: np.ndarray, n: int, rounds: int, seed: int) -> np.ndarray:
     """Lloyd's algorithm; a centroid that loses all vectors takes one of those that are farthest from theirs."""
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), n, replace=False)]
     for _ in range(rounds):
-        near = _nearness(x, centroids)
-        own = near.argmax(axis=1)
+        own, best = _nearest(x, centroids)
+        own = own[:, 0]
         size = np.bincount(own, minlength=n)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
         centroids = sums / np.maximum(size, 1)[:, None]
         if len(empty := np.flatnonzero(size == 0)):
-            centroids[empty] = x[np.argsort(near.max(axis=1))[: len(empty)]]
+            centroids[empty] = x[np.argsort(best)[: len(empty)]]
     return centroids
 
 
@@ -90,7 +105,7 @@ def centroids_of(vectors: DataFrame, key: str, fit: Fit = Fit()) -> np.ndarray:
 
     def learn(t: pa.Table) -> pa.Table:
         t = t.sort_by(key)
-        c = kmeans(np.array(t["embedding"].to_pylist()), lists, fit.rounds, fit.seed)
+        c = kmeans(t["embedding"].combine_chunks().flatten().to_numpy().reshape(len(t), -1), lists, fit.rounds, fit.seed)
         return pa.table({"cells": pa.array([c.tobytes()], pa.binary())})
 
     return np.frombuffer(some.groupBy("one").applyInArrow(learn, "cells binary").first()["cells"]).reshape(lists, -1)
@@ -117,9 +132,12 @@ def _dealt(vectors: DataFrame, key: str, centroids: np.ndarray, probes: int) ->
             if (sizes != dim).any():
                 raise ValueError(f"a vector has not the index's length, {dim}")
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            near = np.argsort(-_nearness(x, centroids), axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["list", key, "embedding"])
+            # a row is repeated for each list that it probes, so few rows are repeated at a time
+            step = max(1, CELLS // max(1, dim * probes))
+            for i in range(0, len(x), step):
+                near, _ = _nearest(x[i : i + step], centroids, probes)
+                at = pa.array(i + np.repeat(np.arange(len(near)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["list", key, "embedding"])
 
     return good.mapInArrow(run, kind)
 

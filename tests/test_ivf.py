@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +61,18 @@ def test_odd_vectors(spark):
     assert ivf.build(spark.createDataFrame([], TYPES), "vec_id").lists.count() == 0
     with pytest.raises(Exception, match="length"):
         ivf.search(index, q.withColumn("embedding", F.array(F.lit(1.0))), 5).collect()
+
+
+def test_memory_does_not_grow_with_rows_times_lists(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, c = rng.standard_normal((16384, 8)), rng.standard_normal((1024, 8))
+    tracemalloc.start()
+    try:
+        ivf.kmeans(x, 1024, 1, 5)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20  # 128 MB would be one array of rows by centroids
+    finally:
+        tracemalloc.stop()
+    near = x @ c.T - (c**2).sum(1) / 2
+    monkeypatch.setattr(ivf, "CELLS", 5000)
+    assert (ivf._nearest(x, c, 3)[0] == np.argsort(-near, axis=1, kind="stable")[:, :3]).all()
+    assert (ivf._nearest(x, c)[0][:, 0] == near.argmax(axis=1)).all()
