@@ -229,7 +229,10 @@ def fixed_windows(spark, d):
 
 def _passages(spark, d):
     """Chunks of five sentences: what the span and citation queries take."""
-    s = chunking.sentences(_docs(spark, d))
+    return _passages_of(chunking.sentences(_docs(spark, d)))
+
+
+def _passages_of(s):
     k = F.floor(F.col("sent_no") / 5).cast("int")
     rows = s.groupBy("doc_id", k.alias("chunk_no")).agg(F.min("start").alias("char_start"), F.max("end").alias("char_end"))
     return rows.withColumn("chunk_id", F.format_string("%d:%04d", "doc_id", "chunk_no"))
@@ -292,9 +295,11 @@ packed AS (SELECT doc_id, chunk_no, first, last FROM jumps WHERE chunk_no >= 0)"
 @query(f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, start FROM sents WHERE sent_no // 5 % 3 = 1")
 def uncovered_sentences(spark, d):
     """Where every third passage is missing, its sentences; chunks of whole documents leave none."""
-    sents = chunking.sentences(_docs(spark, d))
-    holes = chunking.uncovered(sents, _passages(spark, d).where("chunk_no % 3 <> 1"))
-    return holes.unionByName(chunking.uncovered(chunking.hard_split(sents, 256), chunking.chunks(_pages(spark, d), semantic=False)))
+    # sentences are cut once: points, passages and chunks are made of one table
+    sents = kept(chunking.sentences(_docs(spark, d)), "sentences")
+    holes = chunking.uncovered(sents.select("doc_id", "sent_no", "start"), _passages_of(sents).where("chunk_no % 3 <> 1"))
+    pieces = chunking.hard_split(sents, 256)
+    return holes.unionByName(chunking.uncovered(pieces, chunking.pack_groups(pieces)))
 
 
 # --- vectors --------------------------------------------------------------------------------
