@@ -36,13 +36,13 @@ def mentions(chunks: DataFrame) -> DataFrame:
     return rows.where((F.length("raw") >= 3) & ~F.lower("raw").isin(ENTITY_STOPWORDS)).withColumn("key", key).where(F.length("key") >= 3)
 
 
-def entities(chunks: DataFrame) -> DataFrame:
+def entities(chunks: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """doc_id, key, text, etype, freq, df, score of every entity: the first form with the most capitals, the type of the
     first form, hits, chunks, and hits a chunk times ln((n + 1) / (df + 1)) + 1 over the document's n chunks."""
     at = F.struct("chunk_no", "seq")
     # the first mention has the least place; of equal capitals too
     place = lambda: F.struct((-F.col("caps")).alias("c"), at.alias("at"))
-    m = mentions(chunks).withColumn("caps", caps(F.col("raw")))
+    m = (mentions(chunks) if found is None else found).withColumn("caps", caps(F.col("raw")))
     each = m.groupBy("doc_id", "key").agg(F.min_by("raw", place()).alias("text"), F.min_by("raw", at).alias("first"), F.count("*").alias("freq"), F.countDistinct("chunk_no").alias("df"))
     n = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
     score = F.col("freq") / F.col("n") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1)
@@ -67,12 +67,13 @@ def entity_pages(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("page_no")).alias("pages"))
 
 
-def cooccurrences(chunks: DataFrame, top: DataFrame) -> DataFrame:
+def cooccurrences(chunks: DataFrame, top: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """doc_id, source_key, target_key, n, first_chunk: pairs of top entities by the chunks that have both. A chunk has at most
-    `top` entities, so a pair of joins stays within a bounded group."""
-    seen = mentions(chunks).select("doc_id", "chunk_no", "key").distinct().join(top.select("doc_id", "key"), ["doc_id", "key"], "left_semi")
-    other = seen.select("doc_id", "chunk_no", F.col("key").alias("target_key"))
-    pairs = seen.withColumnRenamed("key", "source_key").join(other, ["doc_id", "chunk_no"]).where("source_key < target_key")
+    `top` entities, so its pairs are bounded; they are made of its sorted keys in its row, without a join. found: mentions, if they are known."""
+    seen = (mentions(chunks) if found is None else found).select("doc_id", "chunk_no", "key").distinct().join(top.select("doc_id", "key"), ["doc_id", "key"], "left_semi")
+    keys = seen.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    first = keys.select("doc_id", "chunk_no", "keys", F.posexplode("keys").alias("i", "source_key"))
+    pairs = first.select("doc_id", "chunk_no", "source_key", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("target_key"))
     return pairs.groupBy("doc_id", "source_key", "target_key").agg(F.count("*").alias("n"), F.min("chunk_no").alias("first_chunk"))
 
 
@@ -116,8 +117,8 @@ def visible_edges(edge_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
 
 def neighbours(edge_rows: DataFrame) -> DataFrame:
     """doc_id, node_id, neighbour in both directions."""
-    out = edge_rows.select("doc_id", F.col("source").alias("node_id"), F.col("target").alias("neighbour"))
-    return out.unionByName(out.select("doc_id", F.col("neighbour").alias("node_id"), F.col("node_id").alias("neighbour")))
+    ends = lambda a, b: F.struct(F.col(a).alias("node_id"), F.col(b).alias("neighbour"))
+    return edge_rows.select("doc_id", F.explode(F.array(ends("source", "target"), ends("target", "source"))).alias("e")).select("doc_id", "e.*")
 
 
 def type_counts(node_rows: DataFrame) -> DataFrame:

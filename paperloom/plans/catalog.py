@@ -647,9 +647,16 @@ def _nodes(spark, d):
     return graph.nodes(graph.top_entities(graph.entities(_chunks(spark, d))))
 
 
-def _edges(spark, d):
+def _graph(spark, d):
+    """Nodes and edges, from mentions that are found once."""
     c = _chunks(spark, d)
-    return graph.edges(graph.cooccurrences(c, graph.top_entities(graph.entities(c))))
+    found = kept(graph.mentions(c), "mentions")
+    top = kept(graph.top_entities(graph.entities(c, found)), "top")
+    return graph.nodes(top), graph.edges(graph.cooccurrences(c, top, found))
+
+
+def _edges(spark, d):
+    return _graph(spark, d)[1]
 
 
 @query(f"WITH {MENTIONS_SQL} SELECT doc_id, substr(md5(key), 1, 12) AS node_id, key, text, etype, freq, rank FROM top")
@@ -680,7 +687,8 @@ def relative_sizes(spark, d):
 @query(f"""WITH {PAIRS_SQL}, n AS (SELECT doc_id, substr(md5(key), 1, 12) AS node_id FROM top WHERE etype IN ('TECH', 'CONCEPT', 'TERM') AND contains(lower(text), 'th'))
 SELECT * FROM edges WHERE (doc_id, source) IN (SELECT (doc_id, node_id) FROM n) AND (doc_id, target) IN (SELECT (doc_id, node_id) FROM n)""")
 def visible_edges(spark, d):
-    return graph.visible_edges(_edges(spark, d), graph.filter_nodes(_nodes(spark, d), ["TECH", "CONCEPT", "TERM"], "TH"))
+    nodes, edges = _graph(spark, d)
+    return graph.visible_edges(edges, graph.filter_nodes(nodes, ["TECH", "CONCEPT", "TERM"], "TH"))
 
 
 # the fixed keywords, and words that the documents have
