@@ -11,14 +11,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .index import Index
+from .index import TOKENS, Index
 from .search import BM25_DECIMALS, K1, B, query_terms, ranked
 
 #: Keys of a region, folders that terms are dealt over, and distinct terms of queries that are collected to choose folders at most.
 REGION, BUCKETS, MOST_TERMS = 1024, 64, 10_000
+#: Regions that a task makes blocks of, on average.
+NEAR = 8
 
 
 @dataclass(frozen=True)
@@ -32,7 +38,7 @@ class Blocks:
 
     def save(self, path: str) -> None:
         """A folder for each bucket of terms, within it files sorted by term."""
-        n = int(self.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = _parts(self.blocks.sparkSession, self.blocks.agg(F.max("region")).first()[0] or 0)
         self.blocks.repartitionByRange(max(n, BUCKETS), "bucket", "term", "region").sortWithinPartitions("bucket", "term", "region").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         self.stats.select("*", F.lit(self.kind).alias("kind"), F.lit(self.key).alias("key")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -53,13 +59,62 @@ def build(index: Index) -> Blocks:
         raise ValueError("an index with scopes has no blocks")
     regions = max(1, -(-index.lengths.count() // REGION))
     key = index.key
-    each = index.postings.join(index.lengths, key).select("term", F.pmod(F.xxhash64(key), F.lit(regions)).alias("region"), key, "tf", "dl")
-    made = each.groupBy("term", "region").agg(F.array_sort(F.collect_list(F.struct(key, "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    lists = made.select(_bucket(F.col("term")).alias("bucket"), "term", "region", F.size("p").alias("n"), "max_tf", "min_dl", F.col(f"p.{key}").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    region = F.pmod(F.xxhash64(key), F.lit(regions))
+    # texts with one key are one text, as postings have them
+    if index.texts is not None and index.texts.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        made = _of_texts(index, region, regions)
+    else:
+        each = index.postings.join(index.lengths, key).select("term", region.alias("region"), key, "tf", "dl")
+        made = each.groupBy("term", "region").agg(F.array_sort(F.collect_list(F.struct(key, "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        made = made.select("term", "region", F.size("p").alias("n"), "max_tf", "min_dl", F.col(f"p.{key}").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    lists = made.select(_bucket(F.col("term")).alias("bucket"), "term", "region", "n", "max_tf", "min_dl", "keys", "tfs", "dls")
     return Blocks(index.kind, key, lists, index.stats)
 
 
-def _part(tf: Column, dl: Column, mean: Column) -> Column:
+def _parts(spark: SparkSession, regions: int) -> int:
+    """Tasks that regions are dealt over: some NEAR regions to each, so that what a task holds does not grow with the texts."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-regions // NEAR))
+
+
+def _of_texts(index: Index, region: Column, regions: int) -> DataFrame:
+    """Blocks of whole texts, which go to their region's task; there a region's words are sorted once."""
+    key, spark = index.key, index.texts.sparkSession
+    texts = index.texts.where(F.col(key).isNotNull()).select(region.alias("region"), key, TOKENS[index.kind](F.coalesce("text", F.lit(""))).alias("words"))
+    near = texts.repartition(_parts(spark, regions), "region").sortWithinPartitions("region", key)
+    kind = StructType([StructField("term", StringType()), texts.schema["region"], StructField("n", IntegerType()), StructField("max_tf", LongType()), StructField("min_dl", IntegerType()), StructField("keys", ArrayType(texts.schema[key].dataType)), StructField("tfs", ArrayType(LongType())), StructField("dls", ArrayType(IntegerType()))])
+
+    def blocks_of(t: pa.Table):
+        keys, lists = t[key].combine_chunks(), t["words"].combine_chunks()
+        dl = np.asarray(lists.value_lengths())
+        flat = lists.flatten().dictionary_encode()
+        if not len(flat):
+            return
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        cell, tf = np.unique(code * len(t) + np.repeat(np.arange(len(t)), dl), return_counts=True)
+        term, row = cell // len(t), cell % len(t)
+        edges = np.searchsorted(term, np.arange(len(flat.dictionary) + 1))
+        ends, of = pa.array(edges, pa.int32()), lambda x: pa.ListArray.from_arrays(ends, x)
+        least = np.minimum.reduceat(dl[row], edges[:-1])
+        yield pa.RecordBatch.from_arrays([flat.dictionary, pa.array(np.full(len(edges) - 1, t["region"][0].as_py())), pa.array(np.diff(edges).astype(np.int32)), pa.array(np.maximum.reduceat(tf, edges[:-1]).astype(np.int64)), pa.array(least.astype(np.int32)), of(keys.take(pa.array(row))), of(pa.array(tf.astype(np.int64))), of(pa.array(dl[row].astype(np.int32)))], names=kind.names)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            r = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1), len(r)]
+            for i, j in zip(cuts, cuts[1:]):
+                if held and i < j and held[0].column(0)[0].as_py() != r[i]:
+                    yield from blocks_of(pa.Table.from_batches(held))
+                    held = []
+                if i < j:
+                    held.append(b.slice(i, j - i))
+        if held:
+            yield from blocks_of(pa.Table.from_batches(held))
+
+    return near.mapInArrow(run, kind)
+
+
+def _part(tf, dl, mean):
     """What a count adds to a score, but for its term's weight: more for larger counts and for shorter texts."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
@@ -90,7 +145,7 @@ def candidates(index: Blocks, queries: DataFrame, top: int, first: int = 2) -> t
     region = found.groupBy("query_id", "region").agg(F.sum("bound").alias("bound"))
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "region")
     leading = region.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first).select("query_id", "region")
-    scores = _scored(index, blocks, found.join(leading, ["query_id", "region"]))
+    scores = _scored(index, blocks, found.join(leading, ["query_id", "region"]), top)
     last = ranked(scores, index.key, top).groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("score")).alias("least"))
     # rounding may lift a score by half a unit of its last place
     slack = 10.0 ** -BM25_DECIMALS[index.kind]
@@ -98,19 +153,58 @@ def candidates(index: Blocks, queries: DataFrame, top: int, first: int = 2) -> t
     return found, found.join(reach, ["query_id", "region"])
 
 
-def _scored(index: Blocks, blocks: DataFrame, chosen: DataFrame) -> DataFrame:
-    lists = chosen.select("query_id", "term", "region", "weight", "mean").join(blocks.select("term", "region", "keys", "tfs", "dls"), ["term", "region"])
-    each = lists.select("query_id", "weight", "mean", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p"))
-    score = F.sum(F.col("weight") * _part(F.col("p.tfs"), F.col("p.dls"), F.col("mean")))
-    summed = each.groupBy("query_id", F.col("p.keys").alias(index.key)).agg(score.alias("raw")).where("raw > 0")
-    return summed.select("query_id", index.key, F.round("raw", BM25_DECIMALS[index.kind]).alias("score"))
+def _scored(index: Blocks, blocks: DataFrame, chosen: DataFrame, top: int) -> DataFrame:
+    """query_id, key, score: of each region the best of each query that has blocks chosen in it. A region's blocks and what is asked of it meet in one
+    task and are summed there, as a region holds all of its texts' postings; only its best go on."""
+    key, decimals = index.key, BM25_DECIMALS[index.kind]
+    lists = blocks.select("region", "term", "keys", "tfs", "dls")
+    kind = StructType([chosen.schema["query_id"], StructField(key, blocks.schema["keys"].dataType.elementType), StructField("raw", DoubleType())])
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked, held = asked.combine_chunks(), held.combine_chunks()
+        if not len(asked) or not len(held):
+            return pa.table({f.name: pa.array([], f.type) for f in to_arrow_schema(kind)})
+        flat = held["keys"].combine_chunks().flatten().dictionary_encode()
+        keys, size = flat.dictionary, len(flat.dictionary)
+        order = np.argsort(np.array(keys.to_pylist()), kind="stable")
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        doc = place[flat.indices.to_numpy(zero_copy_only=False)]
+        tf, dl = (held[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("tfs", "dls"))
+        sizes = np.asarray(held["keys"].combine_chunks().value_lengths())
+        stop = np.cumsum(sizes)
+        at = {t: i for i, t in enumerate(held["term"].to_pylist())}
+        ids = asked["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        of = ids.indices.to_numpy(zero_copy_only=False)
+        term = np.array([at.get(t, -1) for t in asked["term"].to_pylist()])
+        weight, mean = asked["weight"].to_numpy(), asked["mean"].to_numpy()
+        which, found, raw = [], [], []
+        by = np.argsort(of, kind="stable")
+        for rows in np.split(by, np.flatnonzero(np.diff(of[by])) + 1):
+            scores = np.zeros(size)
+            for r in rows:
+                i = term[r]
+                if i >= 0:
+                    some = slice(stop[i] - sizes[i], stop[i])
+                    scores[doc[some]] += weight[r] * _part(tf[some], dl[some], mean[r])
+            shown, take = np.floor(scores * 10**decimals + 0.5), min(top, size)
+            floor = np.partition(shown, size - take)[size - take]
+            good = np.flatnonzero((shown >= floor) & (scores > 0))
+            good = good[np.argsort(-shown[good], kind="stable")[:take]]
+            which.append(np.full(len(good), of[rows[0]]))
+            found.append(order[good])
+            raw.append(scores[good])
+        return pa.table([ids.dictionary.take(pa.array(np.concatenate(which))), keys.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(raw))], names=kind.names)
+
+    summed = chosen.select("region", "query_id", "term", "weight", "mean").groupBy("region").cogroup(lists.groupBy("region")).applyInArrow(run, kind)
+    return summed.select("query_id", key, F.round("raw", decimals).alias("score"))
 
 
 def bm25(index: Blocks, queries: DataFrame, top: int = 30) -> DataFrame:
     """query_id, key, rank, score for queries (query_id, query): what search.bm25 gives."""
     blocks = _read(index, query_terms(queries, index.kind))
     _, chosen = candidates(index, queries, top)
-    return ranked(_scored(index, blocks, chosen), index.key, top)
+    return ranked(_scored(index, blocks, chosen, top), index.key, top)
 
 
 def work(index: Blocks, queries: DataFrame, top: int = 30) -> DataFrame:

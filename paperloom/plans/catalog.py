@@ -5,6 +5,8 @@ A query takes (session, folder) and returns a DataFrame over whole tables. SQL i
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -470,7 +472,9 @@ def bm25_scoped_topk(spark, d):
 @query(f"WITH {_bm25_sql(_words, _LIVE, 5)} SELECT * FROM bm25")
 def bm25_pruned_topk(spark, d):
     """What bm25_live_topk finds, out of blocks of postings, few of which are scored."""
-    return blockmax.bm25(blockmax.build(index.build(_docs(spark, d), "doc_id", "live")), _asked(spark, d), 5)
+    made = blockmax.build(index.build(_docs(spark, d), "doc_id", "live"))
+    # bounds, leading regions and the others read the blocks in turn, so they are made once
+    return blockmax.bm25(replace(made, blocks=kept(made.blocks, "blocks"), stats=kept(made.stats, "stats")), _asked(spark, d), 5)
 
 
 def _rankings(spark, d, top=30):
