@@ -12,20 +12,19 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoded_column, releasing, stored, table, worker_value
+from .common import Words, encoded_column, releasing, stored, table, worker_value
 
 #: Pieces of a shard on average.
 SHARD = 1 << 16
 GROUPS, LARGE_SHARE = 32, 8
-#: Distinct words whose ids a task keeps.
-CACHE = 1_500_000
+#: Distinct words, and bytes of them, that a worker keeps the ids of.
+CACHE, CACHE_BYTES = 700_000, 1 << 25
 
 
 def default_tokenizer() -> str:
@@ -39,7 +38,7 @@ def default_tokenizer() -> str:
 
 class WordIds:
     """Ids of texts by a tokenizer that never merges across ASCII white space and drops it: each word is
-    encoded once, then looked up."""
+    encoded once, then looked up by a hash, and compared. A word takes some 45 bytes, as objects it would take 200."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,53 +47,79 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.start, self.length, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes words some hundreds at a time: joined by spaces, and told apart by the places of their ids."""
+        """No words: sorted hashes with the words' numbers; by number the words' bytes and ids, end to end, and where each begins."""
+        self.hash, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.text, self.text_at = np.zeros(8, np.uint8), np.zeros(1, np.uint32)
+        self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.uint32)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, end to end, and how many each has: some hundreds joined by spaces, and told apart by the places of their ids."""
+        ids, lengths = [], []
         for i in range(0, len(words), 300):
-            some = words[i : i + 300]
-            texts = [w.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode() for w in some]
+            texts = [w.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode() for w in words[i : i + 300]]
             got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ends = np.cumsum([len(t) + 1 for t in texts])
             word = np.searchsorted(ends, np.array([a for a, _ in got.offsets], np.int64), side="right")
-            n, size, lengths = len(self.code), len(word), np.bincount(word, minlength=len(some))
-            while self.used + size > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + len(some) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.length[n : n + len(some)] = lengths
-            self.start[n : n + len(some)] = self.used + np.cumsum(lengths) - lengths
-            self.pool[self.used : self.used + size] = got.ids
-            self.used += size
-            self.code.update(zip(some, range(n, n + len(some))))
+            lengths.append(np.bincount(word, minlength=len(texts)))
+            ids.append(np.array(got.ids, np.uint32))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Words that are not known yet, in the order of their hashes."""
+        ids, lengths = self.encode(words)
+        after = lambda at, n: np.concatenate([at, at[-1] + np.cumsum(n)]).astype(np.uint32)
+        place, code = np.searchsorted(self.hash, hashes), np.arange(len(self.hash), len(self.hash) + len(words))
+        self.hash, self.code = np.insert(self.hash, place, hashes), np.insert(self.code, place, code)
+        self.text = np.concatenate([self.text[:-8], np.frombuffer(b"".join(words) + bytes(8), np.uint8)])
+        self.text_at, self.ids_at = after(self.text_at, [len(w) for w in words]), after(self.ids_at, lengths)
+        self.ids = np.concatenate([self.ids, ids])
 
     def __call__(self, raw: list[bytes]) -> list[np.ndarray]:
         """For each text, its ids."""
-        split = [x.split() for x in raw]
-        if len(self.code) > CACHE:
+        if len(self.hash) > CACHE or len(self.text) > CACHE_BYTES:
             self.clear()
-        words = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self.learn(list({words[i] for i in missing}))
-            at[missing] = [self.code[words[i]] for i in missing]
-        n = self.length[at]
+        w = Words(raw)
+        start, size, lanes = w.starts, w.ends - w.starts, _lanes(w.data)
+        hashes, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, hashes)
+        new = np.flatnonzero(np.append(self.hash, np.uint64(0))[at] != hashes)
+        if len(at) > len(new) and not len(self.hash):  # a hash of 0
+            new = np.arange(len(at))
+        if len(new):
+            self.learn(hashes[new], [w.data[i:j] for i, j in zip(start[first[new]].tolist(), w.ends[first[new]].tolist())])
+            at = np.searchsorted(self.hash, hashes)
+        code = self.code[at][back]
+        if (self.text_at[code + 1] - self.text_at[code] == size).all() and _equal(lanes, start, _lanes(self.text), self.text_at[code].astype(np.int64), size):
+            n, begin, pool = (self.ids_at[code + 1] - self.ids_at[code]).astype(np.int64), self.ids_at[code].astype(np.int64), self.ids
+        else:  # two words share a hash
+            pool, n = self.encode([w.data[i:j] for i, j in zip(start.tolist(), w.ends.tolist())])
+            begin = np.cumsum(n) - n
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.start[at] - ends + n, n) + np.arange(total)]
-        cuts = np.concatenate(([0], ends))[np.cumsum([len(x) for x in split])[:-1]] if len(split) > 1 else []
-        return np.split(ids, cuts)
+        ids = pool[np.repeat(begin - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return np.split(ids, np.concatenate(([0], ends))[w.first[1:-1]])
+
+
+def _lanes(data) -> np.ndarray:
+    """Of bytes with 8 more at their end: the 8 bytes from each place on, as one number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def _equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all stretches of size bytes at a_at and b_at are equal, by the lanes of both."""
+    while len(size):
+        mask = np.uint64(2**64 - 1) >> (np.uint64(64) - np.minimum(size, 8).astype(np.uint64) * np.uint64(8))
+        if ((a[a_at] ^ b[b_at]) & mask).any():
+            return False
+        more = size > 8
+        a_at, b_at, size = a_at[more] + 8, b_at[more] + 8, size[more] - 8
+    return True
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each text's ids and end_id, cut only where longer than capacity."""
 
     def run(batches):
-        ids_of = worker_value(("words", tokenizer), lambda: WordIds(tokenizer))
+        ids_of = worker_value(("words", tokenizer), lambda: WordIds(tokenizer), 0.5)
         for b in batches:
             keys, raw = b.column(0).to_pylist(), encoded_column(b.column(1))
             out = {x: [] for x in ("doc_id", "piece", "start", "length", "ids_crc32")}

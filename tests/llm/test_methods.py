@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperloom.llm import anchors, bpe, components, html, jaccard, language_model, packing, pii, quality, spans, substrings, suffixes, topk
+from paperloom.llm import anchors, bpe, common, components, html, jaccard, language_model, packing, pii, quality, spans, substrings, suffixes, topk
 
 SF = "/root/testdata/sf0.001"
 
@@ -284,6 +286,34 @@ def test_packing_is_whole_and_tight(spark, texts):
     assert len(rows) <= -(-sum(r["length"] for r in got) // 4096) * 1.03 + 1
 
 
+def test_packing_looks_words_up(monkeypatch):
+    """Ids of texts, with a few words kept, with words that share a hash, and with little memory for each word."""
+    words = packing.WordIds(packing.default_tokenizer())
+    rng = random.Random(3)
+    texts = ["", " ", *(" ".join(["often", f"{'long' * i}", *(f"w{rng.randrange(10**6)}é" for _ in range(60))]) for i in range(20)), "a\x00 a\x00\x00 a often\n"]
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    raw = [t.encode() for t in texts]
+    assert [x.tolist() for x in words(raw)] == [x.tolist() for x in words(raw)] == want
+    assert sum(x.nbytes for x in (words.hash, words.code, words.text, words.text_at, words.ids, words.ids_at)) < 80 * len(words.hash)
+    monkeypatch.setattr(packing, "CACHE", 100)
+    assert [x.tolist() for t in raw for x in words([t])] == want and len(words.hash) <= 170  # CACHE, and the words of a call
+    hashes = common.Words.hashes
+    monkeypatch.setattr(common.Words, "hashes", lambda self: hashes(self) % np.uint64(50))
+    words.clear()
+    assert [x.tolist() for t in raw for x in words([t])] == want
+
+
+def test_idle_workers_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "released", lambda value=None: given.append(value))
+    common.worker_value("a test", lambda: bytearray(10), 0.08)
+    for _ in range(200):
+        time.sleep(0.02)
+        if given:
+            break
+    assert given and not hasattr(sys.modules["_worker_values"], "a test")
+
+
 def test_packing_of_large_pieces_beats_first_fit():
     rng = np.random.default_rng(1)
     n = rng.integers(900, 2600, 4000)
