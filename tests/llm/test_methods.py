@@ -644,3 +644,19 @@ def test_pipeline_judges_rows_not_ids(spark):
     both = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
     assert both(kept) == sorted((r for r in rows if r[1] != "too short"), key=str)
     assert both(corpus_pipeline.near_duplicates(spark, kept, SF)) == sorted(rows[:18], key=str)
+
+
+def test_pipeline_drops_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 62 words have fewer than 400 bytes; shorter ones stay, unless they have 400 bytes."""
+    rng = random.Random(14)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    around = lambda x: f"{words(40)}. {x} .{words(40)}"
+    long, short, wide = [words(51 + i) for i in range(8)], [words(38) for _ in range(4)], "".join(rng.choice("abcdefghij") for _ in range(450))
+    assert all(200 <= len(x) < 400 for x in [*long, *short])
+    texts = [around(x) for x in [*long, *long, *short, *short, wide, wide]] + [words(120) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, SF).collect()}
+    for i, t in enumerate(texts):
+        passage = [*long, *long, *[None] * 8, wide, wide, *[None] * 10][i]
+        # a character on each side of a passage may be equal by chance
+        assert got[i][0] == t if passage is None else passage not in got[i][0] and len(t) - len(passage) - 6 <= got[i][1] <= len(t) - len(passage)
