@@ -3,7 +3,8 @@
 Texts are cut into pieces and gathered into bundles. A bundle's distinct pieces are rows, one each, followed by a
 row with its texts as places in that list. For each piece an `aggregate` folds the ranked merges over an array of
 symbols; the rank of a pair comes from a literal table (rows of a sparse table laid over one another, so that a
-lookup is two array reads). Nothing is shuffled or collected.
+lookup is two array reads). Pieces of a sample of the texts, of fixed size, are encoded first, by the same fold, and
+once for all bundles, which then have only their other pieces folded. Nothing else is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import chunks, releasing, table, worker_value
+from .common import chunks, releasing, table, text_bytes, worker_value
 
 #: Bytes of text in a bundle; longer texts are alone in theirs.
 BUNDLE = 32 << 20
+#: Bytes of text whose pieces are encoded once for all bundles; texts of less than twice as much have no such pieces.
+SAMPLE = 64 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
 LONG = 64
 BUNDLE_TYPE = "piece array<int>, payload binary"
@@ -150,17 +154,68 @@ class _Places(dict):
         return n
 
 
-def _bundles(pattern: str, spaced: bool):
+def _split(spaced: bool):
+    """A function that cuts a text into units that are matched apart (see _bundles)."""
+    blank, cut = re.compile(r"\s ").search, re.compile(r"(?<!\s) ").split
+
+    def split(text):
+        if not spaced:
+            return [text]
+        first, *rest = text.split(" ") if not blank(text) else cut(text)
+        return [first, *map(" ".__add__, rest)]
+
+    return split
+
+
+def _lists(pieces: list[bytes]):
+    """Arrow lists of the bytes of each piece, some at a time."""
+    raw, ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0] + [len(p) for p in pieces])
+    for i in range(0, len(pieces), 4000):
+        some = ends[i : i + 4001]
+        yield pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(raw[some[0] : some[-1]].astype(np.int32)))
+
+
+def _short_pieces(pattern: str, spaced: bool):
+    """Texts into the distinct pieces of all, but for long ones."""
+
+    def run(batches):
+        import regex
+
+        find, split, units = regex.compile(pattern).findall, _split(spaced), set()
+        for b in batches:
+            for text in b.column(0):
+                if text := text.as_py():
+                    units.update(split(text))
+        pieces = {p for x in units for p in find(x)}
+        for lists in _lists([x for p in pieces if len(x := p.encode("utf-8", "surrogatepass")) <= LONG]):
+            yield pa.RecordBatch.from_arrays([lists], names=["piece"])
+
+    return releasing(run)
+
+
+class _Common:
+    """Pieces that are encoded once for all bundles: their bytes, and their ids end to end."""
+
+    def __init__(self, found: pa.Table):
+        piece, ids = (found.column(c).combine_chunks() for c in ("piece", "ids"))
+        ends = np.concatenate(([0], np.cumsum(np.asarray(piece.value_lengths(), np.int64)))).astype(np.int32)
+        raw = piece.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+        self.pieces = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+        self.n = np.asarray(ids.value_lengths(), np.int64)
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def _bundles(pattern: str, spaced: bool, common: pa.Array | None = None):
     """Rows (doc_id, text) into bundles: a row for each distinct piece, and one with the texts as places among them.
 
     spaced: after a character that is no white space, a space always begins a match, and letters after it end one only with
     the last of them. Then a text falls at such spaces into units that are matched apart, and each distinct unit of a
-    bundle is matched once."""
+    bundle is matched once. common: pieces that get no row, as places among them will do."""
 
     def run(batches):
         import regex
 
-        find, blank, cut = regex.compile(pattern).findall, re.compile(r"\s ").search, re.compile(r"(?<!\s) ").split
+        find, split = regex.compile(pattern).findall, _split(spaced)
         keys, sizes, codes, held = [], [], [], 0
         n, flat, place = array("i"), array("i"), _Places()
 
@@ -175,20 +230,14 @@ def _bundles(pattern: str, spaced: bool):
 
         unit = _Places(learn)
 
-        def split(text):
-            if not spaced:
-                return [text]
-            first, *rest = text.split(" ") if not blank(text) else cut(text)
-            return [first, *map(" ".__add__, rest)]
-
         def out():
             pieces = [p.encode("utf-8", "surrogatepass") for p in place]
-            head = json.dumps({"key": [None if k is None else int(k) for k in keys], "size": sizes, "units": len(n)}).encode()
-            payload = zstandard.ZstdCompressor(1).compress(b"".join([len(head).to_bytes(8, "little"), head, n.tobytes(), np.array([len(flat)], np.int64).tobytes(), flat.tobytes(), *(c.tobytes() for c in codes)]))
-            raw, ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0] + [len(p) for p in pieces])
-            for i in range(0, len(pieces), 4000):
-                some = ends[i : i + 4001]
-                lists = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(raw[some[0] : some[-1]].astype(np.int32)))
+            known = np.full(len(pieces), -1, np.int32)
+            if common is not None:
+                known = pc.index_in(pa.array(pieces, pa.binary()), value_set=common).fill_null(-1).to_numpy(zero_copy_only=False)
+            head = json.dumps({"key": [None if k is None else int(k) for k in keys], "size": sizes, "units": len(n), "pieces": len(pieces)}).encode()
+            payload = zstandard.ZstdCompressor(1).compress(b"".join([len(head).to_bytes(8, "little"), head, n.tobytes(), np.array([len(flat)], np.int64).tobytes(), flat.tobytes(), known.tobytes(), *(c.tobytes() for c in codes)]))
+            for lists in _lists([pieces[i] for i in np.flatnonzero(known < 0).tolist()]):
                 yield pa.RecordBatch.from_arrays([lists, pa.nulls(len(lists), pa.binary())], names=["piece", "payload"])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(pa.int32())), pa.array([payload], pa.binary())], names=["piece", "payload"])
 
@@ -211,14 +260,16 @@ def _bundles(pattern: str, spaced: bool):
 
 
 def _opened(payload: bytes):
-    """Keys, units of each text, and of all texts; and for each unit its pieces: how many, and which."""
+    """Keys, units of each text, and of all texts; for each unit its pieces: how many, and which; and for each piece its place
+    among the common ones, or -1."""
     body = zstandard.ZstdDecompressor().decompress(payload)
     at = 8 + int.from_bytes(body[:8], "little")
     head = json.loads(body[8:at])
     n = np.frombuffer(body, np.int32, head["units"], at)
     total = int.from_bytes(body[at + n.nbytes : at + n.nbytes + 8], "little")
     flat = np.frombuffer(body, np.int32, total, at + n.nbytes + 8)
-    return head["key"], np.array(head["size"], np.int64), np.frombuffer(body, np.int32, offset=at + n.nbytes + 8 + flat.nbytes), n.astype(np.int64), flat
+    known = np.frombuffer(body, np.int32, head["pieces"], at + n.nbytes + 8 + flat.nbytes)
+    return head["key"], np.array(head["size"], np.int64), np.frombuffer(body, np.int32, offset=at + n.nbytes + 8 + flat.nbytes + known.nbytes), n.astype(np.int64), flat, known
 
 
 def _chosen(pool: np.ndarray, start: np.ndarray, n: np.ndarray, which: np.ndarray):
@@ -228,12 +279,17 @@ def _chosen(pool: np.ndarray, start: np.ndarray, n: np.ndarray, which: np.ndarra
     return pool[np.repeat(start[which] - ends + m, m) + np.arange(int(ends[-1]) if len(ends) else 0)], m
 
 
-def _gather(path: str, finish=None):
-    """Ids of distinct pieces, and the texts after them, into batches (doc_id, ids), or finish(batch) of each."""
+def _gather(path: str, finish=None, common_n=np.zeros(0, np.int64), common_ids=np.zeros(0, np.int32)):
+    """Ids of distinct pieces, and the texts after them, into batches (doc_id, ids), or finish(batch) of each. common_n and
+    common_ids: how many ids each common piece has, and all of them."""
 
     def bundle(payload, ids, n):
-        keys, sizes, codes, unit_n, flat = _opened(payload)
-        pool, m = _chosen(ids, np.cumsum(n) - n, n, flat)  # of units, in place of pieces
+        keys, sizes, codes, unit_n, flat, known = _opened(payload)
+        # ids of common pieces stand after those of the rows
+        each = np.concatenate([n, common_n])
+        of = known.astype(np.int64) + len(n)
+        of[known < 0] = np.arange(len(n))
+        pool, m = _chosen(np.concatenate([ids, common_ids]), (np.cumsum(each) - each)[of], each[of], flat)  # of units, in place of pieces
         size = np.add.reduceat(np.append(m, 0), np.cumsum(unit_n) - unit_n) * (unit_n > 0) if len(unit_n) else np.zeros(0, np.int64)
         start, done = np.cumsum(size) - size, np.concatenate(([0], np.cumsum(sizes)))
         total = np.concatenate(([0], np.cumsum(size[codes])))[done]  # ids before each text
@@ -274,15 +330,22 @@ def encode(docs: DataFrame, ranks: str, pattern: str, finish=None, schema: str =
     A null or empty text has no ids; repeated rows are repeated; null doc_ids stay null; other columns
     are ignored. ranks: a rank file; pattern: what cuts a text into pieces. finish: turns each Arrow batch of
     the result into one of `schema` in the same pass. spaced: whether a space after other than white space always begins
-    a piece, with all letters that follow it, as in the default pattern; false if not said of another one.
+    a piece, with all letters that follow it, as in the default pattern; false if not said of another one. Of much text, a
+    sample is read first, for pieces to encode once; which these are changes no result.
     """
     if spaced is None:
         spaced = pattern == default_pattern()
     slots, base, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(ranks), ("array<bigint>", "array<int>", "array<int>")))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, spaced), BUNDLE_TYPE)
+    folded = _merged(F.col("piece"), slots, base, single)
+    pieces, given = None, ()
+    if (total := text_bytes(docs)) >= 2 * SAMPLE:
+        some = docs.select("text").sample(SAMPLE / total, 7).mapInArrow(_short_pieces(pattern, spaced), "piece array<int>").distinct()
+        common = _Common(some.select("piece", folded.alias("ids")).toArrow())
+        pieces, given = common.pieces, (common.n, common.ids)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles(pattern, spaced, pieces), BUNDLE_TYPE)
     short = F.size("piece") <= LONG
-    ids = F.when(short, _merged(F.col("piece"), slots, base, single))
-    return rows.select(ids.alias("ids"), F.when(~short, F.col("piece")).alias("long_piece"), "payload").mapInArrow(_gather(ranks, finish), schema)
+    ids = F.when(short, folded)
+    return rows.select(ids.alias("ids"), F.when(~short, F.col("piece")).alias("long_piece"), "payload").mapInArrow(_gather(ranks, finish, *given), schema)
 
 
 class _Strings:

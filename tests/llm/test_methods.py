@@ -660,3 +660,22 @@ def test_pipeline_drops_passages_of_over_fifty_words(spark):
         passage = [*long, *long, *[None] * 8, wide, wide, *[None] * 10][i]
         # a character on each side of a passage may be equal by chance
         assert got[i][0] == t if passage is None else passage not in got[i][0] and len(t) - len(passage) - 6 <= got[i][1] <= len(t) - len(passage)
+
+
+def test_bpe_folds_common_pieces_once(spark, texts, monkeypatch):
+    """Pieces of a sample are encoded for all bundles, with the ids that each bundle would find; others have rows as before."""
+    rows = [*texts.items(), (-1, "z" * 300 + " zz"), (-2, None), (-3, ""), (-4, "🙂 日本語 naïve\n\n  x"), (None, "the and of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    ids = lambda: sorted(((r["doc_id"], tuple(r["ids"])) for r in bpe.encode(docs, bpe.default_ranks(), bpe.default_pattern()).collect()), key=str)
+    want, found, common = ids(), [], bpe._Common
+    monkeypatch.setattr(bpe, "_Common", lambda t: found.append(common(t)) or found[-1])
+    assert ids() == want and not found  # few texts have none
+    for sample in (1 << 14, docs.selectExpr("sum(octet_length(text))").first()[0] // 2):
+        monkeypatch.setattr(bpe, "SAMPLE", sample)
+        assert ids() == want
+    assert 1000 < len(found[0].pieces) < len(found[1].pieces) == len(found[1].n) and found[1].n.sum() == len(found[1].ids)
+    import pyarrow as pa
+
+    some = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([" ".join(t or "" for t in texts.values())])})
+    count = lambda *common: sum(b.num_rows - b.column(0).null_count for b in bpe._bundles(bpe.default_pattern(), True, *common)([some]))
+    assert count(found[1].pieces) < 0.7 * count() and count(found[0].pieces) < count()
