@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import chunks, releasing, table, text_bytes, worker_value
+from .common import chunks, released, releasing, table, text_bytes, worker_value
 
 #: Bytes of text in a bundle; longer texts are alone in theirs.
 BUNDLE = 32 << 20
 #: Bytes of text whose pieces are encoded once for all bundles; texts of less than twice as much have no such pieces.
-SAMPLE = 64 << 20
+SAMPLE = 32 << 20
 #: Pieces of more bytes are encoded with a heap, since a fold's time grows with the square of the length.
 LONG = 64
 BUNDLE_TYPE = "piece array<int>, payload binary"
@@ -231,13 +231,21 @@ def _bundles(pattern: str, spaced: bool, common: pa.Array | None = None):
         unit = _Places(learn)
 
         def out():
-            pieces = [p.encode("utf-8", "surrogatepass") for p in place]
+            nonlocal keys, sizes, codes, held, n, flat, place, unit
+            pieces, head = [p.encode("utf-8", "surrogatepass") for p in place], {"key": [None if k is None else int(k) for k in keys], "size": sizes, "units": len(n)}
+            body = [n.tobytes(), np.array([len(flat)], np.int64).tobytes(), flat.tobytes(), *codes]
+            # the words are let go before their pieces are folded
+            keys, sizes, codes, held = [], [], [], 0
+            n, flat, place, unit = array("i"), array("i"), _Places(), _Places(learn)
+            released()
             known = np.full(len(pieces), -1, np.int32)
             if common is not None:
                 known = pc.index_in(pa.array(pieces, pa.binary()), value_set=common).fill_null(-1).to_numpy(zero_copy_only=False)
-            head = json.dumps({"key": [None if k is None else int(k) for k in keys], "size": sizes, "units": len(n), "pieces": len(pieces)}).encode()
-            payload = zstandard.ZstdCompressor(1).compress(b"".join([len(head).to_bytes(8, "little"), head, n.tobytes(), np.array([len(flat)], np.int64).tobytes(), flat.tobytes(), known.tobytes(), *(c.tobytes() for c in codes)]))
-            for lists in _lists([pieces[i] for i in np.flatnonzero(known < 0).tolist()]):
+            head = json.dumps(head | {"pieces": len(pieces)}).encode()
+            payload = zstandard.ZstdCompressor(1).compress(b"".join([len(head).to_bytes(8, "little"), head, *body[:3], known.tobytes(), *(c.tobytes() for c in body[3:])]))
+            pieces, body = [pieces[i] for i in np.flatnonzero(known < 0).tolist()], None
+            released()
+            for lists in _lists(pieces):
                 yield pa.RecordBatch.from_arrays([lists, pa.nulls(len(lists), pa.binary())], names=["piece", "payload"])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(pa.int32())), pa.array([payload], pa.binary())], names=["piece", "payload"])
 
@@ -251,8 +259,6 @@ def _bundles(pattern: str, spaced: bool, common: pa.Array | None = None):
                 held += len(text)
                 if held >= BUNDLE:
                     yield from out()
-                    keys, sizes, codes, held = [], [], [], 0
-                    n, flat, place, unit = array("i"), array("i"), _Places(), _Places(learn)
         if keys:
             yield from out()
 
