@@ -9,8 +9,9 @@ are packed into chunks; each chunk of candidates meets each chunk of queries onc
    cutoff / NODES: an entry that no node passes on has a total below the cutoff.
 3. The remaining entries' scores are resolved exactly, and the best k are kept.
 
-No step leaves out a candidate, so results are exact. What moves is the query chunks, once to each
-shard of candidates, and at most k rows for each query and chunk.
+No step leaves out a candidate, so results are exact. The query chunks go to all tasks, at most `BROADCAST` bytes of
+them at a time; candidates are dealt over tasks once for either pass, and what moves then is at most k rows for each
+query and task.
 """
 
 from __future__ import annotations
@@ -24,7 +25,16 @@ from .common import parts, stored, table
 
 NODES = 4
 CHUNK, QUERY_CHUNK = 2048, 512
+#: Bytes of query chunks that go to all tasks at a time; part results and results that a task holds.
+BROADCAST, LOWS, HELD = 32 << 20, 1 << 22, 1 << 18
 PACKED = "dim int, n int, ids binary, cells binary"
+LEAST = -(2**63)
+
+
+def _narrow(cells: np.ndarray) -> bytes:
+    """Integers in the fewest bytes that hold them all."""
+    low, high = int(cells.min(initial=0)), int(cells.max(initial=0))
+    return cells.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)).tobytes()
 
 
 def _packer(most: int):
@@ -38,7 +48,7 @@ def _packer(most: int):
             ids, cells = (np.concatenate(x) for x in zip(*held.pop(dim)))
             for i in range(0, len(ids), most):
                 part = ids[i : i + most]
-                yield pa.RecordBatch.from_pylist([{"dim": dim, "n": len(part), "ids": part.tobytes(), "cells": cells[i : i + most].tobytes()}], pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([{"dim": dim, "n": len(part), "ids": part.tobytes(), "cells": _narrow(cells[i : i + most])}], pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary())]))
 
         for b in batches:
             ids, lists = b.column(0), b.column(1)
@@ -64,66 +74,120 @@ def _packer(most: int):
 
 
 def _part_scores(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Exact part scores of each node: in doubles where they hold every sum exactly, else in Python's integers."""
+    """Exact part scores of each node: in floats or doubles where they hold every sum exactly, else in Python's integers."""
     dim = q.shape[1]
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1) < 2.0**53
-    kind = np.float64 if exact else object
+    most = NODES * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1)
+    kind = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else object
     cuts = [dim * j // NODES for j in range(NODES + 1)]
     return [q[:, a:b].astype(kind) @ c[:, a:b].astype(kind).T if b > a else np.zeros((len(q), len(c)), kind) for a, b in zip(cuts, cuts[1:])]
 
 
 def _cells(row_ids, row_cells, dim):
     ids = np.frombuffer(row_ids, np.int64)
-    return ids, np.frombuffer(row_cells, np.int64).reshape(len(ids), dim)
+    width = len(row_cells) // (len(ids) * dim) if dim else 1
+    return ids, np.frombuffer(row_cells, f"i{width}").reshape(len(ids), dim).astype(np.int64)
+
+
+def _pairs(batches):
+    """Pairs of chunks of queries and candidates, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            r = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+            yield r, *_cells(r["q_ids"], r["q_cells"], r["dim"]), *_cells(r["ids"], r["cells"], r["dim"])
+
+
+def _listed(k: int, scores: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """For each query the k best totals of what the nodes' lists hold, LEAST where there are fewer."""
+    size = own.shape[1]
+    take = min(k + 1, size)
+    at = np.sort(np.concatenate([np.argpartition(s, size - take, axis=1)[:, size - take :] if s.dtype != object else np.argsort(s, axis=1)[:, size - take :] for s in scores], 1), axis=1)
+    total = sum(np.take_along_axis(s, at, 1) for s in scores[1:]) + np.take_along_axis(scores[0], at, 1)
+    again = np.concatenate([np.zeros((len(at), 1), bool), at[:, 1:] == at[:, :-1]], 1)
+    total[again | np.take_along_axis(own, at, 1)] = LEAST
+    return np.sort(total.astype(np.int64), axis=1)[:, ::-1][:, :k]
 
 
 def _first(k: int):
-    """Phase 1 of a pair of chunks: for each query, the k best totals of what the nodes' lists hold."""
+    """Phase 1: for each chunk of queries, the k best totals of each query that this task's candidates list, LEAST where there are fewer."""
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                (qi, q), (ci, c) = _cells(r["q_ids"], r["q_cells"], r["dim"]), _cells(r["ids"], r["cells"], r["dim"])
-                scores = _part_scores(q, c)
-                total = sum(scores[1:], scores[0])
-                own = qi[:, None] == ci[None, :]
-                take = min(k + 1, len(ci))
-                listed = np.concatenate([np.argpartition(-s, take - 1, axis=1)[:, :take] if s.dtype != object else np.argsort(-s, axis=1)[:, :take] for s in scores], 1)
-                ids, low = [], []
-                for i in range(len(qi)):
-                    at = np.unique(listed[i])
-                    at = at[~own[i, at]]
-                    best = np.sort(total[i, at])[::-1][:k]
-                    ids += [qi[i]] * len(best)
-                    low += [int(x) for x in best]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids, pa.int64()), "low": pa.array(low, pa.int64())})
+        held: dict[int, np.ndarray] = {}
+
+        def out():
+            for chunk, low in held.items():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "low": pa.array([low.tobytes()], pa.binary())})
+            held.clear()
+
+        for r, qi, q, ci, c in _pairs(batches):
+            low = held.get(r["chunk"])
+            if low is None:
+                if sum(x.size for x in held.values()) >= LOWS:
+                    yield from out()
+                low = np.full((len(qi), k), LEAST, np.int64)
+            both = np.concatenate([low, _listed(k, _part_scores(q, c), qi[:, None] == ci[None, :])], 1)
+            held[r["chunk"]] = np.ascontiguousarray(np.sort(both, axis=1)[:, ::-1][:, :k])
+        yield from out()
+
+    return run
+
+
+def _cutoffs(k: int):
+    """The k-th best of what tasks found for each query of a chunk: with fewer than k it is LEAST, so that all pass."""
+
+    def run(key, t):
+        low = None
+        for x in t.column("low").to_pylist():
+            one = np.frombuffer(x, np.int64).reshape(-1, k)
+            low = one if low is None else np.sort(np.concatenate([low, one], 1), axis=1)[:, -k:]
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "cutoffs": pa.array([low.min(axis=1).tobytes()], pa.binary())})
 
     return run
 
 
+def _best(k: int, ids: np.ndarray, found: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The k best of each query, ties by vec_id."""
+    order = np.lexsort((found, -score, ids))
+    ids, found, score = ids[order], found[order], score[order]
+    fine = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
+    return ids[fine], found[fine], score[fine]
+
+
 def _second(k: int):
-    """Phases 2 and 3 of a pair of chunks: entries that a node passes on, resolved; the best k for each query."""
+    """Phases 2 and 3: entries that a node passes on, resolved; the best k of this task's for each query."""
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                (qi, q), (ci, c) = _cells(r["q_ids"], r["q_cells"], r["dim"]), _cells(r["ids"], r["cells"], r["dim"])
-                scores = _part_scores(q, c)
-                floor = np.array([-(2**63) if x is None else x for x in r["cutoffs"]], scores[0].dtype if scores[0].dtype == object else np.float64)[:, None]
-                passed = np.zeros(scores[0].shape, bool)
-                for s in scores:
-                    passed |= (NODES * s >= floor).astype(bool)
-                rows, cols = np.nonzero(passed & (qi[:, None] != ci[None, :]))
-                total = scores[0][rows, cols]
-                for s in scores[1:]:
-                    total = total + s[rows, cols]
-                fine = (total >= floor[rows, 0]).astype(bool)
-                rows, cols, total = rows[fine], cols[fine], np.array([int(x) for x in total[fine]], np.int64)
-                order = np.lexsort((ci[cols], -total, rows))
-                rows, cols, total = rows[order], cols[order], total[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                rows, cols, total = rows[place < k], cols[place < k], total[place < k]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(qi[rows]), "vec_id": pa.array(ci[cols]), "score": pa.array(total)})
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def best():
+            return _best(k, *(np.concatenate(x) for x in zip(*held)))
+
+        def out(rows):
+            yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), map(pa.array, rows))))
+
+        n = 0
+        for r, qi, q, ci, c in _pairs(batches):
+            scores = _part_scores(q, c)
+            cutoffs = np.frombuffer(r["cutoffs"], np.int64)
+            floor = cutoffs.astype(scores[0].dtype)[:, None]
+            passed = np.zeros(scores[0].shape, bool)
+            for s in scores:
+                passed |= (NODES * s >= floor).astype(bool)
+            rows, cols = np.nonzero(passed & (qi[:, None] != ci[None, :]))
+            total = scores[0][rows, cols]
+            for s in scores[1:]:
+                total = total + s[rows, cols]
+            total = total.astype(np.int64)
+            fine = total >= cutoffs[rows]
+            if not fine.any():
+                continue
+            held.append(_best(k, qi[rows[fine]], ci[cols[fine]], total[fine]))
+            n += len(held[-1][0])
+            if n >= HELD:
+                held, n = [best()], 0
+                if len(held[0][0]) >= HELD // 2:
+                    yield from out(held.pop())
+        if held:
+            yield from out(best())
 
     return run
 
@@ -138,29 +202,23 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    shards = parts(spark)
-    candidates = stored(rows.mapInArrow(_packer(CHUNK), PACKED), "candidates").withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
+    # dealt by hash, so that a table of one file is scored by many tasks
+    candidates = stored(rows.mapInArrow(_packer(CHUNK), PACKED), "candidates").select("dim", "ids", "cells")
+    candidates = candidates.repartition(parts(spark), F.xxhash64("ids"))
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asked = rows.where(is_query & usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).repartition(max(1, shards // 4), "vec_id")
+    asked = rows.where(is_query & usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = stored(asked.mapInArrow(_packer(QUERY_CHUNK), PACKED), "asked").select("dim", F.xxhash64("ids").alias("chunk"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-
-    pairs = asked.select("*", everywhere).join(candidates, ["dim", "shard"])
-    low = pairs.select("dim", "q_ids", "q_cells", "ids", "cells").mapInArrow(_first(k), "query_id long, low long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    cutoffs = low.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("cutoff"))
-
-    def unpack(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["q_ids"], np.int64)
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([r["chunk"]] * len(ids), pa.int64()), "at": pa.array(np.arange(len(ids), dtype=np.int32)), "query_id": pa.array(ids)})
-
-    placed = asked.select("chunk", "q_ids").mapInArrow(unpack, "chunk long, at int, query_id long").join(cutoffs, "query_id", "left")
-    lists = placed.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cutoff"))), lambda x: x["cutoff"]).alias("cutoffs"))
-    told = stored(asked.join(lists, "chunk"), "cutoffs")
-    pairs = told.select("*", everywhere).join(candidates, ["dim", "shard"])
-    found = pairs.select("dim", "q_ids", "q_cells", "cutoffs", "ids", "cells").mapInArrow(_second(k), "query_id long, vec_id long, score long")
+    size = asked.agg(F.sum(F.octet_length("q_ids") + F.octet_length("q_cells"))).first()[0] or 0
+    groups = max(1, -(-size // BROADCAST))
+    found = None
+    for g in range(groups):
+        some = asked.where(F.pmod("chunk", F.lit(groups)) == g)
+        low = candidates.join(F.broadcast(some), "dim").select("dim", "chunk", "q_ids", "q_cells", "ids", "cells").mapInArrow(_first(k), "chunk long, low binary")
+        told = stored(some.join(low.groupBy("chunk").applyInArrow(_cutoffs(k), "chunk long, cutoffs binary"), "chunk"), "cutoffs")
+        one = candidates.join(F.broadcast(told), "dim").select("dim", "q_ids", "q_cells", "cutoffs", "ids", "cells").mapInArrow(_second(k), "query_id long, vec_id long, score long")
+        if groups > 1:  # one group's chunks are with the driver at a time
+            one = stored(one, "found")
+        found = one if found is None else found.unionByName(one)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

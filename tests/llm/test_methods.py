@@ -679,3 +679,22 @@ def test_bpe_folds_common_pieces_once(spark, texts, monkeypatch):
     some = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([" ".join(t or "" for t in texts.values())])})
     count = lambda *common: sum(b.num_rows - b.column(0).null_count for b in bpe._bundles(bpe.default_pattern(), True, *common)([some]))
     assert count(found[1].pieces) < 0.7 * count() and count(found[0].pieces) < count()
+
+
+def test_top_k_sends_query_chunks_once(spark, monkeypatch):
+    """What goes to all tasks is the chunks of queries, in groups of bounded size, not a copy for each partition; results are the same in small groups,
+    with cells of every width, and with what a task holds cut short."""
+    rng = np.random.default_rng(6)
+    for top, chunk, size in ((1, 2048, 32 << 20), (500, 4, 150), (1e5, 2048, 32 << 20), (1e8, 5, 1000)):
+        v = np.round(rng.normal(0, top, (90, 5)))
+        v[8, 0] = 2.5e9 if top == 1e8 else top
+        v[rng.integers(0, 90, 30)] = v[3]
+        df = spark.createDataFrame([(i, [float(y) / 256 for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+        whole = [[int(y) for y in x] for x in v]
+        want = sorted((q, i + 1, c, -s) for q in range(0, 90, 6) for i, (s, c) in enumerate(sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in range(90) if c != q)[:5]))
+        with monkeypatch.context() as m:
+            for name, value in (("CHUNK", chunk), ("QUERY_CHUNK", chunk), ("BROADCAST", size), ("HELD", chunk * 20), ("LOWS", chunk * 20)):
+                m.setattr(topk, name, value)
+            found = topk.exact_top_k(df, F.col("vec_id") % 6 == 0, 5)
+            assert sorted(map(tuple, found.collect())) == want
+            assert "explode" not in found._jdf.queryExecution().analyzed().toString()
