@@ -23,7 +23,7 @@ class Index:
     lengths: DataFrame
     stats: DataFrame
     scope: str | None = None
-    #: (key, text), where the index is one of texts: rankings of few queries read these once and make no postings of other words.
+    #: (key, text, and the scope), where the index is one of texts: rankings of few queries read these once and make no postings of other words.
     texts: DataFrame | None = None
 
 
@@ -36,7 +36,7 @@ def build(texts: DataFrame, key: str, kind: str = "live", scope: str | None = No
     lengths = each.select(key, *scopes, F.size("tokens").alias("dl"))
     postings = each.select(key, *scopes, F.explode("tokens").alias("term")).groupBy(key, *scopes, "term").agg(F.count("*").alias("tf"))
     stats = lengths.groupBy(*scopes).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    return Index(kind, key, postings, lengths, stats, scope, None if scope else texts.select(key, "text"))
+    return Index(kind, key, postings, lengths, stats, scope, texts.select(key, "text", *scopes))
 
 
 def of_tables(postings: DataFrame, lengths: DataFrame, key: str, kind: str = "live") -> Index:

@@ -466,7 +466,7 @@ def bm25_scoped_topk(spark, d):
     asked = _asked(spark, d).withColumnRenamed("query_id", "item").join(sources.withColumn("k", F.lit(1)), F.lit(True)).drop("k")
     q = asked.select(F.concat_ws("/", F.col("item").cast("string"), "source").alias("query_id"), "query", "source", "item")
     found = search.bm25(index.build(docs, "doc_id", "live", "source"), q.select("query_id", "query", "source"), 3)
-    return found.withColumns({"source": F.substring_index("query_id", "/", -1), "item": F.substring_index("query_id", "/", 1).cast("long")}).select("source", F.col("item").alias("query_id"), "doc_id", "rank", "score")
+    return found.withColumns({"source": F.substr("query_id", F.instr("query_id", "/") + 1), "item": F.substring_index("query_id", "/", 1).cast("long")}).select("source", F.col("item").alias("query_id"), "doc_id", "rank", "score")
 
 
 @query(f"WITH {_bm25_sql(_words, _LIVE, 5)} SELECT * FROM bm25")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import blocks, embedding, graph, index, layout, search, tables
-from paperloom.plans import evaluate
+from paperloom.plans import catalog, evaluate
 from paperloom.streaming import progress
 
 
@@ -289,3 +289,37 @@ def test_texts_are_read_once_for_few_queries(spark, monkeypatch, kind):
 def test_hashed_vectors_are_packed_at_once(spark):
     found = search.hashed(frame(spark, [(1, "pump valve"), (2, "valve"), (None, "valve"), (3, None)], "doc_id long, text string"), "doc_id", frame(spark, [(1, "valve")], "query_id long, query string"), 3)
     assert "exists" not in _plan(found).split("BroadcastExchange")[0] and [r["doc_id"] for r in found.orderBy("rank").collect()] == [2, 1, 3]
+
+
+@pytest.mark.parametrize("kind", ["live", "stemmed"])
+def test_scoped_scores_are_summed_in_blocks_of_texts(spark, monkeypatch, kind):
+    """No postings of a scoped index are joined with queries, however many of few terms these are; the ranking is that of the join."""
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(3000)] + ["the", "valves", "running"]
+    scopes = ["a", "b/c", "", "ü", None]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))), rng.choice(scopes)) for i in range(300)] + [(300 + i, "w1 w2 valves", "a") for i in range(20)] + [(400, None, "a"), (None, "w1 w2", "a"), (5, "w1 the", "alone")]
+    texts = frame(spark, rows, "doc_id long, text string, source string").cache()
+    asked = frame(spark, [(f"{i}/{s}", q, s) for i, q in enumerate(["w1 w2 valves", "w3 the", "", "absent running", "w1 w1"]) for s in [*scopes, "alone", "absent"]], "query_id string, query string, source string")
+    built = index.build(texts, "doc_id", kind, "source")
+    want = sorted(map(repr, search.bm25(replace(built, texts=None), asked, 3).collect()))
+    assert len(want) > 20
+    for few, size in ((1 << 17, 4096), (12, 7)):
+        with monkeypatch.context() as m:
+            for name, value in (("FEW", few), ("TEXTS", size), ("CELLS", size), ("QUERIES", 2)):
+                m.setattr(search, name, value)
+            found = search.bm25(built, asked, 3)
+            assert "Join" not in _plan(found) and sorted(map(repr, found.collect())) == want
+
+
+def test_scoped_query_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("pump valve gasket wind turbine é x1 der the".split(), k=rng.randint(0, 12))) for _ in range(80)]
+    frame(spark, [(i, x or None, rng.choice(["a", "b/c", "/", None])) for i, x in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [(i, texts[i]) for i in range(9)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.oracles()["bm25_scoped_topk"]).fetchall())
+    got = sorted(map(tuple, catalog.bm25_scoped_topk(spark, str(tmp_path)).collect()))
+    assert len(want) > 30 and [r[:4] for r in got] == [r[:4] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want])
