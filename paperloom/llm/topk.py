@@ -16,6 +16,8 @@ query and task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -96,15 +98,34 @@ def _pairs(batches):
             yield r, *_cells(r["q_ids"], r["q_cells"], r["dim"]), *_cells(r["ids"], r["cells"], r["dim"])
 
 
-def _listed(k: int, scores: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+def _listing(s: np.ndarray, take: int) -> np.ndarray:
+    """Places, in the array laid flat, of what a node lists: each row's `take` best at least."""
+    size, n = s.shape[1], s.shape[1] // 32
+    if s.dtype != object and n >= take:
+        # every 32nd entry is a group; the take-th best of the groups' best is no more than the take-th best entry
+        best = s[:, : 32 * n].reshape(len(s), 32, n).max(1)
+        at = np.flatnonzero(s >= np.partition(best, n - take, axis=1)[:, n - take, None])
+        if len(at) <= 8 * take * len(s):
+            return at
+    order = np.argpartition(s, size - take, axis=1) if s.dtype != object else np.argsort(s, axis=1)
+    return (np.arange(len(s))[:, None] * size + order[:, size - take :]).ravel()
+
+
+def _total(scores: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    return sum((s.ravel()[at] for s in scores[1:]), scores[0].ravel()[at])
+
+
+def _listed(k: int, scores: list[np.ndarray], qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
     """For each query the k best totals of what the nodes' lists hold, LEAST where there are fewer."""
-    size = own.shape[1]
-    take = min(k + 1, size)
-    at = np.sort(np.concatenate([np.argpartition(s, size - take, axis=1)[:, size - take :] if s.dtype != object else np.argsort(s, axis=1)[:, size - take :] for s in scores], 1), axis=1)
-    total = sum(np.take_along_axis(s, at, 1) for s in scores[1:]) + np.take_along_axis(scores[0], at, 1)
-    again = np.concatenate([np.zeros((len(at), 1), bool), at[:, 1:] == at[:, :-1]], 1)
-    total[again | np.take_along_axis(own, at, 1)] = LEAST
-    return np.sort(total.astype(np.int64), axis=1)[:, ::-1][:, :k]
+    at = np.unique(np.concatenate([_listing(s, min(k + 1, len(ci))) for s in scores]))
+    at = at[qi[at // len(ci)] != ci[at % len(ci)]]
+    rows, total = at // len(ci), _total(scores, at).astype(np.int64)
+    order = np.lexsort((~total, rows))
+    rows, total = rows[order], total[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    low = np.full((len(qi), k), LEAST, np.int64)
+    low[rows[place < k], place[place < k]] = total[place < k]
+    return low
 
 
 def _first(k: int):
@@ -124,7 +145,7 @@ def _first(k: int):
                 if sum(x.size for x in held.values()) >= LOWS:
                     yield from out()
                 low = np.full((len(qi), k), LEAST, np.int64)
-            both = np.concatenate([low, _listed(k, _part_scores(q, c), qi[:, None] == ci[None, :])], 1)
+            both = np.concatenate([low, _listed(k, _part_scores(q, c), qi, ci)], 1)
             held[r["chunk"]] = np.ascontiguousarray(np.sort(both, axis=1)[:, ::-1][:, :k])
         yield from out()
 
@@ -146,7 +167,7 @@ def _cutoffs(k: int):
 
 def _best(k: int, ids: np.ndarray, found: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
     """The k best of each query, ties by vec_id."""
-    order = np.lexsort((found, -score, ids))
+    order = np.lexsort((found, ~score, ids))
     ids, found, score = ids[order], found[order], score[order]
     fine = np.arange(len(ids)) - np.searchsorted(ids, ids) < k
     return ids[fine], found[fine], score[fine]
@@ -168,19 +189,16 @@ def _second(k: int):
         for r, qi, q, ci, c in _pairs(batches):
             scores = _part_scores(q, c)
             cutoffs = np.frombuffer(r["cutoffs"], np.int64)
-            floor = cutoffs.astype(scores[0].dtype)[:, None]
-            passed = np.zeros(scores[0].shape, bool)
-            for s in scores:
-                passed |= (NODES * s >= floor).astype(bool)
-            rows, cols = np.nonzero(passed & (qi[:, None] != ci[None, :]))
-            total = scores[0][rows, cols]
-            for s in scores[1:]:
-                total = total + s[rows, cols]
-            total = total.astype(np.int64)
-            fine = total >= cutoffs[rows]
-            if not fine.any():
+            floor, part = cutoffs.astype(scores[0].dtype)[:, None], reduce(np.maximum, scores)
+            # a quarter of a float is exact
+            at = np.flatnonzero(part >= floor / NODES if part.dtype != object else (NODES * part >= floor).astype(bool))
+            rows, cols = at // len(ci), at % len(ci)
+            total = _total(scores, at)
+            fine = (total >= floor[rows, 0]).astype(bool) & (qi[rows] != ci[cols])
+            rows, cols, total = rows[fine], cols[fine], total[fine].astype(np.int64)
+            if not len(rows):
                 continue
-            held.append(_best(k, qi[rows[fine]], ci[cols[fine]], total[fine]))
+            held.append(_best(k, qi[rows], ci[cols], total))
             n += len(held[-1][0])
             if n >= HELD:
                 held, n = [best()], 0
